@@ -8,12 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.functions.labels import drift_level, psi_flag
-from driftwell.functions.numbers import bin_index, finite, quoted
+from driftwell.operators.binning import binned, column_chunks
 from driftwell.operators.quantiles import exact_quantiles
 
 PSI_BINS = 10
 PSI_EPSILON = 1e-6
-COLUMNS_PER_PASS = 96
 
 
 def psi_breaks(reference: DataFrame, columns: Sequence[str], bins: int = PSI_BINS) -> dict[str, list[float]]:
@@ -22,30 +21,26 @@ def psi_breaks(reference: DataFrame, columns: Sequence[str], bins: int = PSI_BIN
     return {c: sorted(set(q)) if q else [] for c, q in found.items()}
 
 
-def bin_counts(df: DataFrame, breaks: dict[str, list[float]], extra: Sequence[Column] = ()) -> DataFrame:
-    """Rows per (feature, bin), missing values left out; all columns in one shuffle of tiny counts.
+def bin_counts(df: DataFrame, breaks: dict[str, list[float]], *keep: str) -> DataFrame:
+    """Rows per (kept columns, feature, bin), missing values left out.
 
-    The outer bins are open, so values beyond the reference range are counted.
+    The outer bins are open, so values beyond the reference range are counted. Each task reduces its rows
+    to one count per bin before the shuffle.
     """
-    columns = [c for c, b in breaks.items() if len(b) >= 2]
     made = None
-    for start in range(0, len(columns), COLUMNS_PER_PASS):
-        cells = F.array(*[
-            F.struct(F.lit(c).alias("feature"), bin_index(finite(quoted(c)), breaks[c][1:-1]).alias("bin"))
-            for c in columns[start:start + COLUMNS_PER_PASS]
-        ])
-        part = (
-            df.select(*extra, F.explode(cells).alias("cell"))
-            .select("*", "cell.feature", "cell.bin")
-            .drop("cell")
+    for chunk in column_chunks([c for c, b in breaks.items() if len(b) >= 2]):
+        counted = (
+            binned(df, {c: breaks[c][1:-1] for c in chunk}, *keep)
             .where(F.col("bin").isNotNull())
+            .groupBy(*keep, "slot", "bin")
+            .agg(F.count(F.lit(1)).alias("rows"))
         )
-        made = part if made is None else made.unionByName(part)
+        named = counted.withColumn("feature", F.array(*[F.lit(c) for c in chunk])[F.col("slot")]).drop("slot")
+        made = named if made is None else made.unionByName(named)
     if made is None:
-        fields = ["cast(null as string) AS feature", "cast(null as int) AS bin", "cast(0 as long) AS rows"]
-        return df.limit(0).select(*extra).selectExpr("*", *fields)
-    names = [c for c in made.columns if c not in ("feature", "bin")]
-    return made.groupBy(*names, "feature", "bin").agg(F.count(F.lit(1)).alias("rows"))
+        empty = {"feature": F.lit(None).cast("string"), "bin": F.lit(None).cast("int"), "rows": F.lit(0).cast("long")}
+        return df.select(*keep).limit(0).withColumns(empty)
+    return made
 
 
 def psi_from_counts(counts: DataFrame, keys: Sequence[str] = ("feature",), epsilon: float = PSI_EPSILON) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.functions.numbers import bin_index, finite, numeric_columns, quoted
+from driftwell.operators.binning import binned, column_chunks
 from driftwell.operators.quantiles import exact_quantiles
 
 MISSING_BIN = "Missing"
-COLUMNS_PER_PASS = 96
 
 
 @dataclass
@@ -61,7 +61,7 @@ class InformationValue:
         for c in numbers:
             mapping = {b: w for (f, b), w in weights.items() if f == c}
             pairs = [F.lit(x) for item in mapping.items() for x in item]
-            encoded[c] = F.coalesce(F.element_at(F.create_map(*pairs), self._bin(df, c)), F.lit(0.0))
+            encoded[c] = F.coalesce(F.element_at(F.create_map(*pairs), self._bin(c)), F.lit(0.0))
         result = df.select(key, *[encoded.get(c, quoted(c)).alias(c) for c in columns])
         for c in columns:
             if c not in encoded:
@@ -69,14 +69,15 @@ class InformationValue:
                     F.col("bin").alias("_bin"), F.col("woe").alias("_woe")
                 )
                 result = (
-                    result.withColumn("_bin", self._bin(df, c))
+                    result.withColumn("_bin", self._bin(c))
                     .join(levels, "_bin", "left")
                     .withColumn(c, F.coalesce(F.col("_woe"), F.lit(0.0)))
                     .drop("_bin", "_woe")
                 )
         return result
 
-    def _bin(self, df: DataFrame, column: str) -> Column:
+    def _bin(self, column: str) -> Column:
+        """Bin label of one column."""
         if column in self.inner_breaks:
             label = bin_index(finite(quoted(column)), self.inner_breaks[column]).cast("string")
         else:
@@ -84,19 +85,28 @@ class InformationValue:
         return F.coalesce(label, F.lit(MISSING_BIN))
 
     def _bins(self, df: DataFrame, target: str, columns: list[str]) -> DataFrame:
-        counted = None
-        for start in range(0, len(columns), COLUMNS_PER_PASS):
-            cells = F.array(*[
-                F.struct(F.lit(c).alias("feature"), self._bin(df, c).alias("bin"))
-                for c in columns[start:start + COLUMNS_PER_PASS]
-            ])
-            part = (
-                df.select(F.col(target).cast("long").alias("bad"), F.explode(cells).alias("cell"))
-                .groupBy("cell.feature", "cell.bin")
-                .agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good"))
-            )
-            counted = part if counted is None else counted.unionByName(part)
-        return evidence_bins(counted, self.smoothing)
+        """Counts per (feature, bin): numbers by binary search, levels as they are."""
+        marked = df.withColumn("_bad", F.col(target).cast("long"))
+        parts = []
+        for chunk in column_chunks([c for c in columns if c in self.inner_breaks]):
+            cells = binned(marked, {c: self.inner_breaks[c] for c in chunk}, "_bad")
+            counted = cells.groupBy("slot", "bin").agg(*_good_and_bad())
+            parts.append(counted.select(
+                F.array(*[F.lit(c) for c in chunk])[F.col("slot")].alias("feature"),
+                F.coalesce(F.col("bin").cast("string"), F.lit(MISSING_BIN)).alias("bin"), "bad", "good",
+            ))
+        for chunk in column_chunks([c for c in columns if c not in self.inner_breaks]):
+            cells = F.array(*[F.struct(F.lit(c).alias("feature"), self._bin(c).alias("bin")) for c in chunk])
+            long = marked.select("_bad", F.explode(cells).alias("cell")).select("_bad", "cell.feature", "cell.bin")
+            parts.append(long.groupBy("feature", "bin").agg(*_good_and_bad()))
+        counts = parts[0]
+        for part in parts[1:]:
+            counts = counts.unionByName(part)
+        return evidence_bins(counts, self.smoothing)
+
+
+def _good_and_bad() -> list[Column]:
+    return [F.sum("_bad").alias("bad"), F.sum(1 - F.col("_bad")).alias("good")]
 
 
 def evidence_bins(counts: DataFrame, smoothing: float = 0.5) -> DataFrame:
@@ -108,6 +118,7 @@ def evidence_bins(counts: DataFrame, smoothing: float = 0.5) -> DataFrame:
     good = F.try_divide(F.col("good") + add, F.col("all_good").cast("double"))
     bad = F.try_divide(F.col("bad") + add, F.col("all_bad").cast("double"))
     woe = F.ln(F.try_divide(good, bad))
+    # One row per feature.
     return counts.join(F.broadcast(totals), "feature").select(
         "feature",
         "bin",

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from driftwell.functions.numbers import (
     finite, nan_to_null, numeric_columns, positive_flag, quoted, safe_ratio, share, string_columns,
 )
+from driftwell.operators.binning import column_chunks, long_form
 
 # Key names of the history tables and the statistics of the mass aggregation.
 APPLICANT = "SK_ID_CURR"
@@ -41,23 +42,20 @@ def profile_for_aggregation(
     """
     columns = [c for c in numeric_columns(df, {key}) if not c.startswith(KEY_PREFIX)]
     if columns:
-        aggregates = []
-        for i, c in enumerate(columns):
-            aggregates += [
-                F.min(quoted(c)).alias(f"min{i}"),
-                F.max(quoted(c)).alias(f"max{i}"),
-                F.approx_count_distinct(quoted(c), 0.02).alias(f"distinct{i}"),
-            ]
-        found = df.agg(*aggregates).first()
-        unsure = {
-            c: (found[f"min{i}"], found[f"max{i}"])
-            for i, c in enumerate(columns)
-            if found[f"distinct{i}"] <= 2 and found[f"min{i}"] is not None
-        }
-        few = [c for i, c in enumerate(columns) if found[f"distinct{i}"] <= 2]
+        found: dict[str, Row] = {}
+        for chunk in column_chunks(columns):
+            for row in (
+                long_form(df, chunk)
+                .groupBy("slot")
+                .agg(F.min("value").alias("low"), F.max("value").alias("high"), F.approx_count_distinct("value").alias("n"))
+                .collect()
+            ):
+                found[chunk[row["slot"]]] = row
+        few = [c for c in columns if c not in found or found[c]["n"] <= 2]
+        unsure = {c: (found[c]["low"], found[c]["high"]) for c in few if c in found and found[c]["low"] is not None}
         if unsure:
             others = df.agg(*[
-                F.count_if((quoted(c) != F.lit(low)) & (quoted(c) != F.lit(high))).alias(c)
+                F.count_if((finite(quoted(c)) != F.lit(low)) & (finite(quoted(c)) != F.lit(high))).alias(c)
                 for c, (low, high) in unsure.items()
             ]).first()
             few = [c for c in few if c not in unsure or others[c] == 0]

@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.functions.numbers import finite, numeric_columns, quoted, string_columns
+from driftwell.operators.binning import column_chunks, long_form
 from driftwell.operators.quantiles import exact_quantiles
 
-COLUMNS_PER_PASS = 100
-
 
 @dataclass
 class NumberScaler:
@@ -34,22 +33,23 @@ class NumberScaler:
             raise ValueError(f"unsupported strategy: {self.strategy}")
         self.columns = list(numeric_columns(df) if columns is None else columns)
         medians = exact_quantiles(df, self.columns, [0.5]) if self.strategy == "median" else {}
-        for start in range(0, len(self.columns), COLUMNS_PER_PASS):
-            self._fit_chunk(df, self.columns[start:start + COLUMNS_PER_PASS], medians)
+        rows = df.count() if self.columns else 0
+        for chunk in column_chunks(self.columns):
+            self._fit_chunk(df, chunk, rows, medians)
         return self
 
-    def _fit_chunk(self, df: DataFrame, columns: list[str], medians: dict) -> None:
-        aggregates = [F.count(F.lit(1)).alias("rows")]
-        for i, c in enumerate(columns):
-            x = finite(quoted(c))
-            aggregates += [
-                F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}"),
-                F.min(x).alias(f"a{i}"), F.max(x).alias(f"z{i}"),
-            ]
-        seen = df.agg(*aggregates).first()
-        rows = seen["rows"]
+    def _fit_chunk(self, df: DataFrame, columns: list[str], rows: int, medians: dict) -> None:
+        value = F.col("value")
+        moments = long_form(df, columns).groupBy("slot").agg(
+            F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("variance"),
+            F.min(value).alias("low"), F.max(value).alias("high"),
+        )
+        seen = {r["slot"]: r for r in moments.collect()}
         for i, c in enumerate(columns):
-            n, mean, variance = seen[f"n{i}"], seen[f"m{i}"] or 0.0, seen[f"v{i}"] or 0.0
+            row = seen.get(i)
+            n = row["n"] if row else 0
+            mean, variance = (row["mean"] or 0.0, row["variance"] or 0.0) if row else (0.0, 0.0)
+            low, high = (row["low"], row["high"]) if row else (None, None)
             if self.strategy == "mean":
                 fill = mean
             elif self.strategy == "median":
@@ -58,8 +58,8 @@ class NumberScaler:
                 fill = 0.0
             self.fills[c] = fill
             part = n / rows if rows else 0.0
-            lows = [v for v in (seen[f"a{i}"], fill if n < rows else None) if v is not None]
-            highs = [v for v in (seen[f"z{i}"], fill if n < rows else None) if v is not None]
+            lows = [v for v in (low, fill if n < rows else None) if v is not None]
+            highs = [v for v in (high, fill if n < rows else None) if v is not None]
             if self.scaler == "standard":
                 self.shifts[c] = part * mean + (1 - part) * fill
                 spread = part * variance + part * (1 - part) * (mean - fill) ** 2

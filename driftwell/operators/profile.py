@@ -5,19 +5,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwell.functions.labels import engineered_description, engineered_table, semantic_group
 from driftwell.functions.numbers import NUMBERS, finite, numeric_columns, quoted, share
+from driftwell.operators.binning import column_chunks, long_form
 from driftwell.operators.quantiles import exact_quantiles
 
 PERCENTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p95": 0.95}
-# A table this wide is aggregated in several passes, each reading only its own columns.
-COLUMNS_PER_PASS = 100
 
 
 def _missing(df: DataFrame, column: str) -> Column:
@@ -27,21 +30,31 @@ def _missing(df: DataFrame, column: str) -> Column:
     return value.isNull()
 
 
-def per_column(df: DataFrame, columns: Sequence[str], statistics: dict[str, str], build) -> DataFrame:
-    """One row per column from a single aggregate row: ``build(column)`` gives the statistics.
+def number_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, count, mean, min, max, std, var) of number columns, infinities read as missing."""
+    value = F.col("value")
+    made = None
+    for chunk in column_chunks(columns):
+        part = long_form(df, chunk).groupBy("slot").agg(
+            F.count(value).alias("count"), F.avg(value).alias("mean"), F.min(value).alias("min"),
+            F.max(value).alias("max"), F.stddev_samp(value).alias("std"), F.var_samp(value).alias("var"),
+        ).withColumn("feature", F.array(*[F.lit(c) for c in chunk])[F.col("slot")]).drop("slot")
+        made = part if made is None else made.unionByName(part)
+    if made is None:
+        return df.sparkSession.createDataFrame(
+            [], "count long, mean double, min double, max double, std double, var double, feature string"
+        )
+    return made
 
-    ``statistics`` maps names to SQL types. Aggregates are computed in one job per ``COLUMNS_PER_PASS``
-    columns and turned long, so nothing wider than the feature list leaves the executors.
-    """
+
+def presence(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, rows, missing_count) of any columns."""
     made = None
-    for start in range(0, len(columns), COLUMNS_PER_PASS):
-        chunk = list(columns[start:start + COLUMNS_PER_PASS])
-        cells = []
-        for c in chunk:
-            built = build(c)
-            fields = [built.get(n, F.lit(None)).cast(t).alias(n) for n, t in statistics.items()]
-            cells.append(F.struct(F.lit(c).alias("feature"), *fields))
-        part = df.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("cell")).select("cell.*")
+    for chunk in column_chunks(columns):
+        cells = F.array(*[_missing(df, c).cast("int") for c in chunk])
+        part = df.select(F.posexplode(cells).alias("slot", "missing")).groupBy("slot").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("missing").alias("missing_count")
+        ).withColumn("feature", F.array(*[F.lit(c) for c in chunk])[F.col("slot")]).drop("slot")
         made = part if made is None else made.unionByName(part)
     if made is None:
         raise ValueError("no columns to profile")
@@ -50,11 +63,9 @@ def per_column(df: DataFrame, columns: Sequence[str], statistics: dict[str, str]
 
 def missing_rates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(feature, missing_rate), highest first."""
-    columns = df.columns if columns is None else columns
-    rates = per_column(
-        df, columns, {"missing_rate": "double"}, lambda c: {"missing_rate": F.avg(_missing(df, c).cast("int"))}
-    )
-    return rates.orderBy(F.col("missing_rate").desc(), "feature")
+    found = presence(df, df.columns if columns is None else columns)
+    rate = share(F.col("missing_count"), F.col("rows")).alias("missing_rate")
+    return found.select("feature", rate).orderBy(F.col("missing_rate").desc(), "feature")
 
 
 @dataclass
@@ -84,11 +95,7 @@ class MissingRateFilter:
         return df.select(*keep, *[quoted(c) for c in self.selected])
 
 
-METADATA_TYPES = {
-    "missing_rate": "double", "non_null_count": "long", "dtype": "string",
-    "mean": "double", "min": "double", "max": "double", "std": "double", "var": "double",
-    "unique_count": "long",
-}
+MOMENTS = ("mean", "min", "max", "std", "var")
 
 
 def feature_metadata(
@@ -100,40 +107,29 @@ def feature_metadata(
     Numbers are rounded to four places, half to even.
     """
     numbers = [c for c in columns if isinstance(df.schema[c].dataType, NUMBERS)]
+    known = set(numbers)
     quantiles = exact_quantiles(df, numbers, list(PERCENTILES.values()))
-
-    def statistics(c: str) -> dict[str, Column]:
-        missing = _missing(df, c)
-        found = {
-            "missing_rate": F.bround(F.avg(missing.cast("int")), 4),
-            "non_null_count": F.count_if(~missing),
-            "dtype": F.lit(df.schema[c].dataType.simpleString()),
-        }
-        if c in quantiles:
-            x = finite(quoted(c))
-            found |= {
-                "mean": F.bround(F.avg(x), 4),
-                "min": F.bround(F.min(x), 4),
-                "max": F.bround(F.max(x), 4),
-                "std": F.bround(F.stddev_samp(x), 4),
-                "var": F.bround(F.var_samp(x), 4),
-            }
-        else:
-            found["unique_count"] = F.count_distinct(quoted(c))
-        return found
-
-    profile = per_column(df, columns, METADATA_TYPES, statistics)
-    marks = [
-        (i, c, *(quantiles.get(c) or [None] * len(PERCENTILES))) for i, c in enumerate(columns)
+    facts = [
+        (i, c, df.schema[c].dataType.simpleString(), *(quantiles.get(c) or [None] * len(PERCENTILES)))
+        for i, c in enumerate(columns)
     ]
-    schema = "position int, feature string, " + ", ".join(f"{p} double" for p in PERCENTILES)
-    known = df.sparkSession.createDataFrame(marks, schema).select(
-        "position", "feature", *[F.bround(p, 4).alias(p) for p in PERCENTILES]
+    schema = "position int, feature string, dtype string, " + ", ".join(f"{p} double" for p in PERCENTILES)
+    # Every side below holds one row per feature.
+    base = df.sparkSession.createDataFrame(facts, schema)
+    profile = (
+        base.join(presence(df, columns), "feature")
+        .join(number_moments(df, numbers), "feature", "left")
+        .join(distinct_values(df, [c for c in columns if c not in known]), "feature", "left")
     )
-    # All sides hold one row per feature.
-    joined = profile.join(F.broadcast(known), "feature")
-    return describe(joined, descriptions).select(
-        "position", "feature", "description", "table", "semantic_group", *METADATA_TYPES, *PERCENTILES
+    rounded = {c: F.bround(c, 4) for c in (*MOMENTS, *PERCENTILES)}
+    counted = profile.withColumns(rounded | {
+        "missing_rate": F.bround(share(F.col("missing_count"), F.col("rows")), 4),
+        "non_null_count": F.col("rows") - F.col("missing_count"),
+        "unique_count": F.when(~F.col("feature").isin(numbers), F.coalesce("n_unique", F.lit(0))),
+    })
+    return describe(counted, descriptions).select(
+        "position", "feature", "description", "table", "semantic_group", "missing_rate", "non_null_count",
+        "dtype", *MOMENTS, "unique_count", *PERCENTILES,
     )
 
 
@@ -162,28 +158,27 @@ def feature_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Description table: count, mean, std, min, quartiles, max, missing count and percent, distinct values."""
     numbers = [c for c in columns if isinstance(df.schema[c].dataType, NUMBERS)]
     quartiles = exact_quantiles(df, numbers, [0.25, 0.5, 0.75])
-
-    def statistics(c: str) -> dict[str, Column]:
-        missing = _missing(df, c)
-        found = {
-            "count": F.count_if(~missing),
-            "missing_count": F.count_if(missing),
-            "missing_pct": F.avg(missing.cast("int")) * 100,
-        }
-        if c in quartiles:
-            x = quoted(c)
-            q = quartiles[c] or [None, None, None]
-            found |= {"mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)}
-            found |= {n: F.lit(v) for n, v in zip(("p25", "p50", "p75"), q)}
-        return found
-
-    names = ["mean", "std", "min", "p25", "p50", "p75", "max"]
-    types = {"count": "long"} | {n: "double" for n in names} | {"missing_count": "long", "missing_pct": "double"}
-    return per_column(df, columns, types, statistics).join(distinct_values(df, columns), "feature", "left")
+    facts = [(c, *(quartiles.get(c) or [None] * 3)) for c in columns]
+    base = df.sparkSession.createDataFrame(facts, "feature string, p25 double, p50 double, p75 double")
+    joined = (
+        base.join(presence(df, columns), "feature")
+        .join(number_moments(df, numbers).drop("count"), "feature", "left")
+        .join(distinct_values(df, columns), "feature", "left")
+    )
+    return joined.select(
+        "feature",
+        (F.col("rows") - F.col("missing_count")).alias("count"),
+        "mean", "std", "min", "p25", "p50", "p75", "max",
+        "missing_count",
+        (share(F.col("missing_count"), F.col("rows")) * 100).alias("missing_pct"),
+        F.coalesce("n_unique", F.lit(0)).alias("n_unique"),
+    )
 
 
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, n_unique): distinct pairs are counted in the long form, so no column is held in one task."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], "feature string, n_unique long")
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), quoted(c).cast("string").alias("value")) for c in columns])
     long = df.select(F.explode(cells).alias("cell")).select("cell.feature", "cell.value")
     return long.where(F.col("value").isNotNull()).distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n_unique"))
@@ -194,40 +189,38 @@ def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(feature_a, feature_b, correlation) over pairwise complete rows; a constant column gives NULL.
 
-    Built from sums centred on the column means, one aggregate row for all pairs of columns; the pairs
-    are as many as the features allow, whatever the number of rows.
+    With m the 0/1 presence, x the centred value (0 where missing) and its square, all sums that pairwise
+    complete correlations need are entries of one Gram matrix of [m, x, x*x]. MLlib adds it up over the
+    rows; only features x features numbers reach the driver.
     """
     columns = list(columns or numeric_columns(df))
-    if len(columns) < 2:
-        return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, correlation double")
-    centres = df.agg(*[F.avg(finite(quoted(c))).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    centred = df.select(*[
-        (finite(quoted(c)) - F.lit(centres[f"m{i}"] or 0.0)).alias(f"x{i}") for i, c in enumerate(columns)
-    ])
-    made = None
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    for start in range(0, len(pairs), COLUMNS_PER_PASS):
-        cells = [_correlation_cell(i, j, columns) for i, j in pairs[start:start + COLUMNS_PER_PASS]]
-        part = centred.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("c")).select("c.*")
-        made = part if made is None else made.unionByName(part)
-    mirrored = made.where("feature_a != feature_b").select(
-        F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "correlation"
-    )
-    return made.unionByName(mirrored)
-
-
-def _correlation_cell(i: int, j: int, columns: Sequence[str]) -> Column:
-    x, y = F.col(f"x{i}"), F.col(f"x{j}")
-    both = x.isNotNull() & y.isNotNull()
-    a, b = F.when(both, x), F.when(both, y)
-    n = F.count_if(both).cast("double")
-    cross = F.sum(a * b) - share(F.sum(a) * F.sum(b), n)
-    spread_a = F.sum(a * a) - share(F.sum(a) * F.sum(a), n)
-    spread_b = F.sum(b * b) - share(F.sum(b) * F.sum(b), n)
-    # Constant columns leave rounding noise only; their exact spread is max = min.
-    varies = (F.max(a) > F.min(a)) & (F.max(b) > F.min(b))
-    value = F.when(varies, F.try_divide(cross, F.sqrt(spread_a) * F.sqrt(spread_b)))
-    return F.struct(F.lit(columns[i]).alias("feature_a"), F.lit(columns[j]).alias("feature_b"), value.alias("correlation"))
+    spark, p = df.sparkSession, len(columns)
+    schema = "feature_a string, feature_b string, correlation double"
+    if p < 2:
+        return spark.createDataFrame([], schema)
+    moments = {r["feature"]: r for r in number_moments(df, columns).collect()}
+    parts: list[list[Column]] = [[], [], []]
+    for c in columns:
+        row = moments[c]
+        # A constant column is centred on its value, so that it leaves no rounding noise.
+        centre = row["min"] if row["min"] == row["max"] else row["mean"]
+        value = finite(quoted(c)) - F.lit(float(centre or 0.0))
+        parts[0].append(value.isNotNull().cast("double"))
+        parts[1].append(F.coalesce(value, F.lit(0.0)))
+        parts[2].append(F.coalesce(value * value, F.lit(0.0)))
+    vectors = df.select(array_to_vector(F.array(*[v for part in parts for v in part])).alias("v"))
+    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "v")).computeGramianMatrix().toArray()
+    n, sums, squares = gram[:p, :p], gram[p:2 * p, :p], gram[2 * p:, :p]
+    cross = gram[p:2 * p, p:2 * p]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = squares - sums * sums / n
+        spread = np.where(spread > 1e-12 * squares, spread, np.nan)
+        matrix = (cross - sums * sums.T / n) / np.sqrt(spread * spread.T)
+    rows = [
+        (a, b, None if np.isnan(matrix[i, j]) else float(matrix[i, j]))
+        for i, a in enumerate(columns) for j, b in enumerate(columns)
+    ]
+    return spark.createDataFrame(rows, schema)
 
 
 def complete_correlation(df: DataFrame, columns: Sequence[str], method: str = "pearson"):

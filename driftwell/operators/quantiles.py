@@ -11,14 +11,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwell.functions.numbers import finite, quoted
+from driftwell.operators.binning import bucketed, column_chunks, long_form, values_as_numbered
 
 SKETCH_ACCURACY = 10_000
-# Above this many groups a sketch aggregate falls back to sorting its input.
-COLUMNS_PER_PASS = 96
 
 
 def exact_quantiles(
@@ -26,17 +24,11 @@ def exact_quantiles(
 ) -> dict[str, list[float] | None]:
     """Linear-interpolated quantiles per column, missing values left out; None for an empty column."""
     answer: dict[str, list[float] | None] = {}
-    for start in range(0, len(columns), COLUMNS_PER_PASS):
-        answer |= _quantiles(df, list(columns[start:start + COLUMNS_PER_PASS]), list(probabilities), accuracy)
+    for chunk in column_chunks(columns):
+        answer |= _quantiles(df, chunk, list(probabilities), accuracy)
     return answer
 
 
-def long_form(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
-    """One row per (column number, value): ``slot``, ``value`` next to the kept columns."""
-    cells = F.array(*[finite(quoted(c)) for c in columns])
-    return df.select(*keep, F.posexplode(cells).alias("slot", "value"))
-
-
 def _quantiles(
     df: DataFrame, columns: list[str], probabilities: list[float], accuracy: int
 ) -> dict[str, list[float] | None]:
@@ -75,7 +67,7 @@ def _quantiles(
         values |= _lookup(df, columns, {s: brackets[s] for s in open_slots}, {s: ranks[s] for s in open_slots})
         open_slots = {s for s in open_slots if any((s, r) not in values for r in ranks[s])}
         for s in open_slots:
-            brackets[s] = [(-math.inf, math.inf)]
+            brackets[s] = [(sketch[s]["low"], sketch[s]["high"])]
     result: dict[str, list[float] | None] = {}
     for slot, name in enumerate(columns):
         if slot not in sketch:
@@ -94,7 +86,7 @@ def _quantiles(
 def _merged(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
     joined: list[tuple[float, float]] = []
     for low, high in sorted(spans):
-        if joined and low <= joined[-1][1]:
+        if joined and low <= math.nextafter(joined[-1][1], math.inf):
             joined[-1] = (joined[-1][0], max(high, joined[-1][1]))
         else:
             joined.append((low, high))
@@ -109,49 +101,37 @@ def _lookup(
 ) -> dict[tuple[int, int], float]:
     """Values at the given 1-based ranks, as far as they fall inside the brackets."""
     slots = sorted(brackets)
-    pieces = []
-    for slot in slots:
-        value = finite(quoted(columns[slot]))
-        segment = _segment(value, brackets[slot])
-        pieces.append(
-            F.struct(
-                F.lit(slot).alias("slot"),
-                segment.alias("segment"),
-                F.when(segment % 2 == 1, value).alias("value"),
-            )
-        )
+    splits = [[edge for low, high in brackets[s] for edge in (low, math.nextafter(high, math.inf))] for s in slots]
+    cut = bucketed(values_as_numbered(df, [columns[s] for s in slots]), splits)
+    # Odd inside a bracket, even in the gaps; gaps are only counted.
+    cells = F.array(*[
+        F.struct(F.col(f"b{i}").alias("segment"), F.when(F.col(f"b{i}") % 2 == 1, F.col(f"v{i}")).alias("value"))
+        for i in range(len(slots))
+    ])
     counted = (
-        df.select(F.explode(F.array(*pieces)).alias("piece"))
-        .select("piece.*")
+        cut.select(F.posexplode(cells).alias("place", "cell"))
+        .select("place", "cell.segment", "cell.value")
         .where(F.col("segment").isNotNull())
-        .groupBy("slot", "segment", "value")
+        .groupBy("place", "segment", "value")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    earlier = Window.partitionBy("slot").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("place").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        counted.groupBy("slot", "segment")
+        counted.groupBy("place", "segment")
         .agg(F.sum("rows").alias("inside"))
-        .select("slot", "segment", F.coalesce(F.sum("inside").over(earlier), F.lit(0)).alias("offset"))
+        .select("place", "segment", F.coalesce(F.sum("inside").over(earlier), F.lit(0)).alias("offset"))
     )
-    upto = Window.partitionBy("slot", "segment").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("place", "segment").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         counted.where(F.col("segment") % 2 == 1)
-        .join(offsets, ["slot", "segment"])
+        .join(offsets, ["place", "segment"])
         .withColumn("upto", F.col("offset") + F.sum("rows").over(upto))
     )
     # One row per wanted rank: two per column and probability.
     wanted = df.sparkSession.createDataFrame(
-        [(s, r) for s in slots for r in sorted(ranks[s])], "slot int, rank long"
+        [(i, s, r) for i, s in enumerate(slots) for r in sorted(ranks[s])], "place int, slot int, rank long"
     )
-    hits = placed.join(F.broadcast(wanted), "slot").where(
+    hits = placed.join(F.broadcast(wanted), "place").where(
         (F.col("rank") > F.col("upto") - F.col("rows")) & (F.col("rank") <= F.col("upto"))
     )
     return {(r["slot"], r["rank"]): r["value"] for r in hits.select("slot", "rank", "value").collect()}
-
-
-def _segment(value: Column, spans: list[tuple[float, float]]) -> Column:
-    """Odd inside bracket i, even in the gaps between brackets."""
-    terms = [
-        (value >= F.lit(low)).cast("int") + (value > F.lit(high)).cast("int") for low, high in spans
-    ]
-    return sum(terms[1:], terms[0])
