@@ -32,12 +32,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Digits entry: cut to single precision. Unlike decimal places this has no ties on sums of fractions.
+SINGLE = 99
+
+
 def rounded(df: DataFrame, digits: Mapping[str, int | None]) -> DataFrame:
     """Round columns, since float sums depend on the order of the rows in both engines."""
-    return df.withColumns({c: F.round(quoted(c), d) for c, d in digits.items() if d is not None})
+    def cut(name: str, places: int):
+        value = quoted(name)
+        return value.cast("float").cast("double") if places == SINGLE else F.round(value, places)
+
+    return df.withColumns({c: cut(c, d) for c, d in digits.items() if d is not None})
 
 
 def round_sql(expression: str, digits: int | None) -> str:
+    if digits == SINGLE:
+        return f"CAST(CAST({expression} AS FLOAT) AS DOUBLE)"
     return expression if digits is None else f"round({expression}, {digits})"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.base import ORDERS, query, round_sql, rounded, scored_orders, table
+from catalog.base import ORDERS, SINGLE, query, round_sql, rounded, scored_orders, table
 from driftwell.functions.labels import month_ceil, month_floor, segment_label
 from driftwell.operators import history, timeline
 from driftwell.sources.tables import null_day_sentinel, sentinel_counts
@@ -31,10 +31,13 @@ def plan(prefix: str, spec: dict[str, Digits | None]) -> dict[str, tuple[str, st
     return made
 
 
-def mass_sql(source: str, key: str, prefix: str, spec: dict[str, Digits | None], types: dict[str, str] | None = None) -> str:
+def mass_sql(
+    source: str, key: str, prefix: str, spec: dict[str, Digits | None], types: dict[str, str] | None = None,
+    unrounded: bool = False,
+) -> str:
     cells = []
     for name, (column, stat, digits) in plan(prefix, spec).items():
-        expression = round_sql(stat_sql(f'"{column}"', stat), digits)
+        expression = round_sql(stat_sql(f'"{column}"', stat), None if unrounded else digits)
         if stat == "SUM" and (types or {}).get(column, "BIGINT") == "BIGINT":
             expression = f"CAST({expression} AS BIGINT)"
         cells.append(f'{expression} AS "{name}"')
@@ -90,7 +93,7 @@ RATIO: Digits = {"SUM": 9}
 def bureau_sql() -> tuple[str, dict[str, Digits | None]]:
     """Bureau credits with their balance statistics and derived columns, and what to aggregate."""
     balance_names = list(plan("BB", BALANCE_SPEC))
-    inner = mass_sql(BALANCE, "SK_ID_BUREAU", "BB", {c: (None if d is None else {"MEAN": None, "VAR": None}) for c, d in BALANCE_SPEC.items()})
+    inner = mass_sql(BALANCE, "SK_ID_BUREAU", "BB", BALANCE_SPEC, unrounded=True)
     source = f"""(
         SELECT b.*, {', '.join(f'bb."{n}"' for n in balance_names)},
                AMT_CREDIT_SUM - AMT_CREDIT_SUM_DEBT AS DEBT_CREDIT_DIFF,
@@ -99,7 +102,7 @@ def bureau_sql() -> tuple[str, dict[str, Digits | None]]:
         FROM {BUREAU} b LEFT JOIN ({inner}) bb USING (SK_ID_BUREAU))"""
     spec: dict[str, Digits | None] = {
         "AMT_CREDIT_SUM": CENTS, "AMT_CREDIT_SUM_DEBT": CENTS, "DAYS_CREDIT": EXACT, "DAYS_CREDIT_ENDDATE": EXACT,
-        **{n: {"SUM": 6 if n.endswith(("MEAN", "VAR")) else None, "MEAN": 6, "VAR": 6} for n in balance_names},
+        **{n: dict.fromkeys(STATS if n.endswith(("MEAN", "VAR")) else ("MEAN", "VAR"), SINGLE) for n in balance_names},
         "DEBT_CREDIT_DIFF": CENTS, "DEBT_RATIO": RATIO, "CREDIT_DURATION": EXACT,
     }
     return source, spec
@@ -107,16 +110,12 @@ def bureau_sql() -> tuple[str, dict[str, Digits | None]]:
 
 BUREAU_SOURCE, BUREAU_SPEC = bureau_sql()
 BUREAU_TYPES = {n: "DOUBLE" for n in BUREAU_SPEC if n.endswith(("MEAN", "VAR"))} | {"DEBT_RATIO": "DOUBLE"}
-BUREAU_SPEC_ROUNDED = {
-    n: ({**d, "MIN": 6, "MAX": 6} if n.endswith(("_MEAN", "_VAR")) else d) for n, d in BUREAU_SPEC.items()
-}
-
 
-@query("two_level_rollup", mass_sql(BUREAU_SOURCE, "SK_ID_CURR", "BURO", BUREAU_SPEC_ROUNDED, BUREAU_TYPES))
+@query("two_level_rollup", mass_sql(BUREAU_SOURCE, "SK_ID_CURR", "BURO", BUREAU_SPEC, BUREAU_TYPES))
 def two_level_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items to orders, orders to customers: the two-level bureau features."""
     features = history.bureau_features(bureau(spark, sf_dir), balance(spark, sf_dir))
-    return tidy(features, "BURO", BUREAU_SPEC_ROUNDED)
+    return tidy(features, "BURO", BUREAU_SPEC)
 
 
 def previous(spark: SparkSession, sf_dir: str) -> DataFrame:
