@@ -43,6 +43,7 @@ FINAL_COLUMNS = [
     "oot_ks_per_feature", "lift_at_10", "bad_rate_capture_at_10", "lift_at_20", "bad_rate_capture_at_20",
     "config_hash", "data_fingerprint", "run_id", "output_folder", "runtime_seconds",
 ]
+TEXT_COLUMNS = {"model", "selector", "experiment_type", "config_hash", "data_fingerprint", "run_id", "output_folder"}
 CALL_COLUMNS = [
     "run_id", "model", "selector", "experiment_type", "status", "llm_shared_ranking_enabled",
     "llm_ranking_budget", "llm_calls_actually_made", "llm_cache_hits", "llm_cache_key",
@@ -138,13 +139,15 @@ def run_table(manifests: DataFrame, summary: DataFrame, runtime: DataFrame | Non
         joined = joined.join(runtime.withColumnRenamed("runtime_seconds", "_runtime"), "run_id", "left")
 
     def pick(*names: str) -> Column:
+        """First side that has the column; absent ones are NULL numbers, or NULL text for text columns."""
         found = []
         for name in names:
             side, column = name.split(".", 1)
             frame = done if side == "m" else summary
             if column in frame.columns:
                 found.append(F.col(f"{side}.{column}"))
-        return F.coalesce(*found) if found else F.lit(None)
+        kind = "string" if names[0].split(".", 1)[1] in TEXT_COLUMNS else "double"
+        return F.coalesce(*found) if found else F.lit(None).cast(kind)
 
     sources: dict[str, Column] = {"run_id": F.col("run_id")}
     for name in FINAL_COLUMNS[1:] + FINAL_COLUMNS[:1]:
@@ -247,9 +250,14 @@ def help_summary(comparisons: DataFrame, tolerance: float = 1e-4) -> DataFrame:
 
 def ranking_call_stats(log: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Calls, cache hits and tokens per run; a call is one (scope, fold, signature), tokens count once."""
-    calls = log.dropDuplicates([*keys, "scope", "fold_id", "metadata_signature"])
-    hit = F.lower(F.col("cache_hit").cast("string")).isin("true", "1")
-    tokens = lambda c: F.sum(F.when(~hit, F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0))).otherwise(0.0)).cast("long")
+    # The rows of one call repeat its cache flag and token counts.
+    number = lambda c: F.max(F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0))).alias(c)
+    calls = log.groupBy(*keys, "scope", "fold_id", "metadata_signature").agg(
+        F.max(F.lower(F.col("cache_hit").cast("string")).isin("true", "1")).alias("hit"),
+        *[number(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")],
+    )
+    hit = F.coalesce(F.col("hit"), F.lit(False))
+    tokens = lambda c: F.sum(F.when(~hit, F.col(c)).otherwise(0.0)).cast("long")
     return calls.groupBy(*keys).agg(
         F.array_sort(F.collect_set("metadata_signature")).alias("llm_metadata_signatures"),
         F.count_if(~hit).alias("llm_calls_actually_made"),
@@ -328,7 +336,7 @@ def oot_table(oot: DataFrame, label: str = "label") -> DataFrame:
 
 
 def stability_table(runs: DataFrame) -> DataFrame:
-    return runs.select(*[(F.col(c) if c in runs.columns else F.lit(None)).alias(c) for c in STABILITY_TABLE])
+    return runs.select(*[(F.col(c) if c in runs.columns else F.lit(None).cast("string" if c in TEXT_COLUMNS else "double")).alias(c) for c in STABILITY_TABLE])
 
 
 def ordered_runs(runs: DataFrame) -> DataFrame:
