@@ -60,11 +60,19 @@ def _lookup(mapping: dict[str, str | int]) -> Column:
 
 
 def semantic_group(name: Column, description: Column | None = None, table: Column | None = None) -> Column:
-    """First matching business group of a feature; tokens match anywhere in the upper-cased text."""
+    """First matching business group of a feature; tokens match anywhere in the upper-cased text.
+
+    The text is bound once per row, so that long descriptions are not put together again for every token.
+    """
     upper = F.upper(name)
     source = F.upper(F.coalesce(table, F.lit(""))) if table is not None else F.lit("")
     words = F.upper(F.coalesce(description, F.lit(""))) if description is not None else F.lit("")
-    text = F.concat_ws(" ", upper, words, source)
+    parts = F.struct(upper.alias("name"), source.alias("table"), F.concat_ws(" ", upper, words, source).alias("text"))
+    return F.transform(F.array(parts), _group_of)[0]
+
+
+def _group_of(parts: Column) -> Column:
+    upper, source, text = parts["name"], parts["table"], parts["text"]
     from_bureau = upper.startswith("BURO_") | source.contains("BUREAU")
     rules = [
         (upper.contains("EXT_SOURCE") | text.contains("EXTERNAL SCORE"), "external_score"),
@@ -79,14 +87,10 @@ def semantic_group(name: Column, description: Column | None = None, table: Colum
         (_any_token(text, DELINQUENCY_TOKENS), "delinquency_behavior"),
         (_any_token(text, DEMOGRAPHIC_TOKENS), "demographic_time_variables"),
     ]
-    expression = F.when(*_rule(rules[0]))
-    for rule in rules[1:]:
-        expression = expression.when(*_rule(rule))
-    return expression.otherwise(F.lit("other"))
-
-
-def _rule(rule: tuple[Column, str]) -> tuple[Column, Column]:
-    return rule[0], F.lit(rule[1])
+    expression = F.when(rules[0][0], rules[0][1])
+    for test, group in rules[1:]:
+        expression = expression.when(test, group)
+    return expression.otherwise("other")
 
 
 def group_priority(group: Column) -> Column:

@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 
 from driftwell.functions.numbers import finite, quoted
 
-# A sketch or hash aggregate keeps a buffer per column in every task; wider tables take several passes,
-# each of which reads only its own columns.
+# Sketches and binary searches keep state per column in every task; wider tables take several passes, each
+# of which reads only its own columns. Plain moments are small and go further in one pass.
 COLUMNS_PER_PASS = 96
+MOMENTS_PER_PASS = 512
 
 
-def column_chunks(columns: Sequence[str]) -> list[list[str]]:
-    return [list(columns[i:i + COLUMNS_PER_PASS]) for i in range(0, len(columns), COLUMNS_PER_PASS)]
+def column_chunks(columns: Sequence[str], size: int = COLUMNS_PER_PASS) -> list[list[str]]:
+    return [list(columns[i:i + size]) for i in range(0, len(columns), size)]
 
 
 def long_form(df: DataFrame, columns: Sequence[str], *keep: str | Column) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.functions.numbers import (
     finite, nan_to_null, numeric_columns, positive_flag, quoted, safe_ratio, share, string_columns,
 )
 from driftwell.operators.binning import column_chunks, long_form
+from driftwell.session import cut_lineage
 
 # Key names of the history tables and the statistics of the mass aggregation.
 APPLICANT = "SK_ID_CURR"
@@ -37,30 +39,22 @@ def profile_for_aggregation(
 ) -> AggregationPlan:
     """Which statistics each column gets: columns with at most two distinct values get mean and sum only.
 
-    One pass estimates the distinct counts. Three or more registers hit prove three or more values, so
-    only columns that look two-valued are counted exactly, in a second pass that reads just these.
+    One pass takes a three-bin adaptive histogram per column. It merges the closest bins first, so equal
+    values end up together and three separate bins prove three values. Only bins that lie within rounding
+    of each other leave it open; those columns are counted exactly.
     """
     columns = [c for c in numeric_columns(df, {key}) if not c.startswith(KEY_PREFIX)]
-    if columns:
-        found: dict[str, Row] = {}
-        for chunk in column_chunks(columns):
-            for row in (
-                long_form(df, chunk)
-                .groupBy("slot")
-                .agg(F.min("value").alias("low"), F.max("value").alias("high"), F.approx_count_distinct("value").alias("n"))
-                .collect()
-            ):
-                found[chunk[row["slot"]]] = row
-        few = [c for c in columns if c not in found or found[c]["n"] <= 2]
-        unsure = {c: (found[c]["low"], found[c]["high"]) for c in few if c in found and found[c]["low"] is not None}
-        if unsure:
-            others = df.agg(*[
-                F.count_if((finite(quoted(c)) != F.lit(low)) & (finite(quoted(c)) != F.lit(high))).alias(c)
-                for c, (low, high) in unsure.items()
-            ]).first()
-            few = [c for c in few if c not in unsure or others[c] == 0]
-    else:
-        few = []
+    many: set[str] = set()
+    unsure: list[str] = []
+    for chunk in column_chunks(columns):
+        bins = F.transform(F.histogram_numeric("value", F.lit(3)), lambda b: b["x"]).alias("points")
+        found = long_form(df, chunk).where(F.col("value").isNotNull()).groupBy("slot").agg(bins)
+        for row in found.collect():
+            points = sorted(set(row["points"]))
+            if len(points) > 2:
+                close = any(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(points, points[1:]))
+                (unsure.append if close else many.add)(chunk[row["slot"]])
+    many |= _more_than_two(df, unsure)
     levels: tuple[tuple[str, tuple[str | None, ...]], ...] = ()
     if categorical == "onehot":
         levels = tuple(
@@ -68,8 +62,21 @@ def profile_for_aggregation(
         )
     elif categorical != "ignore":
         raise ValueError(f"unknown categorical mode {categorical!r}: use 'ignore' or 'onehot'")
-    few_set = set(few)
-    return AggregationPlan(tuple(few), tuple(c for c in columns if c not in few_set), levels)
+    return AggregationPlan(
+        tuple(c for c in columns if c not in many), tuple(c for c in columns if c in many), levels
+    )
+
+
+def _more_than_two(df: DataFrame, columns: Sequence[str]) -> set[str]:
+    """Columns with a value that is neither the least nor the greatest."""
+    if not columns:
+        return set()
+    ends = df.agg(*[f(finite(quoted(c))).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("a", F.min), ("z", F.max))]).first()
+    others = df.agg(*[
+        F.count_if((finite(quoted(c)) != F.lit(ends[f"a{i}"])) & (finite(quoted(c)) != F.lit(ends[f"z{i}"]))).alias(f"n{i}")
+        for i, c in enumerate(columns)
+    ]).first()
+    return {c for i, c in enumerate(columns) if others[f"n{i}"] > 0}
 
 
 def _levels(df: DataFrame, column: str, max_levels: int) -> list[str | None]:
@@ -227,11 +234,24 @@ def credit_card_columns(df: DataFrame) -> DataFrame:
 
 # ---- Feature tables ----
 
-def bureau_features(bureau: DataFrame, balance: DataFrame | None = None, **options) -> DataFrame:
-    """Two levels: monthly balances per bureau credit, then credits per applicant."""
+def bureau_features(
+    bureau: DataFrame,
+    balance: DataFrame | None = None,
+    balance_plan: AggregationPlan | None = None,
+    plan: AggregationPlan | None = None,
+    **options,
+) -> DataFrame:
+    """Two levels: monthly balances per bureau credit, then credits per applicant.
+
+    Without a ``plan`` the joined credits are looked at twice, to profile and to aggregate; they are cut
+    from their lineage so that the balances are not aggregated again.
+    """
     if balance is not None:
-        bureau = merge_left(bureau, mass_aggregate(balance, BUREAU_KEY, "BB", **options), BUREAU_KEY)
-    return mass_aggregate(bureau_columns(bureau), APPLICANT, "BURO", **options)
+        bureau = merge_left(bureau, mass_aggregate(balance, BUREAU_KEY, "BB", plan=balance_plan, **options), BUREAU_KEY)
+    derived = bureau_columns(bureau)
+    if balance is not None and plan is None:
+        derived = cut_lineage(derived)
+    return mass_aggregate(derived, APPLICANT, "BURO", plan=plan, **options)
 
 
 def previous_application_features(previous: DataFrame, **options) -> DataFrame:

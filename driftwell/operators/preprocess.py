@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.functions.numbers import finite, numeric_columns, quoted, string_columns
-from driftwell.operators.binning import column_chunks, long_form
+from driftwell.operators.binning import MOMENTS_PER_PASS, column_chunks, long_form
 from driftwell.operators.quantiles import exact_quantiles
 
 
@@ -34,7 +34,7 @@ class NumberScaler:
         self.columns = list(numeric_columns(df) if columns is None else columns)
         medians = exact_quantiles(df, self.columns, [0.5]) if self.strategy == "median" else {}
         rows = df.count() if self.columns else 0
-        for chunk in column_chunks(self.columns):
+        for chunk in column_chunks(self.columns, MOMENTS_PER_PASS):
             self._fit_chunk(df, chunk, rows, medians)
         return self
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from driftwell.functions.labels import engineered_description, engineered_table, semantic_group
 from driftwell.functions.numbers import NUMBERS, finite, numeric_columns, quoted, share
-from driftwell.operators.binning import column_chunks, long_form
+from driftwell.operators.binning import MOMENTS_PER_PASS, column_chunks, long_form
 from driftwell.operators.quantiles import exact_quantiles
 
 PERCENTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p95": 0.95}
@@ -34,7 +34,7 @@ def number_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, count, mean, min, max, std, var) of number columns, infinities read as missing."""
     value = F.col("value")
     made = None
-    for chunk in column_chunks(columns):
+    for chunk in column_chunks(columns, MOMENTS_PER_PASS):
         part = long_form(df, chunk).groupBy("slot").agg(
             F.count(value).alias("count"), F.avg(value).alias("mean"), F.min(value).alias("min"),
             F.max(value).alias("max"), F.stddev_samp(value).alias("std"), F.var_samp(value).alias("var"),
@@ -50,7 +50,7 @@ def number_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def presence(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, rows, missing_count) of any columns."""
     made = None
-    for chunk in column_chunks(columns):
+    for chunk in column_chunks(columns, MOMENTS_PER_PASS):
         cells = F.array(*[_missing(df, c).cast("int") for c in chunk])
         part = df.select(F.posexplode(cells).alias("slot", "missing")).groupBy("slot").agg(
             F.count(F.lit(1)).alias("rows"), F.sum("missing").alias("missing_count")

@@ -49,18 +49,19 @@ def run_experiment(
 
     fit = fit_training(dev, key, label, prepared.features, spec)
     measured = clock.time()
-    dev_ready, oot_ready = fit.prepare(dev, key, label), fit.prepare(oot, key, label)
+    oot_ready = fit.prepare(oot, key, label)
     scores = fit.model.score(oot_ready, key, label)
     predictions = scores.select(
         key, F.col(label).alias("y_true"), F.col("score").alias("y_pred_proba"),
         flag_at(F.col("score"), fit.threshold).alias("y_pred"),
     )
     # Feature-sized: kept as rows, since it is summarised, joined and stored.
-    drift = selected_feature_psi(dev_ready, oot_ready, fit.model.features)
+    drift = selected_feature_psi(fit.train_ready, oot_ready, fit.model.features)
     drift = spark.createDataFrame(drift.collect(), drift.schema)
     utility = lift_and_capture(scores, label, "score", key, (0.1, 0.2)).first().asDict()
     model_psi = score_psi(fit.train_scores, scores, "score")
     metrics = evaluate(scores, label, "score", threshold=fit.threshold).first().asDict()
+    fit.release()
     n, candidates = len(fit.selected), len(prepared.features)
     metrics |= {
         "selected_feature_count": n,

@@ -40,8 +40,10 @@ class Fit:
     selected: list[str]
     ranked: list[str]
     threshold: float
+    train_ready: DataFrame
     train_scores: DataFrame
     timings: dict[str, float]
+    held: DataFrame | None = None
 
     def prepare(self, df: DataFrame, key: str, label: str) -> DataFrame:
         prepared = self.preprocessor.transform(df, key, label)
@@ -52,6 +54,12 @@ class Fit:
     def score(self, df: DataFrame, key: str, label: str) -> DataFrame:
         return self.model.score(self.prepare(df, key, label), key, label)
 
+    def release(self) -> None:
+        """Give back the memory of the prepared training rows."""
+        if self.held is not None:
+            self.held.unpersist()
+            self.held = None
+
 
 def fit_training(train: DataFrame, key: str, label: str, features: Sequence[str], spec: ModelSpec) -> Fit:
     """Select, prepare and train; selectors run on raw columns, on prepared columns, or on both.
@@ -91,7 +99,7 @@ def fit_training(train: DataFrame, key: str, label: str, features: Sequence[str]
     scores = model.score(ready, key, label)
     threshold = decision_threshold(scores, label, "score")
     selected = list(selector.selected) if selector else model_columns
-    return Fit(preprocessor, selector, model, selected, ranked, threshold, scores, timings)
+    return Fit(preprocessor, selector, model, selected, ranked, threshold, ready, scores, timings, prepared)
 
 
 @dataclass
@@ -111,8 +119,8 @@ def process_fold(
     start = clock.time()
     fit = fit_training(train, key, label, features, spec)
     measured = clock.time()
-    train_ready, val_ready = fit.prepare(train, key, label), fit.prepare(validation, key, label)
-    drift = feature_psi(train_ready, val_ready, fit.model.features).agg(
+    val_ready = fit.prepare(validation, key, label)
+    drift = feature_psi(fit.train_ready, val_ready, fit.model.features).agg(
         F.avg("psi").alias("psi_feature_mean"), F.max("psi").alias("psi_feature_max")
     ).first().asDict()
     scores = fit.model.score(val_ready, key, label)
@@ -124,6 +132,7 @@ def process_fold(
     metrics |= {f"{name}_time_sec": seconds for name, seconds in fit.timings.items()}
     metrics["evaluation_time_sec"] = clock.time() - measured
     metrics["fold_time_sec"] = clock.time() - start
+    fit.release()
     flagged = scores.withColumns({"flag": flag_at(F.col("score"), fit.threshold), "fold": F.lit(fold)})
     log = selection_rows(train, fit.selected, fit.selector.scores if fit.selector else {}, spec.selector_name, fold)
     return FoldResult(fold, metrics, log, flagged, fit.ranked, fit.selected)
