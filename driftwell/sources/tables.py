@@ -21,8 +21,6 @@ DESCRIPTION_TEXTS = ["description", "desc"]
 DESCRIPTION_TABLES = ["table", "source"]
 REQUIRED_COLUMNS: dict[str, tuple[str, ...]] = {"application_train": ("SK_ID_CURR", "TARGET")}
 
-REPLACEMENT_CHARACTER = "�"
-
 
 def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """(path, length, modificationTime) of the matching files; contents are not read."""
@@ -74,10 +72,10 @@ class TableSet(Mapping[str, DataFrame]):
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, check_encoding: bool = True) -> DataFrame:
-    """UTF-8, or Latin-1 when the file is not valid UTF-8 (Spark marks bad bytes, it does not fail)."""
+    """UTF-8, or Latin-1 when the file is not valid UTF-8 (Spark replaces bad bytes, it does not fail)."""
     encoding = "UTF-8"
     if check_encoding:
-        broken = spark.read.text(path).where(F.col("value").contains(REPLACEMENT_CHARACTER))
+        broken = spark.read.text(path).where(~F.is_valid_utf8("value"))
         encoding = "UTF-8" if broken.isEmpty() else "ISO-8859-1"
     reader = spark.read.option("header", True).option("encoding", encoding)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
