@@ -26,7 +26,7 @@ def plan(prefix: str, spec: dict[str, Digits | None]) -> dict[str, tuple[str, st
     made = {}
     for column, digits in spec.items():
         for stat in STATS if digits is not None else FEW:
-            default = 9 if stat in ("MEAN", "VAR") else None
+            default = SINGLE if stat == "VAR" else None
             made[f"{prefix}_{column}_{stat}"] = (column, stat, (digits or {}).get(stat, default))
     return made
 
@@ -85,9 +85,10 @@ BALANCE = """(
     FROM lineitem)"""
 
 BALANCE_SPEC: dict[str, Digits | None] = {"MONTHS_BALANCE": {}, "QUANTITY": {}, "RETURNED": None}
-CENTS: Digits = {"MEAN": 4, "VAR": -6}
-EXACT: Digits = {"VAR": 4}
-RATIO: Digits = {"SUM": 9}
+# Means of whole numbers are equal bit by bit; other sums depend on the order of the rows.
+EXACT: Digits = {}
+# Variances of nearly constant ratios are rounding noise: compared to nine places.
+RATIO: Digits = {"SUM": SINGLE, "MEAN": SINGLE, "VAR": 9}
 
 
 def bureau_sql() -> tuple[str, dict[str, Digits | None]]:
@@ -101,9 +102,9 @@ def bureau_sql() -> tuple[str, dict[str, Digits | None]]:
                DAYS_CREDIT_ENDDATE - DAYS_CREDIT AS CREDIT_DURATION
         FROM {BUREAU} b LEFT JOIN ({inner}) bb USING (SK_ID_BUREAU))"""
     spec: dict[str, Digits | None] = {
-        "AMT_CREDIT_SUM": CENTS, "AMT_CREDIT_SUM_DEBT": CENTS, "DAYS_CREDIT": EXACT, "DAYS_CREDIT_ENDDATE": EXACT,
+        "AMT_CREDIT_SUM": EXACT, "AMT_CREDIT_SUM_DEBT": EXACT, "DAYS_CREDIT": EXACT, "DAYS_CREDIT_ENDDATE": EXACT,
         **{n: dict.fromkeys(STATS if n.endswith(("MEAN", "VAR")) else ("MEAN", "VAR"), SINGLE) for n in balance_names},
-        "DEBT_CREDIT_DIFF": CENTS, "DEBT_RATIO": RATIO, "CREDIT_DURATION": EXACT,
+        "DEBT_CREDIT_DIFF": EXACT, "DEBT_RATIO": RATIO, "CREDIT_DURATION": EXACT,
     }
     return source, spec
 
@@ -133,8 +134,8 @@ PREVIOUS = f"""(
     SELECT o_custkey AS SK_ID_CURR, cents AS AMT_APPLICATION, cents * 9 // 10 AS AMT_CREDIT, cents // 12 AS AMT_ANNUITY,
            14 - o_orderkey % 5 AS CNT_PAYMENT, CAST(day AS BIGINT) AS DAYS_DECISION FROM {ORDERS})"""
 PREVIOUS_SPEC: dict[str, Digits | None] = {
-    "AMT_APPLICATION": CENTS, "AMT_CREDIT": CENTS, "AMT_ANNUITY": {"MEAN": 4, "VAR": -4}, "CNT_PAYMENT": EXACT, "DAYS_DECISION": EXACT,
-    "ASK_GRANT_RATIO": RATIO, "APPLICATION_DIFF": {"MEAN": 4, "VAR": -4}, "PAYMENT_TERM": RATIO, "recent_decision": EXACT,
+    "AMT_APPLICATION": EXACT, "AMT_CREDIT": EXACT, "AMT_ANNUITY": EXACT, "CNT_PAYMENT": EXACT, "DAYS_DECISION": EXACT,
+    "ASK_GRANT_RATIO": RATIO, "APPLICATION_DIFF": EXACT, "PAYMENT_TERM": RATIO, "recent_decision": EXACT,
     "INTEREST_ESTIMATE": RATIO,
 }
 RATIO_TYPES = dict.fromkeys(["ASK_GRANT_RATIO", "PAYMENT_TERM", "INTEREST_ESTIMATE"], "DOUBLE")
@@ -205,8 +206,8 @@ INSTALLMENTS = """(
                  CAST(date_diff('day', DATE '2001-12-31', CAST(l_shipdate AS DATE)) AS BIGINT) AS ship
           FROM lineitem JOIN orders ON l_orderkey = o_orderkey))"""
 INSTALLMENT_SPEC: dict[str, Digits | None] = {
-    "AMT_INSTALMENT": CENTS, "AMT_PAYMENT": CENTS, "DAYS_INSTALMENT": {"VAR": 3}, "DAYS_ENTRY_PAYMENT": {"VAR": 3},
-    "PAYMENT_DIFF": {"VAR": 3}, "PAYMENT_RATIO": RATIO, "DAYS_DIFF": EXACT, "IS_LATE": None, "IS_UNDERPAID": None,
+    "AMT_INSTALMENT": EXACT, "AMT_PAYMENT": EXACT, "DAYS_INSTALMENT": EXACT, "DAYS_ENTRY_PAYMENT": EXACT,
+    "PAYMENT_DIFF": EXACT, "PAYMENT_RATIO": RATIO, "DAYS_DIFF": EXACT, "IS_LATE": None, "IS_UNDERPAID": None,
 }
 
 
@@ -241,10 +242,10 @@ CARDS = """(
            event_id % 50 + 100 AS AMT_INST_MIN_REGULARITY, cents // 3 AS AMT_DRAWINGS_CURRENT
     FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents FROM events))"""
 CARD_SPEC: dict[str, Digits | None] = {
-    "MONTHS_BALANCE": EXACT, "AMT_BALANCE": {"VAR": 2}, "AMT_CREDIT_LIMIT_ACTUAL": {"VAR": 2}, "AMT_PAYMENT_CURRENT": {"VAR": 2},
-    "AMT_INST_MIN_REGULARITY": EXACT, "AMT_DRAWINGS_CURRENT": {"VAR": 2},
-    "LIMIT_USE": {"SUM": 8, "MEAN": 8, "VAR": 7}, "PAYMENT_DIV_MIN": {"SUM": 8, "MEAN": 8, "VAR": 7},
-    "DRAWING_RATIO": {"SUM": 8, "MEAN": 8, "VAR": 7},
+    "MONTHS_BALANCE": EXACT, "AMT_BALANCE": EXACT, "AMT_CREDIT_LIMIT_ACTUAL": EXACT, "AMT_PAYMENT_CURRENT": EXACT,
+    "AMT_INST_MIN_REGULARITY": EXACT, "AMT_DRAWINGS_CURRENT": EXACT,
+    "LIMIT_USE": RATIO, "PAYMENT_DIV_MIN": RATIO,
+    "DRAWING_RATIO": RATIO,
 }
 
 
@@ -260,7 +261,7 @@ def card_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- Plain aggregations ----
 
-ORDER_SPEC: dict[str, Digits | None] = {"cents": CENTS, "day": EXACT, "y": None}
+ORDER_SPEC: dict[str, Digits | None] = {"cents": EXACT, "day": EXACT, "y": None}
 
 
 @query("mass_agg_orders", mass_sql(ORDERS, "o_custkey", "ORD", ORDER_SPEC))
@@ -404,8 +405,8 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-MERGE_PREVIOUS: dict[str, Digits | None] = {"AMT_APPLICATION": CENTS, "DAYS_DECISION": EXACT}
-MERGE_CARDS: dict[str, Digits | None] = {"AMT_BALANCE": {"VAR": 2}}
+MERGE_PREVIOUS: dict[str, Digits | None] = {"AMT_APPLICATION": EXACT, "DAYS_DECISION": EXACT}
+MERGE_CARDS: dict[str, Digits | None] = {"AMT_BALANCE": EXACT}
 
 
 @query("feature_merge", f"""

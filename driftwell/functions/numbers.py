@@ -27,9 +27,13 @@ def string_columns(df: DataFrame, skip: Iterable[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in skipped]
 
 
+def sql_name(name: str) -> str:
+    """Whole column name for SQL text, so that dots and blanks in encoded names are safe."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quoted(name: str) -> Column:
-    """Column by its whole name, so that dots and blanks in encoded names are safe."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(sql_name(name))
 
 
 def finite(value: Column) -> Column:
@@ -38,6 +42,20 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(number) & (F.abs(number) != F.lit(math.inf)), number)
 
 
+def finite_sql(name: str) -> str:
+    """``finite`` of a column as SQL text.
+
+    Hundreds of columns are built far faster from text: every step of a Column costs a call to the JVM.
+    """
+    number = f"CAST({sql_name(name)} AS DOUBLE)"
+    return f"CASE WHEN NOT isnan({number}) AND abs({number}) <> DOUBLE('Infinity') THEN {number} END"
+
+
+def double_sql(value: float) -> str:
+    """A double literal that reads back as the same number."""
+    return f"({float(value)!r}D)"
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Drop NaN in every float column: it would sort last and poison ``max`` and ``avg``."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, FLOATS)]

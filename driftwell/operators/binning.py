@@ -14,7 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.functions.numbers import finite, quoted
+from driftwell.functions.numbers import finite_sql
 
 # Sketches and binary searches keep state per column in every task; wider tables take several passes, each
 # of which reads only its own columns. Plain moments are small and go further in one pass.
@@ -28,14 +28,15 @@ def column_chunks(columns: Sequence[str], size: int = COLUMNS_PER_PASS) -> list[
 
 def long_form(df: DataFrame, columns: Sequence[str], *keep: str | Column) -> DataFrame:
     """One row per (row, column): ``slot`` is the column's position, ``value`` its finite value or NULL."""
-    cells = F.array(*[finite(quoted(c)) for c in columns])
-    return df.select(*keep, F.posexplode(cells).alias("slot", "value"))
+    cells = ", ".join(finite_sql(c) for c in columns)
+    return df.select(*keep, F.expr(f"posexplode(array({cells}))").alias("slot", "value"))
 
 
 def bucketed(df: DataFrame, splits: Sequence[Sequence[float]], *keep: str | Column) -> DataFrame:
     """Columns ``v0..`` plus ``b0..``: the number of splits at or below each value, NULL for a missing one."""
     cut = [i for i, s in enumerate(splits) if s]
-    made = df.select(*keep, *[F.col(f"v{i}") for i in range(len(splits))])
+    values = [f"v{i}" for i in range(len(splits))]
+    made = df.select(*keep, *values)
     if cut:
         made = Bucketizer(
             inputCols=[f"v{i}" for i in cut],
@@ -45,15 +46,15 @@ def bucketed(df: DataFrame, splits: Sequence[Sequence[float]], *keep: str | Colu
         ).transform(made)
     whole = set(cut)
     numbers = [
-        F.when(F.col(f"v{i}").isNotNull(), F.col(f"raw{i}").cast("int") if i in whole else F.lit(0)).alias(f"b{i}")
-        for i in range(len(splits))
+        F.expr(f"CASE WHEN {v} IS NOT NULL THEN {f'CAST(raw{i} AS INT)' if i in whole else '0'} END AS b{i}")
+        for i, v in enumerate(values)
     ]
-    return made.select(*keep, *[f"v{i}" for i in range(len(splits))], *numbers)
+    return made.select(*keep, *values, *numbers)
 
 
 def values_as_numbered(df: DataFrame, columns: Sequence[str], *keep: str | Column) -> DataFrame:
     """Finite values as ``v0..``, so that any column name works downstream."""
-    return df.select(*keep, *[finite(quoted(c)).alias(f"v{i}") for i, c in enumerate(columns)])
+    return df.select(*keep, *[F.expr(f"{finite_sql(c)} AS v{i}") for i, c in enumerate(columns)])
 
 
 def above(breaks: Sequence[float]) -> list[float]:
@@ -66,5 +67,5 @@ def binned(df: DataFrame, inner_breaks: Mapping[str, Sequence[float]], *keep: st
     columns = list(inner_breaks)
     numbered = values_as_numbered(df, columns, *keep)
     cut = bucketed(numbered, [above(inner_breaks[c]) for c in columns], *keep)
-    cells = F.array(*[F.col(f"b{i}") for i in range(len(columns))])
-    return cut.select(*keep, F.posexplode(cells).alias("slot", "bin"))
+    cells = ", ".join(f"b{i}" for i in range(len(columns)))
+    return cut.select(*keep, F.expr(f"posexplode(array({cells}))").alias("slot", "bin"))

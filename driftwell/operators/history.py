@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.functions.numbers import (
-    finite, nan_to_null, numeric_columns, positive_flag, quoted, safe_ratio, share, string_columns,
+    finite, nan_to_null, numeric_columns, positive_flag, quoted, safe_ratio, share, sql_name, string_columns,
 )
 from driftwell.operators.binning import column_chunks, long_form
 from driftwell.session import cut_lineage
@@ -88,15 +88,9 @@ def _levels(df: DataFrame, column: str, max_levels: int) -> list[str | None]:
     return [*known, None]
 
 
-def _statistic(column: Column, name: str) -> Column:
-    value = column
-    return {
-        "MIN": F.min(value),
-        "MAX": F.max(value),
-        "MEAN": F.avg(value),
-        "SUM": F.coalesce(F.sum(value), F.lit(0)),
-        "VAR": F.var_samp(value),
-    }[name]
+STATISTIC_SQL = {
+    "MIN": "min({0})", "MAX": "max({0})", "MEAN": "avg({0})", "SUM": "coalesce(sum({0}), 0)", "VAR": "var_samp({0})",
+}
 
 
 def mass_aggregate(
@@ -118,13 +112,15 @@ def mass_aggregate(
         key=lambda item: order[item[0]],
     )
     aggregates = [
-        _statistic(quoted(c), s).alias(f"{prefix}_{c}_{s}") for c, statistics in wanted for s in statistics
+        F.expr(STATISTIC_SQL[s].format(sql_name(c))).alias(f"{prefix}_{c}_{s}") for c, statistics in wanted for s in statistics
     ]
     for c, levels in plan.levels:
         for level in levels:
             hit = F.when(quoted(c).eqNullSafe(F.lit(level).cast("string")), 1).otherwise(0)
             label = "nan" if level is None else level
-            aggregates += [_statistic(hit, s).alias(f"{prefix}_{c}_{label}_{s}") for s in FEW_VALUES]
+            aggregates += [
+                F.avg(hit).alias(f"{prefix}_{c}_{label}_MEAN"), F.coalesce(F.sum(hit), F.lit(0)).alias(f"{prefix}_{c}_{label}_SUM")
+            ]
     keyed = df.where(F.col(key).isNotNull())
     if not aggregates:
         return keyed.select(key).distinct()

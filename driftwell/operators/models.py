@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.functions.numbers import finite, quoted
+from driftwell.functions.numbers import finite_sql, sql_name
 
 # Model settings. MLlib names; MLlib caps tree depth at 30.
 MODEL_DEFAULTS: dict[str, dict[str, Any]] = {
@@ -35,7 +35,7 @@ WEIGHT = "_weight"
 
 def assemble(df: DataFrame, features: Sequence[str], *keep: str | Column) -> DataFrame:
     """Kept columns and one ``features`` vector. Names are replaced by positions, so any name works."""
-    numbered = df.select(*keep, *[quoted(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)])
+    numbered = df.select(*keep, *[F.expr(f"CAST({sql_name(c)} AS DOUBLE) AS _x{i}") for i, c in enumerate(features)])
     names = [f"_x{i}" for i in range(len(features))]
     return VectorAssembler(inputCols=names, outputCol="features").transform(numbered).drop(*names)
 
@@ -129,7 +129,7 @@ def fit_model(
 def linear_attribution(df: DataFrame, weights: Mapping[str, float], background: Mapping[str, float] | None = None) -> DataFrame:
     """Mean absolute linear attribution per feature: ``avg(|w * (x - mean of x)|)``, missing read as 0."""
     names = list(weights)
-    cleaned = df.select(*[F.coalesce(finite(quoted(c)), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(names)])
+    cleaned = df.select(*[F.expr(f"coalesce({finite_sql(c)}, 0.0D) AS x{i}") for i, c in enumerate(names)])
     if background is None:
         means = cleaned.agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(len(names))]).first()
         background = {c: means[f"x{i}"] or 0.0 for i, c in enumerate(names)}

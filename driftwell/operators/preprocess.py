@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.functions.numbers import finite, numeric_columns, quoted, string_columns
+from driftwell.functions.numbers import double_sql, finite_sql, numeric_columns, quoted, sql_name, string_columns
 from driftwell.operators.binning import MOMENTS_PER_PASS, column_chunks, long_form
 from driftwell.operators.quantiles import exact_quantiles
 
@@ -75,10 +75,10 @@ class NumberScaler:
     def expressions(self) -> list[Column]:
         made = []
         for c in self.columns:
-            value = F.coalesce(finite(quoted(c)), F.lit(float(self.fills[c])))
+            value = f"coalesce({finite_sql(c)}, {double_sql(self.fills[c])})"
             if self.scaler in ("standard", "minmax"):
-                value = (value - F.lit(float(self.shifts[c]))) / F.lit(float(self.scales[c]))
-            made.append(value.alias(c))
+                value = f"({value} - {double_sql(self.shifts[c])}) / {double_sql(self.scales[c])}"
+            made.append(F.expr(f"{value} AS {sql_name(c)}"))
         return made
 
 

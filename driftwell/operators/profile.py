@@ -16,18 +16,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwell.functions.labels import engineered_description, engineered_table, semantic_group
-from driftwell.functions.numbers import NUMBERS, finite, numeric_columns, quoted, share
+from driftwell.functions.numbers import NUMBERS, finite, numeric_columns, quoted, share, sql_name
 from driftwell.operators.binning import MOMENTS_PER_PASS, column_chunks, long_form
 from driftwell.operators.quantiles import exact_quantiles
 
 PERCENTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p95": 0.95}
 
 
-def _missing(df: DataFrame, column: str) -> Column:
-    value = quoted(column)
+def _missing(df: DataFrame, column: str) -> str:
+    """SQL test for a missing value; only floats can be NaN."""
+    value = sql_name(column)
     if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
-        return value.isNull() | F.isnan(value)
-    return value.isNull()
+        return f"({value} IS NULL OR isnan({value}))"
+    return f"({value} IS NULL)"
 
 
 def number_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -51,8 +52,8 @@ def presence(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, rows, missing_count) of any columns."""
     made = None
     for chunk in column_chunks(columns, MOMENTS_PER_PASS):
-        cells = F.array(*[_missing(df, c).cast("int") for c in chunk])
-        part = df.select(F.posexplode(cells).alias("slot", "missing")).groupBy("slot").agg(
+        cells = ", ".join(f"CAST({_missing(df, c)} AS INT)" for c in chunk)
+        part = df.select(F.expr(f"posexplode(array({cells}))").alias("slot", "missing")).groupBy("slot").agg(
             F.count(F.lit(1)).alias("rows"), F.sum("missing").alias("missing_count")
         ).withColumn("feature", F.array(*[F.lit(c) for c in chunk])[F.col("slot")]).drop("slot")
         made = part if made is None else made.unionByName(part)
@@ -92,7 +93,7 @@ class MissingRateFilter:
         return self
 
     def transform(self, df: DataFrame, *keep: str) -> DataFrame:
-        return df.select(*keep, *[quoted(c) for c in self.selected])
+        return df.select(*keep, *[sql_name(c) for c in self.selected])
 
 
 MOMENTS = ("mean", "min", "max", "std", "var")

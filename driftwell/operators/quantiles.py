@@ -104,12 +104,11 @@ def _lookup(
     splits = [[edge for low, high in brackets[s] for edge in (low, math.nextafter(high, math.inf))] for s in slots]
     cut = bucketed(values_as_numbered(df, [columns[s] for s in slots]), splits)
     # Odd inside a bracket, even in the gaps; gaps are only counted.
-    cells = F.array(*[
-        F.struct(F.col(f"b{i}").alias("segment"), F.when(F.col(f"b{i}") % 2 == 1, F.col(f"v{i}")).alias("value"))
-        for i in range(len(slots))
-    ])
+    cells = ", ".join(
+        f"named_struct('segment', b{i}, 'value', CASE WHEN b{i} % 2 = 1 THEN v{i} END)" for i in range(len(slots))
+    )
     counted = (
-        cut.select(F.posexplode(cells).alias("place", "cell"))
+        cut.select(F.expr(f"posexplode(array({cells}))").alias("place", "cell"))
         .select("place", "cell.segment", "cell.value")
         .where(F.col("segment").isNotNull())
         .groupBy("place", "segment", "value")

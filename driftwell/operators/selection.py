@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.functions.labels import group_priority, semantic_group
-from driftwell.functions.numbers import quoted
+from driftwell.functions.numbers import double_sql, sql_name
 from driftwell.operators.evidence import InformationValue
 from driftwell.operators.models import assemble
 from driftwell.operators.profile import MissingRateFilter, cards_signature, complete_correlation, feature_cards, feature_metadata
@@ -42,7 +42,7 @@ class Selector:
         raise NotImplementedError
 
     def transform(self, df: DataFrame, *keep: str) -> DataFrame:
-        return df.select(*keep, *[quoted(c) for c in self.selected])
+        return df.select(*keep, *[sql_name(c) for c in self.selected])
 
 
 # ---- Importance and mRMR ----
@@ -127,7 +127,7 @@ class MrmrSelector(Selector):
 def correlation_array(df: DataFrame, features: Sequence[str]) -> np.ndarray:
     """Pearson matrix of prepared columns over all rows."""
     names = [f"x{i}" for i in range(len(features))]
-    renamed = df.select(*[quoted(c).cast("double").alias(n) for c, n in zip(features, names)])
+    renamed = df.select(*[F.expr(f"CAST({sql_name(c)} AS DOUBLE) AS {n}") for c, n in zip(features, names)])
     return complete_correlation(renamed, names)
 
 
@@ -160,7 +160,7 @@ class PcaSelector(Selector):
 
     def fit(self, df: DataFrame, label: str, features: Sequence[str]) -> PcaSelector:
         self.features = list(features)
-        means = df.agg(F.count(F.lit(1)).alias("rows"), *[F.avg(quoted(c)).alias(f"m{i}") for i, c in enumerate(features)]).first()
+        means = df.agg(F.count(F.lit(1)).alias("rows"), *[F.expr(f"avg({sql_name(c)}) AS m{i}") for i, c in enumerate(features)]).first()
         self.centre = np.array([means[f"m{i}"] for i in range(len(features))])
         limit = max(1, min(len(features), means["rows"]))
         asked = limit if isinstance(self.n_components, float) else max(1, min(int(self.n_components), limit))
@@ -177,16 +177,16 @@ class PcaSelector(Selector):
 
     def _centred(self, df: DataFrame, *keep: str) -> DataFrame:
         return df.select(*keep, *[
-            (quoted(c) - F.lit(float(m))).alias(c) for c, m in zip(self.features, self.centre)
+            F.expr(f"{sql_name(c)} - {double_sql(m)} AS {sql_name(c)}") for c, m in zip(self.features, self.centre)
         ])
 
     def transform(self, df: DataFrame, *keep: str) -> DataFrame:
         """Components as plain sums of products."""
-        vector = F.array(*[quoted(c) - F.lit(float(m)) for c, m in zip(self.features, self.centre)])
-        staged = df.select(*keep, vector.alias("_v"))
+        cells = ", ".join(f"{sql_name(c)} - {double_sql(m)}" for c, m in zip(self.features, self.centre))
+        staged = df.select(*keep, F.expr(f"array({cells}) AS _v"))
 
         def component(i: int) -> Column:
-            weights = F.array(*[F.lit(float(w)) for w in self.loadings[:, i]])
+            weights = F.expr(f"array({', '.join(double_sql(w) for w in self.loadings[:, i])})")
             products = F.zip_with(F.col("_v"), weights, lambda a, b: a * b)
             return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 

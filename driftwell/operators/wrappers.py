@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.functions.numbers import quoted
+from driftwell.functions.numbers import sql_name
 from driftwell.operators.models import assemble
 from driftwell.operators.selection import Selector
 from driftwell.session import cut_lineage
@@ -24,7 +24,7 @@ def shuffled_vectors(df: DataFrame, label: str, features: Sequence[str], seed: i
 
     Random placement happens once; a permutation inside a batch of it is then a random one.
     """
-    values = F.array(*[quoted(c).cast("double") for c in features])
+    values = F.expr(f"array({', '.join(f'CAST({sql_name(c)} AS DOUBLE)' for c in features)})")
     mixed = df.select(F.col(label).cast("double").alias("label"), values.alias("x")).withColumn("_r", F.rand(seed))
     return cut_lineage(mixed.repartition("_r").drop("_r"))
 
@@ -90,7 +90,7 @@ class BorutaSelector(Selector):
             # Rejected columns take no further part, neither themselves nor as shadows.
             active = [c for c in names if c not in rejected]
             places = [names.index(c) for c in active]
-            columns = F.array(*[F.col("x")[p] for p in places])
+            columns = F.expr(f"array({', '.join(f'x[{p}]' for p in places)})")
             training = with_shadows(vectors.select("label", columns.alias("x")), self.seed + trial).persist()
             forest = RandomForestClassifier(
                 numTrees=self.trees, maxDepth=self.depth, featureSubsetStrategy="sqrt", seed=self.seed + trial
