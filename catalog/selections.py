@@ -368,3 +368,13 @@ def time_folds_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = ModelSpec("lr", {"maxIter": 30}, selector=lambda: selection.MrmrSelector(8, trees=16), selector_name="mrmr")
     found = run_folds(prepared.dev, prepared.key, prepared.target, prepared.time, prepared.features, spec, n_splits=2)
     return found.folds.select("fold", "train_size", "val_size", "selected_features", "auc", "gini", "ks", "psi_model", "jaccard_similarity")
+
+
+@query("average_rank", f"""
+WITH {VOLUME}
+SELECT run_id, fold_id, feature_name, score, rank() OVER w + (count(*) OVER (PARTITION BY run_id, fold_id, score) - 1) / 2.0 AS rank
+FROM (SELECT run_id, fold_id, feature_name, score // 50 AS score FROM volume) WINDOW w AS (PARTITION BY run_id, fold_id ORDER BY score DESC)""")
+def average_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coarse scores, so that many features share a rank."""
+    coarse = volume(spark, sf_dir).withColumn("score", F.expr("score div 50"))
+    return stability.average_rank(coarse, "score", ["run_id", "fold_id"]).select("run_id", "fold_id", "feature_name", "score", "rank")

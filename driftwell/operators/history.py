@@ -13,7 +13,7 @@ from driftwell.functions.numbers import (
     finite, nan_to_null, numeric_columns, positive_flag, quoted, safe_ratio, share, sql_name, string_columns,
 )
 from driftwell.operators.binning import column_chunks, long_form
-from driftwell.session import cut_lineage
+from driftwell.session import written_table
 
 # Key names of the history tables and the statistics of the mass aggregation.
 APPLICANT = "SK_ID_CURR"
@@ -239,14 +239,14 @@ def bureau_features(
 ) -> DataFrame:
     """Two levels: monthly balances per bureau credit, then credits per applicant.
 
-    Without a ``plan`` the joined credits are looked at twice, to profile and to aggregate; they are cut
-    from their lineage so that the balances are not aggregated again.
+    Without a ``plan`` the joined credits are looked at twice, to profile and to aggregate; they are
+    written once so that the balances are not aggregated again.
     """
     if balance is not None:
         bureau = merge_left(bureau, mass_aggregate(balance, BUREAU_KEY, "BB", plan=balance_plan, **options), BUREAU_KEY)
     derived = bureau_columns(bureau)
     if balance is not None and plan is None:
-        derived = cut_lineage(derived)
+        derived = written_table(derived)
     return mass_aggregate(derived, APPLICANT, "BURO", plan=plan, **options)
 
 

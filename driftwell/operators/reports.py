@@ -11,6 +11,7 @@ from driftwell.functions.labels import help_label, window_label
 from driftwell.functions.numbers import share
 from driftwell.operators.scoring import NORMAL_95, fold_rows
 from driftwell.operators.stability import fold_overlap
+from driftwell.session import single_row
 
 # ---- Fixed values: metric names and table columns, in order. ----
 FOLD_METRICS = [
@@ -220,10 +221,9 @@ def compare_pair(
         overlap = overlap.unionByName(
             final.select(F.lit("final").alias("stage"), F.lit(None).cast("int").alias("fold"), *overlap.columns[2:])
         )
-    one = lambda frame, side: frame.select(
-        F.lit(1).alias("_one"),
-        *[(F.col(m) if m in summary.columns else F.lit(None).cast("double")).alias(f"{side}_{m}") for m in COMPARED_METRICS],
-    )
+    side = lambda frame, name: frame.select(*[
+        (F.col(m) if m in summary.columns else F.lit(None).cast("double")).alias(f"{name}_{m}") for m in COMPARED_METRICS
+    ])
     in_fold, in_final = F.col("stage") == "fold", F.col("stage") == "final"
     shared = overlap.agg(
         F.count_if(in_fold).alias("feature_overlap_fold_count"),
@@ -231,13 +231,12 @@ def compare_pair(
         F.stddev_samp(F.when(in_fold, F.col("jaccard_similarity"))).alias("feature_overlap_fold_jaccard_std"),
         F.max(F.when(in_final, F.col("jaccard_similarity"))).alias("feature_overlap_final_jaccard"),
         F.max(F.when(in_final, F.col("intersection_count"))).alias("feature_overlap_final_intersection_count"),
-    ).withColumn("_one", F.lit(1))
-    # Three one-row tables.
-    joined = one(rows(summary, left_run), "left").join(one(rows(summary, right_run), "right"), "_one").join(shared, "_one")
+    )
+    joined = single_row(side(rows(summary, left_run), "left"), side(rows(summary, right_run), "right"), shared)
     deltas = {
         f"delta_{m}_right_minus_left": F.round(F.col(f"right_{m}") - F.col(f"left_{m}"), 12) for m in COMPARED_METRICS
     }
-    return joined.withColumns(deltas).drop("_one"), overlap
+    return joined.withColumns(deltas), overlap
 
 
 def help_summary(comparisons: DataFrame, tolerance: float = 1e-4) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from driftwell.functions.numbers import share
 from driftwell.operators.ordering import ROWS_PER_BUCKET, bucket_edges, running_totals
-from driftwell.session import small_side
+from driftwell.session import single_row, small_side
 
 # Machine epsilon of a double: scores are kept this far from 0 and 1 in the log loss.
 LOG_LOSS_MARGIN = 2.220446049250313e-16
@@ -179,8 +179,7 @@ def evaluate(
     if keys:
         result = thresholded.join(summary, list(keys))
     else:
-        # Two one-row tables.
-        result = summary.withColumn("one", F.lit(1)).join(thresholded.withColumn("one", F.lit(1)), "one").drop("one")
+        result = single_row(summary, thresholded)
     if flag is not None:
         used = F.lit(None).cast("double")
     else:

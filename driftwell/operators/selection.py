@@ -5,13 +5,15 @@ Rows stay on the executors. What reaches the driver is one number per feature or
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwell.functions.labels import group_priority, semantic_group
@@ -295,14 +297,61 @@ class DomainRuleSelector(Selector):
 
 
 Ranker = Callable[[DataFrame, str], DataFrame]
+# What a ranker may report next to (feature, rank).
+RANKING_FACTS = {
+    "reason": "string", "cache_hit": "boolean", "prompt_tokens": "long", "completion_tokens": "long", "total_tokens": "long",
+}
+
+
+@dataclass
+class StoredRankings:
+    """A ranker that asks another one only for keys it has not stored yet.
+
+    Rankings are a Parquet table partitioned by key, so a lookup reads one partition.
+    """
+
+    path: str
+    ranker: Ranker
+
+    def __call__(self, cards: DataFrame, key: str) -> DataFrame:
+        spark = cards.sparkSession
+        schema = "feature string, rank int, " + ", ".join(f"{n} {t}" for n, t in RANKING_FACTS.items())
+        folder = f"{self.path}/ranking_key={key}"
+        known = self._read(spark, folder, schema)
+        # An interrupted write leaves a folder without rows: ask again.
+        if known is not None and not known.isEmpty():
+            return known.withColumn("cache_hit", F.lit(True))
+        made = with_facts(self.ranker(cards, key)).select("feature", "rank", *RANKING_FACTS)
+        made.withColumn("cache_hit", F.lit(False)).write.mode("overwrite").parquet(folder)
+        return self._read(spark, folder, schema)
+
+    @staticmethod
+    def _read(spark: SparkSession, folder: str, schema: str) -> DataFrame | None:
+        try:
+            return spark.read.schema(schema).parquet(folder)
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+
+
+def with_facts(ranking: DataFrame) -> DataFrame:
+    """Missing facts as NULL; a ranker that does not say so was really asked."""
+    absent = {n: F.lit(None).cast(t) for n, t in RANKING_FACTS.items() if n not in ranking.columns}
+    filled = ranking.withColumns(absent) if absent else ranking
+    return filled.withColumns({
+        "rank": F.col("rank").cast("int"), "cache_hit": F.coalesce(F.col("cache_hit").cast("boolean"), F.lit(False)),
+        **{n: F.col(n).cast("long") for n in ("prompt_tokens", "completion_tokens", "total_tokens")},
+    })
 
 
 @dataclass
 class RankingSelector(Selector):
     """Selection by an outside ranking of feature cards.
 
-    ``ranker(cards, signature)`` returns (feature, rank); it sees one text line per feature, never rows.
-    Unknown names are set aside, missing places are filled in column order.
+    ``ranker(cards, key)`` returns (feature, rank) and may add the facts above; it sees one text line per
+    feature, never rows. Unknown names are set aside, missing places are filled in column order. The key
+    covers the cards, the target rate, the filters, the scope, the fold and the prompt and settings names.
     """
 
     stage = "before"
@@ -312,11 +361,20 @@ class RankingSelector(Selector):
     max_missing_rate: float = 0.95
     iv_options: dict | None = None
     descriptions: DataFrame | None = None
+    prompt_version: str = ""
+    config_hash: str = ""
+    scope: str = "fold"
+    fold_id: int | None = None
     selected: list[str] = field(default_factory=list)
     scores: dict[str, float] = field(default_factory=dict)
     ranked: list[str] = field(default_factory=list)
     invalid: list[str] = field(default_factory=list)
     signature: str = ""
+    prompt_hash: str = ""
+    answer: DataFrame | None = None
+
+    def set_context(self, scope: str, fold_id: int | None) -> None:
+        self.scope, self.fold_id = scope, fold_id
 
     def fit(self, df: DataFrame, label: str, features: Sequence[str]) -> RankingSelector:
         candidates = MissingRateFilter(self.max_missing_rate).fit(df, features).selected
@@ -327,17 +385,41 @@ class RankingSelector(Selector):
             if not candidates:
                 raise ValueError("the information-value filter removed every feature")
         cards = feature_cards(feature_metadata(df, candidates, self.descriptions))
+        # One line per feature.
+        cards = df.sparkSession.createDataFrame(cards.collect(), cards.schema)
         target_mean = df.agg(F.avg(label)).first()[0]
         filters = f"max_missing_rate={self.max_missing_rate};iv={self.iv_options}"
         self.signature = cards_signature(cards, target_mean, filters).first()["metadata_signature"]
+        asked = "\n".join([self.prompt_version, str(self.ranking_budget), self.signature])
+        self.prompt_hash = hashlib.sha256(asked.encode()).hexdigest()
+        parts = [self.signature, self.scope, str(self.fold_id), self.prompt_hash, self.config_hash]
+        key = hashlib.sha256("\n".join(parts).encode()).hexdigest()
+        self.answer = with_facts(self.ranker(cards, key))
         spark = df.sparkSession
         names = spark.createDataFrame([(c, i + 1) for i, c in enumerate(candidates)], "feature string, rank int")
-        known, unknown = validated_ranking(self.ranker(cards, self.signature), names)
+        known, unknown = validated_ranking(self.answer, names)
         self.invalid = _names(unknown)
         self.ranked = _names(fill_to_budget([known, names], self.ranking_budget))
         self.selected = self.ranked[: self.feature_budget or self.ranking_budget]
         return self
 
+    def log(self, spark: SparkSession) -> DataFrame:
+        """Ranking log of the last fit: rank, reason, keys, budget memberships and call facts per feature."""
+        ranks = spark.createDataFrame([(c, i + 1) for i, c in enumerate(self.ranked)], "feature_name string, rank int")
+        facts = self.answer.groupBy("feature").agg(F.max("reason").alias("llm_reason"))
+        call = ("cache_hit", "prompt_tokens", "completion_tokens", "total_tokens")
+        # The facts of a call are the same on all its rows.
+        row = self.answer.agg(*[F.max(c).alias(c) for c in call]).first()
+        types = RANKING_FACTS
+        logged = ranks.join(facts, ranks["feature_name"] == facts["feature"], "left").drop("feature").withColumns({
+            "scope": F.lit(self.scope), "fold_id": F.lit(self.fold_id).cast("int"),
+            "metadata_signature": F.lit(self.signature), "prompt_version": F.lit(self.prompt_version),
+            "prompt_hash": F.lit(self.prompt_hash), "config_hash": F.lit(self.config_hash),
+            "shared_pool_size": F.lit(self.ranking_budget), **{c: F.lit(row[c]).cast(types[c]) for c in call},
+            "created_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"),
+        })
+        return with_budget_flags(logged, RANKING_BUDGETS)
+
 
 @dataclass
 class RankedThenStatistical(Selector):
@@ -351,6 +433,12 @@ class RankedThenStatistical(Selector):
     scores: dict[str, float] = field(default_factory=dict)
     candidates: list[str] = field(default_factory=list)
 
+    def set_context(self, scope: str, fold_id: int | None) -> None:
+        self.ranking.set_context(scope, fold_id)
+
+    def log(self, spark: SparkSession) -> DataFrame:
+        return self.ranking.log(spark)
+
     def fit(self, df: DataFrame, label: str | None, features: Sequence[str]) -> RankedThenStatistical:
         if label is None:
             raise ValueError("a target is required")
@@ -383,6 +471,12 @@ class StableCoreFill(Selector):
     core: list[str] = field(default_factory=list)
     frequency: DataFrame | None = None
 
+    def set_context(self, scope: str, fold_id: int | None) -> None:
+        self.ranking.set_context(scope, fold_id)
+
+    def log(self, spark: SparkSession) -> DataFrame:
+        return self.ranking.log(spark)
+
     def fit(self, df: DataFrame, label: str | None, features: Sequence[str]) -> StableCoreFill:
         if label is None:
             raise ValueError("a target is required")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from driftwell.functions.labels import semantic_group
 from driftwell.functions.numbers import share
+from driftwell.session import single_row
 
 # Fixed value: a feature is stable when picked in at least this share of the folds.
 STABLE_SHARE = 0.8
@@ -101,7 +102,7 @@ def nogueira(log: DataFrame, total: int | str, keys: Sequence[str] = (), fold: s
     if keys:
         both = runs.join(sums, list(keys), "left")
     else:
-        both = runs.withColumn("_one", F.lit(1)).join(sums.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+        both = single_row(runs, sums)
     m, size = F.col("m"), F.col("picked") / F.col("m")
     observed = (m / (m - 1)) * (F.col("c1") / m - F.col("c2") / (m * m)) / F.col("p")
     expected = (size / F.col("p")) * (1 - size / F.col("p"))
@@ -310,9 +311,7 @@ def stability_bundle(log: DataFrame, total: int, rankings: DataFrame | None = No
         rank("kendall_tau", "mean_value").alias("kendall_rank_stability_mean"),
         rank("kendall_tau", "std_value").alias("kendall_rank_stability_std"),
     )
-    # Each part is a single row.
-    one = lambda frame: frame.withColumn("_one", F.lit(1))
-    joined = one(own).join(one(grouped), "_one").join(one(nogueira(log, total)), "_one").join(one(rank_row), "_one")
+    joined = single_row(own, grouped, nogueira(log, total), rank_row)
     counted = joined.withColumns({
         "stable_feature_count_80": stable(selection_frequency(log)),
         "stable_semantic_group_count_80": stable(group_frequency(log)),

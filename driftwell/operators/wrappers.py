@@ -177,3 +177,9 @@ class BorutaRfeSelector(Selector):
             top = self.boruta.report(df).limit(self.n_features).collect()
             self.selected = [r["feature"] for r in top]
         return self
+
+    def stages(self, df: DataFrame) -> DataFrame:
+        """(stage, feature, rank): what each stage kept."""
+        kept = {"boruta": self.boruta.selected, "rfe": self.rfe.selected if self.rfe else []}
+        rows = [(stage, c, i) for stage, names in kept.items() for i, c in enumerate(names, start=1)]
+        return df.sparkSession.createDataFrame(rows, "stage string, feature string, rank int")

@@ -19,6 +19,7 @@ from driftwell.operators.stability import group_frequency, selection_frequency,
 from driftwell.operators.timeline import EXCLUDED_FEATURES, leakage_report, split_manifest
 from driftwell.plans.folds import CrossValidation, Fit, ModelSpec, fit_training, metrics_frame, run_folds
 from driftwell.plans.prepare import Prepared
+from driftwell.session import written_table
 from driftwell.sources.runs import RunStore, canonical_json
 
 
@@ -50,7 +51,7 @@ def run_experiment(
     fit = fit_training(dev, key, label, prepared.features, spec)
     measured = clock.time()
     oot_ready = fit.prepare(oot, key, label)
-    scores = fit.model.score(oot_ready, key, label)
+    scores = written_table(fit.model.score(oot_ready, key, label))
     predictions = scores.select(
         key, F.col(label).alias("y_true"), F.col("score").alias("y_pred_proba"),
         flag_at(F.col("score"), fit.threshold).alias("y_pred"),
@@ -72,7 +73,7 @@ def run_experiment(
     metrics |= {f"{m}_per_feature": (metrics[m] / n if n and metrics[m] is not None else None) for m in ("gini", "auc", "ks")}
     metrics |= psi_summary(drift).first().asDict() | {"model_score_psi": model_psi} | utility
 
-    stability = stability_bundle(cv.selection, candidates)
+    stability = stability_bundle(cv.selection, candidates, cv.rankings)
     stability = spark.createDataFrame(stability.collect(), stability.schema)
     timings = {f"final_{name}_time_sec": seconds for name, seconds in fit.timings.items()}
     timings |= {
@@ -150,6 +151,9 @@ def _store(
         )
     for name, df in artifacts.items():
         store.write(name, df, run_id)
+    if cv.rankings is not None:
+        rankings = cv.rankings.unionByName(result.final.selector.log(spark))
+        store.write("llm_rankings_summary", rankings, run_id)
     for trace in traces:
         store.write("llm_hybrid_trace", trace, run_id, mode="append")
     result.final.model.save(f"{store.root}/models/{run_id}")

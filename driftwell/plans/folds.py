@@ -5,6 +5,7 @@ from __future__ import annotations
 import time as clock
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -17,6 +18,8 @@ from driftwell.operators.scoring import decision_threshold, evaluate, flag_at, l
 from driftwell.operators.selection import RankedThenStatistical, Selector, StableCoreFill, selection_rows
 from driftwell.operators.stability import jaccard_with_previous
 from driftwell.operators.timeline import TimeFold, fold_info, grouped_time_folds, last_fold_scores
+from driftwell.operators.wrappers import BorutaRfeSelector
+from driftwell.session import written_table
 
 
 @dataclass
@@ -61,10 +64,14 @@ class Fit:
             self.held = None
 
 
-def fit_training(train: DataFrame, key: str, label: str, features: Sequence[str], spec: ModelSpec) -> Fit:
+def fit_training(
+    train: DataFrame, key: str, label: str, features: Sequence[str], spec: ModelSpec,
+    scope: str = "final_dev", fold: int | None = None,
+) -> Fit:
     """Select, prepare and train; selectors run on raw columns, on prepared columns, or on both.
 
-    Only ``train`` is ever looked at. The threshold comes from the training scores.
+    Only ``train`` is ever looked at. The threshold comes from the training scores, which are written once:
+    ranking metrics and drift read them several times, and the model should not run again for each.
     """
     timings = dict.fromkeys(("preprocessing", "feature_selection", "training"), 0.0)
 
@@ -76,6 +83,8 @@ def fit_training(train: DataFrame, key: str, label: str, features: Sequence[str]
 
     selector = spec.selector() if spec.selector else None
     stage = selector.stage if selector else None
+    if hasattr(selector, "set_context"):
+        selector.set_context(scope, fold)
     raw, ranked = list(features), []
     if stage in ("before", "both"):
         timed("feature_selection", lambda: selector.fit(train, label, features))
@@ -96,7 +105,7 @@ def fit_training(train: DataFrame, key: str, label: str, features: Sequence[str]
     else:
         ready = prepared
     model = timed("training", lambda: fit_model(spec.model, ready, model_columns, label, spec.settings))
-    scores = model.score(ready, key, label)
+    scores = written_table(model.score(ready, key, label))
     threshold = decision_threshold(scores, label, "score")
     selected = list(selector.selected) if selector else model_columns
     return Fit(preprocessor, selector, model, selected, ranked, threshold, ready, scores, timings, prepared)
@@ -110,6 +119,7 @@ class FoldResult:
     scores: DataFrame
     ranked: list[str]
     selected: list[str]
+    ranking_log: DataFrame | None = None
 
 
 def process_fold(
@@ -117,25 +127,29 @@ def process_fold(
 ) -> FoldResult:
     """Fit on the training rows, measure on the validation rows."""
     start = clock.time()
-    fit = fit_training(train, key, label, features, spec)
+    fit = fit_training(train, key, label, features, spec, "fold", fold)
     measured = clock.time()
     val_ready = fit.prepare(validation, key, label)
     drift = feature_psi(fit.train_ready, val_ready, fit.model.features).agg(
         F.avg("psi").alias("psi_feature_mean"), F.max("psi").alias("psi_feature_max")
     ).first().asDict()
-    scores = fit.model.score(val_ready, key, label)
+    scores = written_table(fit.model.score(val_ready, key, label))
     metrics = {"fold": fold} | evaluate(scores, label, "score", threshold=fit.threshold).first().asDict()
     metrics |= lift_and_capture(scores, label, "score", key, (0.1,)).first().asDict()
     metrics |= drift
     metrics["psi_model"] = score_psi(fit.train_scores, scores, "score")
     metrics["selected_features"] = len(fit.selected)
+    if isinstance(fit.selector, BorutaRfeSelector):
+        metrics["boruta_selected_features"] = len(fit.selector.boruta.selected)
+        metrics["rfe_selected_features"] = len(fit.selector.rfe.selected) if fit.selector.rfe else None
     metrics |= {f"{name}_time_sec": seconds for name, seconds in fit.timings.items()}
     metrics["evaluation_time_sec"] = clock.time() - measured
     metrics["fold_time_sec"] = clock.time() - start
     fit.release()
     flagged = scores.withColumns({"flag": flag_at(F.col("score"), fit.threshold), "fold": F.lit(fold)})
     log = selection_rows(train, fit.selected, fit.selector.scores if fit.selector else {}, spec.selector_name, fold)
-    return FoldResult(fold, metrics, log, flagged, fit.ranked, fit.selected)
+    rankings = fit.selector.log(train.sparkSession) if hasattr(fit.selector, "log") else None
+    return FoldResult(fold, metrics, log, flagged, fit.ranked, fit.selected, rankings)
 
 
 @dataclass
@@ -148,6 +162,11 @@ class CrossValidation:
     out_of_fold: DataFrame
     runtime_seconds: float
     fold_results: list[FoldResult]
+    rankings: DataFrame | None = None
+
+    def out_of_fold_metrics(self, label: str) -> DataFrame:
+        """Metrics of the out-of-fold scores, each row flagged at its own fold's threshold."""
+        return evaluate(self.out_of_fold, label, "score", flag="flag")
 
 
 def metrics_frame(spark, rows: Sequence[Mapping[str, Any]]) -> DataFrame:
@@ -173,9 +192,9 @@ def run_folds(
         for f in folds
     ]
     spark = dev.sparkSession
-    selection, scored = done[0].selection, done[0].scores
-    for result in done[1:]:
-        selection, scored = selection.unionByName(result.selection), scored.unionByName(result.scores)
+    stacked = lambda frames: reduce(lambda a, b: a.unionByName(b), frames)
+    selection, scored = stacked([r.selection for r in done]), stacked([r.scores for r in done])
+    logs = [r.ranking_log for r in done if r.ranking_log is not None]
     agreement = jaccard_with_previous(selection).select(F.col("fold_id").cast("long").alias("fold"), "jaccard_similarity")
     table = (
         metrics_frame(spark, [r.metrics for r in done])
@@ -186,5 +205,6 @@ def run_folds(
     # Fold-sized: kept as rows, so that the model runs behind it are not repeated.
     table = spark.createDataFrame(table.orderBy("fold").collect(), table.schema)
     return CrossValidation(
-        table, with_summary_rows(table, numbers), selection, last_fold_scores(scored, key), clock.time() - start, done
+        table, with_summary_rows(table, numbers), selection, last_fold_scores(scored, key), clock.time() - start, done,
+        stacked(logs) if logs else None,
     )

@@ -12,7 +12,7 @@ from driftwell.operators.timeline import (
     EXCLUDED_FEATURES, ID_COLUMNS, TIME_CANDIDATES, Windows, check_windows, cut_windows, model_columns,
     resolve_time_column, time_proxy,
 )
-from driftwell.session import cut_lineage
+from driftwell.session import written_table
 
 
 @dataclass
@@ -54,7 +54,8 @@ def prepare(
 
     The window filter sits on top of the joins; since it rejects missing times, Catalyst turns the join
     that brings the time column into an inner join and filters it before the other joins. The audit looks
-    at the base and that one table only. The result is cut from its lineage once and shared by all runs.
+    at the base and that one table only. The result is written once, partitioned by split and sorted by
+    time inside the files, so that folds read few row groups and runs share it.
     """
     if base not in tables:
         raise ValueError(f"{base} is missing")
@@ -74,6 +75,6 @@ def prepare(
     ordered = bearing[:1] + [t for t in made if not any(t is b for b in bearing[:1])]
     merged = cut_windows(merge_features(tables[base], ordered, key), time_column, windows)
     merged = merged.drop(*[c for c in ID_COLUMNS if c != key])
-    data = cut_lineage(merged) if materialise else merged
+    data = written_table(merged.sortWithinPartitions(time_column), ["split"]) if materialise else merged
     features = model_columns(data, time_column, target, excluded, (key, *ID_COLUMNS, "split"))
     return Prepared(data, features, key, target, time_column, windows, audit)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
+_private_folders: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -23,7 +26,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="driftwell-checkpoint-")
+    app = spark.sparkContext.applicationId
+    if app not in _private_folders:
+        _private_folders[app] = tempfile.mkdtemp(prefix="driftwell-checkpoint-")
+    return _private_folders[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -34,6 +40,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written_table(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """``df`` written once as Parquet beside the checkpoints and read back.
+
+    Unlike a checkpoint the table keeps column pruning, pushed filters and partition pruning, which is what
+    wide tables that are read many times need.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/driftwell-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def single_row(*frames: DataFrame) -> DataFrame:
+    """One row from one-row tables with different columns, without a join."""
+    stacked = frames[0]
+    for frame in frames[1:]:
+        stacked = stacked.unionByName(frame, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else ``df`` itself.
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from driftwell.operators.reports import ranking_call_stats
 from driftwell.operators.selection import MrmrSelector, RankedThenStatistical, RankingSelector, Selector
 from driftwell.operators.timeline import Windows
 from driftwell.plans.experiment import run_experiment
@@ -94,6 +95,14 @@ def test_hybrid_run_leaves_a_trace(spark, prepared, tmp_path):
     trace = store.read(spark, "llm_hybrid_trace")
     assert trace.where("scope = 'final_dev'").count() == 8 and trace.where("survived_hybrid").count() > 0
     assert len(result.final.selected) == 4
+    listed = spark.createDataFrame([("h", "hybrid")], "run_id string, experiment_type string")
+    assert store.missing_artifacts(spark, listed).isEmpty()
+    stats = ranking_call_stats(store.read(spark, "llm_rankings_summary")).first()
+    # Two folds and the final fit; the ranker is asked once for each.
+    assert (stats["llm_calls_actually_made"], stats["llm_cache_hits"]) == (3, 0)
+    assert result.stability.first()["spearman_rank_stability_mean"] is not None
+    oof = result.cross_validation.out_of_fold_metrics(prepared.target).first()
+    assert 0 <= oof["auc"] <= 1 and oof["decision_threshold"] is None
 
 
 def test_leaking_feature_stops_the_run(prepared):

@@ -98,6 +98,7 @@ def test_boruta_and_elimination(spark, signal):
     assert chosen.boruta.ranking["n1"] > 2
     kept = wrappers.RfeSelector(2, 2, trees=8, depth=3).fit(signal, "y", FEATURES)
     assert len(kept.selected) == 2 and set(kept.selected) <= {"a", "b", "c"}
+    assert set(chosen.stages(signal).toPandas()["stage"]) <= {"boruta", "rfe"}
     assert abs(wrappers.binomial_tail(8, 10) - 56 / 1024) < 1e-12
 
 
@@ -125,6 +126,25 @@ def test_outside_ranking_is_checked_and_filled(spark):
         selection.RankingSelector(rank, 3).fit(empty, "y", ["f1"])
 
 
+def test_stored_rankings_are_asked_once_per_key(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, 2.0, 0), (2.0, 1.0, 1)], "f1 double, f2 double, y int")
+    rank, seen = ranker_of(spark, ["f2", "f1"])
+    stored = selection.StoredRankings(str(tmp_path / "rankings"), rank)
+    logs = []
+    for repeat in range(2):
+        for scope, fold in [("fold", 1), ("fold", 2), ("final_dev", None)]:
+            made = selection.RankingSelector(stored, 2, prompt_version="v1")
+            made.set_context(scope, fold)
+            assert made.fit(df, "y", ["f1", "f2"]).selected == ["f2", "f1"]
+            logs.append(made.log(spark))
+    assert len(seen) == 3 and len({key for _, key in seen}) == 3
+    assert [log.first()["cache_hit"] for log in logs] == [False] * 3 + [True] * 3
+    merged = selection.merge_ranking_log(logs[0], logs[3])
+    assert merged.count() == 2 and merged.where("cache_hit").count() == 2
+    other = selection.RankingSelector(stored, 2, prompt_version="v2").fit(df, "y", ["f1", "f2"])
+    assert len(seen) == 4 and other.log(spark).columns[:2] == ["feature_name", "rank"]
+
+
 def test_wide_ranking_budgets(spark):
     names = [f"f{i}" for i in range(120)]
     df = spark.range(3).select(*[(F.col("id") * (i + 1.0)).alias(n) for i, n in enumerate(names)], (F.col("id") % 2).cast("int").alias("y"))
