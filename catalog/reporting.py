@@ -269,8 +269,9 @@ def ranking_call_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.ranking_call_stats(log)
 
 
-SIGNED = """s AS (SELECT user_id AS run_id, string_agg(DISTINCT event_type || CAST(floor(value) AS BIGINT), ';') AS signatures FROM events
-                  WHERE value > 60 GROUP BY user_id)"""
+# Users of one block of five share a signature per event type, whatever the number of users.
+SIGNED = """s AS (SELECT user_id AS run_id, string_agg(DISTINCT event_type || '-' || (user_id // 5), ';') AS signatures FROM events
+                  WHERE value > 20 GROUP BY user_id)"""
 
 
 @query("signature_sharing", f"""
@@ -278,8 +279,8 @@ WITH {SIGNED}, h AS (SELECT DISTINCT run_id, unnest(string_split(signatures, ';'
 p AS (SELECT a.run_id, list_sort(list(DISTINCT b.run_id)) AS l FROM h a JOIN h b USING (sig) GROUP BY a.run_id)
 SELECT run_id, array_to_string(l, ';') AS runs_sharing_metadata_signatures FROM p""")
 def signature_sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").where("value > 60")
-    mark = F.concat("event_type", F.floor("value").cast("string"))
+    events = table(spark, sf_dir, "events").where("value > 20")
+    mark = F.concat("event_type", F.lit("-"), F.expr("user_id div 5").cast("string"))
     signed = events.groupBy(F.col("user_id").alias("run_id")).agg(F.array_join(F.collect_set(mark), ";").alias("signatures"))
     return reports.runs_sharing(signed)
 

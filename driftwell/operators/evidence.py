@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from driftwell.functions.numbers import bin_index, finite, numeric_columns, quoted
 from driftwell.operators.binning import binned, column_chunks
 from driftwell.operators.quantiles import exact_quantiles
+from driftwell.session import written_table
 
 MISSING_BIN = "Missing"
 
@@ -36,7 +37,8 @@ class InformationValue:
         numeric = [c for c in numeric_columns(df) if c in set(columns)]
         quantiles = exact_quantiles(df, numeric, [i / self.bins for i in range(self.bins + 1)])
         self.inner_breaks = {c: sorted(set(q))[1:-1] if q else [] for c, q in quantiles.items()}
-        self.bin_table = self._bins(df.where(F.col(target).isNotNull()), target, list(columns))
+        # Written once: the values, the flags and the encoding all read it.
+        self.bin_table = written_table(self._bins(df.where(F.col(target).isNotNull()), target, list(columns)))
         self.table = information_values(self.bin_table, self.leakage_iv)
         kept = self.table.where(F.col("iv") >= self.min_iv).select("feature", "iv").collect()
         self.selected = [r["feature"] for r in sorted(kept, key=lambda r: (-r["iv"], r["feature"]))]

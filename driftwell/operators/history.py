@@ -13,6 +13,7 @@ from driftwell.functions.numbers import (
     finite, nan_to_null, numeric_columns, positive_flag, quoted, safe_ratio, share, sql_name, string_columns,
 )
 from driftwell.operators.binning import column_chunks, long_form
+from driftwell.operators.ordering import ROWS_PER_BUCKET, bucket_edges, running_totals
 from driftwell.session import written_table
 
 # Key names of the history tables and the statistics of the mass aggregation.
@@ -137,20 +138,32 @@ NAMED_FUNCTIONS: dict[str, Callable[[Column], Column]] = {
     "std": F.stddev_samp,
     "count": F.count,
     "nunique": F.count_distinct,
-    "median": F.median,
 }
 
 
 def named_aggregate(df: DataFrame, key: str, spec: Mapping[str, tuple[str, str]]) -> DataFrame:
-    """``{output: (column, function)}`` per key."""
-    unknown = sorted({fn for _, fn in spec.values()} - set(NAMED_FUNCTIONS))
+    """``{output: (column, function)}`` per key. Medians do not merge, so they are picked by rank."""
+    unknown = sorted({fn for _, fn in spec.values()} - {*NAMED_FUNCTIONS, "median"})
     if unknown:
         raise ValueError(f"unknown aggregate functions: {unknown}")
-    return (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(*[NAMED_FUNCTIONS[fn](quoted(c)).alias(out) for out, (c, fn) in spec.items()])
-    )
+    keyed = df.where(F.col(key).isNotNull())
+    merging = [NAMED_FUNCTIONS[fn](quoted(c)).alias(out) for out, (c, fn) in spec.items() if fn != "median"]
+    result = keyed.groupBy(key).agg(*merging) if merging else keyed.select(key).distinct()
+    for out, (c, fn) in spec.items():
+        if fn == "median":
+            result = result.join(grouped_median(keyed, key, c, out), key, "left")
+    return result.select(key, *spec)
+
+
+def grouped_median(df: DataFrame, key: str, column: str, output: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Exact median per key. Values are counted first and ranked by (key, value bucket), so that no task
+    holds the values of a hot key."""
+    value = df.select(key, finite(quoted(column)).alias("value")).where(F.col("value").isNotNull())
+    counted = value.groupBy(key, "value").agg(F.count(F.lit(1)).alias("rows"))
+    placed = running_totals(counted, [key], "value", ["rows"], bucket_edges(value, ["value"], rows_per_bucket)["value"])
+    middle = F.array(F.floor((F.col("all_rows") + 1) / 2), F.floor((F.col("all_rows") + 2) / 2))
+    hits = F.filter(middle, lambda r: (r > F.col("cum_rows") - F.col("rows")) & (r <= F.col("cum_rows")))
+    return placed.select(key, "value", F.explode(hits)).groupBy(key).agg(F.avg("value").alias(output))
 
 
 def merge_left(left: DataFrame, right: DataFrame, on: str) -> DataFrame:

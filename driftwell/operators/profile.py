@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwell.functions.labels import engineered_description, engineered_table, semantic_group
-from driftwell.functions.numbers import NUMBERS, finite, numeric_columns, quoted, share, sql_name
+from driftwell.functions.numbers import NUMBERS, finite, finite_sql, numeric_columns, quoted, share, sql_name
 from driftwell.operators.binning import MOMENTS_PER_PASS, column_chunks, long_form
 from driftwell.operators.quantiles import exact_quantiles
 
@@ -48,6 +48,27 @@ def number_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return made
 
 
+def column_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, rows, missing_count) of any columns, with the moments of the number columns, in one pass."""
+    value, made = F.col("value"), None
+    for chunk in column_chunks(columns, MOMENTS_PER_PASS):
+        cells = ", ".join(
+            f"named_struct('value', {finite_sql(c) if isinstance(df.schema[c].dataType, NUMBERS) else 'CAST(NULL AS DOUBLE)'}, "
+            f"'missing', CAST({_missing(df, c)} AS INT))"
+            for c in chunk
+        )
+        long = df.select(F.expr(f"posexplode(array({cells}))").alias("slot", "cell")).select("slot", "cell.*")
+        part = long.groupBy("slot").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("missing").alias("missing_count"),
+            F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
+            F.stddev_samp(value).alias("std"), F.var_samp(value).alias("var"),
+        ).withColumn("feature", F.array(*[F.lit(c) for c in chunk])[F.col("slot")]).drop("slot")
+        made = part if made is None else made.unionByName(part)
+    if made is None:
+        raise ValueError("no columns to profile")
+    return made
+
+
 def presence(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, rows, missing_count) of any columns."""
     made = None
@@ -118,8 +139,7 @@ def feature_metadata(
     # Every side below holds one row per feature.
     base = df.sparkSession.createDataFrame(facts, schema)
     profile = (
-        base.join(presence(df, columns), "feature")
-        .join(number_moments(df, numbers), "feature", "left")
+        base.join(column_facts(df, columns), "feature")
         .join(distinct_values(df, [c for c in columns if c not in known]), "feature", "left")
     )
     rounded = {c: F.bround(c, 4) for c in (*MOMENTS, *PERCENTILES)}
@@ -162,8 +182,7 @@ def feature_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     facts = [(c, *(quartiles.get(c) or [None] * 3)) for c in columns]
     base = df.sparkSession.createDataFrame(facts, "feature string, p25 double, p50 double, p75 double")
     joined = (
-        base.join(presence(df, columns), "feature")
-        .join(number_moments(df, numbers).drop("count"), "feature", "left")
+        base.join(column_facts(df, columns), "feature")
         .join(distinct_values(df, columns), "feature", "left")
     )
     return joined.select(

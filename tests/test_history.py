@@ -114,3 +114,16 @@ def test_latest_row_and_joins(spark):
 def test_nan_becomes_null(spark):
     df = nan_to_null(spark.createDataFrame([(float("nan"), 1)], "x double, y int"))
     assert rows(df, "y") == [(None, 1)]
+
+
+def test_medians_of_hot_keys(spark):
+    df = spark.range(3_001).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 11 + 2).alias("k"), F.round(F.rand(1) * 50, 1).alias("x")
+    )
+    plain = df.groupBy("k").agg(F.median("x").alias("m"))
+    for rows_per_bucket in (1_000_000, 100):
+        ranked = history.grouped_median(df, "k", "x", "m", rows_per_bucket)
+        joined = ranked.join(plain.withColumnRenamed("m", "p"), "k")
+        assert joined.count() == plain.count() and joined.where("abs(m - p) > 1e-12").isEmpty()
+    with pytest.raises(ValueError):
+        history.named_aggregate(df, "k", {"a": ("x", "mode")})
