@@ -254,7 +254,7 @@ def efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH c AS (SELECT user_id % 11 AS run_id, event_type AS scope, event_id % 5 AS fold_id, sha256(CAST(user_id % 3 AS VARCHAR)) AS metadata_signature,
                   max(CAST(event_id % 4 = 0 AND event_id % 5 = 0 AS INT)) AS hit, max(event_id % 100) AS p, max(event_id % 10) AS q, max(event_id % 1000) AS t
            FROM events GROUP BY ALL)
-SELECT run_id, list_sort(list(DISTINCT metadata_signature)) AS llm_metadata_signatures, CAST(count(*) FILTER (hit = 0) AS BIGINT) AS llm_calls_actually_made,
+SELECT run_id, array_to_string(list_sort(list(DISTINCT metadata_signature)), ';') AS llm_metadata_signatures, CAST(count(*) FILTER (hit = 0) AS BIGINT) AS llm_calls_actually_made,
        CAST(count(*) FILTER (hit = 1) AS BIGINT) AS llm_cache_hits, CAST(coalesce(sum(p) FILTER (hit = 0), 0) AS BIGINT) AS llm_prompt_tokens,
        CAST(coalesce(sum(q) FILTER (hit = 0), 0) AS BIGINT) AS llm_completion_tokens, CAST(coalesce(sum(t) FILTER (hit = 0), 0) AS BIGINT) AS llm_total_tokens
 FROM c GROUP BY run_id""")
@@ -266,12 +266,12 @@ def ranking_call_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((event % 4 == 0) & (event % 5 == 0)).cast("string").alias("cache_hit"), (event % 100).alias("prompt_tokens"),
         (event % 10).alias("completion_tokens"), (event % 1000).alias("total_tokens"),
     )
-    return reports.ranking_call_stats(log)
+    return reports.ranking_call_stats(log).withColumn("llm_metadata_signatures", F.array_join("llm_metadata_signatures", ";"))
 
 
 # Users of one block of five share a signature per event type, whatever the number of users.
 SIGNED = """s AS (SELECT user_id AS run_id, string_agg(DISTINCT event_type || '-' || (user_id // 5), ';') AS signatures FROM events
-                  WHERE value > 20 GROUP BY user_id)"""
+                  GROUP BY user_id)"""
 
 
 @query("signature_sharing", f"""
@@ -279,7 +279,7 @@ WITH {SIGNED}, h AS (SELECT DISTINCT run_id, unnest(string_split(signatures, ';'
 p AS (SELECT a.run_id, list_sort(list(DISTINCT b.run_id)) AS l FROM h a JOIN h b USING (sig) GROUP BY a.run_id)
 SELECT run_id, array_to_string(l, ';') AS runs_sharing_metadata_signatures FROM p""")
 def signature_sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").where("value > 20")
+    events = table(spark, sf_dir, "events")
     mark = F.concat("event_type", F.lit("-"), F.expr("user_id div 5").cast("string"))
     signed = events.groupBy(F.col("user_id").alias("run_id")).agg(F.array_join(F.collect_set(mark), ";").alias("signatures"))
     return reports.runs_sharing(signed)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,15 @@ class AggregationPlan:
     many_valued: tuple[str, ...]
     levels: tuple[tuple[str, tuple[str | None, ...]], ...] = ()
 
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
+
+    @classmethod
+    def from_json(cls, text: str) -> AggregationPlan:
+        saved = json.loads(text)
+        levels = tuple((c, tuple(values)) for c, values in saved["levels"])
+        return cls(tuple(saved["two_valued"]), tuple(saved["many_valued"]), levels)
+
 
 def profile_for_aggregation(
     df: DataFrame, key: str, categorical: str = "ignore", max_levels: int = 1000
@@ -243,6 +253,13 @@ def credit_card_columns(df: DataFrame) -> DataFrame:
 
 # ---- Feature tables ----
 
+def bureau_credits(bureau: DataFrame, balance: DataFrame | None, plan: AggregationPlan | None = None, **options) -> DataFrame:
+    """Bureau credits with their derived columns and their aggregated monthly balances."""
+    if balance is not None:
+        bureau = merge_left(bureau, mass_aggregate(balance, BUREAU_KEY, "BB", plan=plan, **options), BUREAU_KEY)
+    return bureau_columns(bureau)
+
+
 def bureau_features(
     bureau: DataFrame,
     balance: DataFrame | None = None,
@@ -255,12 +272,10 @@ def bureau_features(
     Without a ``plan`` the joined credits are looked at twice, to profile and to aggregate; they are
     written once so that the balances are not aggregated again.
     """
-    if balance is not None:
-        bureau = merge_left(bureau, mass_aggregate(balance, BUREAU_KEY, "BB", plan=balance_plan, **options), BUREAU_KEY)
-    derived = bureau_columns(bureau)
+    credits = bureau_credits(bureau, balance, balance_plan, **options)
     if balance is not None and plan is None:
-        derived = written_table(derived)
-    return mass_aggregate(derived, APPLICANT, "BURO", plan=plan, **options)
+        credits = written_table(credits)
+    return mass_aggregate(credits, APPLICANT, "BURO", plan=plan, **options)
 
 
 def previous_application_features(previous: DataFrame, **options) -> DataFrame:
@@ -282,18 +297,42 @@ def credit_card_features(cards: DataFrame, **options) -> DataFrame:
     return mass_aggregate(credit_card_columns(cards), APPLICANT, "CC", **options)
 
 
-def all_history_features(tables: Tables, **options) -> list[DataFrame]:
+# Table name to (prefix, derived columns, feature table) of the one-level histories.
+ONE_LEVEL = {
+    "previous_application": ("PREV", previous_application_columns, previous_application_features),
+    "POS_CASH_balance": ("POS", pos_cash_columns, pos_cash_features),
+    "installments_payments": ("INSTAL", installment_columns, installment_features),
+    "credit_card_balance": ("CC", credit_card_columns, credit_card_features),
+}
+
+
+def profile_histories(tables: Tables, categorical: str = "ignore") -> dict[str, AggregationPlan]:
+    """Plans by prefix. Kept and handed back later, they fix the output columns and save the profile passes."""
+    plans = {}
+    if "bureau" in tables:
+        balance = tables.get("bureau_balance")
+        if balance is not None:
+            plans["BB"] = profile_for_aggregation(nan_to_null(balance), BUREAU_KEY, categorical)
+        credits = bureau_credits(tables["bureau"], balance, plans.get("BB"))
+        plans["BURO"] = profile_for_aggregation(nan_to_null(credits), APPLICANT, categorical)
+    for name, (prefix, derive, _) in ONE_LEVEL.items():
+        if name in tables:
+            plans[prefix] = profile_for_aggregation(nan_to_null(derive(tables[name])), APPLICANT, categorical)
+    return plans
+
+
+def all_history_features(
+    tables: Tables, plans: Mapping[str, AggregationPlan] | None = None, **options
+) -> list[DataFrame]:
     """Feature table of every history that is present."""
-    made = []
+    plans, made = plans or {}, []
     if "bureau" in tables:
-        made.append(bureau_features(tables["bureau"], tables.get("bureau_balance"), **options))
-    builders = {
-        "previous_application": previous_application_features,
-        "POS_CASH_balance": pos_cash_features,
-        "installments_payments": installment_features,
-        "credit_card_balance": credit_card_features,
-    }
-    made += [build(tables[name], **options) for name, build in builders.items() if name in tables]
+        made.append(bureau_features(
+            tables["bureau"], tables.get("bureau_balance"), plans.get("BB"), plans.get("BURO"), **options
+        ))
+    for name, (prefix, _, build) in ONE_LEVEL.items():
+        if name in tables:
+            made.append(build(tables[name], plan=plans.get(prefix), **options))
     return made
 
 

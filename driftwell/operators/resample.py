@@ -124,7 +124,7 @@ def bootstrap_replicates(
         .select(
             *keys,
             "replicate",
-            (2 * share(F.col("wins"), F.col("p") * F.col("n")) - 1).alias("gini"),
+            (2 * share(F.col("wins"), F.col("p").cast("double") * F.col("n")) - 1).alias("gini"),
             F.greatest(F.col("gap"), F.lit(0.0)).alias("ks"),
         )
     )

@@ -52,7 +52,8 @@ def roc_summary(roc: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.max("all_neg").alias("negatives"),
         F.max(F.struct(gap.alias("gap"), F.col("score").cast("double").alias("score"))).alias("best"),
     )
-    auc = share(F.col("wins"), F.col("positives") * F.col("negatives"))
+    # As doubles: the product of two row counts leaves the range of a long.
+    auc = share(F.col("wins"), F.col("positives").cast("double") * F.col("negatives"))
     separated = F.col("best.gap") > 0
     return best.select(
         *keys,

@@ -55,7 +55,8 @@ def prepare(
     The window filter sits on top of the joins; since it rejects missing times, Catalyst turns the join
     that brings the time column into an inner join and filters it before the other joins. The audit looks
     at the base and that one table only. The result is written once, partitioned by split and sorted by
-    time inside the files, so that folds read few row groups and runs share it.
+    time inside the files, so that folds read few row groups and runs share it. ``plans`` from
+    ``profile_histories`` may be passed on to spare the profile passes.
     """
     if base not in tables:
         raise ValueError(f"{base} is missing")

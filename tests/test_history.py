@@ -127,3 +127,17 @@ def test_medians_of_hot_keys(spark):
         assert joined.count() == plain.count() and joined.where("abs(m - p) > 1e-12").isEmpty()
     with pytest.raises(ValueError):
         history.named_aggregate(df, "k", {"a": ("x", "mode")})
+
+
+def test_kept_plans_give_the_same_features(spark):
+    bureau = spark.createDataFrame(
+        [(1, 10, 100.0, 50.0, -30.0, 0.0), (1, 11, 200.0, 300.0, -20.0, 10.0), (2, 12, 7.0, None, -10.0, None)],
+        "SK_ID_CURR long, SK_ID_BUREAU long, AMT_CREDIT_SUM double, AMT_CREDIT_SUM_DEBT double, DAYS_CREDIT double, DAYS_CREDIT_ENDDATE double",
+    )
+    balance = spark.createDataFrame([(10, -1, "x"), (10, -2, "y"), (11, -5, "x")], "SK_ID_BUREAU long, MONTHS_BALANCE long, STATUS string")
+    pos = spark.createDataFrame([(1, -1, 0, 10.0, 5.0), (2, -2, 3, 10.0, None)], "SK_ID_CURR long, MONTHS_BALANCE long, SK_DPD long, CNT_INSTALMENT double, CNT_INSTALMENT_FUTURE double")
+    tables = {"bureau": bureau, "bureau_balance": balance, "POS_CASH_balance": pos}
+    plans = {k: history.AggregationPlan.from_json(p.to_json()) for k, p in history.profile_histories(tables, "onehot").items()}
+    assert set(plans) == {"BB", "BURO", "POS"} and plans["BB"].levels == (("STATUS", ("x", "y", None)),)
+    for kept, fresh in zip(history.all_history_features(tables, plans, categorical="onehot"), history.all_history_features(tables, categorical="onehot")):
+        assert kept.columns == fresh.columns and kept.exceptAll(fresh).isEmpty() and kept.count() == fresh.count()
