@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 
 from driftwell.operators.binning import bucketed, column_chunks, long_form, values_as_numbered
 
-SKETCH_ACCURACY = 10_000
+# A finer sketch costs more per task and column, a coarser one ships more values in the second pass; here
+# both stay at a few percent of the column.
+SKETCH_ACCURACY = 4_000
+ROWS_PER_PART = 100_000_000
+MAX_PARTS = 64
 
 
 def exact_quantiles(
@@ -61,10 +65,12 @@ def _quantiles(
                 row["high"] if above == 1.0 else row["marks"][at[above]],
             ))
         brackets[slot] = _merged(spans)
+    # Brackets of long columns are cut further, so that no task ranks a whole bracket.
+    parts = {slot: min(MAX_PARTS, 1 + row["n"] // ROWS_PER_PART) for slot, row in sketch.items()}
     values: dict[tuple[int, int], float] = {}
     open_slots = set(sketch)
     while open_slots:
-        values |= _lookup(df, columns, {s: brackets[s] for s in open_slots}, {s: ranks[s] for s in open_slots})
+        values |= _lookup(df, columns, {s: brackets[s] for s in open_slots}, {s: ranks[s] for s in open_slots}, parts)
         open_slots = {s for s in open_slots if any((s, r) not in values for r in ranks[s])}
         for s in open_slots:
             brackets[s] = [(sketch[s]["low"], sketch[s]["high"])]
@@ -83,6 +89,18 @@ def _quantiles(
     return result
 
 
+def _cuts(spans: list[tuple[float, float]], parts: int) -> tuple[list[float], list[int]]:
+    """Split points of the brackets, each in ``parts`` equal steps, and the segment numbers of the gaps."""
+    splits: list[float] = []
+    gaps = [0]
+    for low, high in spans:
+        end = math.nextafter(high, math.inf)
+        inner = {low + (high - low) * (k / parts) for k in range(1, parts)}
+        splits += [low, *sorted(x for x in inner if low < x < end), end]
+        gaps.append(len(splits))
+    return splits, gaps
+
+
 def _merged(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
     joined: list[tuple[float, float]] = []
     for low, high in sorted(spans):
@@ -98,14 +116,16 @@ def _lookup(
     columns: list[str],
     brackets: dict[int, list[tuple[float, float]]],
     ranks: dict[int, set[int]],
+    parts: dict[int, int],
 ) -> dict[tuple[int, int], float]:
     """Values at the given 1-based ranks, as far as they fall inside the brackets."""
     slots = sorted(brackets)
-    splits = [[edge for low, high in brackets[s] for edge in (low, math.nextafter(high, math.inf))] for s in slots]
-    cut = bucketed(values_as_numbered(df, [columns[s] for s in slots]), splits)
-    # Odd inside a bracket, even in the gaps; gaps are only counted.
+    cuts = [_cuts(brackets[s], parts[s]) for s in slots]
+    cut = bucketed(values_as_numbered(df, [columns[s] for s in slots]), [splits for splits, _ in cuts])
+    # Values inside a bracket are kept, those in the gaps are only counted.
     cells = ", ".join(
-        f"named_struct('segment', b{i}, 'value', CASE WHEN b{i} % 2 = 1 THEN v{i} END)" for i in range(len(slots))
+        f"named_struct('segment', b{i}, 'value', CASE WHEN b{i} NOT IN ({', '.join(map(str, gaps))}) THEN v{i} END)"
+        for i, (_, gaps) in enumerate(cuts)
     )
     counted = (
         cut.select(F.expr(f"posexplode(array({cells}))").alias("place", "cell"))
@@ -122,7 +142,7 @@ def _lookup(
     )
     upto = Window.partitionBy("place", "segment").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        counted.where(F.col("segment") % 2 == 1)
+        counted.where(F.col("value").isNotNull())
         .join(offsets, ["place", "segment"])
         .withColumn("upto", F.col("offset") + F.sum("rows").over(upto))
     )

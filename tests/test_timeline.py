@@ -60,6 +60,17 @@ def test_bucketed_totals_equal_plain_ones(spark):
         assert plain.exceptAll(cut).isEmpty() and plain.count() == cut.count()
 
 
+def test_sampled_edges_leave_totals_exact(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "EDGE_SAMPLE", 500)
+    df = spark.range(6_000).select(F.round(F.rand(5) * 1_000, 1).alias("x"))
+    edges = ordering.bucket_edges(df, ["x"], rows_per_bucket=400)["x"]
+    assert 5 < len(edges) < 20
+    counted = df.groupBy("x").agg(F.count(F.lit(1)).alias("rows")).persist()
+    plain = ordering.running_totals(counted, [], "x", ["rows"])
+    cut = ordering.running_totals(counted, [], "x", ["rows"], edges).select(plain.columns)
+    assert plain.exceptAll(cut).isEmpty() and cut.count() == plain.count()
+
+
 @pytest.mark.parametrize("rows_per_bucket", [1_000_000, 50])
 def test_values_at_positions(spark, rows_per_bucket):
     generator = np.random.default_rng(1)
@@ -123,8 +134,9 @@ def test_last_fold_counts(spark):
     assert sorted(tuple(r) for r in timeline.last_fold_scores(df, "id").collect()) == [(1, 2, 0.2), (2, 1, 0.3)]
 
 
-@pytest.mark.parametrize("accuracy", [10_000, 30])
-def test_exact_quantiles_whatever_the_sketch(spark, accuracy):
+@pytest.mark.parametrize("accuracy,rows_per_part", [(10_000, 10**8), (30, 10**8), (30, 300), (10_000, 50)])
+def test_exact_quantiles_whatever_the_sketch(spark, monkeypatch, accuracy, rows_per_part):
+    monkeypatch.setattr(quantiles, "ROWS_PER_PART", rows_per_part)
     generator = np.random.default_rng(4)
     x = np.where(generator.random(3_000) < 0.35, 12.5, generator.normal(0, 10, 3_000))
     pdf = [(float(v), float(v) ** 2, None, float(i % 2)) for i, v in enumerate(x)]
