@@ -9,6 +9,7 @@ from catalog.base import ORDERS, SINGLE, query, rounded, scored_orders, table
 from driftwell.functions import labels
 from driftwell.functions.numbers import finite, to_number
 from driftwell.operators import models, preprocess, profile
+from driftwell.operators.binning import column_moments
 
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 # Every 13th price is missing.
@@ -49,7 +50,7 @@ def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = profile.feature_metadata(gappy_lines(spark, sf_dir), LINE_NUMBERS)
     columns = ["feature", "missing_rate", "non_null_count", "mean", "min", "max", "std", "var", *profile.PERCENTILES]
     # Four places of a variance of prices is more than a double sum can promise.
-    exact = profile.number_moments(gappy_lines(spark, sf_dir), LINE_NUMBERS).select("feature", F.col("var").alias("v"))
+    exact = column_moments(gappy_lines(spark, sf_dir), LINE_NUMBERS, ["var"]).select("feature", F.col("var").alias("v"))
     return rounded(found.join(exact, "feature").withColumn("var", F.col("v")), {"var": SINGLE}).select(columns)
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from driftwell.functions.numbers import double_sql, finite_sql, numeric_columns, quoted, sql_name, string_columns
-from driftwell.operators.binning import MOMENTS_PER_PASS, column_chunks, long_form
+from driftwell.operators.binning import column_moments
 from driftwell.operators.quantiles import exact_quantiles
 
 
@@ -33,44 +33,37 @@ class NumberScaler:
             raise ValueError(f"unsupported strategy: {self.strategy}")
         self.columns = list(numeric_columns(df) if columns is None else columns)
         medians = exact_quantiles(df, self.columns, [0.5]) if self.strategy == "median" else {}
-        rows = df.count() if self.columns else 0
-        for chunk in column_chunks(self.columns, MOMENTS_PER_PASS):
-            self._fit_chunk(df, chunk, rows, medians)
+        if not self.columns:
+            return self
+        statistics = ["rows", "count", "mean", "variance", "min", "max"]
+        for row in column_moments(df, self.columns, statistics).collect():
+            self._learn(row, medians)
         return self
 
-    def _fit_chunk(self, df: DataFrame, columns: list[str], rows: int, medians: dict) -> None:
-        value = F.col("value")
-        moments = long_form(df, columns).groupBy("slot").agg(
-            F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("variance"),
-            F.min(value).alias("low"), F.max(value).alias("high"),
-        )
-        seen = {r["slot"]: r for r in moments.collect()}
-        for i, c in enumerate(columns):
-            row = seen.get(i)
-            n = row["n"] if row else 0
-            mean, variance = (row["mean"] or 0.0, row["variance"] or 0.0) if row else (0.0, 0.0)
-            low, high = (row["low"], row["high"]) if row else (None, None)
-            if self.strategy == "mean":
-                fill = mean
-            elif self.strategy == "median":
-                fill = (medians.get(c) or [0.0])[0]
-            else:
-                fill = 0.0
-            self.fills[c] = fill
-            part = n / rows if rows else 0.0
-            lows = [v for v in (low, fill if n < rows else None) if v is not None]
-            highs = [v for v in (high, fill if n < rows else None) if v is not None]
-            if self.scaler == "standard":
-                self.shifts[c] = part * mean + (1 - part) * fill
-                spread = part * variance + part * (1 - part) * (mean - fill) ** 2
-                constant = bool(lows) and min(lows) == max(highs)
-                self.scales[c] = 1.0 if constant or spread <= 0.0 else spread ** 0.5
-            elif self.scaler == "minmax":
-                self.shifts[c] = min(lows) if lows else 0.0
-                width = (max(highs) - min(lows)) if lows else 0.0
-                self.scales[c] = width if width > 0 else 1.0
-            else:
-                self.shifts[c], self.scales[c] = 0.0, 1.0
+    def _learn(self, row: Row, medians: dict) -> None:
+        c, rows, n = row["feature"], row["rows"], row["count"]
+        mean, variance, low, high = row["mean"] or 0.0, row["variance"] or 0.0, row["min"], row["max"]
+        if self.strategy == "mean":
+            fill = mean
+        elif self.strategy == "median":
+            fill = (medians.get(c) or [0.0])[0]
+        else:
+            fill = 0.0
+        self.fills[c] = fill
+        part = n / rows if rows else 0.0
+        lows = [v for v in (low, fill if n < rows else None) if v is not None]
+        highs = [v for v in (high, fill if n < rows else None) if v is not None]
+        if self.scaler == "standard":
+            self.shifts[c] = part * mean + (1 - part) * fill
+            spread = part * variance + part * (1 - part) * (mean - fill) ** 2
+            constant = bool(lows) and min(lows) == max(highs)
+            self.scales[c] = 1.0 if constant or spread <= 0.0 else spread ** 0.5
+        elif self.scaler == "minmax":
+            self.shifts[c] = min(lows) if lows else 0.0
+            width = (max(highs) - min(lows)) if lows else 0.0
+            self.scales[c] = width if width > 0 else 1.0
+        else:
+            self.shifts[c], self.scales[c] = 0.0, 1.0
 
     def expressions(self) -> list[Column]:
         made = []

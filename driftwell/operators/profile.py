@@ -13,79 +13,21 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from driftwell.functions.labels import engineered_description, engineered_table, semantic_group
-from driftwell.functions.numbers import NUMBERS, finite, finite_sql, numeric_columns, quoted, share, sql_name
-from driftwell.operators.binning import MOMENTS_PER_PASS, column_chunks, long_form
+from driftwell.functions.numbers import NUMBERS, finite, numeric_columns, quoted, share, sql_name
+from driftwell.operators.binning import column_moments
 from driftwell.operators.quantiles import exact_quantiles
 
 PERCENTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p95": 0.95}
 
 
-def _missing(df: DataFrame, column: str) -> str:
-    """SQL test for a missing value; only floats can be NaN."""
-    value = sql_name(column)
-    if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
-        return f"({value} IS NULL OR isnan({value}))"
-    return f"({value} IS NULL)"
-
-
-def number_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, count, mean, min, max, std, var) of number columns, infinities read as missing."""
-    value = F.col("value")
-    made = None
-    for chunk in column_chunks(columns, MOMENTS_PER_PASS):
-        part = long_form(df, chunk).groupBy("slot").agg(
-            F.count(value).alias("count"), F.avg(value).alias("mean"), F.min(value).alias("min"),
-            F.max(value).alias("max"), F.stddev_samp(value).alias("std"), F.var_samp(value).alias("var"),
-        ).withColumn("feature", F.array(*[F.lit(c) for c in chunk])[F.col("slot")]).drop("slot")
-        made = part if made is None else made.unionByName(part)
-    if made is None:
-        return df.sparkSession.createDataFrame(
-            [], "count long, mean double, min double, max double, std double, var double, feature string"
-        )
-    return made
-
-
-def column_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, rows, missing_count) of any columns, with the moments of the number columns, in one pass."""
-    value, made = F.col("value"), None
-    for chunk in column_chunks(columns, MOMENTS_PER_PASS):
-        cells = ", ".join(
-            f"named_struct('value', {finite_sql(c) if isinstance(df.schema[c].dataType, NUMBERS) else 'CAST(NULL AS DOUBLE)'}, "
-            f"'missing', CAST({_missing(df, c)} AS INT))"
-            for c in chunk
-        )
-        long = df.select(F.expr(f"posexplode(array({cells}))").alias("slot", "cell")).select("slot", "cell.*")
-        part = long.groupBy("slot").agg(
-            F.count(F.lit(1)).alias("rows"), F.sum("missing").alias("missing_count"),
-            F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
-            F.stddev_samp(value).alias("std"), F.var_samp(value).alias("var"),
-        ).withColumn("feature", F.array(*[F.lit(c) for c in chunk])[F.col("slot")]).drop("slot")
-        made = part if made is None else made.unionByName(part)
-    if made is None:
-        raise ValueError("no columns to profile")
-    return made
-
-
-def presence(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, rows, missing_count) of any columns."""
-    made = None
-    for chunk in column_chunks(columns, MOMENTS_PER_PASS):
-        cells = ", ".join(f"CAST({_missing(df, c)} AS INT)" for c in chunk)
-        part = df.select(F.expr(f"posexplode(array({cells}))").alias("slot", "missing")).groupBy("slot").agg(
-            F.count(F.lit(1)).alias("rows"), F.sum("missing").alias("missing_count")
-        ).withColumn("feature", F.array(*[F.lit(c) for c in chunk])[F.col("slot")]).drop("slot")
-        made = part if made is None else made.unionByName(part)
-    if made is None:
-        raise ValueError("no columns to profile")
-    return made
+SPREAD = ("mean", "min", "max", "std", "var")
 
 
 def missing_rates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(feature, missing_rate), highest first."""
-    found = presence(df, df.columns if columns is None else columns)
+    found = column_moments(df, df.columns if columns is None else columns, ["rows", "missing_count"])
     rate = share(F.col("missing_count"), F.col("rows")).alias("missing_rate")
     return found.select("feature", rate).orderBy(F.col("missing_rate").desc(), "feature")
 
@@ -117,9 +59,6 @@ class MissingRateFilter:
         return df.select(*keep, *[sql_name(c) for c in self.selected])
 
 
-MOMENTS = ("mean", "min", "max", "std", "var")
-
-
 def feature_metadata(
     df: DataFrame, columns: Sequence[str], descriptions: DataFrame | None = None
 ) -> DataFrame:
@@ -139,10 +78,10 @@ def feature_metadata(
     # Every side below holds one row per feature.
     base = df.sparkSession.createDataFrame(facts, schema)
     profile = (
-        base.join(column_facts(df, columns), "feature")
+        base.join(column_moments(df, columns, ["rows", "missing_count", *SPREAD]), "feature")
         .join(distinct_values(df, [c for c in columns if c not in known]), "feature", "left")
     )
-    rounded = {c: F.bround(c, 4) for c in (*MOMENTS, *PERCENTILES)}
+    rounded = {c: F.bround(c, 4) for c in (*SPREAD, *PERCENTILES)}
     counted = profile.withColumns(rounded | {
         "missing_rate": F.bround(share(F.col("missing_count"), F.col("rows")), 4),
         "non_null_count": F.col("rows") - F.col("missing_count"),
@@ -150,7 +89,7 @@ def feature_metadata(
     })
     return describe(counted, descriptions).select(
         "position", "feature", "description", "table", "semantic_group", "missing_rate", "non_null_count",
-        "dtype", *MOMENTS, "unique_count", *PERCENTILES,
+        "dtype", *SPREAD, "unique_count", *PERCENTILES,
     )
 
 
@@ -182,7 +121,7 @@ def feature_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     facts = [(c, *(quartiles.get(c) or [None] * 3)) for c in columns]
     base = df.sparkSession.createDataFrame(facts, "feature string, p25 double, p50 double, p75 double")
     joined = (
-        base.join(column_facts(df, columns), "feature")
+        base.join(column_moments(df, columns, ["rows", "missing_count", *SPREAD]), "feature")
         .join(distinct_values(df, columns), "feature", "left")
     )
     return joined.select(
@@ -218,7 +157,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     schema = "feature_a string, feature_b string, correlation double"
     if p < 2:
         return spark.createDataFrame([], schema)
-    moments = {r["feature"]: r for r in number_moments(df, columns).collect()}
+    moments = {r["feature"]: r for r in column_moments(df, columns, ["mean", "min", "max"]).collect()}
     parts: list[list[Column]] = [[], [], []]
     for c in columns:
         row = moments[c]
