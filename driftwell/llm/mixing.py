@@ -101,7 +101,8 @@ def mix(df: DataFrame, source: str, size: str, key: str, weights: Sequence[int]
     df = df.drop("source_size", "target", "times", "taken")
     # A NULL source joins as a tagged name; other names keep their order behind the tag.
     tag = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
-    slim = df.select(F.col(size).alias("size"), tag.alias("source"), row_hash(F.col(key), seed).alias("hash"))
+    # Stored, since every level of the search reads it: sizes are counted once.
+    slim = stored(df.select(F.col(size).alias("size"), tag.alias("source"), row_hash(F.col(key), seed).alias("hash")), "hashes")
     totals = slim.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     named = totals.select(F.expr("CASE WHEN source = 'n' THEN NULL ELSE substring(source, 2) END").alias("source"), "source_size")
     shares = source_targets(named, weights, most)

@@ -6,6 +6,7 @@ import math
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,3 +82,43 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
         .withColumn(name, F.col("_start") + inside)
         .drop("_place", "_part", "_start")
     )
+
+
+def grouped_map(df: DataFrame, by: Sequence[str], rows: Callable[[pa.Table], dict | None], schema: str) -> DataFrame:
+    """``rows`` on each group of ``by``, as Arrow tables; for groups of a bounded size.
+
+    Rows are dealt and sorted by ``by`` and groups are cut out of the stream of batches, which costs far less per
+    group than a grouped Python function when there are very many small groups.
+    """
+    kind = _parse_datatype_string(schema)
+    target = to_arrow_schema(kind)
+    by = list(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made = rows(pa.Table.from_batches(parts).combine_chunks())
+            if made is not None:
+                yield from pa.table([pa.array(made[f.name], f.type) for f in target], schema=target).to_batches()
+
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in by]
+            change = np.zeros(batch.num_rows, bool)
+            change[0] = True
+            for c in columns:
+                change[1:] |= c[1:] != c[:-1]
+            cuts = [*np.flatnonzero(change).tolist(), batch.num_rows]
+            for start, stop in zip(cuts, cuts[1:]):
+                here = tuple(c[start].item() for c in columns)
+                if here != key and held:
+                    yield from done(held)
+                    held = []
+                key = here
+                held.append(batch.slice(start, stop - start))
+        if held:
+            yield from done(held)
+
+    return df.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, kind)
