@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.llm.presplit import PATTERN, PieceCoder, byte_letters, special_ids
+from driftwell.llm.presplit import PATTERN, PIECES_KEPT, PieceCoder, Recent, byte_letters, special_ids
 from driftwell.llm.rows import arrow_map, as_text, utf8
 
 ARCS_KEPT = 2_000_000
@@ -138,18 +138,20 @@ class Bpe:
             self.labels[number] = text.encode()
         longest_first = sorted(self.special, key=len, reverse=True)
         self.finder = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
-        self.words: dict[str, bytes] = {}
+        self.words: Recent = Recent(PIECES_KEPT)
         self.coder = PieceCoder(self.pieces, self.whole, longest_first)
 
     def word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) > self.coder.kept:
-                self.words.clear()
-            found = self.words[word] = array("I", self.automaton.encode(word.encode())).tobytes()
+            found = self.words.old.get(word)
+            if found is None:
+                found = array("I", self.automaton.encode(word.encode())).tobytes()
+            self.words[word] = found
         return found
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
+        self.words.trim()
         split, word = PATTERN.findall, self.word
         return [b"".join(map(word, split(p))) for p in pieces]
 

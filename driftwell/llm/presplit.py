@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 from functools import lru_cache
-from itertools import chain
 
 import regex
 
@@ -20,7 +19,7 @@ PATTERN = regex.compile(
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", regex.V0
 )
 INNER_SPACE = regex.compile(r"\s")
-# Distinct pieces kept by a worker; the table starts anew beyond it, which costs time and changes nothing.
+# Distinct pieces kept by a worker; older ones are forgotten, which costs time and changes nothing.
 PIECES_KEPT = 600_000
 
 
@@ -41,8 +40,30 @@ def special_ids(model: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in json.loads(model).get("added_tokens", [])}
 
 
+class Recent(dict):
+    """A table of at most about ``kept`` entries: when half are full, they become the old half and the old half goes."""
+
+    def __init__(self, kept: int):
+        self.half, self.old = max(1, kept // 2), {}
+
+    def trim(self) -> None:
+        if len(self) > self.half:
+            self.old = dict(self)
+            self.clear()
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Keys in neither half. Keys of the old half are taken over."""
+        away = keys.difference(self)
+        back = away.intersection(self.old)
+        self.update({k: self.old[k] for k in back})
+        return list(away - back)
+
+
 class PieceCoder:
-    """Ids of whole texts as bytes, from ``pieces`` (ids of many pieces) and ``whole`` (ids of any text)."""
+    """Ids of whole texts as bytes, from ``pieces`` (ids of many pieces) and ``whole`` (ids of any text).
+
+    ``pieces`` gets pieces without white space but for one leading space, in texts without special tokens.
+    """
 
     def __init__(
         self,
@@ -51,34 +72,36 @@ class PieceCoder:
         specials: Sequence[str],
         kept: int = PIECES_KEPT,
     ):
-        self.pieces, self.whole, self.specials, self.kept = pieces, whole, list(specials), kept
+        self.pieces, self.whole, self.specials = pieces, whole, list(specials)
         # Keyed by the text behind a space, or from a line feed on; None marks white space inside.
-        self.known: dict[str, bytes | None] = {}
-        self.first: dict[str, bytes | None] = {}
+        self.known, self.first = Recent(kept), Recent(kept // 4)
+        self.space, self.line = whole(" "), whole("\n")
 
     def plain(self, text: str) -> bool:
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             return False
         return not any(s in text for s in self.specials)
 
-    def _learn(self, found: set[str], table: dict[str, bytes | None], lead: str) -> None:
-        new = []
-        for key in found.difference(table):
-            body = key[1:] if key[:1] == "\n" else key
-            if INNER_SPACE.search(body):
+    def _learn(self, found: set[str], table: Recent, lead: str) -> None:
+        table.trim()
+        keys, texts = [], []
+        for key in table.missing(found):
+            body = key[1:] if key[:1] == "\n" else lead + key
+            if INNER_SPACE.search(body, 1 if body[:1] == " " else 0):
                 table[key] = None
+            elif body == " ":
+                table[key] = self.space
+            elif not body:
+                table[key] = self.line
             else:
-                new.append(key)
-        texts = [k if k[:1] == "\n" else lead + k for k in new]
-        table.update(zip(new, self.pieces(texts)))
+                keys.append(key)
+                texts.append(body)
+        for key, ids in zip(keys, self.pieces(texts) if texts else []):
+            table[key] = self.line + ids if key[:1] == "\n" else ids
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        if len(self.known) > self.kept:
-            self.known.clear()
-        if len(self.first) > self.kept:
-            self.first.clear()
         cut = [t.replace("\n", " \n").split(" ") if self.plain(t) else None for t in texts]
-        self._learn(set(chain.from_iterable(p[1:] for p in cut if p)), self.known, " ")
+        self._learn(set().union(*[p[1:] for p in cut if p]), self.known, " ")
         self._learn({p[0] for p in cut if p and p[0]}, self.first, "")
         get, out = self.known.__getitem__, []
         for text, parts in zip(texts, cut):
