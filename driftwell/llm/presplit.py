@@ -20,7 +20,7 @@ PATTERN = regex.compile(
 )
 INNER_SPACE = regex.compile(r"\s")
 # Distinct pieces kept by a worker; older ones are forgotten, which costs time and changes nothing.
-PIECES_KEPT = 600_000
+PIECES_KEPT = 400_000
 
 
 @lru_cache(maxsize=1)
@@ -84,20 +84,28 @@ class PieceCoder:
 
     def _learn(self, found: set[str], table: Recent, lead: str) -> None:
         table.trim()
-        keys, texts = [], []
-        for key in table.missing(found):
-            body = key[1:] if key[:1] == "\n" else lead + key
-            if INNER_SPACE.search(body, 1 if body[:1] == " " else 0):
-                table[key] = None
-            elif body == " ":
-                table[key] = self.space
-            elif not body:
-                table[key] = self.line
-            else:
-                keys.append(key)
-                texts.append(body)
-        for key, ids in zip(keys, self.pieces(texts) if texts else []):
-            table[key] = self.line + ids if key[:1] == "\n" else ids
+        new = table.missing(found)
+        special = [k for k in new if k[:1] == "\n" or not k]
+        if special:
+            new = [k for k in new if k and k[:1] != "\n"]
+        self._add(table, new, lead, b"")
+        if special:
+            table.update((k, self.space if not k else self.line) for k in special if len(k) < 2)
+            self._add(table, [k for k in special if len(k) > 1], "\n", self.line)
+
+    def _add(self, table: Recent, keys: list[str], lead: str, before: bytes) -> None:
+        """Add ``keys``, which stand behind ``lead``; a line feed is a piece of its own, with the ids ``before``."""
+        skip = 1 if before else 0
+        # Looked for in all keys at once (line feeds at their beginnings are known).
+        found = INNER_SPACE.search("a".join([k[1:] for k in keys] if skip else keys))
+        if found:
+            odd = {k for k in keys if INNER_SPACE.search(k, skip)}
+            table.update(dict.fromkeys(odd))
+            keys = [k for k in keys if k not in odd]
+        if not keys:
+            return
+        made = self.pieces([k[1:] for k in keys] if skip else [lead + k for k in keys])
+        table.update(zip(keys, [before + ids for ids in made] if skip else made))
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         cut = [t.replace("\n", " \n").split(" ") if self.plain(t) else None for t in texts]

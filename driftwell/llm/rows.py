@@ -40,7 +40,7 @@ def as_text(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
-def arrow_map(df: DataFrame, rows: Callable[[pa.Table], dict], schema: str | StructType, piece: int = 4 << 20) -> DataFrame:
+def arrow_map(df: DataFrame, rows: Callable[[pa.Table], dict], schema: str | StructType, piece: int = 2 << 20) -> DataFrame:
     """``df`` through ``rows``: a table of at most about ``piece`` bytes in, columns in the order of ``schema`` out.
 
     Batches are cut by bytes, so very long texts do not pile up in a worker.

@@ -34,6 +34,8 @@ MAGIC = b"bitpack1"
 BLOCK = 1 << 16
 # Ids in one file: about 8 MB at 16 bits. Bounds a worker's memory on both ways.
 FILE_IDS = 1 << 22
+# Pieces encoded in one call. The library needs about a kilobyte for each token of a call.
+JOINED = 512
 # bits, ids, blocks, documents, part, piece, directory bytes
 TRAILER = struct.Struct("<IQQQQQQ8s")
 
@@ -154,14 +156,18 @@ def library_coder(model: str) -> PieceCoder:
         line = tokenizer.encode("\n", add_special_tokens=False).ids
 
         def pieces(found: list[str]) -> list[bytes]:
-            """All pieces in one call, a line feed between two: its id comes from nothing else in them."""
-            if len(line) == 1:
-                ids = np.array(tokenizer.encode_batch_fast(["\n".join(found)], add_special_tokens=False)[0].ids, "<u4")
+            """Many pieces in one call, a line feed between two: its id comes from nothing else in them."""
+            out: list[bytes] = []
+            for i in range(0, len(found), JOINED):
+                part = found[i : i + JOINED]
+                ids = np.array(tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
                 ends = np.append(np.flatnonzero(ids == line[0]), len(ids))
-                if len(ends) == len(found):
+                if len(line) == 1 and len(ends) == len(part):
                     flat, bounds = ids.tobytes(), (4 * ends).tolist()
-                    return [flat[a:b] for a, b in zip([0, *[e + 4 for e in bounds]], bounds)]
-            return [as_ids(e) for e in tokenizer.encode_batch(found, add_special_tokens=False)]
+                    out += [flat[a:b] for a, b in zip([0, *[e + 4 for e in bounds]], bounds)]
+                else:
+                    out += [as_ids(e) for e in tokenizer.encode_batch(part, add_special_tokens=False)]
+            return out
 
         _CODERS.clear()
         _CODERS[key] = PieceCoder(
@@ -191,7 +197,7 @@ def write_token_files(df: DataFrame, text: str, key: str, path: str, folder: str
         ids: list[bytes] = []
         held = 0
         for batch in batches:
-            step = max(1, math.ceil(batch.num_rows / max(1, math.ceil(batch.nbytes / (4 << 20)))))
+            step = max(1, math.ceil(batch.num_rows / max(1, math.ceil(batch.nbytes / (2 << 20)))))
             for start in range(0, batch.num_rows, step):
                 rows = batch.slice(start, step)
                 keys += rows["key"].to_pylist()
