@@ -270,7 +270,10 @@ def extract_pages(
     few = low.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     placed = trees.select("uid", "host", F.posexplode(F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), b["content"].alias("content"), b["kept"].alias("kept")))).alias("at", "b"))
     hit = placed.where("b.kept").select("uid", "host", "at", "b.node", "b.content").join(F.broadcast(low) if few else low, ["host", "node", "content"])
-    dropped = hit.groupBy("uid").agg(F.collect_set("at").alias("dropped"))
+    # Pages that lose a branch, a few numbers each; sent to the pages rather than the pages' texts to them while few.
+    dropped = stored(hit.groupBy("uid").agg(F.collect_set("at").alias("dropped")), "dropped")
+    if dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
     text = F.array_join(
         F.transform(
             F.filter("blocks", lambda b, i: b["kept"] & ~F.coalesce(F.array_contains("dropped", i), F.lit(False))), lambda b: b["text"]
