@@ -18,7 +18,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without text or any letter go."""
     net = fit(docs, "text", "lang", "doc_id")
-    found = identify(docs.select("*", F.col("text").alias("_text")), "_text", docs.columns, net)
+    found = identify(docs, "text", docs.columns, net)
     return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 

@@ -24,10 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.llm.presplit import PATTERN, PIECES_KEPT, PieceCoder, Recent, byte_letters, special_ids
+from driftwell.llm.presplit import PATTERN, PieceCoder, Recent, byte_letters, special_ids
 from driftwell.llm.rows import arrow_map, as_text, utf8
 
-ARCS_KEPT = 2_000_000
+# Bounds of a worker's tables; what is forgotten is found again.
+ARCS_KEPT = 300_000
+WORDS_KEPT = 200_000
 
 
 class Automaton:
@@ -138,8 +140,8 @@ class Bpe:
             self.labels[number] = text.encode()
         longest_first = sorted(self.special, key=len, reverse=True)
         self.finder = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
-        self.words: Recent = Recent(PIECES_KEPT)
-        self.coder = PieceCoder(self.pieces, self.whole, longest_first)
+        self.words: Recent = Recent(WORDS_KEPT)
+        self.coder = PieceCoder(self.pieces, self.whole, longest_first, WORDS_KEPT)
 
     def word(self, word: str) -> bytes:
         found = self.words.get(word)

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.llm.rows import arrow_map, as_text, utf8
+from driftwell.llm.rows import arrow_map, as_text
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -83,7 +83,7 @@ def cut_windows(raws: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     windows = np.full((len(of), WINDOW), PAD, np.int16)
     for i in range(0, len(of), 4096):
         part = slice(i, i + 4096)
-        taken = flat[np.minimum(starts[part, None] + places, len(flat) - 1)]
+        taken = flat[np.minimum(starts[part, None] + places, len(flat) - 1)].astype(np.int16)
         windows[part] = np.where(places < held[part, None], taken, PAD)
     return windows, of, np.maximum(held, 1)
 
@@ -225,11 +225,14 @@ def identify(df: DataFrame, text: str, keys: Sequence[str], net: Network | None)
     """
     shared = df.sparkSession.sparkContext.broadcast(net)
     names = [f"k{i}" for i in range(len(keys))]
-    slim = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], utf8(F.col(text)).alias("raw"))
+    # A text that is also a key travels once.
+    source = names[list(keys).index(text)] if text in keys else "raw"
+    raw = [] if text in keys else [F.col(text).alias("raw")]
+    slim = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *raw)
     fields = "".join(f"{n} {slim.schema[n].dataType.simpleString()}, " for n in names)
 
     def run(rows: pa.Table) -> dict:
-        found, scores = predict(shared.value, rows["raw"].to_pylist())
+        found, scores = predict(shared.value, rows[source].cast(pa.binary()).to_pylist())
         return {n: rows[n] for n in names} | {"lang_pred": found, "score": scores}
 
     made = arrow_map(slim, run, f"{fields}lang_pred string, score double")

@@ -353,6 +353,8 @@ def near_classes(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], s:
     degree = members.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     degree = stored(degree, "near-degree")
     labels = degree.select("node", F.col("node").alias("label"))
+    if not degree.limit(1).count():
+        return labels
     sets = stored(sets_of(degree.select("node")), "near-sets")
 
     def with_labels(rows: DataFrame) -> DataFrame:

@@ -190,13 +190,16 @@ def block_kinds(blocks: list[tuple[Element, str]], root: Element) -> list[bool]:
     inside the article where one is marked."""
     known: dict[int, tuple[bool, bool]] = {}
 
-    def state(e: Element | None) -> tuple[bool, bool]:
-        if e is None:
-            return True, False
-        if id(e) not in known:
-            clean, inside = state(e.parent)
-            known[id(e)] = clean and not (e.noise and not e.holds_main), inside or (e.main and not e.noise)
-        return known[id(e)]
+    def state(e: Element) -> tuple[bool, bool]:
+        chain, up = [], e
+        while up is not None and id(up) not in known:
+            chain.append(up)
+            up = up.parent
+        clean, inside = known[id(up)] if up is not None else (True, False)
+        for x in reversed(chain):
+            clean, inside = clean and not (x.noise and not x.holds_main), inside or (x.main and not x.noise)
+            known[id(x)] = clean, inside
+        return clean, inside
 
     return [clean and (inside or not root.holds_main) for clean, inside in (state(e) for e, _ in blocks)]
 

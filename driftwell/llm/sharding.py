@@ -64,7 +64,7 @@ def walked(spark: SparkSession, f: Feistel) -> DataFrame | None:
     There are left * right - rows < left such places, about the square root of the rows, and all are walked until
     none is left, so the shuffle is whole without a bound on the steps.
     """
-    if f.left * f.right <= f.rows:
+    if not f.rows or f.left * f.right <= f.rows:
         return None
     outside, ended = spark.range(f.rows, f.left * f.right).select(F.col("id").alias("_from"), F.col("id").alias("_to")), []
     while True:

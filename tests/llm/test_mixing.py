@@ -63,7 +63,7 @@ def test_odd_documents(spark):
     assert got(nothing) == brute([(1, None, None), (2, "", "a")])
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_hot_source(spark, seed):
     pool = words(500, seed)
     rows = [(i, " ".join(pool[i % 400 : i % 400 + 1 + i * seed % 37]), "en", "hot" if i % 3 else f"s{i % 7}") for i in range(1_500)]
