@@ -70,7 +70,8 @@ def walked(spark: SparkSession, f: Feistel) -> DataFrame | None:
     while True:
         step = stored(permute_once(outside, "_to", f), "walk")
         ended.append(step.where(F.col("_to") < f.rows))
-        outside = step.where(F.col("_to") >= f.rows)
+        # A walk that comes back to its beginning stays outside for ever: no row leads into it.
+        outside = step.where((F.col("_to") >= f.rows) & (F.col("_to") != F.col("_from")))
         if not outside.limit(1).count():
             return reduce(DataFrame.union, ended)
 
