@@ -18,6 +18,7 @@ import hashlib
 import json
 from array import array
 from collections.abc import Sequence
+from functools import partial
 
 import pyarrow as pa
 import regex
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.llm.presplit import PATTERN, PieceCoder, Recent, byte_letters, special_ids
-from driftwell.llm.rows import arrow_map, as_text, utf8
+from driftwell.llm.rows import arrow_map, as_text, kept, utf8
 
 # Bounds of a worker's tables; what is forgotten is found again.
 ARCS_KEPT = 300_000
@@ -173,16 +174,9 @@ class Bpe:
         return b"".join(map(self.labels.__getitem__, array("I", ids))).decode("utf-8", "replace")
 
 
-_MADE: dict[str, Bpe] = {}
-
-
 def bpe_of(model: str) -> Bpe:
-    """The compiled automaton, once per worker process."""
-    key = hashlib.sha256(model.encode()).hexdigest()
-    if key not in _MADE:
-        _MADE.clear()
-        _MADE[key] = Bpe(model)
-    return _MADE[key]
+    """The compiled automaton, kept by a worker while it encodes."""
+    return kept(hashlib.sha256(model.encode()).hexdigest(), partial(Bpe, model))
 
 
 def read_model(path: str) -> str:
@@ -214,5 +208,5 @@ def code_texts(df: DataFrame, text: str, keys: Sequence[str], path: str, keep: S
         }
         return out | {"ids": ids, "decoded": decoded}
 
-    made = arrow_map(slim, code, f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
+    made = arrow_map(slim, code, f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}", keeps=True)
     return made.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], *made.columns[len(names) :])

@@ -456,12 +456,13 @@ def without_near_duplicates(df: DataFrame, text: str, key: str, s: Scheme) -> Da
         same = rows["_key"].eqNullSafe(side["_id"]) & (rows["_hash"] == side["_tie"])
         return rows.join(F.broadcast(side) if small else side, same, how)
 
-    rows = df.withColumns({"_key": F.col(key).cast("long"), "_hash": F.xxhash64(utf8(F.col(text)))})
+    # The whole row as one column, so that no name of ``df`` can clash.
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(key).cast("long").alias("_key"), F.xxhash64(utf8(F.col(text))).alias("_hash"))
     staying = met(leaving, "left_anti", rows)
     if several.limit(1).count():
         once = met(several, "left_semi", staying).dropDuplicates(["_key", "_hash"])
         staying = met(several, "left_anti", staying).unionByName(once)
-    return staying.drop("_key", "_hash")
+    return staying.select("row.*")
 
 
 def document_duplicates(docs: DataFrame) -> DataFrame:

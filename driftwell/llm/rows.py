@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -40,15 +42,46 @@ def as_text(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
-def arrow_map(df: DataFrame, rows: Callable[[pa.Table], dict], schema: str | StructType, piece: int = 2 << 20) -> DataFrame:
+# What a worker keeps from task to task (a compiled vocabulary): one such thing at a time.
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], object]) -> object:
+    """``make()``, kept by this worker for later tasks that ask for ``key``."""
+    if key not in _KEPT:
+        drop_kept()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def drop_kept() -> None:
+    """Forget what an earlier task kept: workers are used again by other operators, which need the memory."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, since an idle worker counts towards its executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def arrow_map(
+    df: DataFrame, rows: Callable[[pa.Table], dict], schema: str | StructType, piece: int = 2 << 20, keeps: bool = False
+) -> DataFrame:
     """``df`` through ``rows``: a table of at most about ``piece`` bytes in, columns in the order of ``schema`` out.
 
-    Batches are cut by bytes, so very long texts do not pile up in a worker.
+    Batches are cut by bytes, so very long texts do not pile up in a worker. ``keeps`` says that ``rows`` uses ``kept``.
     """
     kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     target = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            drop_kept()
         for batch in batches:
             parts = max(1, math.ceil(batch.nbytes / piece))
             step = max(1, math.ceil(batch.num_rows / parts))
@@ -56,6 +89,7 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.Table], dict], schema: str | Str
                 made = rows(pa.Table.from_batches([batch.slice(start, step)]))
                 out = pa.table([pa.array(made[f.name], f.type) if not isinstance(made[f.name], (pa.Array, pa.ChunkedArray)) else made[f.name].cast(f.type) for f in target], schema=target)
                 yield from out.to_batches()
+        give_back()
 
     return df.mapInArrow(run, kind)
 
@@ -100,6 +134,7 @@ def grouped_map(df: DataFrame, by: Sequence[str], rows: Callable[[pa.Table], dic
             if made is not None:
                 yield from pa.table([pa.array(made[f.name], f.type) for f in target], schema=target).to_batches()
 
+        drop_kept()
         held: list[pa.RecordBatch] = []
         key = None
         for batch in batches:
@@ -120,5 +155,6 @@ def grouped_map(df: DataFrame, by: Sequence[str], rows: Callable[[pa.Table], dic
                 held.append(batch.slice(start, stop - start))
         if held:
             yield from done(held)
+        give_back()
 
     return df.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, kind)

@@ -17,6 +17,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator, Sequence
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from driftwell.llm.bpe import read_model
 from driftwell.llm.presplit import PieceCoder, special_ids
-from driftwell.llm.rows import arrow_map, as_text, stored, utf8, work_path
+from driftwell.llm.rows import arrow_map, as_text, kept, stored, utf8, work_path
 from driftwell.session import small_side
 
 MAGIC = b"bitpack1"
@@ -138,42 +139,37 @@ def open_file(data: bytes) -> TokenFile:
     return TokenFile(memoryview(data), bits, n, part, piece, offsets, named, np.append(starts, n).astype(np.int64))
 
 
-_CODERS: dict[int, PieceCoder] = {}
-
-
 def library_coder(model: str) -> PieceCoder:
-    """Texts to ids with the tokenizers library, each distinct piece encoded once per worker."""
-    key = hash(model)
-    if key not in _CODERS:
-        # A task has one core; the library's own threads would take others'.
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(model)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        as_ids = lambda e: array("I", e.ids).tobytes()
-        line = tokenizer.encode("\n", add_special_tokens=False).ids
-
-        def pieces(found: list[str]) -> list[bytes]:
-            """Many pieces in one call, a line feed between two: its id comes from nothing else in them."""
-            out: list[bytes] = []
-            for i in range(0, len(found), JOINED):
-                part = found[i : i + JOINED]
-                ids = np.array(tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
-                ends = np.append(np.flatnonzero(ids == line[0]), len(ids))
-                if len(line) == 1 and len(ends) == len(part):
-                    flat, bounds = ids.tobytes(), (4 * ends).tolist()
-                    out += [flat[a:b] for a, b in zip([0, *[e + 4 for e in bounds]], bounds)]
-                else:
-                    out += [as_ids(e) for e in tokenizer.encode_batch(part, add_special_tokens=False)]
-            return out
-
-        _CODERS.clear()
-        _CODERS[key] = PieceCoder(
-            pieces, lambda text: as_ids(tokenizer.encode(text, add_special_tokens=False)), list(special_ids(model))
-        )
-    return _CODERS[key]
+    """The tokenizers library's coder, kept by a worker while it encodes: each distinct piece is encoded once."""
+    return kept(f"library {hash(model)}", partial(_library_coder, model))
+
+
+def _library_coder(model: str) -> PieceCoder:
+    # A task has one core; the library's own threads would take others'.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(model)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    as_ids = lambda e: array("I", e.ids).tobytes()
+    line = tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def pieces(found: list[str]) -> list[bytes]:
+        """Many pieces in one call, a line feed between two: its id comes from nothing else in them."""
+        out: list[bytes] = []
+        for i in range(0, len(found), JOINED):
+            part = found[i : i + JOINED]
+            ids = np.array(tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == line[0]), len(ids))
+            if len(line) == 1 and len(ends) == len(part):
+                flat, bounds = ids.tobytes(), (4 * ends).tolist()
+                out += [flat[a:b] for a, b in zip([0, *[e + 4 for e in bounds]], bounds)]
+            else:
+                out += [as_ids(e) for e in tokenizer.encode_batch(part, add_special_tokens=False)]
+        return out
+
+    return PieceCoder(pieces, lambda text: as_ids(tokenizer.encode(text, add_special_tokens=False)), list(special_ids(model)))
 
 
 def write_token_files(df: DataFrame, text: str, key: str, path: str, folder: str, end_id: int = 0, file_ids: int = FILE_IDS) -> None:

@@ -68,8 +68,9 @@ def test_hot_source(spark, seed):
     pool = words(500, seed)
     rows = [(i, " ".join(pool[i % 400 : i % 400 + 1 + i * seed % 37]), "en", "hot" if i % 3 else f"s{i % 7}") for i in range(1_500)]
     assert got(docs(spark, rows)) == brute([(i, t, s) for i, t, _, s in rows])
-    per = {}
+    # By source: sources of one weight share one target.
+    source, per = {i: s for i, _, _, s in rows}, {}
     for r in mixing.mix_documents(docs(spark, rows)).collect():
         assert r.taken <= 3 * r["size"]
-        per.setdefault(r.target, []).append(r.taken)
-    assert all(abs(sum(v) - t) <= 40 for t, v in per.items())
+        per.setdefault((source[r.doc_id], r.target), []).append(r.taken)
+    assert all(abs(sum(v) - t) <= 40 for (_, t), v in per.items())

@@ -38,9 +38,11 @@ def test_each_stage_by_brute_force(spark, sf_dir):
 
 def test_odd_and_empty_documents(spark, sf_dir):
     for df in (odd_docs(spark), docs(spark, [])):
-        df = df.withColumn("_hash", F.lit(1))
+        df = df.withColumns({c: F.lit(1) for c in ("_hash", "_key", "_size", "_copy", "lang_pred", "target", "source_size", "row")})
+        names = df.columns
         for _, stage in corpus_pipeline.STAGES[:-1]:
             df = stage(spark, df, sf_dir)
+            assert df.columns == names
         assert df.where("text is null").count() == 0
         assert corpus_pipeline.STAGES[-1][1](spark, df, sf_dir).count() == df.count()
 
