@@ -18,8 +18,10 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without text or any letter go."""
     net = fit(docs, "text", "lang", "doc_id")
-    found = identify(docs, "text", docs.columns, net)
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    # Numbered names: a document may have columns named like the prediction's.
+    numbered = [f"c{i}" for i in range(len(docs.columns))]
+    found = identify(docs.toDF(*numbered), numbered[docs.columns.index("text")], numbered, net)
+    return found.where(F.col("lang_pred") != UNKNOWN).select(*numbered).toDF(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +31,10 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it: not at all, once, or up to three times."""
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    taken = mix(sized, "source", "_size", "doc_id")
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+    # The whole row as one column: a document may have columns named like the mix's.
+    sized = docs.select(F.struct(*docs.columns).alias("row"), "source", "doc_id", word_count(F.col("text")).alias("size"))
+    taken = mix(sized, "source", "size", "doc_id")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
