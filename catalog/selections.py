@@ -184,12 +184,13 @@ outer_rank AS (SELECT feature, rank FROM overall WHERE run_id = 'A' AND rank <=
 inner_rank AS (SELECT feature, rank FROM overall WHERE run_id = 'R' AND rank <= 25)"""
 
 
-def overall(spark: SparkSession, sf_dir: str, run: str, top: int) -> DataFrame:
-    """(feature, rank) of a run over all years."""
+def overall(spark: SparkSession, sf_dir: str, run: str, top: int | None = None) -> DataFrame:
+    """(feature, rank) of a run over all years: the ``top`` first, or all."""
     totals = volume(spark, sf_dir).where(F.col("run_id") == run).groupBy("feature_name").agg(F.sum("score").alias("score"))
     order = Window.orderBy(F.col("score").desc(), "feature_name")
     # One row per feature name.
-    return totals.select(F.col("feature_name").alias("feature"), F.row_number().over(order).alias("rank")).where(F.col("rank") <= top)
+    ranked = totals.select(F.col("feature_name").alias("feature"), F.row_number().over(order).alias("rank"))
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
 @query("fill_to_budget", f"""
@@ -229,7 +230,7 @@ def hybrid_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {OVERALL} SELECT feature, rank, rank <= 20 AS selected_for_lr_top20, rank <= 40 AS selected_for_catboost_top40,
        rank <= 60 AS candidate_for_lr_hybrid, rank <= 100 AS candidate_for_catboost_hybrid FROM overall WHERE run_id = 'N'""")
 def budget_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.with_budget_flags(overall(spark, sf_dir, "N", 10_000), selection.RANKING_BUDGETS)
+    return selection.with_budget_flags(overall(spark, sf_dir, "N"), selection.RANKING_BUDGETS)
 
 
 @query("core_frequency", f"""

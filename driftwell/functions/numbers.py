@@ -62,6 +62,13 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(quoted(c)), quoted(c)) for c in floats}) if floats else df
 
 
+def finite_floats(df: DataFrame) -> DataFrame:
+    """NaN and infinities become NULL in every float column, which keeps its type."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, FLOATS)]
+    kept = {c: F.when(~F.isnan(quoted(c)) & (F.abs(quoted(c)) != F.lit(math.inf)), quoted(c)) for c in floats}
+    return df.withColumns(kept) if floats else df
+
+
 def to_number(value: Column) -> Column:
     """Number held in text, NULL where there is none."""
     return finite(value.try_cast("double"))

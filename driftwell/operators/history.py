@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.functions.numbers import (
-    finite, finite_sql, nan_to_null, numeric_columns, positive_flag, quoted, safe_ratio, share, sql_name, string_columns,
+    finite, finite_floats, nan_to_null, numeric_columns, positive_flag, quoted, safe_ratio, share, sql_name, string_columns,
 )
 from driftwell.operators.binning import column_chunks, long_form
 from driftwell.operators.ordering import ROWS_PER_BUCKET, bucket_edges, running_totals
@@ -23,7 +23,6 @@ BUREAU_KEY = "SK_ID_BUREAU"
 KEY_PREFIX = "SK_ID"
 FEW_VALUES = ("MEAN", "SUM")
 MANY_VALUES = ("MIN", "MAX", "MEAN", "SUM", "VAR")
-FIRST_ROWS = 1_000
 
 Tables = Mapping[str, DataFrame]
 
@@ -51,15 +50,14 @@ def profile_for_aggregation(
 ) -> AggregationPlan:
     """Which statistics each column gets: columns with at most two distinct values get mean and sum only.
 
-    Three values among the first rows settle most columns. The others, mostly flags, take one pass with a
-    three-bin adaptive histogram per column. It merges the closest bins first, so equal values end up
+    One pass with a three-bin adaptive histogram per column. It merges the closest bins first, so equal values end up
     together and three separate bins prove three values. Only bins that lie within rounding of each other
     leave it open; those columns are counted exactly.
     """
     columns = [c for c in numeric_columns(df, {key}) if not c.startswith(KEY_PREFIX)]
-    many = _settled_early(df, columns)
+    many: set[str] = set()
     unsure: list[str] = []
-    for chunk in column_chunks([c for c in columns if c not in many]):
+    for chunk in column_chunks(columns):
         bins = F.transform(F.histogram_numeric("value", F.lit(3)), lambda b: b["x"]).alias("points")
         found = long_form(df, chunk).where(F.col("value").isNotNull()).groupBy("slot").agg(bins)
         for row in found.collect():
@@ -80,14 +78,6 @@ def profile_for_aggregation(
     )
 
 
-def _settled_early(df: DataFrame, columns: Sequence[str]) -> set[str]:
-    """Columns with more than two values among the first rows, wherever these come from."""
-    if not columns:
-        return set()
-    head = df.select(*[F.expr(f"{finite_sql(c)} AS v{i}") for i, c in enumerate(columns)]).limit(FIRST_ROWS).collect()
-    return {c for i, c in enumerate(columns) if len({r[i] for r in head if r[i] is not None}) > 2}
-
-
 def _more_than_two(df: DataFrame, columns: Sequence[str]) -> set[str]:
     """Columns with a value that is neither the least nor the greatest."""
     if not columns:
@@ -123,9 +113,10 @@ def mass_aggregate(
 ) -> DataFrame:
     """Every number column to ``{prefix}_{column}_{STAT}`` per key, in one hash aggregation.
 
-    All statistics merge, so a hot key is reduced before the shuffle. Rows without a key are left out.
+    All statistics merge, so a hot key is reduced before the shuffle. Rows without a key are left out. NaN and
+    infinities are missing, as they are for the plan.
     """
-    df = nan_to_null(df)
+    df = finite_floats(df)
     plan = plan or profile_for_aggregation(df, key, categorical)
     order = {c: i for i, c in enumerate(df.columns)}
     wanted = sorted(

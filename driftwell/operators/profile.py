@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
@@ -189,16 +191,36 @@ def complete_correlation(df: DataFrame, columns: Sequence[str], method: str = "p
 
 
 def rank_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Spearman correlations over the rows where all the columns are present."""
-    complete = df.select(*[finite(quoted(c)).alias(c) for c in columns]).dropna()
-    matrix = complete_correlation(complete, columns, "spearman")
-    rows = [
-        (a, b, float(matrix[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)
-    ]
-    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, correlation double")
+    """Spearman correlations, each over the rows where both columns of the pair are present.
 
+    Columns without missing values are ranked together; a pair with a column that has some is ranked by itself, since
+    ranks depend on the rows that take part. NULL where a column is constant or fewer than two rows are left.
+    """
+    numbers = df.select(*[finite(quoted(c)).alias(c) for c in columns])
+    counts = numbers.agg(F.count(F.lit(1)), *[F.count(quoted(c)) for c in columns]).first()
+    full = [c for c, n in zip(columns, counts[1:]) if n == counts[0]]
+    found: dict[tuple[str, str], float | None] = {}
+
+    def measure(group: Sequence[str], complete: DataFrame) -> None:
+        enough = complete.limit(2).count() == 2
+        matrix = complete_correlation(complete, group, "spearman") if enough else np.full((len(group), len(group)), np.nan)
+        for i, a in enumerate(group):
+            for j, b in enumerate(group):
+                value = float(matrix[i, j])
+                found.setdefault((a, b), None if math.isnan(value) else value)
+
+    if len(full) > 1:
+        measure(full, numbers.select(*[quoted(c) for c in full]))
+    for a, b in combinations(columns, 2):
+        if (a, b) not in found:
+            measure([a, b], numbers.select(quoted(a), quoted(b)).dropna())
+    # A column with itself: 1 unless it is constant, over its own rows.
+    ends = numbers.agg(*[f(quoted(c)) for c in columns for f in (F.min, F.max)]).first()
+    for i, c in enumerate(columns):
+        found[c, c] = 1.0 if ends[2 * i] != ends[2 * i + 1] else None
+    rows = [(a, b, found[a, b]) for a in columns for b in columns]
+    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, correlation double")
 
-# ---- Cards ----
 
 def feature_cards(metadata: DataFrame) -> DataFrame:
     """(position, feature, card): one line of text per feature for a reviewer who never sees rows."""

@@ -141,3 +141,10 @@ def test_kept_plans_give_the_same_features(spark):
     assert set(plans) == {"BB", "BURO", "POS"} and plans["BB"].levels == (("STATUS", ("x", "y", None)),)
     for kept, fresh in zip(history.all_history_features(tables, plans, categorical="onehot"), history.all_history_features(tables, categorical="onehot")):
         assert kept.columns == fresh.columns and kept.exceptAll(fresh).isEmpty() and kept.count() == fresh.count()
+
+
+def test_infinities_are_missing_in_mass_aggregation(spark):
+    df = spark.createDataFrame([(1, 0.0), (1, 1.0), (1, math.inf), (2, math.nan), (2, 1.0)], "k int, v double")
+    found = history.mass_aggregate(df, "k", "P")
+    assert [c for c in found.columns if c != "k"] == ["P_v_MEAN", "P_v_SUM"]
+    assert rows(found.select("k", "P_v_MEAN", "P_v_SUM"), "k") == [(1, 0.5, 1.0), (2, 1.0, 1.0)]

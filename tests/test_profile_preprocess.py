@@ -129,3 +129,17 @@ def test_rare_levels_are_pooled(spark):
     assert many.attach(unseen).select(*many.expressions()).agg(F.sum("t_infrequent_sklearn")).first()[0] == 55.0
     with pytest.raises(ValueError):
         preprocess.LevelEncoder(min_frequency=1, max_levels=2).fit(wide)
+
+
+def test_rank_correlation_by_pairs(spark):
+    import pandas as pd
+
+    data = {
+        "a": [1.0, 2.0, 3.0, 4.0, 5.0, 6.0], "b": [2.0, 1.0, 4.0, 3.0, 6.0, 5.0],
+        "c": [None, 9.0, 1.0, None, 4.0, 2.0], "same": [7.0] * 6, "none": [None] * 6,
+    }
+    df = spark.createDataFrame(list(zip(*data.values())), ", ".join(f"{c} double" for c in data))
+    want = pd.DataFrame(data, dtype=float).corr("spearman")
+    for r in profile.rank_correlation(df, list(data)).collect():
+        expected = want.loc[r.feature_a, r.feature_b]
+        assert r.correlation is None if math.isnan(expected) else abs(r.correlation - expected) < 1e-12
