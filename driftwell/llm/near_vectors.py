@@ -8,6 +8,10 @@ A list whose entries all reach the threshold is saturated: there may be more. Si
 partners' partners, its list is enlarged to its whole connected component: components are cut into blocks and blocks
 compared two by two, so inside components the links are complete and only counts leave the tasks.
 
+A link between two saturated vectors of different components is in neither list if both have LIST nearer ones. So
+saturated vectors are searched once more for their nearest ones outside their own component, and components that turn
+out to be linked are joined, until none is. Any one link joins two components, and their links are then counted in full.
+
 Recall is audited: a fixed sample of vectors is compared with all vectors, and while the share of their links that
 was found lies below the target, further trees and rounds are added.
 
@@ -116,13 +120,19 @@ def leaves(nodes: DataFrame, trees: int, seed: int, wide: int, bits: int) -> Dat
 
 
 def _nearest(rows: pa.Table) -> dict | None:
-    """For each vector of a group, its nearest ones in the group that beat the worst entry of its list."""
+    """For each vector of a group, its nearest ones in the group that beat the worst entry of its list.
+
+    With a column ``root``, only vectors of another root count.
+    """
     node, worst, dims = rows["node"].to_numpy(), rows["worst"].to_numpy(), _dims(rows)
     if len(node) < 2:
         return None
     x = _matrix(rows["vec"].to_pylist(), dims)
     sims = _cosines(x, x, dims, dims)
     np.fill_diagonal(sims, -2.0)
+    if "root" in rows.column_names:
+        root = rows["root"].to_numpy()
+        sims[root[:, None] == root[None, :]] = -2.0
     k = min(LIST, len(node) - 1)
     top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
     found = np.take_along_axis(sims, top, 1)
@@ -143,30 +153,68 @@ def best_lists(found: DataFrame) -> DataFrame:
 
 
 def from_trees(nodes: DataFrame, seed: int, wide: int, bits: int, lists: DataFrame | None) -> DataFrame:
-    grouped = leaves(nodes, TREES, seed, wide, bits).join(nodes.select("node", "dim", "vec"), "node")
+    grouped = leaves(nodes, TREES, seed, wide, bits).join(nodes.drop("digest", "id", "weight"), "node")
     grouped = grouped.withColumn("worst", F.lit(-2.0))
     found = grouped_map(grouped, ["g1", "g2", "g3"], _nearest, _NEAR)
     return stored(best_lists(found if lists is None else found.union(lists)), "lists")
 
 
-def descend(nodes: DataFrame, lists: DataFrame) -> tuple[DataFrame, int]:
+def descend(nodes: DataFrame, lists: DataFrame, beside: DataFrame | None = None) -> tuple[DataFrame, int]:
     """One round: neighbours of each node, in both directions, compared with one another. New lists and how many entries changed.
 
-    A node that very many others list is handled in parts of its neighbours.
+    Entries of ``beside`` count as neighbours too, but stay out of the lists. A node that very many others list is
+    handled in parts of its neighbours.
     """
     worst = lists.groupBy("node").agg(F.when(F.count(F.lit(1)) >= LIST, F.min("sim")).otherwise(-2.0).alias("worst"))
-    forward = lists.select(F.col("node").alias("g1"), F.col("near").alias("node"))
-    backward = lists.select(F.col("near").alias("g1"), "node")
+    entries = lists if beside is None else lists.union(beside)
+    forward = entries.select(F.col("node").alias("g1"), F.col("near").alias("node"))
+    backward = entries.select(F.col("near").alias("g1"), "node")
     around = stored(forward.union(backward).distinct(), "around")
     large = around.groupBy("g1").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > LEAF)
     parts = F.ceil(F.coalesce("rows", F.lit(1)) / F.lit(LEAF)).cast("long")
     placed = around.join(large, "g1", "left").select("g1", F.pmod(F.xxhash64("node", "g1"), parts).alias("g2"), "node")
-    known = nodes.select("node", "dim", "vec").join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
+    known = nodes.drop("digest", "id", "weight").join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
     found = grouped_map(placed.join(known, "node"), ["g1", "g2"], _nearest, _NEAR)
     fresh = stored(best_lists(found.union(lists)), "lists")
     return fresh, fresh.join(lists, ["node", "near"], "left_anti").count()
 
 
+def tree_bits(n: int) -> int:
+    """Planes per tree that leave about LEAF of ``n`` nodes in a leaf."""
+    return min(CODE_BITS, max(0, math.ceil(math.log2(n / LEAF)))) if n > LEAF else 0
+
+
+def bridges(nodes: DataFrame, lists: DataFrame, labels: DataFrame, seed: int, wide: int) -> DataFrame | None:
+    """Links between saturated nodes of different components of ``labels``; None if there are none.
+
+    Only two saturated nodes can miss each other in complete lists. Their nearest ones outside the own component are
+    searched like the lists: by trees, and by comparing the neighbours of each node inside and outside its component.
+    """
+    full = lists.where(F.col("sim") >= THRESHOLD).groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= LIST)
+    slim = nodes.select("node", "dim", "vec").join(labels, "node").select("node", "dim", "vec", "root")
+    dense = stored(slim.join(full, "node", "left_semi"), "saturated")
+    n, roots = dense.agg(F.count(F.lit(1)), F.count_distinct("root")).first()
+    if roots < 2:
+        return None
+    across = from_trees(dense, seed, wide, tree_bits(n), None)
+    for _ in range(ROUNDS):
+        across, changed = descend(dense, across, lists)
+        if changed <= SETTLED * n * LIST:
+            break
+    found = across.where(F.col("sim") >= THRESHOLD)
+    return None if found.isEmpty() else found
+
+
+def joined_components(nodes: DataFrame, lists: DataFrame, edges: DataFrame, seed: int, wide: int) -> tuple[DataFrame, DataFrame]:
+    """``edges`` with the bridges between their components, and the components: repeated until no two are linked any more."""
+    while True:
+        labels = stored(components(edges, "node", "near"), "vector-labels")
+        more = bridges(nodes, lists, labels, seed, wide)
+        if more is None:
+            return edges, labels
+        edges, seed = edges.union(more.select("node", "near")), seed + 1
+
+
 def _block_links(rows: pa.Table) -> dict | None:
     """How much weight each vector of a pair of blocks links with on the other side."""
     side, node, weight, dims = rows["side"].to_numpy(), rows["node"].to_numpy(), rows["weight"].to_numpy(), _dims(rows)
@@ -251,16 +299,19 @@ def near_vectors(df: DataFrame, vector: str, key: str) -> DataFrame:
     n, wide = nodes.agg(F.count(F.lit(1)), F.max("dim")).first()
     counts = labels = None
     if n > 1:
-        bits = min(CODE_BITS, max(0, math.ceil(math.log2(n / LEAF))) if n > LEAF else 0)
+        bits = tree_bits(n)
         wanted = true_links(nodes)
-        lists = None
+        lists = bridged = None
         for attempt in range(MOST_PASSES):
             lists = from_trees(nodes, 1_000 + attempt, wide, bits, lists)
             for _ in range(ROUNDS):
                 lists, changed = descend(nodes, lists)
                 if changed <= SETTLED * n * LIST:
                     break
-            labels = stored(components(lists.where(F.col("sim") >= THRESHOLD), "node", "near"), "vector-labels")
+            edges = lists.where(F.col("sim") >= THRESHOLD).select("node", "near")
+            bridged, labels = joined_components(
+                nodes, lists, edges if bridged is None else edges.union(bridged), 1_000_000 * (attempt + 1), wide
+            )
             counts = stored(component_links(nodes, labels), "vector-links")
             if not wanted:
                 break

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -178,3 +179,25 @@ def test_clusters_among_random_vectors(spark):
     want = brute_vectors(rows)
     right = sum(a == b for a, b in zip(got, want))
     assert right / len(want) >= 0.99 and sum(g[1] for g in got) >= 0.99 * sum(w[1] for w in want)
+
+
+def test_tight_groups_linked_with_each_other(spark):
+    """Groups whose lists are full of their own members, linked at 0.92 in a chain, and one that stays apart."""
+    rng = np.random.default_rng(8)
+
+    def turned(v, cosine):
+        r = rng.normal(size=v.size)
+        r -= r @ v * v
+        return cosine * v + math.sqrt(1 - cosine**2) * r / np.linalg.norm(r)
+
+    def group(centre, n):
+        return [turned(centre, 0.9995) for _ in range(n)]
+
+    unit = lambda: (lambda r: r / np.linalg.norm(r))(rng.normal(size=32))
+    first = unit()
+    second = turned(first, 0.92)
+    third = turned(second, 0.92)
+    x = group(first, 15) + group(second, 15) + group(third, 200) + group(unit(), 40) + [unit() for _ in range(400)]
+    rows = [(int(i), x[i].tolist(), 0) for i in rng.permutation(len(x))]
+    got = sorted(map(tuple, near_vectors.embedding_duplicates(vectors(spark, rows)).collect()), key=str)
+    assert got == brute_vectors(rows)
