@@ -12,8 +12,12 @@ A link between two saturated vectors of different components is in neither list
 saturated vectors are searched once more for their nearest ones outside their own component, and components that turn
 out to be linked are joined, until none is. Any one link joins two components, and their links are then counted in full.
 
-Recall is audited: a fixed sample of vectors is compared with all vectors, and while the share of their links that
-was found lies below the target, further trees and rounds are added.
+The trees follow from the planes per tree, so that a pair at the threshold meets in one of them with probability MEET.
+
+Recall is audited, and while it lies below the target, further trees and rounds are added. A fixed sample of vectors is
+compared with all vectors, which says little where links are rare. So each of them also gets a planted partner at the
+threshold, in a random direction: a pair that only the trees can find, as hard as any. Planted vectors have no weight and
+join nothing.
 
 Equal vectors are one node with a weight. Cosines are taken in double precision.
 """
@@ -34,7 +38,10 @@ from driftwell.llm.rows import arrow_map, grouped_map, stored
 
 THRESHOLD = 0.9
 LIST = 10
+# At least so many trees in a pass; more are made in turns of at most BATCH.
 TREES = 8
+BATCH = 16
+MEET = 0.995
 LEAF = 64
 CODE_BITS = 40
 ROUNDS = 3
@@ -43,6 +50,8 @@ SETTLED = 0.02
 BLOCK = 256
 AUDIT = 1_024
 RECALL = 0.99
+# A planted partner lies this little above the threshold, so that rounding does not matter.
+ABOVE = 1e-6
 MOST_PASSES = 6
 BROADCAST_ROWS = 100_000
 
@@ -152,11 +161,25 @@ def best_lists(found: DataFrame) -> DataFrame:
     return once.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= LIST).drop("_r")
 
 
+def tree_bits(n: int) -> int:
+    """Planes per tree that leave about LEAF of ``n`` nodes in a leaf."""
+    return min(CODE_BITS, max(0, math.ceil(math.log2(n / LEAF)))) if n > LEAF else 0
+
+
+def tree_count(bits: int) -> int:
+    """Trees in which a pair at the threshold shares a leaf at least once with probability MEET."""
+    apart = 1.0 - (1.0 - math.acos(THRESHOLD) / math.pi) ** bits
+    return max(TREES, math.ceil(math.log(1.0 - MEET) / math.log(apart))) if apart > 0 else TREES
+
+
 def from_trees(nodes: DataFrame, seed: int, wide: int, bits: int, lists: DataFrame | None) -> DataFrame:
-    grouped = leaves(nodes, TREES, seed, wide, bits).join(nodes.drop("digest", "id", "weight"), "node")
-    grouped = grouped.withColumn("worst", F.lit(-2.0))
-    found = grouped_map(grouped, ["g1", "g2", "g3"], _nearest, _NEAR)
-    return stored(best_lists(found if lists is None else found.union(lists)), "lists")
+    trees = tree_count(bits)
+    for start in range(0, trees, BATCH):
+        grouped = leaves(nodes, min(BATCH, trees - start), 1_000 * seed + start, wide, bits)
+        grouped = grouped.join(nodes.drop("digest", "id", "weight"), "node").withColumn("worst", F.lit(-2.0))
+        found = grouped_map(grouped, ["g1", "g2", "g3"], _nearest, _NEAR)
+        lists = stored(best_lists(found if lists is None else found.union(lists)), "lists")
+    return lists
 
 
 def descend(nodes: DataFrame, lists: DataFrame, beside: DataFrame | None = None) -> tuple[DataFrame, int]:
@@ -179,11 +202,6 @@ def descend(nodes: DataFrame, lists: DataFrame, beside: DataFrame | None = None)
     return fresh, fresh.join(lists, ["node", "near"], "left_anti").count()
 
 
-def tree_bits(n: int) -> int:
-    """Planes per tree that leave about LEAF of ``n`` nodes in a leaf."""
-    return min(CODE_BITS, max(0, math.ceil(math.log2(n / LEAF)))) if n > LEAF else 0
-
-
 def bridges(nodes: DataFrame, lists: DataFrame, labels: DataFrame, seed: int, wide: int) -> DataFrame | None:
     """Links between saturated nodes of different components of ``labels``; None if there are none.
 
@@ -260,9 +278,47 @@ def component_links(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return grouped_map(grouped, ["g1", "g2", "g3"], count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def audit_sample(nodes: DataFrame) -> DataFrame:
+    """At most AUDIT nodes, always the same."""
+    return nodes.select("node", "dim", "vec", F.xxhash64("node").alias("h")).orderBy("h", "node").limit(AUDIT)
+
+
+def planted_partners(sample: DataFrame) -> DataFrame:
+    """node (-1 - the partner's), dim, vec: a vector at the threshold from each of ``sample`` that has two or more components."""
+
+    def run(rows: pa.Table) -> dict:
+        out: dict = {"node": [], "dim": [], "vec": []}
+        for node, dim, vec in zip(rows["node"].to_pylist(), rows["dim"].to_pylist(), rows["vec"].to_pylist()):
+            x = np.frombuffer(vec, np.float64)
+            x = x / np.linalg.norm(x)
+            r = np.random.default_rng(node).normal(size=dim)
+            r -= (r @ x) * x
+            cosine = THRESHOLD + ABOVE
+            out["node"].append(-1 - node)
+            out["dim"].append(dim)
+            out["vec"].append((cosine * x + math.sqrt(1 - cosine**2) * r / np.linalg.norm(r)).tobytes())
+        return out
+
+    return arrow_map(sample.where(F.col("dim") > 1).select("node", "dim", "vec"), run, "node long, dim int, vec binary")
+
+
+def planted_recall(planted: DataFrame, lists: DataFrame) -> float:
+    """Share of planted nodes whose link with their partner is in a list, or whose list is full of other links.
+
+    Partners whose own lists are full are left out: around them links are many, and the sample compared with all tells.
+    """
+    linked = lists.where(F.col("sim") >= THRESHOLD)
+    pair = linked.where(F.col("node") + F.col("near") == -1).select(F.least("node", "near").alias("node")).distinct()
+    full = linked.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= LIST).select("node")
+    judged = planted.select("node").join(full.select((-1 - F.col("node")).alias("node")), "node", "left_anti")
+    hit = pair.union(full).distinct().withColumn("hit", F.lit(1))
+    found, total = judged.join(hit, "node", "left").agg(F.count("hit"), F.count(F.lit(1))).first()
+    return found / total if total else 1.0
+
+
 def true_links(nodes: DataFrame) -> dict[int, int]:
-    """Links of a fixed sample of at most AUDIT nodes, by comparing them with all nodes."""
-    sample = nodes.select("node", "dim", "vec", F.xxhash64("node").alias("h")).orderBy("h", "node").limit(AUDIT).collect()
+    """Links of the sampled nodes, by comparing them with all nodes."""
+    sample = audit_sample(nodes).collect()
     ids = np.array([r["node"] for r in sample], np.int64)
     dims = np.array([r["dim"] for r in sample], np.int64)
     x = _matrix([bytes(r["vec"]) for r in sample], dims)
@@ -299,24 +355,26 @@ def near_vectors(df: DataFrame, vector: str, key: str) -> DataFrame:
     n, wide = nodes.agg(F.count(F.lit(1)), F.max("dim")).first()
     counts = labels = None
     if n > 1:
-        bits = tree_bits(n)
         wanted = true_links(nodes)
+        planted = stored(planted_partners(audit_sample(nodes)), "planted")
+        searched = stored(nodes.select("node", "dim", "vec").union(planted), "searched")
+        bits = tree_bits(searched.count())
         lists = bridged = None
         for attempt in range(MOST_PASSES):
-            lists = from_trees(nodes, 1_000 + attempt, wide, bits, lists)
+            lists = from_trees(searched, 1_000 + attempt, wide, bits, lists)
             for _ in range(ROUNDS):
-                lists, changed = descend(nodes, lists)
+                lists, changed = descend(searched, lists)
                 if changed <= SETTLED * n * LIST:
                     break
-            edges = lists.where(F.col("sim") >= THRESHOLD).select("node", "near")
+            edges = lists.where((F.col("sim") >= THRESHOLD) & (F.col("node") >= 0) & (F.col("near") >= 0)).select("node", "near")
             bridged, labels = joined_components(
                 nodes, lists, edges if bridged is None else edges.union(bridged), 1_000_000 * (attempt + 1), wide
             )
             counts = stored(component_links(nodes, labels), "vector-links")
-            if not wanted:
-                break
+            if planted_recall(planted, lists) < RECALL:
+                continue
             ids = F.array(*[F.lit(i) for i in wanted])
-            found = {r["node"]: r["links"] for r in counts.where(F.array_contains(ids, F.col("node"))).collect()}
+            found = {r["node"]: r["links"] for r in counts.where(F.array_contains(ids, F.col("node"))).collect()} if wanted else {}
             if sum(min(found.get(i, 0), w) / w for i, w in wanted.items()) >= RECALL * len(wanted):
                 break
         else:

@@ -201,3 +201,37 @@ def test_tight_groups_linked_with_each_other(spark):
     rows = [(int(i), x[i].tolist(), 0) for i in rng.permutation(len(x))]
     got = sorted(map(tuple, near_vectors.embedding_duplicates(vectors(spark, rows)).collect()), key=str)
     assert got == brute_vectors(rows)
+
+
+def test_lone_pairs_are_found(spark, monkeypatch):
+    """Pairs just above the threshold among vectors that link with nothing; the few sampled ones hardly have links."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(9_000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 600, 2):
+        r = rng.normal(size=48)
+        r -= r @ x[i] * x[i]
+        x[i + 1] = 0.901 * x[i] + math.sqrt(1 - 0.901**2) * r / np.linalg.norm(r)
+    monkeypatch.setattr(near_vectors, "AUDIT", 5)
+    monkeypatch.setattr(near_vectors, "ROUNDS", 1)
+    rows = [(int(i), x[i].tolist(), 0) for i in rng.permutation(len(x))]
+    got = near_vectors.embedding_duplicates(vectors(spark, rows)).collect()
+    found = sum(r.n_links for r in got)
+    print("links found of 600:", found)
+    assert 0.985 * 600 <= found <= 600 and not any(r.n_links for r in got if r.vec_id >= 600)
+
+
+def test_audit_is_never_empty(spark):
+    """Searches that find too little are told, though no vector of the table has a link."""
+    x = np.eye(30)
+    nodes = spark.createDataFrame([(i, 30, bytearray(x[i].tobytes())) for i in range(30)], "node long, dim int, vec binary")
+    assert near_vectors.true_links(nodes.withColumn("weight", F.lit(1))) == {}
+    planted = near_vectors.planted_partners(near_vectors.audit_sample(nodes))
+    made = {r.node: np.frombuffer(bytes(r.vec)) for r in planted.collect()}
+    assert len(made) == 30 and all(0.9 <= v @ x[-1 - i] < 0.90001 for i, v in made.items())
+    found = spark.createDataFrame([(-1 - i, i, 0.9) for i in range(24)], near_vectors._NEAR)
+    assert near_vectors.planted_recall(planted, found) == 0.8
+    assert near_vectors.tree_count(0) == near_vectors.TREES
+    for bits in (8, 11, 14, 17):
+        share = (1 - math.acos(0.9) / math.pi) ** bits
+        assert 1 - (1 - share) ** near_vectors.tree_count(bits) >= 0.99
