@@ -1,11 +1,16 @@
-"""License scan: phrase matches and an exact set-containment join of text blocks with license templates.
+"""License scan: phrase matches and an exact set-containment join of word windows with license templates.
 
-A block (paragraph of a document) matches a template if at least ``threshold`` of the template's distinct words
-stand in it. Words are ordered by how many blocks of the whole corpus hold them, rarest first. If a block holds o
-words of a template, then one of the template's first |T| - o + 1 words is also among the block's first
-|B| - o + 1 words (prefix filter), the block has at least o words (length filter), and from the place of the first
-common word at most 1 + min(words left in either) can be common (position filter). What passes is counted in full,
-so nothing is missed and nothing is guessed. Words in no template cannot be common and are dropped from blocks first.
+A document matches a template if at least ``threshold`` of the template's distinct words stand in a window of
+consecutive words, which is longer than the template by the same measure; blank lines and line ends are no borders.
+Templates of at most SHORT distinct words need all of them, in a window as long as the template.
+
+Only a text that holds enough of a template's words anywhere can have such a window, so whole texts are blocks of a
+set-containment join first, and windows slide over those that pass. Words are ordered by how many paragraphs of the
+whole corpus hold them, rarest first. If a block holds o words of a template, then one of the template's first
+|T| - o + 1 words is also among the block's first |B| - o + 1 words (prefix filter), the block has at least o words
+(length filter), and from the place of the first common word at most 1 + min(words left in either) can be common
+(position filter). What passes is counted in full, so nothing is missed and nothing is guessed. Words in no template
+cannot be common and are dropped from blocks first.
 
 The templates are a fixed list, so their index travels with the tasks; documents are never shuffled.
 """
@@ -14,7 +19,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
@@ -25,6 +30,7 @@ from pyspark.sql import functions as F
 from driftwell.llm.rows import arrow_map, utf8
 
 THRESHOLD = 0.8
+SHORT = 12
 
 # Phrases and the labels they stand for.
 PHRASES = {
@@ -33,7 +39,7 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# The usual notices of public licenses.
+# The usual notices of public licenses, and short statements.
 TEMPLATES = {
     "mit-notice": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
 associated documentation files (the "Software"), to deal in the Software without restriction, including without
@@ -62,6 +68,14 @@ To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/
 modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
 for any purpose, commercial or non-commercial, and by any means.""",
     "released-mit": "Released under the MIT License.",
+    "gpl-statement": "licensed under the GNU General Public License",
+    "lgpl-statement": "licensed under the GNU Lesser General Public License",
+    "agpl-statement": "licensed under the GNU Affero General Public License",
+    "bsd-statement": "licensed under the BSD License",
+    "mpl-statement": "licensed under the Mozilla Public License",
+    "cc-by-statement": "Licensed under CC BY 4.0",
+    "cc-by-sa-statement": "Licensed under CC BY-SA",
+    "cc-by-nc-statement": "Licensed under CC BY-NC",
 }
 
 # Words are runs of a-z (A-Z lowered), 0-9 and non-ASCII bytes; all other ASCII parts them. Line feeds stay for blocks.
@@ -97,21 +111,25 @@ class Template(NamedTuple):
     label: str
     words: tuple[int, ...]  # word numbers in the global order, ascending
     needed: int
+    window: int  # consecutive words in which the needed ones must stand
 
 
 class TemplateIndex:
     """Templates over globally ordered words, and the places of their prefix words."""
 
-    def __init__(self, templates: Mapping[str, str], frequency: Mapping[bytes, int], threshold: float):
+    def __init__(self, templates: Mapping[str, str], frequency: Mapping[bytes, int], threshold: float, short: int = 0):
         sets = {label: set(words_of(text.encode())) for label, text in templates.items()}
         known = sorted(set().union(*sets.values()), key=lambda w: (frequency.get(w, 0), w))
         self.order = {w: i for i, w in enumerate(known)}
         self.vocabulary = frozenset(known)
-        self.templates = [
-            Template(label, tuple(sorted(self.order[w] for w in s)), max(1, math.ceil(threshold * len(s) - 1e-9)))
-            for label, s in sorted(sets.items())
-            if s
-        ]
+        self.templates = []
+        for label, s in sorted(sets.items()):
+            length = len(words_of(templates[label].encode()))
+            share = 1.0 if len(s) <= short else threshold
+            needed, window = max(1, math.ceil(share * len(s) - 1e-9)), math.ceil(length / share - 1e-9)
+            if s:
+                self.templates.append(Template(label, tuple(sorted(self.order[w] for w in s)), needed, window))
+        self.named = {t.label: t for t in self.templates}
         self.prefix: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, template in enumerate(self.templates):
             for j, w in enumerate(template.words[: len(template.words) - template.needed + 1]):
@@ -142,6 +160,43 @@ class TemplateIndex:
         return found
 
 
+    def windows(self, words: Sequence[bytes]) -> list[tuple[str, int, float]]:
+        """(label, place, containment) of each template and stretch of ``words`` with a window that matches: its best window."""
+        made = []
+        candidates = self.matches(set(words))
+        if not candidates:
+            return made
+        hits = [(i, self.order[w]) for i, w in enumerate(words) if w in self.vocabulary]
+        for label, _ in candidates:
+            template = self.named[label]
+            mine = frozenset(template.words)
+            inside: deque[tuple[int, int]] = deque()
+            held: Counter[int] = Counter()
+            end, best, place = -1, 0, 0
+            for i, w in hits:
+                if w not in mine:
+                    continue
+                inside.append((i, w))
+                held[w] += 1
+                while i - inside[0][0] >= template.window:
+                    gone = inside.popleft()[1]
+                    held[gone] -= 1
+                    if not held[gone]:
+                        del held[gone]
+                if len(held) < template.needed:
+                    continue
+                # Windows that overlap the stretch so far belong to it.
+                if best and inside[0][0] > end:
+                    made.append((label, place, best / len(mine)))
+                    best = 0
+                end = i
+                if len(held) > best:
+                    best, place = len(held), inside[0][0]
+            if best:
+                made.append((label, place, best / len(mine)))
+        return made
+
+
 def block_frequency(df: DataFrame, text: str, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
     """Blocks of the whole table that hold each word of ``vocabulary``; the driver gets one row per such word."""
 
@@ -164,12 +219,12 @@ def scan_licenses(
     phrases: Mapping[str, str] = PHRASES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """``keys``, n_words, places, base_labels, matches (label, block number, containment) for each row.
+    """``keys``, n_words, places, base_labels, matches (label, word number, containment) for each row.
 
     NULL and empty texts have no words, no places and no matches. Repeated rows stay; other columns are left out.
     """
     vocabulary = frozenset().union(*(words_of(t.encode()) for t in templates.values()))
-    index = TemplateIndex(templates, block_frequency(df, text, vocabulary), threshold)
+    index = TemplateIndex(templates, block_frequency(df, text, vocabulary), threshold, SHORT)
     names = [f"k{i}" for i in range(len(keys))]
     slim = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], utf8(F.col(text)).alias("raw"))
     fields = ", ".join(f"{n} {slim.schema[n].dataType.simpleString()}" for n in names)
@@ -183,9 +238,7 @@ def scan_licenses(
             out["places"].append(sorted(places))
             out["base_labels"].append(sorted(labels))
             out["matches"].append([
-                {"label": label, "block": b, "containment": c}
-                for b, block in enumerate(blocks_of(raw))
-                for label, c in index.matches(block)
+                {"label": label, "place": at, "containment": c} for label, at, c in index.windows(words)
             ])
         return out
 
@@ -193,7 +246,7 @@ def scan_licenses(
         slim,
         scan,
         f"{fields}, n_words long, places array<long>, base_labels array<string>, "
-        "matches array<struct<label: string, block: int, containment: double>>",
+        "matches array<struct<label: string, place: long, containment: double>>",
     )
     return made.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "n_words", "places", "base_labels", "matches")
 

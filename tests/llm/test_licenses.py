@@ -73,3 +73,44 @@ def test_filters_lose_nothing(templates, block, frequency, threshold):
 @pytest.mark.parametrize("text, n", [("a\n\nb", 2), ("a\n \t\nb\nc", 2), ("a.\n...\nb", 1)])
 def test_blocks(text, n):
     assert len(licenses.blocks_of(text.encode())) == n
+
+
+def test_words_must_stand_together(spark):
+    notice = licenses.TEMPLATES["apache-2-notice"].split()
+    prose = "plain words of some other text".split()
+    scattered = [w for n in notice for w in [n, *prose]]
+    rows = [
+        (1, "Released on Monday. " + "x " * 300 + "This work is licensed under the GNU General Public License, version 3.", "en", "s"),
+        (2, " ".join(scattered), "en", "s"),
+        (3, " ".join(prose * 50 + notice[:9] + ["indeed"] + notice[9:] + prose * 50), "en", "s"),
+        (4, "\n\n".join(["Title", *[" ".join(notice[i : i + 6]) for i in range(0, len(notice), 6)], "code"]), "en", "s"),
+        (5, "Released under the Apache License; licensed under the GNU Lesser General Public License.", "en", "s"),
+    ]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.document_licenses(docs(spark, rows)).collect()}
+    assert got[1] == ("gpl-statement", 1.0)
+    assert got[2] == ("", 0.0)
+    assert all("apache-2-notice" in got[i][0].split(",") and got[i][1] == 1.0 for i in (3, 4))
+    assert got[5] == ("lgpl-statement", 1.0)
+
+
+@settings(max_examples=200, deadline=None)
+@given(
+    st.lists(st.lists(st.sampled_from(VOCABULARY), min_size=1, max_size=8), min_size=1, max_size=4),
+    st.lists(st.sampled_from(VOCABULARY + ["other", "more"]), max_size=40),
+    st.sampled_from([0.5, 0.8, 1.0]),
+    st.sampled_from([0, 3]),
+)
+def test_windows_lose_nothing(templates, text, threshold, short):
+    index = licenses.TemplateIndex({f"t{i}": " ".join(t) for i, t in enumerate(templates)}, {}, threshold, short)
+    want = {}
+    for i, t in enumerate(templates):
+        share = 1.0 if len(set(t)) <= short else threshold
+        size = math.ceil(len(t) / share - 1e-9)
+        best = max((len(set(text[a : a + size]) & set(t)) for a in range(len(text))), default=0)
+        if best >= max(1, math.ceil(share * len(set(t)) - 1e-9)):
+            want[f"t{i}"] = best / len(set(t))
+    got = {}
+    for label, at, c in index.windows([w.encode() for w in text]):
+        got[label] = max(got.get(label, 0), c)
+        assert 0 <= at < len(text)
+    assert got == want
