@@ -143,7 +143,7 @@ def lift_capture_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("bootstrap_ci")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random draws: checked against the plain bootstrap in the tests."""
-    return resample.bootstrap_interval(shifted_orders(spark, sf_dir), "y", "p", ["o_orderpriority"], replicates=200)
+    return resample.bootstrap_interval(shifted_orders(spark, sf_dir), "y", "p", ["o_orderpriority"])
 
 
 # ---- Drift ----

@@ -280,8 +280,8 @@ def embedding_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[s
     return vectors.select("vec_id", (F.col("label") == 1).cast("int").alias("y"), *cells), names
 
 
-def document_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    """Labelled documents with counts over the whole text."""
+def document_table(spark: SparkSession, sf_dir: str, how: str = "inner") -> tuple[DataFrame, list[str]]:
+    """Labelled documents with counts over the whole text; with ``how`` left, all documents."""
     text = F.col("text")
     counts = {
         "n_chars": F.col("n_chars").cast("double"),
@@ -291,9 +291,10 @@ def document_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[st
         "capitals": F.regexp_count(text, F.lit("[A-Z]")).cast("double"),
         "stops": F.regexp_count(text, F.lit("[.!?]")).cast("double"),
     }
-    documents = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    made = documents.select("doc_id", F.col("quality").alias("y"), *[c.alias(n) for n, c in counts.items()])
-    return made, list(counts)
+    # Counted before the join, which then moves numbers in place of texts.
+    counted = table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in counts.items()])
+    made = counted.join(table(spark, sf_dir, "labels"), "doc_id", how)
+    return made.select("doc_id", F.col("quality").alias("y"), *counts), list(counts)
 
 
 @query("rf_importance")
@@ -325,7 +326,7 @@ def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("boruta_rank")
 def boruta_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, names = document_table(spark, sf_dir)
-    return wrappers.BorutaSelector(max_iter=3, trees=24).fit(df, "y", names).report(df)
+    return wrappers.BorutaSelector().fit(df, "y", names).report(df)
 
 
 @query("rfe")
@@ -336,8 +337,10 @@ def rfe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_documents(spark: SparkSession, sf_dir: str, kind: str, settings: dict) -> DataFrame:
+    """Every document's score by a model of the labelled ones; y is NULL without a label."""
     df, names = document_table(spark, sf_dir)
-    return models.fit_model(kind, df, names, "y", settings).score(df, "doc_id", "y")
+    every, _ = document_table(spark, sf_dir, "left")
+    return models.fit_model(kind, df, names, "y", settings).score(every, "doc_id", "y")
 
 
 @query("lr_scores")
@@ -358,7 +361,7 @@ def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("document_roc")
 def document_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fitted model's score through the exact metrics."""
-    return scoring.roc_metrics(lr_scores(spark, sf_dir), "y", "score")
+    return scoring.roc_metrics(lr_scores(spark, sf_dir).where(F.col("y").isNotNull()), "y", "score")
 
 
 @query("time_folds_experiment")

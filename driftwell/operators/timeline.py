@@ -394,7 +394,9 @@ def out_of_time_split(
 
 
 def last_fold_scores(scored: DataFrame, key: str, fold: str = "fold") -> DataFrame:
-    """Out-of-fold row per key: boundary times are validated twice, the last fold counts."""
+    """Out-of-fold row per key: boundary times are validated twice, the last fold counts.
+
+    Of rows with one key and fold, the one that is largest in the other columns, taken in their order, counts.
+    """
     others = [c for c in scored.columns if c not in (key, fold)]
-    newest = F.max_by(F.struct(*others), F.col(fold)).alias("newest")
-    return scored.groupBy(key).agg(F.max(fold).alias(fold), newest).select(key, fold, "newest.*")
+    return scored.groupBy(key).agg(F.max(F.struct(fold, *others)).alias("newest")).select(key, "newest.*")

@@ -147,3 +147,11 @@ def test_exact_quantiles_whatever_the_sketch(spark, monkeypatch, accuracy, rows_
     assert np.allclose(found["a"], np.quantile(x, points), rtol=0, atol=1e-12)
     assert np.allclose(found["b.c"], np.quantile(x ** 2, points), rtol=1e-12)
     assert found["flag"][0] == 0.0 and found["flag"][10] == 1.0
+
+
+def test_last_fold_ties_go_by_the_other_columns(spark):
+    rows = [(1, 2, 0.2, "b"), (1, 2, 0.7, "a"), (1, 1, 0.9, "z"), (2, 1, None, "c"), (2, 1, 0.1, "c"), (3, None, 0.4, "d")]
+    for part in (rows, rows[::-1]):
+        df = spark.createDataFrame(part, "id long, fold int, score double, name string").coalesce(1)
+        got = sorted(tuple(r) for r in timeline.last_fold_scores(df, "id").collect())
+        assert got == [(1, 2, 0.7, "a"), (2, 1, 0.1, "c"), (3, None, 0.4, "d")]
