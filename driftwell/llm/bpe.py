@@ -4,33 +4,38 @@ The automaton reads tokens and accepts exactly the token sequences that the merg
 with an arc to itself for each byte. A merge (u, v) -> uv is applied as a gadget: the state that all u-arcs lead to
 is copied without its v-arc, u-arcs are led to the copy (u can no longer be followed by v), and every state with a
 u-arc gets a uv-arc to where v led. All arcs of one label lead to one state, so the automaton has one state per merge
-at most. Whether a state has an arc is read off the table of copies and kept, so the quadratic table of transitions is
-filled only where texts lead.
-
-A text piece has exactly one accepted token sequence, and its prefixes' sequences are accepted too. Encoding
-therefore walks the bytes once: at every place reached, the arcs whose labels match the next bytes are followed.
-Decoding emits the labels of the arcs.
+at most, and a state is named by its label.
+
+The arcs of a state are all labels but those that gadgets took away. What was taken is one table of gadgets (label,
+label -> time), and per label the parts along which it was handed on, so an arc is a few look-ups in integer tables
+instead of a row of a quadratic one. A second table moves over bytes: after each byte it gives the longest label that
+ends there, and each label names the next shorter one. A piece has exactly one accepted sequence, and its prefixes'
+sequences are accepted too, so the last label of every prefix is the longest one whose arc exists. Many pieces are
+walked at once, byte by byte. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from array import array
 from collections.abc import Sequence
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.llm.presplit import PATTERN, PieceCoder, Recent, byte_letters, special_ids
+from driftwell.llm.presplit import PATTERN, PieceCoder, as_strings, byte_letters, cut_up, spans, special_ids
 from driftwell.llm.rows import arrow_map, as_text, kept, utf8
 
-# Bounds of a worker's tables; what is forgotten is found again.
-ARCS_KEPT = 300_000
-WORDS_KEPT = 200_000
+# Distinct pieces kept by a worker; what is forgotten is found again.
+WORDS_KEPT = 300_000
+# Pieces of up to so many bytes are walked many at once, longer ones one by one.
+LONG = 64
+# Odd multiplier that spreads pairs of labels over the table of gadgets.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Automaton:
@@ -54,7 +59,6 @@ class Automaton:
         self.rights: list[tuple[tuple[int, int], ...]] = [()] * self.size
         self.lefts: list[tuple[tuple[int, int], ...]] = [()] * self.size
         self.ids: dict[bytes, int] = {}
-        self.arcs: dict[int, bool] = {}
         self.never = len(merges)
         for letter in letters:
             if letter in vocab:
@@ -64,11 +68,7 @@ class Automaton:
                 self.rights[i] = self.lefts[i] = ((i, self.never),)
         for time, (u, v) in enumerate(merges):
             self._merge(time, vocab[u], vocab[v], vocab[u + v], bytes(as_byte[c] for c in u + v))
-        # Every beginning of a label, -1 where it is no label itself: where no arc can match any more, the walk stops.
-        self.begins: dict[bytes, int] = dict(self.ids)
-        for label in self.ids:
-            for n in range(1, len(label)):
-                self.begins.setdefault(label[:n], -1)
+        self._compile()
 
     def _merge(self, time: int, u: int, v: int, uv: int, label: bytes) -> None:
         self.labels[uv] = label
@@ -90,43 +90,166 @@ class Automaton:
                     return False
         return True
 
-    def has_arc(self, state: int, label: int) -> bool:
-        """Whether ``label`` may follow in the state that label ``state`` leads to."""
-        key = state * self.size + label
-        known = self.arcs.get(key)
-        if known is None:
-            if len(self.arcs) > ARCS_KEPT:
-                self.arcs.clear()
-            known = self.arcs[key] = self._follows(state, label)
-        return known
+    def _compile(self) -> None:
+        """Integer tables: moves over bytes, longest and next shorter labels, parts of labels, gadgets by hash."""
+        labels = sorted(self.ids, key=len)
+        nodes, moves = {b"": 0}, []
+        for label in labels:
+            for n in range(1, len(label) + 1):
+                if label[:n] not in nodes:
+                    moves.append((nodes[label[: n - 1]], label[n - 1], len(nodes)))
+                    nodes[label[:n]] = len(nodes)
+        self.moves = np.zeros((len(nodes), 256), np.int32)
+        self.longest = np.full(len(nodes), -1, np.int32)
+        for label, number in self.ids.items():
+            self.longest[nodes[label]] = number
+        self.length = np.array([len(x) for x in self.labels] + [0], np.int64)
+        # Where no byte leads on, the walk goes on from the longest proper ending that is a beginning of a label.
+        fall = np.zeros(len(nodes), np.int32)
+        self.shorter = np.full(self.size + 1, -1, np.int32)
+        by_depth: dict[int, list[tuple[int, int, int]]] = {}
+        depth = [0] * len(nodes)
+        for parent, byte, node in moves:
+            depth[node] = depth[parent] + 1
+            by_depth.setdefault(depth[node], []).append((parent, byte, node))
+        for parent, byte, node in by_depth.get(1, []):
+            self.moves[0, byte] = node
+        for d in sorted(by_depth):
+            parent, byte, node = (np.array(x) for x in zip(*by_depth[d]))
+            if d > 1:
+                fall[node] = self.moves[fall[parent], byte]
+            behind = self.longest[fall[node]]
+            own = self.longest[node]
+            self.shorter[own[own >= 0]] = behind[own >= 0]
+            self.longest[node] = np.where(own >= 0, own, behind)
+            self.moves[node] = self.moves[fall[node]]
+            if d + 1 in by_depth:
+                parent, byte, node = (np.array(x) for x in zip(*by_depth[d + 1]))
+                self.moves[parent, byte] = node
+        for name, parts in (("right", self.rights), ("left", self.lefts)):
+            counts = np.array([len(p) for p in parts], np.int64)
+            flat = np.array([x for p in parts for x in p], np.int64).reshape(-1, 2)
+            setattr(self, name, (np.cumsum(counts) - counts, counts, flat[:, 0].copy(), flat[:, 1].copy()))
+        bits = max(4, (16 * len(self.copies)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.pairs = np.full(1 << bits, -1, np.int64)
+        self.times = np.zeros(1 << bits, np.int64)
+        for pair, time in self.copies.items():
+            at = ((pair * int(SPREAD)) & (1 << 64) - 1) >> 64 - bits
+            while self.pairs[at] >= 0:
+                at = at + 1 & self.mask
+            self.pairs[at], self.times[at] = pair, time
+
+    def _made(self, pairs: np.ndarray) -> np.ndarray:
+        """When the gadget of each pair of labels was made; a time after all where there is none."""
+        at = (pairs.astype(np.uint64) * SPREAD >> self.shift).astype(np.int64)
+        found = self.pairs[at]
+        out = np.where(found == pairs, self.times[at], self.never)
+        rest = np.flatnonzero((found != pairs) & (found >= 0))
+        while len(rest):
+            at[rest] = at[rest] + 1 & self.mask
+            found = self.pairs[at[rest]]
+            hit = found == pairs[rest]
+            out[rest[hit]] = self.times[at[rest[hit]]]
+            rest = rest[~hit & (found >= 0)]
+        return out
+
+    def has_arcs(self, states: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """Whether each label may follow in the state of the same place."""
+        (r_at, r_n, r_part, r_time), (l_at, l_n, l_part, l_time) = self.right, self.left
+        rights, lefts = r_n[states], l_n[labels]
+        counts = rights * lefts
+        owner = np.repeat(np.arange(len(states)), counts)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        left = l_at[labels][owner] + place // rights[owner]
+        right = r_at[states][owner] + place % rights[owner]
+        made = self._made(r_part[right] * self.size + l_part[left])
+        taken = (made < r_time[right]) & (made <= l_time[left])
+        ok = np.ones(len(states), bool)
+        ok[owner[taken]] = False
+        return ok
+
+    def encode_many(self, pieces: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The one accepted label sequence of each piece: all ids one piece after the other, and their counts."""
+        if not pieces:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        starts = np.cumsum(lengths) - lengths
+        text = np.frombuffer(b"".join(pieces), np.uint8)
+        # last[starts + j] is the last label of the piece's first j + 1 bytes.
+        last = np.full(len(text), -1, np.int64)
+        for k in order[: int((lengths > LONG).sum())]:
+            self._walk(text, last, int(starts[k]), int(lengths[k]))
+        few = order[int((lengths > LONG).sum()) :]
+        node = np.zeros(len(few), np.int32)
+        ends = np.searchsorted(-lengths[few], -np.arange(LONG + 1), side="left")
+        for j in range(int(lengths[few[0]]) if len(few) else 0):
+            # Pieces longer than j: they come first.
+            n = int(ends[j])
+            here = starts[few[:n]]
+            node = self.moves[node[:n], text[here + j]]
+            self._settle(last, here, np.full(n, j, np.int64), self.longest[node].astype(np.int64))
+        counts = np.zeros(len(pieces), np.int64)
+        # Back from the ends: every step takes one label off each unfinished piece.
+        left, found = np.flatnonzero(lengths > 0), []
+        place = starts + lengths - 1
+        while len(left):
+            label = last[place[left]]
+            if (label < 0).any():
+                raise ValueError("the vocabulary does not spell these bytes")
+            found.append((left, label))
+            counts[left] += 1
+            place[left] -= self.length[label]
+            left = left[place[left] >= starts[left]]
+        out = np.empty(int(counts.sum()), np.uint32)
+        at = np.cumsum(counts) - 1
+        for step, (which, label) in enumerate(found):
+            out[at[which] - step] = label
+        return out, counts
+
+    def _settle(self, last: np.ndarray, here: np.ndarray, j: np.ndarray, label: np.ndarray) -> None:
+        """Set the last label of each prefix ending at ``here + j``: the longest whose arc exists."""
+        open_ = np.flatnonzero(label >= 0)
+        while len(open_):
+            begin = j[open_] - self.length[label[open_]]
+            ok = begin < 0
+            inner = np.flatnonzero(~ok)
+            before = last[here[open_[inner]] + begin[inner]]
+            fits = before >= 0
+            fits[fits] = self.has_arcs(before[fits], label[open_[inner[fits]]])
+            ok[inner] = fits
+            done = open_[ok]
+            last[here[done] + j[done]] = label[done]
+            open_ = open_[~ok]
+            label[open_] = self.shorter[label[open_]]
+            open_ = open_[label[open_] >= 0]
+
+    def _walk(self, text: np.ndarray, last: np.ndarray, start: int, length: int) -> None:
+        """One long piece, byte by byte."""
+        raw, moves, longest, shorter, size = text[start : start + length].tolist(), self.moves, self.longest, self.shorter, self.length
+        ends, node, known = [-1] * length, 0, {}
+        for j, byte in enumerate(raw):
+            node = moves[node, byte]
+            label = int(longest[node])
+            while label >= 0:
+                begin = j - int(size[label])
+                if begin < 0:
+                    break
+                before = ends[begin]
+                if before >= 0:
+                    arc = known.get((before, label))
+                    if arc is None:
+                        arc = known[before, label] = self._follows(before, label)
+                    if arc:
+                        break
+                label = int(shorter[label])
+            ends[j] = label
+        last[start : start + length] = ends
 
     def encode(self, piece: bytes) -> list[int]:
         """The one accepted token sequence that spells ``piece``."""
-        n, begins, arcs, size = len(piece), self.begins, self.arcs, self.size
-        whole = self.ids.get(piece)
-        if whole is not None:
-            # The start state has an arc for every label that any state has.
-            return [whole]
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(n):
-            state = last[i]
-            if i and state < 0:
-                continue
-            for j in range(i + 1, n + 1):
-                label = begins.get(piece[i:j])
-                if label is None:
-                    break
-                if label >= 0 and last[j] < 0:
-                    known = arcs.get(state * size + label) if i else True
-                    if known or (known is None and self.has_arc(state, label)):
-                        last[j], back[j] = label, i
-        if last[n] < 0:
-            raise ValueError("the vocabulary does not spell these bytes")
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at = back[at]
-        return out[::-1]
+        return self.encode_many([piece])[0].tolist()
 
 
 class Bpe:
@@ -135,43 +258,52 @@ class Bpe:
     def __init__(self, model: str):
         self.automaton = Automaton(model)
         self.special = special_ids(model)
-        self.labels = list(self.automaton.labels)
+        labels = list(self.automaton.labels)
         for text, number in self.special.items():
-            self.labels.extend([b""] * (number + 1 - len(self.labels)))
-            self.labels[number] = text.encode()
+            labels.extend([b""] * (number + 1 - len(labels)))
+            labels[number] = text.encode()
+        self.sizes = np.array([len(x) for x in labels], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.spelled = np.frombuffer(b"".join(labels), np.uint8)
         longest_first = sorted(self.special, key=len, reverse=True)
         self.finder = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
-        self.words: Recent = Recent(WORDS_KEPT)
-        self.coder = PieceCoder(self.pieces, self.whole, longest_first, WORDS_KEPT)
-
-    def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            found = self.words.old.get(word)
-            if found is None:
-                found = array("I", self.automaton.encode(word.encode())).tobytes()
-            self.words[word] = found
-        return found
-
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        self.words.trim()
-        split, word = PATTERN.findall, self.word
-        return [b"".join(map(word, split(p))) for p in pieces]
+        self.coder = PieceCoder(self.pieces, self.whole_ids, longest_first, WORDS_KEPT)
+
+    def _parts(self, pieces: Sequence[str], lead: str = "") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without special tokens behind ``lead``, and their counts; equal parts are walked once."""
+        number: dict[str, int] = {}
+        find = PATTERN.findall
+        cut = [[lead + p] if p.isascii() and p.isalpha() else find(lead + p) for p in pieces]
+        places = np.array([number.setdefault(w, len(number)) for parts in cut for w in parts], np.int64)
+        ids, counts = self.automaton.encode_many([w.encode() for w in number])
+        starts = np.cumsum(counts) - counts
+        bounds = np.cumsum([0, *map(len, cut)])
+        each = counts[places]
+        return ids[spans(starts[places], each)], np.diff(np.concatenate([[0], np.cumsum(each)])[bounds])
+
+    def pieces(self, pieces: list[str], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        return self._parts(pieces, " " if spaced else "")
+
+    def whole_ids(self, text: str) -> np.ndarray:
+        parts = self.finder.split(text) if self.finder else [text]
+        made = [np.array([self.special[p]], np.uint32) if i % 2 else self._parts([p])[0] for i, p in enumerate(parts)]
+        return np.concatenate(made)
 
     def whole(self, text: str) -> bytes:
-        parts = self.finder.split(text) if self.finder else [text]
-        special = self.special
-        return b"".join(
-            array("I", [special[p]]).tobytes() if i % 2 else b"".join(map(self.word, PATTERN.findall(p)))
-            for i, p in enumerate(parts)
-        )
+        return self.whole_ids(text).astype("<u4").tobytes()
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         return self.coder.encode(texts)
 
+    def emit(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the labels of many texts' ids, and the place of each text's first byte (and of the end)."""
+        sizes = self.sizes[ids]
+        return self.spelled[spans(self.begins[ids], sizes)], np.concatenate([[0], np.cumsum(sizes)])[offsets]
+
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.labels.__getitem__, array("I", ids))).decode("utf-8", "replace")
+        numbers = np.frombuffer(ids, "<u4")
+        return self.emit(numbers, np.array([0, len(numbers)]))[0].tobytes().decode("utf-8", "replace")
 
 
 def bpe_of(model: str) -> Bpe:
@@ -199,10 +331,12 @@ def code_texts(df: DataFrame, text: str, keys: Sequence[str], path: str, keep: S
 
     def code(rows: pa.Table) -> dict:
         bpe = bpe_of(model.value)
-        ids = bpe.encode([as_text(r) for r in rows["raw"].to_pylist()])
-        decoded = [bpe.decode(i) for i in ids]
+        numbers, offsets = bpe.coder.encode_flat(as_strings(rows["raw"].combine_chunks()))
+        spelled, ends = bpe.emit(numbers, offsets)
+        ids = cut_up(numbers.astype("<u4"), offsets)
+        decoded = [as_text(d) for d in cut_up(spelled, ends)]
         out = {n: rows[n] for n in names} | {
-            "n_tokens": [len(i) // 4 for i in ids],
+            "n_tokens": np.diff(offsets),
             "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
             "decoded_sha256": [hashlib.sha256(d.encode()).hexdigest() for d in decoded],
         }

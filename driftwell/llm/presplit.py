@@ -12,13 +12,20 @@ import json
 from collections.abc import Callable, Sequence
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 # The splitting pattern of byte-level BPE: a fixed value of the format.
 PATTERN = regex.compile(
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", regex.V0
 )
-INNER_SPACE = regex.compile(r"\s")
+# Anything that any Unicode version may call white space, but for a line feed at the beginning (RE2 syntax).
+_BLANK = r"\x0B-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+INNER_BLANK = rf"(?s)^.+[\x09\x0A{_BLANK}]|^[\x09{_BLANK}]"
+# Marks that stand behind a letter as a piece of their own.
+TAILS = frozenset(",.;:!?")
 # Distinct pieces kept by a worker; older ones are forgotten, which costs time and changes nothing.
 PIECES_KEPT = 400_000
 
@@ -40,85 +47,170 @@ def special_ids(model: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in json.loads(model).get("added_tokens", [])}
 
 
-class Recent(dict):
-    """A table of at most about ``kept`` entries: when half are full, they become the old half and the old half goes."""
+def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of all members of many ranges, one range after the other."""
+    shift = starts - (np.cumsum(counts) - counts)
+    return np.arange(int(counts.sum()), dtype=np.int64) + np.repeat(shift, counts)
 
-    def __init__(self, kept: int):
-        self.half, self.old = max(1, kept // 2), {}
 
-    def trim(self) -> None:
-        if len(self) > self.half:
-            self.old = dict(self)
-            self.clear()
+def as_strings(raw: pa.Array) -> pa.Array:
+    """Bytes as texts; what is no UTF-8 counts as U+FFFD."""
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([r.decode("utf-8", "replace") for r in raw.to_pylist()], pa.string())
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """Keys in neither half. Keys of the old half are taken over."""
-        away = keys.difference(self)
-        back = away.intersection(self.old)
-        self.update({k: self.old[k] for k in back})
-        return list(away - back)
+
+def cut_up(flat: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The bytes of each stretch of ``flat``."""
+    raw, bounds = flat.tobytes(), (flat.itemsize * offsets).tolist()
+    return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+class Shelf:
+    """Id sequences one after the other in one array that grows by doubling."""
+
+    def __init__(self):
+        self.ids = np.empty(1 << 16, np.uint32)
+        self.used = 0
+        self.starts = np.empty(1 << 14, np.int64)
+        self.counts = np.empty(1 << 14, np.int64)
+        self.rows = 0
+
+    @staticmethod
+    def _room(held: np.ndarray, wanted: int) -> np.ndarray:
+        return held if wanted <= len(held) else np.concatenate([held, np.empty(max(len(held), wanted - len(held)), held.dtype)])
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Sequences of ``counts`` ids; a count of -1 marks a place without a sequence."""
+        sizes = np.maximum(counts, 0)
+        self.ids = self._room(self.ids, self.used + len(ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        rows = self.rows + len(counts)
+        self.starts, self.counts = self._room(self.starts, rows), self._room(self.counts, rows)
+        self.starts[self.rows : rows] = self.used + np.cumsum(sizes) - sizes
+        self.counts[self.rows : rows] = counts
+        self.rows, self.used = rows, self.used + len(ids)
 
 
 class PieceCoder:
-    """Ids of whole texts as bytes, from ``pieces`` (ids of many pieces) and ``whole`` (ids of any text).
+    """Ids of whole texts, from ``pieces`` (ids of many pieces) and ``whole`` (ids of any text).
 
-    ``pieces`` gets pieces without white space but for one leading space, in texts without special tokens.
+    ``pieces(found, spaced)`` gets pieces without white space, which stand behind a space that belongs to them if
+    ``spaced``, and gives all their ids with the count of each. Texts with special tokens go through ``whole``.
     """
 
     def __init__(
         self,
-        pieces: Callable[[list[str]], list[bytes]],
-        whole: Callable[[str], bytes],
+        pieces: Callable[[list[str], bool], tuple[np.ndarray, np.ndarray]],
+        whole: Callable[[str], np.ndarray],
         specials: Sequence[str],
         kept: int = PIECES_KEPT,
     ):
-        self.pieces, self.whole, self.specials = pieces, whole, list(specials)
-        # Keyed by the text behind a space, or from a line feed on; None marks white space inside.
-        self.known, self.first = Recent(kept), Recent(kept // 4)
+        self.pieces, self.whole, self.specials, self.most = pieces, whole, list(specials), kept
         self.space, self.line = whole(" "), whole("\n")
-
-    def plain(self, text: str) -> bool:
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-            return False
-        return not any(s in text for s in self.specials)
-
-    def _learn(self, found: set[str], table: Recent, lead: str) -> None:
-        table.trim()
-        new = table.missing(found)
-        special = [k for k in new if k[:1] == "\n" or not k]
-        if special:
-            new = [k for k in new if k and k[:1] != "\n"]
-        self._add(table, new, lead, b"")
-        if special:
-            table.update((k, self.space if not k else self.line) for k in special if len(k) < 2)
-            self._add(table, [k for k in special if len(k) > 1], "\n", self.line)
-
-    def _add(self, table: Recent, keys: list[str], lead: str, before: bytes) -> None:
-        """Add ``keys``, which stand behind ``lead``; a line feed is a piece of its own, with the ids ``before``."""
-        skip = 1 if before else 0
-        # Looked for in all keys at once (line feeds at their beginnings are known).
-        found = INNER_SPACE.search("a".join([k[1:] for k in keys] if skip else keys))
-        if found:
-            odd = {k for k in keys if INNER_SPACE.search(k, skip)}
-            table.update(dict.fromkeys(odd))
-            keys = [k for k in keys if k not in odd]
-        if not keys:
+        self.tails = {t: whole(t) for t in sorted(TAILS)}
+        self._forget()
+
+    def _forget(self) -> None:
+        # Keyed by the text behind a space, or from a line feed on.
+        self.shelf, self.place = Shelf(), {"": 0, "\n": 1}
+        self.shelf.add(np.concatenate([self.space, self.line]), np.array([len(self.space), len(self.line)]))
+
+    def _add(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        at = self.shelf.rows
+        self.shelf.add(ids, counts)
+        self.place.update(zip(keys, range(at, at + len(keys))))
+
+    def _learn(self, new: list[str]) -> None:
+        """Keys not yet known: a mark behind a letter is cut off, and each distinct rest is encoded once."""
+        if not new:
             return
-        made = self.pieces([k[1:] for k in keys] if skip else [lead + k for k in keys])
-        table.update(zip(keys, [before + ids for ids in made] if skip else made))
+        odd = pc.match_substring_regex(pa.array(new, pa.string()), INNER_BLANK).to_numpy(zero_copy_only=False)
+        if odd.any():
+            self._add([k for k, o in zip(new, odd) if o], np.zeros(0, np.uint32), np.full(int(odd.sum()), -1))
+            new = [k for k, o in zip(new, odd) if not o]
+        place, ended = self.place, []
+        behind_space: dict[str, None] = {}
+        behind_line: dict[str, None] = {}
+        for k in new:
+            core = k
+            if k[-1] in TAILS and len(k) > 1 and k[-2] < "\u0500" and k[-2].isalpha():
+                core = k[:-1]
+                ended.append(k)
+            if core not in place:
+                (behind_line if core[0] == "\n" else behind_space)[core] = None
+        if behind_space:
+            self._add(list(behind_space), *self.pieces(list(behind_space), True))
+        if behind_line:
+            ids, counts = self.pieces([k[1:] for k in behind_line], False)
+            begins = np.cumsum(counts) - counts
+            self._add(list(behind_line), np.insert(ids, np.repeat(begins, len(self.line)), np.tile(self.line, len(begins))), counts + len(self.line))
+        for tail, its in self.tails.items():
+            keys = [k for k in ended if k[-1] == tail]
+            if keys:
+                at = np.fromiter((place[k[:-1]] for k in keys), np.int64, len(keys))
+                counts = self.shelf.counts[at]
+                ids = self.shelf.ids[spans(self.shelf.starts[at], counts)]
+                ends = np.cumsum(counts)
+                self._add(keys, np.insert(ids, np.repeat(ends, len(its)), np.tile(its, len(ends))), counts + len(its))
+
+    def _special(self, texts: pa.Array) -> np.ndarray:
+        found = np.zeros(len(texts), bool)
+        for mark in self.specials:
+            found |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        return found
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts, and the place of each text's first id (and of the end)."""
+        if len(self.place) > self.most:
+            self._forget()
+        # Every text is led by a line feed, which is no part of it and parts its first piece from those behind a space.
+        cut = pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), "")
+        listed = pc.split_pattern(cut, " ")
+        coded = listed.flatten().dictionary_encode()
+        keys = coded.dictionary.to_pylist()
+        place = self.place
+        self._learn([k for k in keys if k not in place])
+        at = np.fromiter(map(place.__getitem__, keys), np.int64, len(keys))[coded.indices.to_numpy()]
+        starts, counts = self.shelf.starts[at], self.shelf.counts[at]
+        bounds = listed.offsets.to_numpy().astype(np.int64) - listed.offsets[0].as_py()
+        first, end = bounds[:-1], bounds[1:] - 1
+        # Two spaces or line feeds touch where a lone one (places 0 and 1) is not at an end of its text.
+        inner = at <= 1
+        inner[end] = False
+        inner[first] &= at[first] == 0
+        plain = ~self._special(texts)
+        unknown = inner | (counts < 0)
+        if unknown.any():
+            within = np.concatenate([[0], np.cumsum(unknown)])
+            plain &= within[bounds[1:]] == within[bounds[:-1]]
+        if not plain.all():
+            sizes = np.diff(bounds)
+            use = np.repeat(plain, sizes)
+            starts, counts = starts[use], counts[use]
+            bounds = np.concatenate([[0], np.cumsum(sizes[plain])])
+            first = bounds[:-1]
+        lead = len(self.line)
+        starts[first] += lead
+        counts[first] -= lead
+        ids = self.shelf.ids[spans(starts, counts)]
+        offsets = np.concatenate([[0], np.cumsum(counts)])[bounds]
+        if plain.all():
+            return ids, offsets
+        made, seen = [], 0
+        values = texts.to_pylist()
+        for i, simple in enumerate(plain.tolist()):
+            if simple:
+                made.append(ids[offsets[seen] : offsets[seen + 1]])
+                seen += 1
+            else:
+                made.append(self.whole(values[i]))
+        return np.concatenate(made), np.cumsum([0, *map(len, made)])
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        cut = [t.replace("\n", " \n").split(" ") if self.plain(t) else None for t in texts]
-        self._learn(set().union(*[p[1:] for p in cut if p]), self.known, " ")
-        self._learn({p[0] for p in cut if p and p[0]}, self.first, "")
-        get, out = self.known.__getitem__, []
-        for text, parts in zip(texts, cut):
-            if parts is None:
-                out.append(self.whole(text))
-                continue
-            try:
-                head = self.first[parts[0]] if parts[0] else b""
-                out.append(b"".join([head, *map(get, parts[1:])]))
-            except TypeError:  # a piece marked None
-                out.append(self.whole(text))
-        return out
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not texts:
+            return []
+        ids, offsets = self.encode_flat(pa.array(texts, pa.string()))
+        return cut_up(ids.astype("<u4"), offsets)

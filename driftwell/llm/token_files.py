@@ -15,7 +15,6 @@ import math
 import os
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator, Sequence
 from functools import partial
 from typing import NamedTuple
@@ -27,16 +26,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwell.llm.bpe import read_model
-from driftwell.llm.presplit import PieceCoder, special_ids
-from driftwell.llm.rows import arrow_map, as_text, kept, stored, utf8, work_path
+from driftwell.llm.presplit import PieceCoder, as_strings, byte_letters, special_ids
+from driftwell.llm.rows import arrow_map, kept, stored, utf8, work_path
 from driftwell.session import small_side
 
 MAGIC = b"bitpack1"
 BLOCK = 1 << 16
 # Ids in one file: about 8 MB at 16 bits. Bounds a worker's memory on both ways.
 FILE_IDS = 1 << 22
-# Pieces encoded in one call. The library needs about a kilobyte for each token of a call.
-JOINED = 512
+# Bytes of texts encoded at once.
+BATCH = 4 << 20
+# Pieces encoded in one call. The library needs about a kilobyte for each token of a call, and longer calls take longer a piece.
+JOINED = 64
 # bits, ids, blocks, documents, part, piece, directory bytes
 TRAILER = struct.Struct("<IQQQQQQ8s")
 
@@ -152,24 +153,31 @@ def _library_coder(model: str) -> PieceCoder:
     tokenizer = Tokenizer.from_str(model)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    as_ids = lambda e: array("I", e.ids).tobytes()
+    spell = tokenizer.id_to_token
+    opens = np.array([(spell(i) or "").startswith(byte_letters()[32]) for i in range(_vocabulary(model))])
     line = tokenizer.encode("\n", add_special_tokens=False).ids
 
-    def pieces(found: list[str]) -> list[bytes]:
-        """Many pieces in one call, a line feed between two: its id comes from nothing else in them."""
-        out: list[bytes] = []
+    def pieces(found: list[str], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Many pieces in one call. A label that begins with a space begins a piece; others get a line feed between two."""
+        flat, counts = [], []
         for i in range(0, len(found), JOINED):
             part = found[i : i + JOINED]
-            ids = np.array(tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == line[0]), len(ids))
-            if len(line) == 1 and len(ends) == len(part):
-                flat, bounds = ids.tobytes(), (4 * ends).tolist()
-                out += [flat[a:b] for a, b in zip([0, *[e + 4 for e in bounds]], bounds)]
+            joined = " " + " ".join(part) if spaced else "\n" + "\n".join(part)
+            ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            heads = np.flatnonzero(opens[ids] if spaced else ids == line[0])
+            if len(heads) == len(part) and (spaced or len(line) == 1):
+                counts.append(np.diff(np.append(heads, len(ids))) - (0 if spaced else 1))
+                flat.append(ids if spaced else np.delete(ids, heads))
             else:
-                out += [as_ids(e) for e in tokenizer.encode_batch(part, add_special_tokens=False)]
-        return out
+                each = [e.ids for e in tokenizer.encode_batch([" " + p for p in part] if spaced else part, add_special_tokens=False)]
+                counts.append(np.array([len(e) for e in each], np.int64))
+                flat.append(np.array([x for e in each for x in e], np.uint32))
+        return np.concatenate(flat), np.concatenate(counts)
+
+    def whole(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    return PieceCoder(pieces, lambda text: as_ids(tokenizer.encode(text, add_special_tokens=False)), list(special_ids(model)))
+    return PieceCoder(pieces, whole, list(special_ids(model)))
 
 
 def write_token_files(df: DataFrame, text: str, key: str, path: str, folder: str, end_id: int = 0, file_ids: int = FILE_IDS) -> None:
@@ -187,34 +195,36 @@ def write_token_files(df: DataFrame, text: str, key: str, path: str, folder: str
     dealt = slim.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "raw")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, tail = library_coder(model.value), array("I", [end_id]).tobytes()
+        coder = library_coder(model.value)
         part, piece = TaskContext.get().partitionId(), 0
         keys: list = []
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            step = max(1, math.ceil(batch.num_rows / max(1, math.ceil(batch.nbytes / (2 << 20)))))
+            step = max(1, math.ceil(batch.num_rows / max(1, math.ceil(batch.nbytes / BATCH))))
             for start in range(0, batch.num_rows, step):
                 rows = batch.slice(start, step)
                 keys += rows["key"].to_pylist()
-                for made in coder.encode([as_text(r) for r in rows["raw"].to_pylist()]):
-                    ids.append(made + tail)
-                    held += len(made) // 4 + 1
+                made, offsets = coder.encode_flat(as_strings(rows["raw"]))
+                ids.append(np.insert(made, offsets[1:], end_id))
+                counts.append(np.diff(offsets) + 1)
+                held += len(ids[-1])
                 if held >= file_ids:
-                    yield _file_batch(keys, ids, bits, part, piece)
-                    keys, ids, held, piece = [], [], 0, piece + 1
+                    yield _file_batch(keys, ids, counts, bits, part, piece)
+                    keys, ids, counts, held, piece = [], [], [], 0, piece + 1
         if keys:
-            yield _file_batch(keys, ids, bits, part, piece)
+            yield _file_batch(keys, ids, counts, bits, part, piece)
 
     files = dealt.select("key", "raw").mapInArrow(write, "file binary")
     # The text writer copies bytes as they are; one record per file and a line end behind it.
     files.select(F.col("file").cast("string")).write.option("maxRecordsPerFile", 1).text(folder)
 
 
-def _file_batch(keys: list, ids: list[bytes], bits: int, part: int, piece: int) -> pa.RecordBatch:
-    starts = np.cumsum([0, *[len(i) // 4 for i in ids]])[:-1]
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    return pa.record_batch([pa.array([make_file(flat, keys, starts, bits, part, piece)], pa.binary())], names=["file"])
+def _file_batch(keys: list, ids: list[np.ndarray], counts: list[np.ndarray], bits: int, part: int, piece: int) -> pa.RecordBatch:
+    sizes = np.concatenate(counts)
+    made = make_file(np.concatenate(ids), keys, np.cumsum(sizes) - sizes, bits, part, piece)
+    return pa.record_batch([pa.array([made], pa.binary())], names=["file"])
 
 
 def _vocabulary(model: str) -> int:

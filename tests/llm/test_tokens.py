@@ -6,6 +6,7 @@ from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -157,10 +158,21 @@ def test_empty_table(spark):
     assert token_files.documents_as_tokens(docs(spark, []), PATH).count() == 0
 
 
-def test_pieces_are_forgotten():
-    recent = presplit.Recent(4)
+def test_pieces_are_forgotten(coder):
+    small = presplit.PieceCoder(coder.pieces, coder.whole_ids, coder.special, 4)
     for i in range(20):
-        recent.trim()
-        for k in recent.missing({str(i), "kept"}):
-            recent[k] = k
-    assert "kept" in recent and len(recent) <= 4 and len(recent.old) <= 4
+        texts = [f"kept number{i} and, then {i}.", "kept"]
+        assert [array("I", x).tolist() for x in small.encode(texts)] == [want(t) for t in texts]
+        assert len(small.place) <= 4 + 12
+
+
+def test_long_pieces_are_walked_alone(coder):
+    rng = random.Random(6)
+    for n in (bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 400):
+        piece = "".join(rng.choices("abetionrs", k=n))
+        assert coder.automaton.encode(piece.encode()) == want(piece)
+
+
+def test_texts_that_are_no_utf8():
+    raw = presplit.as_strings(pa.array([b"ok", b"bad \xff\xfe end", b""]))
+    assert raw.to_pylist() == ["ok", "bad \ufffd\ufffd end", ""]
