@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwell.llm import bpe, language, licenses, media, mixing, near_text, near_vectors, pages, repair, rules, sharding, token_files
+from driftwell.llm import bpe, language, licenses, media, mixing, near_text, near_vectors, pages, repair, rules, sharding, statements, token_files
 from driftwell.llm.registry import QUERIES, SQL, query, table
 
 # The vocabulary that operators 4 and 10 are given.
@@ -68,7 +68,7 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.document_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op13_conversation_repair")
+@query("op13_conversation_repair", statements.CONVERSATION_REPAIR)
 def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_conversations(table(spark, sf_dir, "conversations"))
 
