@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftwell.llm import bpe, language, licenses, media, mixing, near_text, near_vectors, pages, repair, rules, sharding, statements, token_files
+from driftwell.llm import bpe, language, licenses, media, mixing, near_text, near_vectors, pages, repair, rules, sharding, statements, token_files, whitening
 from driftwell.llm.registry import QUERIES, SQL, query, table
 
 # The vocabulary that operators 4 and 10 are given.
@@ -63,6 +63,11 @@ def bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.code_texts(table(spark, sf_dir, "documents"), "text", ["doc_id"], TOKENIZER)
 
 
+@query("op11_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
+
+
 @query("op12_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.document_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
