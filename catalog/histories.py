@@ -289,6 +289,21 @@ def onehot_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.mass_aggregate(orders, "o_custkey", "ORD", categorical="onehot")
 
 
+@query("level_maps", """
+WITH n AS (SELECT l_suppkey, count(*) AS rows, count(*) FILTER (WHERE l_returnflag = 'N') AS missing FROM lineitem GROUP BY l_suppkey),
+c AS (SELECT l_suppkey, 'p' || l_partkey AS level, count(*) AS hits FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_suppkey, l_partkey)
+SELECT l_suppkey, level, CAST(hits AS BIGINT) AS hits, CAST(rows AS BIGINT) AS rows, CAST(missing AS BIGINT) AS missing,
+       round(hits / rows, 12) AS mean FROM c JOIN n USING (l_suppkey)""")
+def level_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-hot sums of thousands of levels: every part of a supplier's lines, without a column per part."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_suppkey", F.when(F.col("l_returnflag") != "N", F.concat(F.lit("p"), F.col("l_partkey"))).alias("part")
+    )
+    maps = history.mass_aggregate(lines, "l_suppkey", "LINE", categorical="map")
+    cells = maps.select("l_suppkey", F.explode("LINE_part_LEVELS").alias("level", "hits"), F.col("LINE_ROWS").alias("rows"), F.col("LINE_part_MISSING").alias("missing"))
+    return cells.withColumn("mean", F.round(F.col("hits") / F.col("rows"), 12))
+
+
 @query("named_aggs", f"""
 SELECT o_custkey, min(cents) AS lowest, max(cents) AS highest, avg(cents) AS average, CAST(sum(cents) AS BIGINT) AS total,
        round(stddev_samp(cents), 1) AS spread, CAST(count(cents) AS BIGINT) AS orders, CAST(count(DISTINCT o_orderstatus) AS BIGINT) AS states,

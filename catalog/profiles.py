@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from driftwell.functions import labels
 from driftwell.functions.numbers import finite, to_number
 from driftwell.operators import models, preprocess, profile
 from driftwell.operators.binning import column_moments
+from driftwell.session import checkpoint_dir
 
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 # Every 13th price is missing.
@@ -263,6 +266,26 @@ def onehot_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.groupBy("column").agg(F.sum("hit").alias("hits"), F.count_distinct("g").alias("groups"))
 
 
+@query("level_reload", """
+WITH lines AS (SELECT l_quantity AS q, CASE WHEN l_partkey % 3 = 0 THEN 'hot' ELSE 'o' || l_orderkey END AS level FROM lineitem),
+counted AS (SELECT level, count(*) AS rows FROM lines GROUP BY level),
+frequent AS (SELECT level, row_number() OVER (ORDER BY level) AS code FROM counted WHERE rows >= 5),
+cells AS (SELECT 0 AS place, q AS value FROM lines WHERE q <> 0 UNION ALL
+          SELECT coalesce(f.code, (SELECT count(*) FROM frequent) + 1), 1.0 FROM lines l LEFT JOIN frequent f ON l.level = f.level)
+SELECT CAST(place AS INT) AS place, CAST(count(*) AS BIGINT) AS lines, CAST(sum(value) AS DOUBLE) AS total FROM cells GROUP BY place""")
+def level_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Far more than 10 000 levels, a third of the lines with one of them: fitted, saved, loaded and applied."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_quantity").alias("quantity"),
+        F.when(F.col("l_partkey") % 3 == 0, "hot").otherwise(F.concat(F.lit("o"), F.col("l_orderkey"))).alias("level"),
+    )
+    path = f"{checkpoint_dir(spark)}/level-reload-{uuid.uuid4().hex}"
+    preprocess.Preprocessor(scaler=None, min_frequency=5).fit(lines).save(spark, path)
+    made = preprocess.Preprocessor.load(spark, path).transform_sparse(lines)
+    cells = made.select(F.explode(F.arrays_zip("indices", "values")).alias("cell"))
+    return cells.groupBy(F.col("cell.indices").alias("place")).agg(F.count(F.lit(1)).alias("lines"), F.sum("cell.values").alias("total"))
+
+
 # ---- Linear attribution ----
 
 WEIGHTS = {"l_quantity": 0.5, "l_extendedprice": -0.001, "l_discount": 8.0, "l_tax": -3.0}

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 # Fixed value: added to every ratio's denominator.
 RATIO_EPSILON = 1e-6
 
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOATS = (T.DoubleType, T.FloatType)
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 

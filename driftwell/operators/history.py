@@ -7,11 +7,11 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from driftwell.functions.numbers import (
-    finite, finite_floats, nan_to_null, numeric_columns, positive_flag, quoted, safe_ratio, share, sql_name, string_columns,
+    WHOLE, finite, finite_floats, nan_to_null, numeric_columns, positive_flag, quoted, safe_ratio, share, sql_name, string_columns,
 )
 from driftwell.operators.binning import column_chunks, long_form
 from driftwell.operators.ordering import ROWS_PER_BUCKET, bucket_edges, running_totals
@@ -45,9 +45,7 @@ class AggregationPlan:
         return cls(tuple(saved["two_valued"]), tuple(saved["many_valued"]), levels)
 
 
-def profile_for_aggregation(
-    df: DataFrame, key: str, categorical: str = "ignore", max_levels: int = 1000
-) -> AggregationPlan:
+def profile_for_aggregation(df: DataFrame, key: str, categorical: str = "ignore") -> AggregationPlan:
     """Which statistics each column gets: columns with at most two distinct values get mean and sum only.
 
     One pass with a three-bin adaptive histogram per column. It merges the closest bins first, so equal values end up
@@ -66,37 +64,59 @@ def profile_for_aggregation(
                 close = any(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(points, points[1:]))
                 (unsure.append if close else many.add)(chunk[row["slot"]])
     many |= _more_than_two(df, unsure)
-    levels: tuple[tuple[str, tuple[str | None, ...]], ...] = ()
-    if categorical == "onehot":
-        levels = tuple(
-            (c, tuple(_levels(df, c, max_levels))) for c in string_columns(df, {key})
-        )
-    elif categorical != "ignore":
-        raise ValueError(f"unknown categorical mode {categorical!r}: use 'ignore' or 'onehot'")
     return AggregationPlan(
-        tuple(c for c in columns if c not in many), tuple(c for c in columns if c in many), levels
+        tuple(c for c in columns if c not in many), tuple(c for c in columns if c in many), _text_levels(df, key, categorical)
     )
 
 
+def _text_levels(df: DataFrame, key: str, categorical: str) -> tuple[tuple[str, tuple[str | None, ...]], ...]:
+    if categorical == "onehot":
+        return tuple((c, tuple(_levels(df, c))) for c in string_columns(df, {key}))
+    if categorical not in ("ignore", "map"):
+        raise ValueError(f"unknown categorical mode {categorical!r}: use 'ignore', 'onehot' or 'map'")
+    return ()
+
+
 def _more_than_two(df: DataFrame, columns: Sequence[str]) -> set[str]:
     """Columns with a value that is neither the least nor the greatest."""
     if not columns:
         return set()
     ends = df.agg(*[f(finite(quoted(c))).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("a", F.min), ("z", F.max))]).first()
-    others = df.agg(*[
-        F.count_if((finite(quoted(c)) != F.lit(ends[f"a{i}"])) & (finite(quoted(c)) != F.lit(ends[f"z{i}"]))).alias(f"n{i}")
-        for i, c in enumerate(columns)
-    ]).first()
-    return {c for i, c in enumerate(columns) if others[f"n{i}"] > 0}
+    return _beyond(df, {c: (ends[f"a{i}"], ends[f"z{i}"]) for i, c in enumerate(columns)})
+
+
+def _levels(df: DataFrame, column: str) -> list[str | None]:
+    """Distinct levels of a text column: as many as the result gets columns. ``map`` does without them."""
+    rows = df.select(quoted(column).alias("level")).where(F.col("level").isNotNull()).distinct().collect()
+    return [*sorted(r["level"] for r in rows), None]
+
+
+def level_counts(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(key, feature, level, rows): how often each key has each level of each text column; a missing level is NULL.
+
+    Rows are counted before the shuffle, so neither a hot key nor a hot level travels.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), quoted(c).cast("string").alias("level")) for c in columns])
+    long = df.where(F.col(key).isNotNull()).select(key, F.explode(cells).alias("cell"))
+    return long.groupBy(key, F.col("cell.feature").alias("feature"), F.col("cell.level").alias("level")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def _levels(df: DataFrame, column: str, max_levels: int) -> list[str | None]:
-    """Distinct levels of a text column; refuses, rather than drops, when there are too many to name."""
-    rows = df.select(quoted(column).alias("level")).distinct().limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError(f"{column} has more than {max_levels} levels; raise max_levels or leave it out")
-    known = sorted(r["level"] for r in rows if r["level"] is not None)
-    return [*known, None]
+def level_maps(df: DataFrame, key: str, columns: Sequence[str], prefix: str) -> DataFrame:
+    """One-hot sums without a column per level: a map of level to rows per key and text column, and its missing rows.
+
+    A level's mean is its rows over ``{prefix}_ROWS``. A map holds the levels of one key, however many the table has.
+    """
+    counted = level_counts(df, key, columns)
+    made = []
+    for c in columns:
+        own = F.col("feature") == c
+        entries = F.collect_list(F.when(own & F.col("level").isNotNull(), F.struct("level", "rows")))
+        made += [
+            F.map_from_entries(F.array_sort(entries)).alias(f"{prefix}_{c}_LEVELS"),
+            F.coalesce(F.sum(F.when(own & F.col("level").isNull(), F.col("rows"))), F.lit(0)).alias(f"{prefix}_{c}_MISSING"),
+        ]
+    rows = F.sum(F.when(F.col("feature") == columns[0], F.col("rows"))).alias(f"{prefix}_ROWS")
+    return counted.groupBy(key).agg(rows, *made)
 
 
 STATISTIC_SQL = {
@@ -104,6 +124,20 @@ STATISTIC_SQL = {
 }
 
 
+def _statistics(column: str, prefix: str, names: Sequence[str]) -> list[Column]:
+    return [F.expr(STATISTIC_SQL[s].format(sql_name(column))).alias(f"{prefix}_{column}_{s}") for s in names]
+
+
+def _level_statistics(levels: Sequence[tuple[str, tuple[str | None, ...]]], prefix: str) -> list[Column]:
+    made = []
+    for c, values in levels:
+        for level in values:
+            hit = F.when(quoted(c).eqNullSafe(F.lit(level).cast("string")), 1).otherwise(0)
+            label = "nan" if level is None else level
+            made += [F.avg(hit).alias(f"{prefix}_{c}_{label}_MEAN"), F.coalesce(F.sum(hit), F.lit(0)).alias(f"{prefix}_{c}_{label}_SUM")]
+    return made
+
+
 def mass_aggregate(
     df: DataFrame,
     key: str,
@@ -114,31 +148,91 @@ def mass_aggregate(
     """Every number column to ``{prefix}_{column}_{STAT}`` per key, in one hash aggregation.
 
     All statistics merge, so a hot key is reduced before the shuffle. Rows without a key are left out. NaN and
-    infinities are missing, as they are for the plan.
+    infinities are missing, as they are for the plan. Text columns are ignored, one-hot counted (``onehot``: two columns for
+    each level) or counted into a map of levels (``map``, see ``level_maps``).
     """
     df = finite_floats(df)
-    plan = plan or profile_for_aggregation(df, key, categorical)
+    result = _planned(df, key, prefix, plan) if plan else _in_one_pass(df, key, prefix, _text_levels(df, key, categorical))
+    texts = string_columns(df, {key})
+    return result.join(level_maps(df, key, texts, prefix), key) if categorical == "map" and texts else result
+
+
+def _planned(df: DataFrame, key: str, prefix: str, plan: AggregationPlan) -> DataFrame:
     order = {c: i for i, c in enumerate(df.columns)}
     wanted = sorted(
         [(c, FEW_VALUES) for c in plan.two_valued] + [(c, MANY_VALUES) for c in plan.many_valued],
         key=lambda item: order[item[0]],
     )
-    aggregates = [
-        F.expr(STATISTIC_SQL[s].format(sql_name(c))).alias(f"{prefix}_{c}_{s}") for c, statistics in wanted for s in statistics
-    ]
-    for c, levels in plan.levels:
-        for level in levels:
-            hit = F.when(quoted(c).eqNullSafe(F.lit(level).cast("string")), 1).otherwise(0)
-            label = "nan" if level is None else level
-            aggregates += [
-                F.avg(hit).alias(f"{prefix}_{c}_{label}_MEAN"), F.coalesce(F.sum(hit), F.lit(0)).alias(f"{prefix}_{c}_{label}_SUM")
-            ]
+    aggregates = [a for c, names in wanted for a in _statistics(c, prefix, names)] + _level_statistics(plan.levels, prefix)
     keyed = df.where(F.col(key).isNotNull())
     if not aggregates:
         return keyed.select(key).distinct()
     return keyed.groupBy(key).agg(*aggregates)
 
 
+def _in_one_pass(df: DataFrame, key: str, prefix: str, levels: Sequence[tuple[str, tuple[str | None, ...]]]) -> DataFrame:
+    """Aggregate and find out which statistics each column gets, reading ``df`` once.
+
+    All statistics are written per key, and the write sums up what tells whether a column has more than two values: for
+    values between a and b, the sum of (x - a)(b - x) is 0 if and only if all are a or b. It follows from the count, the sum and the
+    sum of squares. Where rounding leaves it open, that column alone is looked at again.
+    """
+    columns = [c for c in numeric_columns(df, {key}) if not c.startswith(KEY_PREFIX)]
+    aggregates = [a for c in columns for a in _statistics(c, prefix, MANY_VALUES)] + _level_statistics(levels, prefix)
+    if not aggregates:
+        return df.where(F.col(key).isNotNull()).select(key).distinct()
+    extra = []
+    for i, c in enumerate(columns):
+        square = f"CAST({sql_name(c)} AS DOUBLE) * CAST({sql_name(c)} AS DOUBLE)"
+        extra += [F.expr(f"count({sql_name(c)})").alias(f"_n{i}"), F.expr(f"sum({square})").alias(f"_q{i}")]
+    # Rows without a key have values too; their group is left out below.
+    grouped = df.groupBy(key).agg(*aggregates, *extra)
+    seen: dict = {}
+    if columns:
+        totals = Observation()
+        parts = {"n": "sum(_n{i})", "s": "sum(CAST({s} AS DOUBLE))", "q": "sum(_q{i})", "a": "min(CAST({a} AS DOUBLE))", "b": "max(CAST({b} AS DOUBLE))"}
+        named = [
+            F.expr(sql.format(i=i, s=sql_name(f"{prefix}_{c}_SUM"), a=sql_name(f"{prefix}_{c}_MIN"), b=sql_name(f"{prefix}_{c}_MAX"))).alias(f"{part}{i}")
+            for i, c in enumerate(columns) for part, sql in parts.items()
+        ]
+        grouped = written_table(grouped.observe(totals, *named))
+        seen = totals.get
+    many = {c for i, c in enumerate(columns) if _settled(df, c, {p: seen[f"{p}{i}"] for p in "nsqab"}) is True}
+    unsure = {c: (seen[f"a{i}"], seen[f"b{i}"]) for i, c in enumerate(columns) if _settled(df, c, {p: seen[f"{p}{i}"] for p in "nsqab"}) is None}
+    many |= _beyond(df, unsure)
+    wanted = [f"{prefix}_{c}_{s}" for c in columns for s in (MANY_VALUES if c in many else FEW_VALUES)]
+    named_levels = [f"{prefix}_{c}_{'nan' if v is None else v}_{s}" for c, values in levels for v in values for s in FEW_VALUES]
+    return grouped.where(F.col(key).isNotNull()).select(key, *[quoted(c) for c in [*wanted, *named_levels]])
+
+
+def _settled(df: DataFrame, column: str, seen: Mapping[str, float | int | None]) -> bool | None:
+    """Whether a column has more than two values, None where rounding leaves it open."""
+    n, total, squares, low, high = (seen[p] for p in "nsqab")
+    if not n or low == high:
+        return False
+    size = max(abs(low), abs(high))
+    between = (low + high) * total - squares - n * low * high
+    if between > 1e-6 * n * size * size:
+        return True
+    whole = isinstance(df.schema[column].dataType, WHOLE)
+    # Whole numbers whose squares add up without rounding.
+    if whole and n * size * size < 2.0**53:
+        return (int(low) + int(high)) * int(total) - int(squares) - n * int(low) * int(high) != 0
+    return None
+
+
+def _beyond(df: DataFrame, ends: Mapping[str, tuple[float, float]]) -> set[str]:
+    """Columns with a value that is neither of their two ends."""
+    if not ends:
+        return set()
+    counts = [
+        F.count_if((finite(quoted(c)) != F.lit(low)) & (finite(quoted(c)) != F.lit(high))).alias(f"n{i}")
+        for i, (c, (low, high)) in enumerate(ends.items())
+    ]
+    found = df.agg(*counts).first()
+    return {c for i, c in enumerate(ends) if found[f"n{i}"] > 0}
+
+
 # pandas names of the aggregate functions a caller may ask for.
 NAMED_FUNCTIONS: dict[str, Callable[[Column], Column]] = {
     "min": F.min,
@@ -268,14 +362,8 @@ def bureau_features(
     plan: AggregationPlan | None = None,
     **options,
 ) -> DataFrame:
-    """Two levels: monthly balances per bureau credit, then credits per applicant.
-
-    Without a ``plan`` the joined credits are looked at twice, to profile and to aggregate; they are
-    written once so that the balances are not aggregated again.
-    """
+    """Two levels: monthly balances per bureau credit, then credits per applicant, each read once."""
     credits = bureau_credits(bureau, balance, balance_plan, **options)
-    if balance is not None and plan is None:
-        credits = written_table(credits)
     return mass_aggregate(credits, APPLICANT, "BURO", plan=plan, **options)
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.functions.numbers import double_sql, finite_sql, numeric_columns, quoted, sql_name, string_columns
+from driftwell.functions.numbers import double_sql, finite_sql, numeric_columns, sql_name, string_columns
 from driftwell.operators.binning import column_moments
+from driftwell.operators.levels import LevelEncoder
 from driftwell.operators.quantiles import exact_quantiles
 
 
@@ -75,90 +77,6 @@ class NumberScaler:
         return made
 
 
-@dataclass
-class LevelEncoder:
-    """One-hot encoding with rare levels pooled.
-
-    ``min_frequency`` is a row count, or a share of the rows when below 1. Levels not seen in training
-    encode as all zeros.
-    """
-
-    missing: str = "Missing"
-    min_frequency: int | float | None = 10
-    max_levels: int = 10_000
-    columns: list[str] = field(default_factory=list)
-    levels: dict[str, list[str]] = field(default_factory=dict)
-    rare: dict[str, list[str]] = field(default_factory=dict)
-    many_rare: dict[str, DataFrame] = field(default_factory=dict)
-
-    def fit(self, df: DataFrame, columns: Sequence[str] | None = None) -> LevelEncoder:
-        self.columns = list(string_columns(df) if columns is None else columns)
-        if not self.columns:
-            return self
-        cells = F.array(*[
-            F.struct(F.lit(c).alias("feature"), self._text(c).alias("level")) for c in self.columns
-        ])
-        counts = (
-            df.select(F.explode(cells).alias("cell")).groupBy("cell.feature", "cell.level")
-            .agg(F.count(F.lit(1)).alias("rows"))
-        )
-        limit = self._limit(df)
-        frequent = F.col("rows") >= limit
-        sizes = {
-            r["feature"]: r
-            for r in counts.groupBy("feature")
-            .agg(F.count_if(frequent).alias("frequent"), F.count_if(~frequent).alias("rare"))
-            .collect()
-        }
-        crowded = [c for c in self.columns if c in sizes and sizes[c]["frequent"] > self.max_levels]
-        if crowded:
-            # Every frequent level becomes a column: refuse, rather than drop, what cannot be one.
-            raise ValueError(f"more than {self.max_levels} frequent levels in {crowded}")
-        scattered = [c for c in self.columns if c in sizes and sizes[c]["rare"] > self.max_levels]
-        named = counts.where(frequent | ~F.col("feature").isin(scattered)).collect()
-        for c in self.columns:
-            mine = [r for r in named if r["feature"] == c]
-            self.levels[c] = sorted(r["level"] for r in mine if r["rows"] >= limit)
-            self.rare[c] = sorted(r["level"] for r in mine if r["rows"] < limit)
-        self.many_rare = {
-            c: counts.where((F.col("feature") == c) & ~frequent).select("level") for c in scattered
-        }
-        return self
-
-    def _limit(self, df: DataFrame) -> float:
-        if self.min_frequency is None:
-            return 0
-        return self.min_frequency * df.count() if isinstance(self.min_frequency, float) else self.min_frequency
-
-    def _text(self, column: str) -> Column:
-        return F.coalesce(quoted(column).cast("string"), F.lit(self.missing))
-
-    def attach(self, df: DataFrame) -> DataFrame:
-        """Join the rare levels of columns that have too many of them to be spelled out."""
-        for i, (c, levels) in enumerate(self.many_rare.items()):
-            table = levels.select(F.col("level").alias(f"_level{i}"), F.lit(1.0).alias(f"_rare{i}"))
-            df = df.join(table, self._text(c) == F.col(f"_level{i}"), "left").drop(f"_level{i}")
-        return df
-
-    def pools(self, column: str) -> bool:
-        return bool(self.rare[column]) or column in self.many_rare
-
-    def expressions(self) -> list[Column]:
-        made = []
-        scattered = list(self.many_rare)
-        for c in self.columns:
-            text = self._text(c)
-            made += [F.when(text == level, 1.0).otherwise(0.0).alias(f"{c}_{level}") for level in self.levels[c]]
-            if self.pools(c):
-                if c in self.many_rare:
-                    pooled = F.coalesce(F.col(f"_rare{scattered.index(c)}"), F.lit(0.0))
-                else:
-                    pooled = F.when(text.isin(self.rare[c]), 1.0).otherwise(0.0)
-                # Fixed value: suffix of the pooled column.
-                made.append(pooled.alias(f"{c}_infrequent_sklearn"))
-        return made
-
-
 @dataclass
 class Preprocessor:
     """Scaled numbers followed by encoded levels, in one projection."""
@@ -181,32 +99,51 @@ class Preprocessor:
         return self
 
     def transform(self, df: DataFrame, *keep: str) -> DataFrame:
+        """A column for each number and each frequent level."""
         return self.levels.attach(df).select(*keep, *self.numbers.expressions(), *self.levels.expressions())
 
+    def transform_sparse(self, df: DataFrame, *keep: str) -> DataFrame:
+        """``indices`` and ``values`` of what is not zero, in the order of ``output_columns``: for very many levels."""
+        attached = self.levels.attach(df)
+        scaled = F.array(*self.numbers.expressions()) if self.numbers.columns else F.array().cast("array<double>")
+        numbered = F.transform(scaled, lambda v, i: F.struct(i.alias("i"), v.alias("v")))
+        cells = F.filter(numbered, lambda x: x["v"] != 0)
+        ones = self.levels.indices(len(self.numbers.columns))
+        return attached.select(
+            *keep,
+            F.concat(F.transform(cells, lambda x: x["i"]), ones).alias("indices"),
+            F.concat(F.transform(cells, lambda x: x["v"]), F.transform(ones, lambda _: F.lit(1.0))).alias("values"),
+        )
+
     def output_columns(self) -> list[str]:
-        names = list(self.numbers.columns)
-        for c in self.levels.columns:
-            names += [f"{c}_{level}" for level in self.levels.levels[c]]
-            if self.levels.pools(c):
-                names.append(f"{c}_infrequent_sklearn")
-        return names
+        return [*self.numbers.columns, *self.levels.output_columns()]
 
     def settings(self) -> dict:
-        """Everything learned, as plain values; joined rare levels are saved as tables beside them."""
+        """What was learned as plain values, but for the dictionary of levels (see ``save``)."""
         return {
             "strategy": self.strategy, "scaler": self.scaler, "missing": self.missing,
             "min_frequency": self.min_frequency,
             "number_columns": self.numbers.columns, "fills": self.numbers.fills,
-            "shifts": self.numbers.shifts, "scales": self.numbers.scales,
-            "level_columns": self.levels.columns, "levels": self.levels.levels, "rare": self.levels.rare,
+            "shifts": self.numbers.shifts, "scales": self.numbers.scales, "levels": self.levels.settings(),
         }
 
     @classmethod
-    def from_settings(cls, saved: dict) -> Preprocessor:
+    def from_settings(cls, saved: dict, levels: DataFrame | None = None) -> Preprocessor:
         made = cls(saved["strategy"], saved["scaler"], saved["missing"], saved["min_frequency"])
         made.numbers = NumberScaler(
             saved["strategy"], saved["scaler"], saved["number_columns"], saved["fills"], saved["shifts"], saved["scales"]
         )
-        made.levels = LevelEncoder(saved["missing"], saved["min_frequency"], columns=saved["level_columns"],
-                                   levels=saved["levels"], rare=saved["rare"])
+        made.levels = LevelEncoder.from_settings(saved["missing"], saved["min_frequency"], saved["levels"], levels)
         return made
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Settings as one row of text and the dictionary as a table, under ``path``."""
+        text = json.dumps(self.settings(), sort_keys=True)
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
+        self.levels.save(f"{path}/levels")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Preprocessor:
+        saved = json.loads(spark.read.text(f"{path}/settings", wholetext=True).first()["value"])
+        levels = LevelEncoder.load_table(spark, f"{path}/levels") if saved["levels"]["columns"] else None
+        return cls.from_settings(saved, levels)

@@ -59,6 +59,50 @@ def test_statistics_depend_on_distinct_values(spark):
         history.mass_aggregate(df, "k", "P", categorical="other")
 
 
+def test_one_pass_agrees_with_the_plan(spark):
+    """Whole numbers near and far from zero, doubles that rounding leaves open, NULL keys, hot key."""
+    df = spark.range(3_000).select(
+        F.when(F.col("id") % 3 != 0, F.col("id") % 11).alias("k"),
+        (F.col("id") % 2).alias("two"), F.when(F.col("id") == 2_999, 2).otherwise(F.col("id") % 2).alias("three"), F.lit(5).alias("one"),
+        (F.col("id") % 2 + 10**15).alias("far_two"), F.when(F.col("id") == 0, 10**15 + 2).otherwise(F.col("id") % 2 + 10**15).alias("far_three"),
+        F.when(F.col("id") % 2 == 0, 0.1).otherwise(0.3).alias("x_two"),
+        F.when(F.col("id") == 7, 0.1 + 1e-12).when(F.col("id") % 2 == 0, 0.1).otherwise(0.3).alias("x_three"),
+        F.when(F.col("id") % 2 == 0, 1e200).otherwise(3e200).alias("huge"), F.lit(None).cast("double").alias("empty"),
+        F.when(F.col("id") == 3, float("inf")).otherwise(F.col("id") % 2).alias("infinite"), (F.col("id") % 2).cast("float").alias("f"),
+        (F.col("id") % 3).cast("decimal(9,2)").alias("d"), F.when(F.col("id") % 5 > 0, F.col("id") % 4).cast("string").alias("c"),
+    ).repartition(7)
+    for categorical in ("ignore", "onehot"):
+        plan = history.profile_for_aggregation(df, "k", categorical)
+        assert plan.two_valued == ("two", "one", "far_two", "x_two", "huge", "empty", "infinite", "f")
+        planned, found = history.mass_aggregate(df, "k", "P", plan=plan), history.mass_aggregate(df, "k", "P", categorical)
+        assert planned.columns == found.columns
+        for a, b in zip(rows(planned, "k"), rows(found, "k"), strict=True):
+            numbers = [[float("nan") if v is None else float(v) for v in r] for r in (a, b)]
+            assert numbers[0] == pytest.approx(numbers[1], rel=1e-9, nan_ok=True)
+
+
+def test_levels_without_a_bound(spark):
+    """1 500 levels: the map agrees with the one-hot columns of some of them, and with the counted rows."""
+    df = spark.range(6_000).select(
+        F.when(F.col("id") % 3 != 0, F.col("id") % 4).alias("k"), F.lit(1).alias("n"),
+        F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 7 > 0, F.concat(F.lit("v"), F.col("id") % 3_001)).alias("c"),
+    )
+    out = history.mass_aggregate(df, "k", "P", categorical="map").collect()
+    want = {}
+    for r in df.where("k is not null").collect():
+        want.setdefault(r.k, []).append(r.c)
+    assert {r.k for r in out} == set(want)
+    for r in out:
+        levels = [c for c in want[r.k] if c is not None]
+        assert r.P_ROWS == r.P_n_SUM == len(want[r.k]) and r.P_c_MISSING == len(want[r.k]) - len(levels)
+        assert r.P_c_LEVELS == {c: levels.count(c) for c in set(levels)}
+    assert max(len(r.P_c_LEVELS) for r in out) > 300
+    long = history.level_counts(df, "k", ["c"]).where("level is null").collect()
+    assert {r.k: r.rows for r in long} == {r.k: r.P_c_MISSING for r in out if r.P_c_MISSING}
+    empty = history.mass_aggregate(df.limit(0), "k", "P", categorical="map")
+    assert empty.count() == 0 and "P_c_LEVELS" in empty.columns
+
+
 def test_no_numbers_gives_distinct_keys(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (2, "a")], "k long, c string")
     assert rows(history.mass_aggregate(df, "k", "P"), "k") == [(1,), (2,)]

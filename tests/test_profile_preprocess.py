@@ -120,15 +120,71 @@ def test_rare_levels_are_pooled(spark):
     out = made.attach(df).select(*made.expressions())
     assert out.columns == ["t_a", "t_b", "t_infrequent_sklearn"]
     assert out.agg(F.sum("t_infrequent_sklearn")).first()[0] == 5.0
-    # Too many rare levels to spell out: joined, with the same result.
-    many = preprocess.LevelEncoder(max_levels=2)
+    # Too many levels to spell out: looked up, with the same result.
+    many = preprocess.LevelEncoder(spelled_out=2)
     wide = df.unionByName(spark.range(50).select(F.concat(F.lit("r"), F.col("id")).alias("t")))
     many.fit(wide)
-    assert list(many.many_rare) == ["t"]
+    assert many.sizes == {"t": (2, 52)} and not many._whole("t")
     unseen = wide.unionByName(spark.createDataFrame([("new",)], "t string"))
     assert many.attach(unseen).select(*many.expressions()).agg(F.sum("t_infrequent_sklearn")).first()[0] == 55.0
+    every = preprocess.LevelEncoder(min_frequency=1, spelled_out=2).fit(wide)
+    out = every.attach(wide).select(*every.expressions())
+    assert len(out.columns) == 54 and out.agg(*[F.sum(F.col(f"`{c}`")).alias(c) for c in out.columns]).first().asDict() == {
+        f"t_{v}": float(n) for v, n in wide.fillna("Missing").groupBy("t").count().collect()
+    }
+
+
+def level_rows(spark, n=12_000):
+    """A third of the rows with one level, NULLs, and ``n`` levels of one row each."""
+    hot = spark.range(n // 2).select(F.lit("hot").alias("t"), F.lit(1.5).alias("x"))
+    return hot.unionByName(spark.range(n).select(F.concat(F.lit("r"), F.col("id")).alias("t"), (F.col("id") % 7).cast("double").alias("x"))).unionByName(
+        spark.range(40).select(F.lit(None).cast("string").alias("t"), F.lit(None).cast("double").alias("x"))
+    )
+
+
+@pytest.mark.parametrize("least,frequent", [(10, 2), (1, 12_002)])
+def test_dictionary_of_many_levels_survives_a_reload(spark, tmp_path, least, frequent):
+    df = level_rows(spark)
+    fitted = preprocess.Preprocessor(min_frequency=least).fit(df)
+    assert fitted.levels.sizes == {"t": (frequent, 12_002 - frequent)} and set(fitted.levels.spelled["t"]) == {"hot"}
+    fitted.save(spark, str(tmp_path / "p"))
+    again = preprocess.Preprocessor.load(spark, str(tmp_path / "p"))
+    new = df.unionByName(spark.createDataFrame([("new", 1.0)], "t string, x double"))
+    rows = again.transform_sparse(new, "t").collect()
+    assert sorted(map(str, rows)) == sorted(map(str, fitted.transform_sparse(new, "t").collect()))
+    names = again.output_columns()
+    assert len(names) == 1 + frequent + (least > 1)
+    for r in rows:
+        ones = [names[i] for i, v in zip(r.indices, r.values) if i]
+        level = "Missing" if r.t is None else r.t
+        assert ones == ([] if level == "new" else [f"t_{level}" if f"t_{level}" in (names if frequent < 9 else ones) else "t_infrequent_sklearn"])
     with pytest.raises(ValueError):
-        preprocess.LevelEncoder(min_frequency=1, max_levels=2).fit(wide)
+        preprocess.Preprocessor.from_settings(fitted.settings()).transform_sparse(new)
+
+
+def test_hot_level_does_not_travel(spark):
+    """A third of the rows hold one level: the join deals them over all partitions."""
+    made = preprocess.LevelEncoder().fit(level_rows(spark), ["t"])
+    made._lookups["t"] = made.table.select(F.concat(F.lit("l"), F.col("level")).alias("_key"), F.col("code").alias("_found"))
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = made.attach(level_rows(spark))
+        dealt = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(dealt) == 18_040 and max(dealt) < 6_000
+        assert out.where("t = 'hot'").select("_code0").distinct().count() == 1
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+
+
+def test_levels_of_nothing(spark):
+    empty = spark.createDataFrame([], "t string, x double")
+    made = preprocess.Preprocessor().fit(empty)
+    assert made.output_columns() == ["x"] and made.transform(empty).count() == 0 and made.transform_sparse(empty).count() == 0
+    no_text = spark.createDataFrame([(1.0,)], "x double")
+    assert preprocess.Preprocessor().fit(no_text).transform_sparse(no_text).collect()[0].indices == []
 
 
 def test_rank_correlation_by_pairs(spark):
