@@ -93,6 +93,29 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile.rank_correlation(table(spark, sf_dir, "events"), ["value", "user_id"]), {"correlation": 9})
 
 
+GAPPY_EVENTS = """(SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value, user_id, CASE WHEN event_id % 5 > 1 THEN CAST(event_id % 97 AS DOUBLE) END AS part,
+    CASE WHEN event_id % 5 > 1 THEN CAST(user_id % 12 AS DOUBLE) END AS few, 7.0 AS same, CAST(NULL AS DOUBLE) AS none FROM events)"""
+GAPPY = ["value", "user_id", "part", "few", "same", "none"]
+
+
+def pair_sql(a: str, b: str) -> str:
+    rank = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
+    return f"""SELECT '{a}' AS feature_a, '{b}' AS feature_b, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN round(corr(x, y), 9) END AS correlation
+FROM (SELECT {rank.format('a')} AS x, {rank.format('b')} AS y FROM (SELECT {a} AS a, {b} AS b FROM {GAPPY_EVENTS}) WHERE a IS NOT NULL AND b IS NOT NULL)"""
+
+
+@query("spearman_gaps", " UNION ALL ".join(pair_sql(a, b) for a in GAPPY for b in GAPPY))
+def spearman_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlations of columns with gaps in different rows, of a constant column and of one without values."""
+    here = lambda test, value: F.when(test, value.cast("double"))
+    number, user = F.col("event_id"), F.col("user_id")
+    events = table(spark, sf_dir, "events").select(
+        here(number % 7 != 0, F.col("value")).alias("value"), "user_id", here(number % 5 > 1, number % 97).alias("part"),
+        here(number % 5 > 1, user % 12).alias("few"), F.lit(7.0).alias("same"), F.lit(None).cast("double").alias("none"),
+    )
+    return rounded(profile.rank_correlation(events, GAPPY), {"correlation": 9})
+
+
 # ---- Labels ----
 
 def tokens_sql(text: str, tokens: list[str]) -> str:

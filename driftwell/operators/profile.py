@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from itertools import combinations
 
-import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.functions.labels import engineered_description, engineered_table, semantic_group
-from driftwell.functions.numbers import NUMBERS, finite, numeric_columns, quoted, share, sql_name
+from driftwell.functions.numbers import NUMBERS, double_sql, finite_sql, numeric_columns, quoted, share, sql_name
 from driftwell.operators.binning import column_moments
+from driftwell.operators.gram import all_pairs, gram_cells
+from driftwell.operators.ordering import ROWS_PER_BUCKET, bucket_edges, running_totals
 from driftwell.operators.quantiles import exact_quantiles
+from driftwell.session import small_side, written_table
 
 PERCENTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p95": 0.95}
 
@@ -151,37 +148,39 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     """(feature_a, feature_b, correlation) over pairwise complete rows; a constant column gives NULL.
 
     With m the 0/1 presence, x the centred value (0 where missing) and its square, all sums that pairwise
-    complete correlations need are entries of one Gram matrix of [m, x, x*x]. MLlib adds it up over the
-    rows; only features x features numbers reach the driver.
+    complete correlations need are sums of products of [m, x, x*x], which are added up in blocks.
     """
     columns = list(columns or numeric_columns(df))
     spark, p = df.sparkSession, len(columns)
-    schema = "feature_a string, feature_b string, correlation double"
     if p < 2:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "feature_a string, feature_b string, correlation double")
     moments = {r["feature"]: r for r in column_moments(df, columns, ["mean", "min", "max"]).collect()}
-    parts: list[list[Column]] = [[], [], []]
+    parts: list[list[str]] = [[], [], []]
     for c in columns:
         row = moments[c]
         # A constant column is centred on its value, so that it leaves no rounding noise.
         centre = row["min"] if row["min"] == row["max"] else row["mean"]
-        value = finite(quoted(c)) - F.lit(float(centre or 0.0))
-        parts[0].append(value.isNotNull().cast("double"))
-        parts[1].append(F.coalesce(value, F.lit(0.0)))
-        parts[2].append(F.coalesce(value * value, F.lit(0.0)))
-    vectors = df.select(array_to_vector(F.array(*[v for part in parts for v in part])).alias("v"))
-    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "v")).computeGramianMatrix().toArray()
-    n, sums, squares = gram[:p, :p], gram[p:2 * p, :p], gram[2 * p:, :p]
-    cross = gram[p:2 * p, p:2 * p]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        spread = squares - sums * sums / n
-        spread = np.where(spread > 1e-12 * squares, spread, np.nan)
-        matrix = (cross - sums * sums.T / n) / np.sqrt(spread * spread.T)
-    rows = [
-        (a, b, None if np.isnan(matrix[i, j]) else float(matrix[i, j]))
-        for i, a in enumerate(columns) for j, b in enumerate(columns)
-    ]
-    return spark.createDataFrame(rows, schema)
+        value = f"({finite_sql(c)} - {double_sql(centre or 0.0)})"
+        parts[0].append(f"CASE WHEN {value} IS NULL THEN 0D ELSE 1D END")
+        parts[1].append(f"coalesce({value}, 0D)")
+        parts[2].append(f"coalesce({value} * {value}, 0D)")
+    cells = gram_cells(df, 3 * p, F.expr(f"array({', '.join(v for part in parts for v in part)})"))
+    placed = cells.select(
+        F.explode(F.array(
+            F.struct(F.col("i").alias("i"), F.col("j").alias("j")), F.when(F.col("i") != F.col("j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+        )).alias("at"), "value",
+    ).where("at IS NOT NULL")
+    kinds = {"n": (0, 0), "sa": (1, 0), "sb": (0, 1), "qa": (2, 0), "qb": (0, 2), "ab": (1, 1)}
+    sums = placed.groupBy(F.expr(f"at.i % {p}").alias("i"), F.expr(f"at.j % {p}").alias("j")).agg(*[
+        F.sum(F.expr(f"CASE WHEN at.i div {p} = {a} AND at.j div {p} = {b} THEN value END")).alias(name) for name, (a, b) in kinds.items()
+    ])
+    spread = "(q{0} - s{0} * try_divide(s{0}, n))"
+    varies = " AND ".join(f"{spread.format(x)} > 1e-12D * q{x}" for x in "ab")
+    value = f"CASE WHEN {varies} THEN (ab - sa * try_divide(sb, n)) / sqrt({spread.format('a')} * {spread.format('b')}) END"
+    named = F.array(*[F.lit(c) for c in columns])
+    return all_pairs(df, p).join(sums, ["i", "j"], "left").select(
+        named[F.col("i")].alias("feature_a"), named[F.col("j")].alias("feature_b"), F.expr(value).alias("correlation")
+    )
 
 
 def complete_correlation(df: DataFrame, columns: Sequence[str], method: str = "pearson"):
@@ -190,36 +189,75 @@ def complete_correlation(df: DataFrame, columns: Sequence[str], method: str = "p
     return Correlation.corr(vectors, "_features", method).first()[0].toArray()
 
 
-def rank_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def presence_classes(numbers: DataFrame, row: str, columns: Sequence[str]) -> list[int]:
+    """The class of each column: columns of one class are present in the same rows. Class 0 is present in all.
+
+    Columns with the same count and sum of row hashes are taken together if no row parts them.
+    """
+    present = lambda c: F.col(c).isNotNull()
+    marks = [F.struct(F.count(c).alias("n"), F.sum(F.when(present(c), F.xxhash64(row).cast("decimal(38,0)"))).alias("h")) for c in columns]
+    found = numbers.agg(F.count(F.lit(1)), *marks).first()
+    total, seen = found[0], [(m["n"], m["h"]) for m in found[1:]]
+    first: dict[tuple, int] = {}
+    leader = [first.setdefault(m, i) for i, m in enumerate(seen)]
+    parted = numbers.agg(F.lit(0), *[F.count_if(present(c) != present(columns[i])) for c, i in zip(columns, leader)]).first()[1:]
+    leader = [i if n == 0 else k for k, (i, n) in enumerate(zip(leader, parted))]
+    numbered: dict[int, int] = {}
+    return [0 if seen[i][0] == total else 1 + numbered.setdefault(i, len(numbered)) for i in leader]
+
+
+def rank_correlation(df: DataFrame, columns: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Spearman correlations, each over the rows where both columns of the pair are present.
 
-    Columns without missing values are ranked together; a pair with a column that has some is ranked by itself, since
-    ranks depend on the rows that take part. NULL where a column is constant or fewer than two rows are left.
+    Ranks depend on the rows that take part, and these on the classes of columns that are present together. A column is
+    ranked once for its own class and once for each other class with gaps, all of them in one long form: values are
+    counted, ranked by running totals in buckets of value, and brought back to their rows; products of centred ranks are
+    added up in blocks. The number of jobs does not depend on the number of columns. NULL where a column is constant or fewer
+    than two rows are left.
     """
-    numbers = df.select(*[finite(quoted(c)).alias(c) for c in columns])
-    counts = numbers.agg(F.count(F.lit(1)), *[F.count(quoted(c)) for c in columns]).first()
-    full = [c for c, n in zip(columns, counts[1:]) if n == counts[0]]
-    found: dict[tuple[str, str], float | None] = {}
-
-    def measure(group: Sequence[str], complete: DataFrame) -> None:
-        enough = complete.limit(2).count() == 2
-        matrix = complete_correlation(complete, group, "spearman") if enough else np.full((len(group), len(group)), np.nan)
-        for i, a in enumerate(group):
-            for j, b in enumerate(group):
-                value = float(matrix[i, j])
-                found.setdefault((a, b), None if math.isnan(value) else value)
-
-    if len(full) > 1:
-        measure(full, numbers.select(*[quoted(c) for c in full]))
-    for a, b in combinations(columns, 2):
-        if (a, b) not in found:
-            measure([a, b], numbers.select(quoted(a), quoted(b)).dropna())
-    # A column with itself: 1 unless it is constant, over its own rows.
-    ends = numbers.agg(*[f(quoted(c)) for c in columns for f in (F.min, F.max)]).first()
-    for i, c in enumerate(columns):
-        found[c, c] = 1.0 if ends[2 * i] != ends[2 * i + 1] else None
-    rows = [(a, b, found[a, b]) for a in columns for b in columns]
-    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, correlation double")
+    spark, columns = df.sparkSession, list(columns)
+    if not columns:
+        return spark.createDataFrame([], "feature_a string, feature_b string, correlation double")
+    p = len(columns)
+    values = [f"v{i}" for i in range(p)]
+    cells = [F.expr(f"{finite_sql(c)} AS v{i}") for i, c in enumerate(columns)]
+    numbers = written_table(df.select(F.monotonically_increasing_id().alias("row"), *cells))
+    classes = presence_classes(numbers, "row", values)
+    gaps = sorted(set(classes) - {0})
+    member = {c: values[classes.index(c)] for c in gaps}
+    # (column, class, pair of classes whose common rows count), numbered.
+    slots = []
+    for i, own in enumerate(classes):
+        subsets = [(own, own), *(((b, b) if own == 0 else (min(own, b), max(own, b))) for b in gaps if b != own)]
+        slots += [(i, own, low, high) for low, high in subsets]
+    taken = []
+    for k, (i, _, low, high) in enumerate(slots):
+        there = " AND ".join(f"{member[c]} IS NOT NULL" for c in {low, high} - {0}) or "true"
+        taken.append(f"named_struct('slot', {k}, 'value', CASE WHEN {there} THEN v{i} END)")
+    long = numbers.select("row", F.expr(f"inline(array({', '.join(taken)}))")).where("value IS NOT NULL")
+    counted = written_table(long.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("rows")))
+    totals = running_totals(counted, ["slot"], "value", ["rows"], bucket_edges(counted, ["value"], rows_per_bucket)["value"])
+    # Centred mean ranks: the mean rank of n rows is (n + 1) / 2.
+    ranks = totals.select("slot", "value", (F.col("cum_rows") - F.col("rows") / 2 - F.col("all_rows") / 2).alias("rank"))
+    ranked = long.join(small_side(ranks), ["slot", "value"]).groupBy("row").agg(F.collect_list(F.struct("slot", "rank")).alias("cells"))
+    sums = written_table(gram_cells(ranked, len(slots), F.col("cells.rank"), F.col("cells.slot")))
+    table = F.broadcast(spark.createDataFrame([(k, *s) for k, s in enumerate(slots)], "slot int, column int, class int, low int, high int"))
+    side = lambda n: table.select(*[F.col(c).alias(f"{n}_{c}") for c in table.columns])
+    placed = sums.join(side("a"), F.col("i") == F.col("a_slot")).join(side("b"), F.col("j") == F.col("b_slot"))
+    fitting = """a_low = b_low AND a_high = b_high AND CASE
+        WHEN a_class = b_class THEN a_low = a_class AND a_high = a_class WHEN a_class = 0 THEN a_low = b_class AND a_high = b_class
+        WHEN b_class = 0 THEN a_low = a_class AND a_high = a_class ELSE a_low = least(a_class, b_class) AND a_high = greatest(a_class, b_class) END"""
+    spreads = sums.where("i = j").select("i", F.col("value").alias("spread"))
+    spread = lambda n: spreads.select(F.col("i").alias(n), F.col("spread").alias(f"{n}_spread"))
+    pairs = placed.where(fitting).join(spread("i"), "i").join(spread("j"), "j")
+    value = F.when((F.col("i_spread") > 0) & (F.col("j_spread") > 0), F.col("value") / F.sqrt(F.col("i_spread")) / F.sqrt(F.col("j_spread")))
+    exact = F.when((F.col("a_column") == F.col("b_column")) & value.isNotNull(), 1.0).otherwise(value).alias("correlation")
+    one = pairs.select(F.col("a_column").alias("i"), F.col("b_column").alias("j"), exact)
+    both = one.unionByName(one.where("i != j").select(F.col("j").alias("i"), F.col("i").alias("j"), "correlation"))
+    named = F.array(*[F.lit(c) for c in columns])
+    return all_pairs(df, p).join(both, ["i", "j"], "left").select(
+        named[F.col("i")].alias("feature_a"), named[F.col("j")].alias("feature_b"), "correlation"
+    )
 
 
 def feature_cards(metadata: DataFrame) -> DataFrame:

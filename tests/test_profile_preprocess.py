@@ -187,6 +187,57 @@ def test_levels_of_nothing(spark):
     assert preprocess.Preprocessor().fit(no_text).transform_sparse(no_text).collect()[0].indices == []
 
 
+@pytest.mark.parametrize("side", [3, 256])
+def test_products_in_blocks(spark, monkeypatch, side):
+    from driftwell.operators import gram
+
+    monkeypatch.setattr(gram, "SIDE", side)
+    x = np.random.default_rng(side).integers(-9, 9, (200, 8)).astype(float)
+    df = spark.createDataFrame([(r.tolist(), [i for i, v in enumerate(r) if v], [v for v in r.tolist() if v]) for r in x], "d array<double>, i array<int>, v array<double>").repartition(7)
+    for cells in (gram.gram_cells(df, 8, F.col("d")), gram.gram_cells(df, 8, F.col("v"), F.col("i"))):
+        found = {(r.i, r.j): r.value for r in cells.collect()}
+        assert found == {(i, j): (x.T @ x)[i, j] for i in range(8) for j in range(i, 8)}
+    assert gram.gram_cells(df.limit(0), 8, F.col("d")).count() == 0
+
+
+@pytest.mark.parametrize("rows_per_bucket", [1_000_000, 20])
+def test_rank_correlation_of_gappy_columns(spark, rows_per_bucket):
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    n = 400
+    data = {c: np.round(rng.normal(size=n), 1) for c in "abcdef"}
+    data["a"][rng.random(n) < 0.4] = 0.0
+    gone = rng.random(n) < 0.3
+    data["c"][gone] = data["d"][gone] = np.nan
+    data["e"][rng.random(n) < 0.5] = np.nan
+    data["f"][~gone] = np.nan
+    data["g"] = np.where(np.isnan(data["c"]), np.nan, 3.0)
+    want = pd.DataFrame(data).corr("spearman")
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in zip(*data.values())]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in data)).repartition(3)
+    found = profile.rank_correlation(df, list(data), rows_per_bucket).collect()
+    assert len(found) == len(data) ** 2
+    for r in found:
+        expected = want.loc[r.feature_a, r.feature_b]
+        assert r.correlation is None if math.isnan(expected) else abs(r.correlation - expected) < 1e-12, r
+    numbered = df.withColumn("row", F.monotonically_increasing_id())
+    assert profile.presence_classes(numbered, "row", list(data)) == [0, 0, 1, 1, 2, 3, 1]
+    assert profile.rank_correlation(df.limit(0), ["a", "b"]).where("correlation is not null").isEmpty()
+
+
+def test_rank_correlation_jobs_do_not_depend_on_columns(spark):
+    def jobs(p):
+        df = spark.range(60).select(*[F.when(F.col("id") % (i + 3) != 0, (F.col("id") * (i + 7)) % 31).cast("double").alias(f"c{i}") for i in range(p)])
+        group = f"rank{p}"
+        spark.sparkContext.setJobGroup(group, group)
+        profile.rank_correlation(df, df.columns).collect()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(3) == jobs(9)
+
+
 def test_rank_correlation_by_pairs(spark):
     import pandas as pd
 
