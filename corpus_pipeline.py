@@ -16,12 +16,18 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without text or any letter go."""
+    """Documents with their language: ``lang`` becomes the recognised one. Those without text or any letter go.
+
+    Without a label to learn from there is no network: every text with a letter stays, and ``lang`` as it is.
+    """
     net = fit(docs, "text", "lang", "doc_id")
+    if net is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     # Numbered names: a document may have columns named like the prediction's.
     numbered = [f"c{i}" for i in range(len(docs.columns))]
     found = identify(docs.toDF(*numbered), numbered[docs.columns.index("text")], numbered, net)
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*numbered).toDF(*docs.columns)
+    known = found.where(F.col("lang_pred") != UNKNOWN)
+    return known.select(*[F.col("lang_pred" if c == "lang" else n).alias(c) for n, c in zip(numbered, docs.columns)])
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

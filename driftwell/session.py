@@ -14,7 +14,7 @@ _private_folders: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder the cluster names in ``spark.checkpoint.dir``.
+    """Folder the cluster names in ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``.
 
     Only a local master may fall back to a private temporary folder: executors on other machines
     could not read it.
@@ -22,6 +22,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
+    configured = configured or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
