@@ -27,10 +27,10 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
 PAD = 256
-# Bounds of the training sample: texts over all languages, windows of each, languages (the most frequent ones).
+# Bounds of the training sample: texts over all languages (at least one of each, so no more languages than that, the most
+# frequent ones), and windows of each text.
 SAMPLE_TEXTS = 4_000
 SAMPLE_WINDOWS = 3
-MOST_LANGUAGES = 200
 EPOCHS = 10
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -123,31 +123,8 @@ def train(texts: Sequence[bytes], labels: Sequence[str], epochs: int = EPOCHS, s
         order = rng.permutation(len(y))
         for at in range(0, len(order), AT_ONCE):
             rows = order[at : at + AT_ONCE]
-            w, n = windows[rows], len(rows)
-            x = patches(w, values["embed"])
-            h = x @ values["filters"]
-            top = h.argmax(axis=1)
-            pooled = np.take_along_axis(h, top[:, None, :], 1)[:, 0] + values["bias"]
-            r = np.maximum(pooled, 0)
-            logits = r @ values["out"] + values["out_bias"]
-            logits -= logits.max(axis=1, keepdims=True)
-            p = np.exp(logits)
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(n), y[rows]] -= 1
-            g = p * (weight[rows] / n)[:, None]
-            back = (g @ values["out"].T) * (pooled > 0)
-            # Max pooling sends a filter's gradient to one place of the window.
-            seen = x[np.arange(n)[:, None], top]
-            at_byte = np.take_along_axis(w[:, None, :].repeat(k, 1), top[:, :, None] + np.arange(wide), 2).reshape(-1)
-            to_embed = (back[:, :, None] * values["filters"].T[None]).reshape(-1, d)
-            grads = {
-                "embed": np.stack([np.bincount(at_byte, to_embed[:, j], 257) for j in range(d)], 1).astype(np.float32),
-                "filters": np.einsum("nf,nfk->kf", back, seen) * mask,
-                "bias": back.sum(0),
-                "out": r.T @ g,
-                "out_bias": g.sum(0),
-            }
-            grads["embed"][PAD] = 0
+            w = windows[rows]
+            _, grads = loss_and_gradients(values, mask, w, y[rows], weight[rows])
             step += 1
             for name, value in values.items():
                 first[name] = 0.9 * first[name] + 0.1 * grads[name]
@@ -156,6 +133,38 @@ def train(texts: Sequence[bytes], labels: Sequence[str], epochs: int = EPOCHS, s
     return Network(languages, *[values[n].astype(np.float32) for n in ("embed", "filters", "bias", "out", "out_bias")])
 
 
+def loss_and_gradients(values: dict, mask: np.ndarray, w: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
+    """Weighted mean cross entropy of windows ``w`` with labels ``y``, and its gradient by each group of parameters."""
+    n, (wide, d, k) = len(w), (max(WIDTHS), EMBED, FILTERS * len(WIDTHS))
+    x = patches(w, values["embed"])
+    h = x @ values["filters"]
+    top = h.argmax(axis=1)
+    pooled = np.take_along_axis(h, top[:, None, :], 1)[:, 0] + values["bias"]
+    r = np.maximum(pooled, 0)
+    logits = r @ values["out"] + values["out_bias"]
+    logits -= logits.max(axis=1, keepdims=True)
+    p = np.exp(logits)
+    p /= p.sum(axis=1, keepdims=True)
+    right = p[np.arange(n), y]
+    loss = float(-(np.log(np.maximum(right, 1e-30)) * weight).mean())
+    p[np.arange(n), y] -= 1
+    g = p * (weight / n)[:, None]
+    back = (g @ values["out"].T) * (pooled > 0)
+    # Max pooling sends a filter's gradient to one place of the window.
+    seen = x[np.arange(n)[:, None], top]
+    at_byte = np.take_along_axis(w[:, None, :].repeat(k, 1), top[:, :, None] + np.arange(wide), 2).reshape(-1)
+    to_embed = (back[:, :, None] * values["filters"].T[None]).reshape(-1, d)
+    grads = {
+        "embed": np.stack([np.bincount(at_byte, to_embed[:, j], 257) for j in range(d)], 1).astype(values["embed"].dtype),
+        "filters": np.einsum("nf,nfk->kf", back, seen) * mask,
+        "bias": back.sum(0),
+        "out": r.T @ g,
+        "out_bias": g.sum(0),
+    }
+    grads["embed"][PAD] = 0
+    return loss, grads
+
+
 def predict(net: Network | None, raws: Sequence[bytes | None]) -> tuple[list[str], list[float]]:
     """Language and score (mean probability of that language over the text's bytes) of each text."""
     names, scores = [UNKNOWN] * len(raws), [0.0] * len(raws)
@@ -182,13 +191,12 @@ def held_out(key: Column) -> Column:
 def fit(df: DataFrame, text: str, label: str, key: str, texts: int = SAMPLE_TEXTS, windows: int = SAMPLE_WINDOWS) -> Network | None:
     """Train on a sample of the labelled rows outside the held-out fold.
 
-    The sample has about ``texts`` rows spread evenly over the ``MOST_LANGUAGES`` most frequent labels, chosen by a hash of the key,
-    and ``windows`` slices of each. The driver receives no more than that.
+    The sample has about ``texts`` rows spread evenly over the labels, chosen by a hash of the key, and ``windows`` slices of each. The driver receives no more than that.
     """
     rows = df.where(F.col(label).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key))).select(
         F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h")
     )
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(texts).collect()
     if not counts:
         return None
     each = max(1, texts // len(counts))
