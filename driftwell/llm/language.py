@@ -144,9 +144,8 @@ def loss_and_gradients(values: dict, mask: np.ndarray, w: np.ndarray, y: np.ndar
     logits = r @ values["out"] + values["out_bias"]
     logits -= logits.max(axis=1, keepdims=True)
     p = np.exp(logits)
+    loss = float(((np.log(p.sum(axis=1)) - logits[np.arange(n), y]) * weight).mean())
     p /= p.sum(axis=1, keepdims=True)
-    right = p[np.arange(n), y]
-    loss = float(-(np.log(np.maximum(right, 1e-30)) * weight).mean())
     p[np.arange(n), y] -= 1
     g = p * (weight / n)[:, None]
     back = (g @ values["out"].T) * (pooled > 0)

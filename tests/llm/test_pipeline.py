@@ -19,6 +19,9 @@ def test_each_stage_by_brute_force(spark, sf_dir):
     known = stages["language_id"](spark, df, sf_dir).cache()
     assert known.columns == df.columns
     assert {r.doc_id for r in known.collect()} == {r.doc_id for r in df.collect() if r.text and language.LETTER.search(r.text)}
+    net = language.fit(df, "text", "lang", "doc_id")
+    rows = known.collect()
+    assert [r.lang for r in rows] == language.predict(net, [r.text.encode() for r in rows])[0]
     single = stages["minhash_near_dedup"](spark, known, sf_dir).cache()
     want = {i for i, _, _, first in grouped([(r.doc_id, r.text) for r in known.collect()], 5, 80) if first}
     assert single.columns == df.columns and sorted(r.doc_id for r in single.collect()) == sorted(want)
@@ -52,3 +55,10 @@ def test_mix_keeps_the_columns(spark):
     out = corpus_pipeline.mixing_stage(spark, df, "")
     assert out.columns == df.columns and out.count() > 0
     assert set(mixing.mix(df.withColumn("_size", mixing.word_count(F.col("text"))), "source", "_size", "doc_id").columns) >= {"target", "times"}
+
+
+def test_texts_stay_without_labels(spark):
+    rows = [(1, "Ein Text.", None, "a"), (2, "été", None, None), (None, "日本語", None, "a"), (4, "1 2 3 !", None, "a"), (5, None, None, "a"), (6, "", None, None)]
+    out = corpus_pipeline.language_stage(spark, docs(spark, rows), "")
+    assert sorted((r.text, r.lang) for r in out.collect()) == sorted((t, None) for t in ("Ein Text.", "été", "日本語"))
+    assert out.columns == docs(spark, rows).columns
