@@ -318,6 +318,15 @@ def named_aggs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(history.named_aggregate(scored_orders(spark, sf_dir), "o_custkey", spec), {"spread": 1})
 
 
+@query("named_medians", f"""
+SELECT o_custkey, CAST(count(cents) AS BIGINT) AS orders, median(cents) AS cents_middle, median(day) AS day_middle, round(median(s), 12) AS score_middle
+FROM {ORDERS} GROUP BY o_custkey""")
+def named_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three medians from one count of all their values."""
+    spec = {"orders": ("cents", "count"), "cents_middle": ("cents", "median"), "day_middle": ("day", "median"), "score_middle": ("s", "median")}
+    return rounded(history.named_aggregate(scored_orders(spark, sf_dir), "o_custkey", spec), {"score_middle": 12})
+
+
 @query("sentinel_nullify", """
 SELECT l_returnflag, CAST(count(*) AS BIGINT) AS rows, CAST(count(nullif(l_quantity, 50)) AS BIGINT) AS kept,
        sum(nullif(l_quantity, 50)) AS total, max(nullif(l_quantity, 50)) AS highest

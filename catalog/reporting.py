@@ -285,6 +285,23 @@ def signature_sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.runs_sharing(signed)
 
 
+@query("signature_classes", """
+WITH s AS (SELECT user_id AS run_id, CASE WHEN user_id % 3 = 0 THEN ['hot'] ELSE list_sort(list(DISTINCT event_type || '-' || (user_id // 5))) END AS sigs FROM events GROUP BY user_id),
+m AS (SELECT run_id, sigs, sha256(array_to_string(sigs, chr(10))) AS class_id FROM s),
+c AS (SELECT class_id, any_value(sigs) AS sigs, array_to_string(list_sort(list(run_id)), ';') AS runs, count(*) AS n_runs FROM m GROUP BY class_id),
+u AS (SELECT class_id, unnest(sigs) AS sig FROM c)
+SELECT c.class_id, runs, CAST(n_runs AS INT) AS n_runs, CAST(count(DISTINCT b.class_id) AS INT) AS n_sharing
+FROM c JOIN u a ON a.class_id = c.class_id JOIN u b ON b.sig = a.sig GROUP BY c.class_id, runs, n_runs""")
+def signature_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs by their set of signatures, a third of them with the same one: every run is listed once."""
+    mark = F.concat("event_type", F.lit("-"), F.expr("user_id div 5").cast("string"))
+    signed = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run_id")).agg(
+        F.when(F.col("user_id") % 3 == 0, "hot").otherwise(F.array_join(F.collect_set(mark), ";")).alias("signatures")
+    )
+    _, classes = reports.sharing_classes(signed)
+    return classes.select("class_id", F.array_join("runs", ";").alias("runs"), F.size("runs").alias("n_runs"), F.size("sharing").alias("n_sharing"))
+
+
 ARTIFACTS = run_artifacts.REQUIRED_ARTIFACTS + run_artifacts.RANKED_ARTIFACTS + run_artifacts.HYBRID_ARTIFACTS
 KINDS = ["statistical", "llm", "hybrid"]
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driftwell.functions.numbers import bin_index, finite, numeric_columns, quoted
 from driftwell.operators.binning import binned, column_chunks
+from driftwell.operators.joins import spread_join
 from driftwell.operators.quantiles import exact_quantiles
 from driftwell.session import written_table
 
@@ -50,7 +51,8 @@ class InformationValue:
     def encode(self, df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
         """Replace each value by its bin's weight; a level not seen in training becomes 0.
 
-        Number bins are literals. Text levels are as many as the data has, so they are joined.
+        Number bins are literals. Text levels are as many as the data has, so they are joined, the most frequent of
+        training apart from the others.
         """
         if self.bin_table is None:
             raise ValueError("fit first")
@@ -68,14 +70,10 @@ class InformationValue:
         for c in columns:
             if c not in encoded:
                 levels = self.bin_table.where(F.col("feature") == c).select(
-                    F.col("bin").alias("_bin"), F.col("woe").alias("_woe")
-                )
-                result = (
-                    result.withColumn("_bin", self._bin(c))
-                    .join(levels, "_bin", "left")
-                    .withColumn(c, F.coalesce(F.col("_woe"), F.lit(0.0)))
-                    .drop("_bin", "_woe")
+                    F.col("bin").alias("_bin"), F.col("woe").alias("_woe"), (F.col("good") + F.col("bad")).alias("_rows")
                 )
+                joined = spread_join(result.withColumn("_bin", self._bin(c)), levels, ["_bin"], "_rows")
+                result = joined.withColumn(c, F.coalesce(F.col("_woe"), F.lit(0.0))).select(key, *columns)
         return result
 
     def _bin(self, column: str) -> Column:

@@ -247,28 +247,42 @@ NAMED_FUNCTIONS: dict[str, Callable[[Column], Column]] = {
 
 
 def named_aggregate(df: DataFrame, key: str, spec: Mapping[str, tuple[str, str]]) -> DataFrame:
-    """``{output: (column, function)}`` per key. Medians do not merge, so they are picked by rank."""
+    """``{output: (column, function)}`` per key. Medians do not merge, so all of them are picked by rank together."""
     unknown = sorted({fn for _, fn in spec.values()} - {*NAMED_FUNCTIONS, "median"})
     if unknown:
         raise ValueError(f"unknown aggregate functions: {unknown}")
     keyed = df.where(F.col(key).isNotNull())
     merging = [NAMED_FUNCTIONS[fn](quoted(c)).alias(out) for out, (c, fn) in spec.items() if fn != "median"]
     result = keyed.groupBy(key).agg(*merging) if merging else keyed.select(key).distinct()
-    for out, (c, fn) in spec.items():
-        if fn == "median":
-            result = result.join(grouped_median(keyed, key, c, out), key, "left")
+    medians = {out: c for out, (c, fn) in spec.items() if fn == "median"}
+    if medians:
+        result = result.join(grouped_medians(keyed, key, medians), key, "left")
     return result.select(key, *spec)
 
 
-def grouped_median(df: DataFrame, key: str, column: str, output: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Exact median per key. Values are counted first and ranked by (key, value bucket), so that no task
-    holds the values of a hot key."""
-    value = df.select(key, finite(quoted(column)).alias("value")).where(F.col("value").isNotNull())
-    counted = value.groupBy(key, "value").agg(F.count(F.lit(1)).alias("rows"))
-    placed = running_totals(counted, [key], "value", ["rows"], bucket_edges(value, ["value"], rows_per_bucket)["value"])
+def grouped_medians(df: DataFrame, key: str, outputs: Mapping[str, str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Exact medians of several columns per key (output -> column), reading ``df`` once.
+
+    Values are counted in the long form and ranked by (key, column, value bucket), so that no task holds the values of a
+    hot key.
+    """
+    columns = list(dict.fromkeys(outputs.values()))
+    counted = written_table(
+        long_form(df, columns, key).where(F.col("value").isNotNull()).groupBy(key, "slot", "value").agg(F.count(F.lit(1)).alias("rows"))
+    )
+    edges = bucket_edges(counted, ["value"], rows_per_bucket)["value"]
+    placed = running_totals(counted, [key, "slot"], "value", ["rows"], edges)
     middle = F.array(F.floor((F.col("all_rows") + 1) / 2), F.floor((F.col("all_rows") + 2) / 2))
     hits = F.filter(middle, lambda r: (r > F.col("cum_rows") - F.col("rows")) & (r <= F.col("cum_rows")))
-    return placed.select(key, "value", F.explode(hits)).groupBy(key).agg(F.avg("value").alias(output))
+    picked = placed.select(key, "slot", "value", F.explode(hits))
+    return picked.groupBy(key).agg(*[
+        F.avg(F.when(F.col("slot") == columns.index(c), F.col("value"))).alias(out) for out, c in outputs.items()
+    ])
+
+
+def grouped_median(df: DataFrame, key: str, column: str, output: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Exact median of one column per key."""
+    return grouped_medians(df.where(F.col(key).isNotNull()), key, {output: column}, rows_per_bucket)
 
 
 def merge_left(left: DataFrame, right: DataFrame, on: str) -> DataFrame:

@@ -267,20 +267,40 @@ def ranking_call_stats(log: DataFrame, keys: Sequence[str] = ("run_id",)) -> Dat
     )
 
 
+def sharing_classes(df: DataFrame, key: str = "run_id", signatures: str = "signatures", separator: str = ";") -> tuple[DataFrame, DataFrame]:
+    """(key, class_id) of every run, and (class_id, signatures, runs, sharing) of every distinct set of signatures.
+
+    ``runs`` are the runs with that set, ``sharing`` the classes that share any signature with it, itself included. Runs are
+    listed once, in their class, and classes are joined instead of runs: with one signature for all runs there is one class.
+    Runs without a signature are in no class.
+    """
+    parts = F.filter(F.array_distinct(F.split(signatures, separator)), lambda s: s != "")
+    held = df.select(key, parts.alias("_parts"))
+    sets = held.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_parts")))).alias("signatures")).where(F.size("signatures") > 0)
+    members = sets.select(key, "signatures", F.sha2(F.array_join("signatures", "\n"), 256).alias("class_id"))
+    classes = members.groupBy("class_id").agg(F.first("signatures").alias("signatures"), F.array_sort(F.collect_set(key)).alias("runs"))
+    by_signature = classes.select("class_id", F.explode("signatures").alias("signature"))
+    holders = by_signature.groupBy("signature").agg(F.collect_set("class_id").alias("holders"))
+    sharing = by_signature.join(holders, "signature").groupBy("class_id").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("holders")))).alias("sharing")
+    )
+    return members.select(key, "class_id"), classes.join(sharing, "class_id")
+
+
 def runs_sharing(df: DataFrame, key: str = "run_id", signatures: str = "signatures", separator: str = ";") -> DataFrame:
     """All runs that share any signature with a run, itself included, sorted and joined.
 
-    Distinct run lists are built per signature and merged per run; runs are few, rows are not paired.
+    The list is made once per class of runs with equal signatures (see ``sharing_classes``) and looked up by each run.
     """
-    held = df.select(key, F.explode(F.array_distinct(F.split(signatures, separator))).alias("signature")).where("signature != ''")
-    holders = held.groupBy("signature").agg(F.collect_set(key).alias("holders"))
-    merged = (
-        held.join(holders, "signature")
-        .groupBy(key)
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("holders")))).alias("all"))
+    members, classes = sharing_classes(df, key, signatures, separator)
+    neighbours = classes.select("class_id", F.explode("sharing").alias("_other"))
+    runs = classes.select(F.col("class_id").alias("_other"), "runs")
+    listed = neighbours.join(runs, "_other").groupBy("class_id").agg(
+        F.array_join(F.array_sort(F.flatten(F.collect_list("runs"))), separator).alias("_all")
     )
-    return df.select(key).distinct().join(merged, key, "left").select(
-        key, F.coalesce(F.array_join("all", separator), F.lit("")).alias("runs_sharing_metadata_signatures")
+    found = members.join(listed, "class_id")
+    return df.select(key).distinct().join(found, key, "left").select(
+        key, F.coalesce("_all", F.lit("")).alias("runs_sharing_metadata_signatures")
     )
 
 

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from driftwell.functions.labels import semantic_group
 from driftwell.functions.numbers import share
-from driftwell.session import single_row
+from driftwell.operators.joins import spread_join
+from driftwell.operators.ordering import ROWS_PER_BUCKET, bucket_edges, running_totals
+from driftwell.session import single_row, small_side, written_table
 
 # Fixed value: a feature is stable when picked in at least this share of the folds.
 STABLE_SHARE = 0.8
@@ -187,100 +189,126 @@ def jaccard_with_previous(log: DataFrame, keys: Sequence[str] = (), fold: str =
 
 # ---- Rank agreement ----
 
-def average_rank(log: DataFrame, value: str, keys: Sequence[str], output: str = "rank") -> DataFrame:
+def average_rank(log: DataFrame, value: str, keys: Sequence[str], output: str = "rank", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Descending rank of ``value`` within the keys; equal values share their mean rank.
 
-    Counted per distinct value first, so ties of any size are one row.
+    Counted per distinct value first, so ties of any size are one row. A hot key is cut into buckets of value, and a hot
+    value finds its rank without travelling.
     """
-    per_value = log.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    above = Window.partitionBy(*keys).orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per_value.withColumn(
-        output, F.coalesce(F.sum("_n").over(above), F.lit(0)) + (F.col("_n") + 1) / 2.0
-    ).drop("_n")
-    return log.join(ranked, [*keys, value], "left")
+    present = log.where(F.col(value).isNotNull())
+    counted = written_table(present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
+    edges = bucket_edges(counted, [value], rows_per_bucket)[value]
+    placed = running_totals(counted, list(keys), value, ["_n"], edges, descending=True)
+    ranked = placed.select(*keys, value, "_n", (F.col("cum__n") - (F.col("_n") - 1) / 2.0).alias(output))
+    return spread_join(log, ranked, [*keys, value], "_n").select(*log.columns, output)
 
 
-def _rank_lists(log: DataFrame, keys: Sequence[str], fold: str) -> DataFrame:
-    """One row per run: ``features`` (all that are ranked anywhere) and ``folds`` (rank maps in fold order)."""
+def rank_pairs(log: DataFrame, keys: Sequence[str], fold: str) -> DataFrame:
+    """(keys, left, right, x, y): ranks of a feature in two folds, for every pair of a run's folds and every feature that
+    either ranks. A feature missing on one side ranks after its last. ``left`` and ``right`` are places in fold order."""
     ranked = log.where(F.col("rank").isNotNull() & F.col("feature_name").isNotNull())
     unique = ranked.groupBy(*keys, fold, "feature_name").agg(F.max(F.col("rank").cast("double")).alias("rank"))
-    per_fold = unique.groupBy(*keys, fold).agg(
-        F.array_sort(F.collect_list(F.struct("feature_name", "rank"))).alias("ranks"),
-        F.max("rank").alias("worst"),
-    )
-    ordered = F.array_sort(
-        F.collect_list(F.struct(F.col(fold).alias("fold"), "ranks", "worst"))
+    folds = rank_folds(unique, keys, fold)
+    # A feature has a rank per fold at most, a run a row of folds.
+    held = unique.groupBy(*keys, "feature_name").agg(F.map_from_entries(F.collect_list(F.struct(fold, "rank"))).alias("ranks"))
+    joined = held.join(small_side(folds), list(keys)) if keys else held.join(F.broadcast(folds))
+    sides = F.transform(
+        "folds",
+        lambda f, i: F.struct(
+            i.alias("place"), F.try_element_at(F.col("ranks"), f["fold"]).alias("own"), (f["worst"] + 1).alias("last")
+        ),
     )
-    return per_fold.groupBy(*keys).agg(ordered.alias("folds"))
-
-
-def _aligned(left: Column, right: Column) -> Column:
-    """(x, y) ranks over the union of features; a feature missing on one side ranks after its last."""
-    names = lambda side: F.transform(side["ranks"], lambda e: e["feature_name"])
-    left_map, right_map = F.map_from_entries(left["ranks"]), F.map_from_entries(right["ranks"])
-    union = F.array_sort(F.array_union(names(left), names(right)))
-    return F.transform(
-        union,
-        lambda f: F.struct(
-            F.coalesce(F.try_element_at(left_map, f), left["worst"] + 1).alias("x"),
-            F.coalesce(F.try_element_at(right_map, f), right["worst"] + 1).alias("y"),
+    pairs = fold_pairs(
+        F.col("sides"),
+        lambda a, b: F.struct(
+            a["place"].alias("left"), b["place"].alias("right"), F.coalesce(a["own"], a["last"]).alias("x"),
+            F.coalesce(b["own"], b["last"]).alias("y"), (a["own"].isNotNull() | b["own"].isNotNull()).alias("there"),
         ),
     )
+    cells = joined.withColumn("sides", sides).select(*keys, F.explode(pairs).alias("p"))
+    return cells.where("p.there").select(*keys, "p.left", "p.right", "p.x", "p.y")
 
 
-def _spearman(pairs: Column) -> Column:
-    n = F.size(pairs).cast("double")
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("x", "y", "xx", "yy", "xy")])
-    sums = F.aggregate(
-        pairs,
-        zero,
-        lambda t, p: F.struct(
-            (t["x"] + p["x"]).alias("x"),
-            (t["y"] + p["y"]).alias("y"),
-            (t["xx"] + p["x"] * p["x"]).alias("xx"),
-            (t["yy"] + p["y"] * p["y"]).alias("yy"),
-            (t["xy"] + p["x"] * p["y"]).alias("xy"),
-        ),
+def rank_folds(ranked: DataFrame, keys: Sequence[str], fold: str) -> DataFrame:
+    """One row per run: its folds in order, with the last rank of each."""
+    worst = ranked.groupBy(*keys, fold).agg(F.max("rank").alias("worst"))
+    return worst.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(fold).alias("fold"), "worst"))).alias("folds"))
+
+
+def kendall_by_inversions(pairs: DataFrame, by: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """(by, kendall_tau): (concordant - discordant) / (concordant + discordant) of (x, y); ties count for neither.
+
+    Discordant pairs are the inversions of y in the order of x. Two numbers are in wrong order if and only if, at the first
+    bit where they differ, the earlier has 1 and the later 0. So each row counts, per bit, the ones before it among the rows
+    that agree in all higher bits: a running total per (group, bit, higher bits), cut into buckets of place. That is rows times
+    bits, whatever the number of pairs.
+    """
+    by = list(by)
+    grid = written_table(pairs.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("n")))
+
+    # A row stands in one bucket per bit, of which there are few dozen.
+    edges = bucket_edges(grid, ["x", "y"], max(1, rows_per_bucket // 32))
+
+    def dense(column: str) -> DataFrame:
+        values = grid.groupBy(*by, column).agg(F.sum("n").alias(f"{column}_rows"), F.lit(1).alias("one"))
+        return running_totals(values, by, column, ["one"], edges[column]).select(*by, column, f"{column}_rows", F.col("cum_one").alias(f"{column}_place"))
+
+    xs, ys = dense("x"), dense("y")
+    most = max(1, ys.agg(F.max("y_place")).first()[0] or 1)
+    bits = most.bit_length()
+    numbered = grid.join(xs.drop("x_rows"), [*by, "x"]).join(ys.drop("y_rows"), [*by, "y"])
+    placed = written_table(numbered.select(*by, "n", (F.col("x_place") * (most + 1) + F.col("y_place")).alias("place"), F.col("y_place").alias("y")))
+    place_edges = bucket_edges(placed, ["place"], max(1, rows_per_bucket // 32))["place"] if edges["x"] or edges["y"] else []
+    levels = F.transform(
+        F.sequence(F.lit(0), F.lit(bits - 1)),
+        lambda b: F.struct(b.alias("bit"), F.call_function("shiftright", F.col("y"), b + 1).alias("high"), F.call_function("shiftright", F.col("y"), b).bitwiseAND(1).alias("one")),
     )
-    spread_x, spread_y = n * sums["xx"] - sums["x"] * sums["x"], n * sums["yy"] - sums["y"] * sums["y"]
-    value = F.try_divide(n * sums["xy"] - sums["x"] * sums["y"], F.sqrt(spread_x) * F.sqrt(spread_y))
-    return F.when((F.size(pairs) >= 2) & (spread_x > 0) & (spread_y > 0), value)
-
-
-def _kendall(pairs: Column) -> Column:
-    """(concordant - discordant) / (concordant + discordant); ties count for neither."""
-    signs = fold_pairs(pairs, lambda a, b: F.signum((a["x"] - b["x"]) * (a["y"] - b["y"])))
-    totals = F.aggregate(
-        signs,
-        F.struct(F.lit(0.0).alias("net"), F.lit(0.0).alias("all")),
-        lambda t, s: F.struct((t["net"] + s).alias("net"), (t["all"] + F.abs(s)).alias("all")),
+    spread = placed.select(*by, "n", "place", F.explode(levels).alias("l")).select(
+        *by, "n", "place", "l.bit", "l.high", "l.one", (F.col("n") * F.col("l.one")).alias("ones")
     )
-    return F.try_divide(totals["net"], totals["all"])
+    counted = running_totals(spread, [*by, "bit", "high"], "place", ["ones"], place_edges)
+    wrong = counted.groupBy(*by).agg(F.sum(F.when(F.col("one") == 0, F.col("n") * F.col("cum_ones")).otherwise(0)).cast("double").alias("wrong"))
+
+    def ties(frame: DataFrame, rows: str) -> DataFrame:
+        pairs_of = F.col(rows).cast("double") * (F.col(rows) - 1) / 2
+        return frame.groupBy(*by).agg(F.sum(pairs_of).alias(f"{rows}_ties"), F.sum(rows).cast("double").alias(f"{rows}_all"))
+
+    sums = wrong.join(ties(grid, "n"), by).join(ties(xs, "x_rows"), by).join(ties(ys, "y_rows"), by)
+    untied = F.col("n_all") * (F.col("n_all") - 1) / 2 - F.col("x_rows_ties") - F.col("y_rows_ties") + F.col("n_ties")
+    return sums.select(*by, F.try_divide(untied - 2 * F.col("wrong"), untied).alias("kendall_tau"))
 
 
-def rank_stability(log: DataFrame, keys: Sequence[str] = (), fold: str = "fold_id") -> DataFrame:
+def spearman_of(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, spearman): correlation of x and y; NULL below two rows or without spread."""
+    sums = pairs.groupBy(*by).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(F.expr(e)).alias(n) for n, e in (("a", "x"), ("b", "y"), ("aa", "x * x"), ("bb", "y * y"), ("ab", "x * y"))]
+    )
+    left, right = F.expr("n * aa - a * a"), F.expr("n * bb - b * b")
+    value = F.try_divide(F.expr("n * ab - a * b"), F.sqrt(left) * F.sqrt(right))
+    return sums.select(*by, F.when((F.col("n") >= 2) & (left > 0) & (right > 0), value).alias("spearman"))
+
+
+def rank_stability(log: DataFrame, keys: Sequence[str] = (), fold: str = "fold_id", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Spearman and Kendall agreement of the ranks over fold pairs: (metric, mean_value, std_value, n_pairs).
 
-    The log has (fold, feature_name, rank). Each run is one row of rank lists, so features x folds numbers.
+    The log has (fold, feature_name, rank). Rows are features times fold pairs, and no run is one row or task.
     """
-    runs = _rank_lists(log, keys, fold)
-    folds = F.col("folds")
-    aligned = runs.select(*keys, fold_pairs(folds, _aligned).alias("pairs"))
-    measured = aligned.select(
-        *keys,
-        F.explode(F.array(
-            F.struct(F.lit("spearman").alias("metric"), F.transform("pairs", _spearman).alias("v")),
-            F.struct(F.lit("kendall_tau").alias("metric"), F.transform("pairs", _kendall).alias("v")),
-        )).alias("m"),
-    )
-    values = F.filter(F.col("m.v"), lambda x: x.isNotNull())
-    return measured.select(
-        *keys,
-        F.col("m.metric").alias("metric"),
-        array_mean(F.col("m.v")).alias("mean_value"),
-        array_deviation(F.col("m.v")).alias("std_value"),
-        F.size(values).alias("n_pairs"),
-    )
+    keys = list(keys)
+    pairs = written_table(rank_pairs(log, keys, fold))
+    by = [*keys, "left", "right"]
+    measured = kendall_by_inversions(pairs, by, rows_per_bucket).join(spearman_of(pairs, by), by)
+    metrics = ("spearman", "kendall_tau")
+    values = measured.groupBy(*keys).agg(*[
+        F.struct(F.avg(m).alias("mean_value"), F.stddev_samp(m).alias("std_value"), F.count(m).cast("int").alias("n_pairs")).alias(m) for m in metrics
+    ])
+    # Runs with one fold have no pairs, and a row without values.
+    named = F.col("rank").isNotNull() & F.col("feature_name").isNotNull()
+    runs = log.where(named).select(*keys).distinct() if keys else log.where(named).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 0").drop("_rows")
+    found = runs.join(values, keys, "left") if keys else runs.join(F.broadcast(values))
+    cells = F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(f"{m}.mean_value"), F.col(f"{m}.std_value"), F.coalesce(f"{m}.n_pairs", F.lit(0)).alias("n_pairs")) for m in metrics
+    ])
+    return found.select(*keys, F.inline(cells))
 
 
 # ---- Bundle ----

@@ -160,6 +160,22 @@ def test_nan_becomes_null(spark):
     assert rows(df, "y") == [(None, 1)]
 
 
+def test_three_medians_read_their_table_twice(spark):
+    df = spark.range(2_000).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 40).alias("k"), (F.col("id") % 101).cast("double").alias("x"),
+        F.when(F.col("id") % 2 == 0, F.col("id") % 7).cast("double").alias("y"), F.lit(None).cast("double").alias("z"),
+    )
+    spec = {"mx": ("x", "median"), "my": ("y", "median"), "mz": ("z", "median"), "again": ("x", "median"), "n": ("x", "count")}
+    plain = df.groupBy("k").agg(F.median("x").alias("mx"), F.median("y").alias("my"), F.median("z").alias("mz"), F.median("x").alias("again"), F.count("x").alias("n"))
+    for rows_per_bucket in (1_000_000, 50):
+        made = history.grouped_medians(df, "k", {"mx": "x", "my": "y"}, rows_per_bucket)
+        assert rows(made, "k") == rows(plain.select("k", "mx", "my"), "k")
+    found = history.named_aggregate(df, "k", spec)
+    assert rows(found, "k") == rows(plain, "k")
+    # The values are written once; what is returned reads the table for the other aggregates alone.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 2000") == 1
+
+
 def test_medians_of_hot_keys(spark):
     df = spark.range(3_001).select(
         F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 11 + 2).alias("k"), F.round(F.rand(1) * 50, 1).alias("x")
