@@ -31,13 +31,41 @@ from driftwell.llm.presplit import PATTERN, PieceCoder, as_strings, byte_letters
 from driftwell.llm.rows import arrow_map, as_text, kept, utf8
 
 # Distinct pieces kept by a worker; what is forgotten is found again.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
 # Pieces of up to so many bytes are walked many at once, longer ones one by one.
 LONG = 64
 # Odd multiplier that spreads pairs of labels over the table of gadgets.
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Numbers:
+    """A fixed table from whole numbers to whole numbers, looked up for many at once."""
+
+    def __init__(self, entries: dict[int, int], missing: int):
+        bits = max(4, (4 * len(entries)).bit_length())
+        self.shift, self.mask, self.missing = np.uint64(64 - bits), (1 << bits) - 1, missing
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.values = np.full(1 << bits, missing, np.int32)
+        for key, value in entries.items():
+            at = ((key * int(SPREAD)) & (1 << 64) - 1) >> 64 - bits
+            while self.keys[at] >= 0:
+                at = at + 1 & self.mask
+            self.keys[at], self.values[at] = key, value
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = (keys.astype(np.uint64) * SPREAD >> self.shift).astype(np.int64)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], self.missing)
+        rest = np.flatnonzero((found != keys) & (found >= 0))
+        while len(rest):
+            at[rest] = at[rest] + 1 & self.mask
+            found = self.keys[at[rest]]
+            hit = found == keys[rest]
+            out[rest[hit]] = self.values[at[rest[hit]]]
+            rest = rest[~hit & (found >= 0)]
+        return out
+
+
 class Automaton:
     """Tables made by successive merge gadgets over a byte-level vocabulary.
 
@@ -91,68 +119,49 @@ class Automaton:
         return True
 
     def _compile(self) -> None:
-        """Integer tables: moves over bytes, longest and next shorter labels, parts of labels, gadgets by hash."""
-        labels = sorted(self.ids, key=len)
-        nodes, moves = {b"": 0}, []
-        for label in labels:
+        """Integer tables: moves over bytes, longest and next shorter labels, parts of labels, gadgets."""
+        nodes, moves, depth = {b"": 0}, {}, [0]
+        for label in sorted(self.ids, key=len):
             for n in range(1, len(label) + 1):
                 if label[:n] not in nodes:
-                    moves.append((nodes[label[: n - 1]], label[n - 1], len(nodes)))
+                    moves[nodes[label[: n - 1]] << 8 | label[n - 1]] = len(nodes)
                     nodes[label[:n]] = len(nodes)
-        self.moves = np.zeros((len(nodes), 256), np.int32)
+                    depth.append(n)
+        self.moves = Numbers(moves, -1)
         self.longest = np.full(len(nodes), -1, np.int32)
         for label, number in self.ids.items():
             self.longest[nodes[label]] = number
         self.length = np.array([len(x) for x in self.labels] + [0], np.int64)
         # Where no byte leads on, the walk goes on from the longest proper ending that is a beginning of a label.
-        fall = np.zeros(len(nodes), np.int32)
+        self.fall = np.zeros(len(nodes), np.int32)
         self.shorter = np.full(self.size + 1, -1, np.int32)
-        by_depth: dict[int, list[tuple[int, int, int]]] = {}
-        depth = [0] * len(nodes)
-        for parent, byte, node in moves:
-            depth[node] = depth[parent] + 1
-            by_depth.setdefault(depth[node], []).append((parent, byte, node))
-        for parent, byte, node in by_depth.get(1, []):
-            self.moves[0, byte] = node
-        for d in sorted(by_depth):
-            parent, byte, node = (np.array(x) for x in zip(*by_depth[d]))
+        edges = np.array([(key >> 8, key & 255, node) for key, node in moves.items()], np.int64).reshape(-1, 3)
+        depths = np.array(depth, np.int64)[edges[:, 2]]
+        for d in range(1, int(depths.max(initial=0)) + 1):
+            parent, byte, node = edges[depths == d].T
             if d > 1:
-                fall[node] = self.moves[fall[parent], byte]
-            behind = self.longest[fall[node]]
-            own = self.longest[node]
+                self.fall[node] = self._step(self.fall[parent].astype(np.int64), byte)
+            behind, own = self.longest[self.fall[node]], self.longest[node]
             self.shorter[own[own >= 0]] = behind[own >= 0]
             self.longest[node] = np.where(own >= 0, own, behind)
-            self.moves[node] = self.moves[fall[node]]
-            if d + 1 in by_depth:
-                parent, byte, node = (np.array(x) for x in zip(*by_depth[d + 1]))
-                self.moves[parent, byte] = node
         for name, parts in (("right", self.rights), ("left", self.lefts)):
             counts = np.array([len(p) for p in parts], np.int64)
-            flat = np.array([x for p in parts for x in p], np.int64).reshape(-1, 2)
+            flat = np.array([x for p in parts for x in p], np.int32).reshape(-1, 2)
             setattr(self, name, (np.cumsum(counts) - counts, counts, flat[:, 0].copy(), flat[:, 1].copy()))
-        bits = max(4, (16 * len(self.copies)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.pairs = np.full(1 << bits, -1, np.int64)
-        self.times = np.zeros(1 << bits, np.int64)
-        for pair, time in self.copies.items():
-            at = ((pair * int(SPREAD)) & (1 << 64) - 1) >> 64 - bits
-            while self.pairs[at] >= 0:
-                at = at + 1 & self.mask
-            self.pairs[at], self.times[at] = pair, time
-
-    def _made(self, pairs: np.ndarray) -> np.ndarray:
-        """When the gadget of each pair of labels was made; a time after all where there is none."""
-        at = (pairs.astype(np.uint64) * SPREAD >> self.shift).astype(np.int64)
-        found = self.pairs[at]
-        out = np.where(found == pairs, self.times[at], self.never)
-        rest = np.flatnonzero((found != pairs) & (found >= 0))
+        self.gadgets = Numbers(self.copies, self.never)
+        # What the tables hold is not held twice.
+        del self.rights, self.lefts, self.copies, self.ids
+
+    def _step(self, nodes: np.ndarray, bytes_: np.ndarray) -> np.ndarray:
+        """The longest beginning of a label that ends with the next byte, for many walks at once."""
+        at = nodes.copy()
+        out = self.moves.get(at << 8 | bytes_)
+        rest = np.flatnonzero((out < 0) & (at > 0))
         while len(rest):
-            at[rest] = at[rest] + 1 & self.mask
-            found = self.pairs[at[rest]]
-            hit = found == pairs[rest]
-            out[rest[hit]] = self.times[at[rest[hit]]]
-            rest = rest[~hit & (found >= 0)]
-        return out
+            at[rest] = self.fall[at[rest]]
+            out[rest] = self.moves.get(at[rest] << 8 | bytes_[rest])
+            rest = rest[(out[rest] < 0) & (at[rest] > 0)]
+        return np.maximum(out, 0).astype(np.int64)
 
     def has_arcs(self, states: np.ndarray, labels: np.ndarray) -> np.ndarray:
         """Whether each label may follow in the state of the same place."""
@@ -163,7 +172,7 @@ class Automaton:
         place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
         left = l_at[labels][owner] + place // rights[owner]
         right = r_at[states][owner] + place % rights[owner]
-        made = self._made(r_part[right] * self.size + l_part[left])
+        made = self.gadgets.get(r_part[right].astype(np.int64) * self.size + l_part[left])
         taken = (made < r_time[right]) & (made <= l_time[left])
         ok = np.ones(len(states), bool)
         ok[owner[taken]] = False
@@ -182,13 +191,13 @@ class Automaton:
         for k in order[: int((lengths > LONG).sum())]:
             self._walk(text, last, int(starts[k]), int(lengths[k]))
         few = order[int((lengths > LONG).sum()) :]
-        node = np.zeros(len(few), np.int32)
+        node = np.zeros(len(few), np.int64)
         ends = np.searchsorted(-lengths[few], -np.arange(LONG + 1), side="left")
         for j in range(int(lengths[few[0]]) if len(few) else 0):
             # Pieces longer than j: they come first.
             n = int(ends[j])
             here = starts[few[:n]]
-            node = self.moves[node[:n], text[here + j]]
+            node = self._step(node[:n], text[here + j].astype(np.int64))
             self._settle(last, here, np.full(n, j, np.int64), self.longest[node].astype(np.int64))
         counts = np.zeros(len(pieces), np.int64)
         # Back from the ends: every step takes one label off each unfinished piece.
@@ -227,10 +236,13 @@ class Automaton:
 
     def _walk(self, text: np.ndarray, last: np.ndarray, start: int, length: int) -> None:
         """One long piece, byte by byte."""
-        raw, moves, longest, shorter, size = text[start : start + length].tolist(), self.moves, self.longest, self.shorter, self.length
-        ends, node, known = [-1] * length, 0, {}
+        raw, longest, shorter, size = text[start : start + length].tolist(), self.longest, self.shorter, self.length
+        ends, node, known, moved = [-1] * length, 0, {}, {}
         for j, byte in enumerate(raw):
-            node = moves[node, byte]
+            key = node << 8 | byte
+            if key not in moved:
+                moved[key] = int(self._step(np.array([node]), np.array([byte]))[0])
+            node = moved[key]
             label = int(longest[node])
             while label >= 0:
                 begin = j - int(size[label])
@@ -240,7 +252,7 @@ class Automaton:
                 if before >= 0:
                     arc = known.get((before, label))
                     if arc is None:
-                        arc = known[before, label] = self._follows(before, label)
+                        arc = known[before, label] = bool(self.has_arcs(np.array([before]), np.array([label]))[0])
                     if arc:
                         break
                 label = int(shorter[label])
@@ -258,7 +270,8 @@ class Bpe:
     def __init__(self, model: str):
         self.automaton = Automaton(model)
         self.special = special_ids(model)
-        labels = list(self.automaton.labels)
+        labels = self.automaton.labels
+        del self.automaton.labels
         for text, number in self.special.items():
             labels.extend([b""] * (number + 1 - len(labels)))
             labels[number] = text.encode()
