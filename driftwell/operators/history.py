@@ -7,7 +7,7 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.functions.numbers import (
@@ -173,7 +173,7 @@ def _planned(df: DataFrame, key: str, prefix: str, plan: AggregationPlan) -> Dat
 def _in_one_pass(df: DataFrame, key: str, prefix: str, levels: Sequence[tuple[str, tuple[str | None, ...]]]) -> DataFrame:
     """Aggregate and find out which statistics each column gets, reading ``df`` once.
 
-    All statistics are written per key, and the write sums up what tells whether a column has more than two values: for
+    All statistics are written per key, and their sums over the keys tell whether a column has more than two values: for
     values between a and b, the sum of (x - a)(b - x) is 0 if and only if all are a or b. It follows from the count, the sum and the
     sum of squares. Where rounding leaves it open, that column alone is looked at again.
     """
@@ -189,14 +189,13 @@ def _in_one_pass(df: DataFrame, key: str, prefix: str, levels: Sequence[tuple[st
     grouped = df.groupBy(key).agg(*aggregates, *extra)
     seen: dict = {}
     if columns:
-        totals = Observation()
         parts = {"n": "sum(_n{i})", "s": "sum(CAST({s} AS DOUBLE))", "q": "sum(_q{i})", "a": "min(CAST({a} AS DOUBLE))", "b": "max(CAST({b} AS DOUBLE))"}
         named = [
             F.expr(sql.format(i=i, s=sql_name(f"{prefix}_{c}_SUM"), a=sql_name(f"{prefix}_{c}_MIN"), b=sql_name(f"{prefix}_{c}_MAX"))).alias(f"{part}{i}")
             for i, c in enumerate(columns) for part, sql in parts.items()
         ]
-        grouped = written_table(grouped.observe(totals, *named))
-        seen = totals.get
+        grouped = written_table(grouped)
+        seen = grouped.agg(*named).first().asDict()
     many = {c for i, c in enumerate(columns) if _settled(df, c, {p: seen[f"{p}{i}"] for p in "nsqab"}) is True}
     unsure = {c: (seen[f"a{i}"], seen[f"b{i}"]) for i, c in enumerate(columns) if _settled(df, c, {p: seen[f"{p}{i}"] for p in "nsqab"}) is None}
     many |= _beyond(df, unsure)

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -15,36 +14,52 @@ from pyspark.sql import functions as F
 
 from driftwell.functions.numbers import sql_name
 from driftwell.operators.models import assemble
+from driftwell.operators.ordering import dense_numbers
 from driftwell.operators.selection import Selector
-from driftwell.session import cut_lineage
 
+# Partitions of training rows: at least so many, and so many rows in one.
+LEAST_PARTS = 8
+ROWS_IN_PART = 200_000
 
-def shuffled_vectors(df: DataFrame, label: str, features: Sequence[str], seed: int) -> DataFrame:
-    """(label, x) with rows in random order across partitions, cut from its lineage.
 
-    Random placement happens once; a permutation inside a batch of it is then a random one.
+def numbered_vectors(df: DataFrame, label: str, features: Sequence[str], seed: int) -> tuple[DataFrame, int]:
+    """(row, label, x) and the number of rows, numbered in the order of a keyed hash of their content.
+
+    The numbers do not depend on partitions or batches: only rows that are equal in everything could change places.
     """
     values = F.expr(f"array({', '.join(f'CAST({sql_name(c)} AS DOUBLE)' for c in features)})")
-    mixed = df.select(F.col(label).cast("double").alias("label"), values.alias("x")).withColumn("_r", F.rand(seed))
-    return cut_lineage(mixed.repartition("_r").drop("_r"))
+    rows = df.select(F.col(label).cast("double").alias("label"), values.alias("x"))
+    hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), "label", "x"))
+    numbered = dense_numbers(hashed, ["_h", "label", "x"], "row").drop("_h")
+    return numbered, numbered.count()
 
 
-def with_shadows(vectors: DataFrame, seed: int) -> DataFrame:
-    """Append a permuted copy of every column to ``x``, batch by batch.
+def permutation(rows: int, draw: np.random.Generator) -> tuple[int, int]:
+    """Factor and shift of a one-to-one map of row numbers, factor * row + shift modulo ``rows``."""
+    most = max(2, min(rows, (1 << 62) // max(rows, 1)))
+    factor = int(draw.integers(1, most))
+    while math.gcd(factor, rows) != 1:
+        factor += 1
+    return factor, int(draw.integers(0, max(rows, 1)))
 
-    Each shadow column keeps its column's values and loses its link to the label and the other columns.
-    """
-    def permute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for number, pdf in enumerate(batches):
-            if pdf.empty:
-                continue
-            matrix = np.stack(pdf["x"].to_numpy())
-            draw = np.random.default_rng([seed, number, len(pdf)])
-            shadow = draw.permuted(matrix, axis=0)
-            yield pd.DataFrame({"label": pdf["label"], "x": list(np.hstack([matrix, shadow]))})
 
-    both = vectors.mapInPandas(permute, "label double, x array<double>")
-    return both.select("label", array_to_vector("x").alias("features"))
+def with_shadows(vectors: DataFrame, rows: int, places: Sequence[int], seed: int) -> DataFrame:
+    """(label, features): the values at ``places`` of every row, and a copy of each column in another order of the rows.
+
+    Each shadow keeps its column's values and loses its link to the label and to the other columns: column j of row r goes to
+    the row that column j's own permutation names, wherever it lies. Rows are dealt by number, so the same rows train
+    the same model whatever their partitions were.
+    """
+    draw = np.random.default_rng([seed, len(places)])
+    moves = [permutation(rows, draw) for _ in places]
+    cells = ", ".join(f"named_struct('target', ({a}L * row + {b}L) % {max(rows, 1)}L, 'place', {j}, 'value', x[{p}])" for j, (p, (a, b)) in enumerate(zip(places, moves)))
+    moved = vectors.select(F.expr(f"inline(array({cells}))"))
+    shadows = moved.groupBy(F.col("target").alias("row")).agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("s"))
+    own = F.expr(f"array({', '.join(f'x[{p}]' for p in places)})")
+    both = vectors.join(shadows, "row").select("row", "label", F.concat(own, F.col("s.value")).alias("x"))
+    parts = max(LEAST_PARTS, math.ceil(rows / ROWS_IN_PART))
+    dealt = both.repartition(parts, F.expr(f"row div {math.ceil(max(rows, 1) / parts)}")).sortWithinPartitions("row")
+    return dealt.select("label", array_to_vector("x").alias("features"))
 
 
 def binomial_tail(hits: int, trials: int) -> float:
@@ -79,7 +94,8 @@ class BorutaSelector(Selector):
 
     def fit(self, df: DataFrame, label: str, features: Sequence[str]) -> BorutaSelector:
         names = list(features)
-        vectors = shuffled_vectors(df, label, names, self.seed)
+        vectors, rows = numbered_vectors(df, label, names, self.seed)
+        best_shadows: list[float] = []
         hits = dict.fromkeys(names, 0)
         history: dict[str, list[float]] = {c: [] for c in names}
         open_names, rejected = set(names), set()
@@ -90,14 +106,14 @@ class BorutaSelector(Selector):
             # Rejected columns take no further part, neither themselves nor as shadows.
             active = [c for c in names if c not in rejected]
             places = [names.index(c) for c in active]
-            columns = F.expr(f"array({', '.join(f'x[{p}]' for p in places)})")
-            training = with_shadows(vectors.select("label", columns.alias("x")), self.seed + trial).persist()
+            training = with_shadows(vectors, rows, places, self.seed + trial).persist()
             forest = RandomForestClassifier(
                 numTrees=self.trees, maxDepth=self.depth, featureSubsetStrategy="sqrt", seed=self.seed + trial
             )
             importance = forest.fit(training).featureImportances.toArray()
             training.unpersist()
             best_shadow = importance[len(active):].max()
+            best_shadows.append(float(best_shadow))
             for c, value in zip(active, importance[: len(active)]):
                 history[c].append(float(value))
                 if value > best_shadow:
@@ -107,14 +123,16 @@ class BorutaSelector(Selector):
             self.confirmed |= better
             rejected |= worse - better
             open_names -= better | worse
-        self.tentative = open_names
+        # What stays undecided counts as weak support if it beats the shadows' usual best one.
+        usual = float(np.median(best_shadows)) if best_shadows else math.inf
+        self.tentative = {c for c in open_names if history[c] and float(np.median(history[c])) > usual}
         self.scores = {c: float(np.mean(v)) if v else 0.0 for c, v in history.items()}
         self.ranking = self._ranking(names)
         self.selected = [c for c in names if c in self.confirmed]
         return self
 
     def _ranking(self, names: Sequence[str]) -> dict[str, int]:
-        """1 for confirmed, 2 for tentative, the others from 3 by mean importance."""
+        """1 for confirmed, 2 for weakly supported, the others from 3 by mean importance."""
         others = sorted(
             (c for c in names if c not in self.confirmed and c not in self.tentative),
             key=lambda c: (-self.scores[c], c),

@@ -6,13 +6,15 @@ import hashlib
 import json
 import time as clock
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.operators.drift import psi_summary, score_psi, selected_feature_psi
-from driftwell.operators.reports import experiment_summary
+from driftwell.operators.reports import experiment_summary, ranking_call_stats
 from driftwell.operators.scoring import evaluate, flag_at, lift_and_capture
 from driftwell.operators.selection import hybrid_trace, selection_rows
 from driftwell.operators.stability import group_frequency, selection_frequency, stability_bundle
@@ -23,6 +25,10 @@ from driftwell.session import written_table
 from driftwell.sources.runs import RunStore, canonical_json
 
 
+# Fixed value: the seed of models that do not name one.
+DEFAULT_SEED = 42
+
+
 @dataclass
 class ExperimentResult:
     run_id: str
@@ -39,8 +45,35 @@ class ExperimentResult:
 def run_experiment(
     prepared: Prepared, spec: ModelSpec, run_id: str, n_splits: int = 5, gap: int = 1, feature_budget: int = 20,
     experiment_type: str = "statistical", excluded: tuple[str, ...] = EXCLUDED_FEATURES, store: RunStore | None = None,
+    fingerprint: str | None = None,
+) -> ExperimentResult:
+    """OOT rows are used once, to measure the final model; nothing is fitted or chosen on them.
+
+    ``fingerprint`` names the version of the data (see ``data_fingerprint``). A run that stops leaves a manifest with its
+    error in the store.
+    """
+    try:
+        return _run(prepared, spec, run_id, n_splits, gap, feature_budget, experiment_type, excluded, store, fingerprint)
+    except Exception as error:
+        if store is not None:
+            spark = prepared.data.sparkSession
+            facts = [(
+                "failed", spec.model, spec.selector_name, experiment_type, feature_budget, f"{type(error).__name__}: {error}"[:2_000], _now(),
+                fingerprint or "",
+            )]
+            kinds = "status string, model string, selector string, experiment_type string, feature_budget long, error string, failed_at string, data_fingerprint string"
+            store.write("run_manifest", spark.createDataFrame(facts, kinds), run_id)
+        raise
+
+
+def _now() -> str:
+    return datetime.now(timezone.utc).isoformat(timespec="seconds")
+
+
+def _run(
+    prepared: Prepared, spec: ModelSpec, run_id: str, n_splits: int, gap: int, feature_budget: int, experiment_type: str,
+    excluded: tuple[str, ...], store: RunStore | None, fingerprint: str | None,
 ) -> ExperimentResult:
-    """OOT rows are used once, to measure the final model; nothing is fitted or chosen on them."""
     start = clock.time()
     spark = prepared.data.sparkSession
     key, label = prepared.key, prepared.target
@@ -91,13 +124,14 @@ def run_experiment(
     summary = experiment_summary(run, with_run(cv.results), with_run(oot_row), with_run(stability), with_run(final_log))
     result = ExperimentResult(run_id, cv, fit, metrics, predictions, drift, stability, summary, timings)
     if store is not None:
-        _store(store, result, prepared, spec, report, final_log, oot_row, utility, model_psi, experiment_type, feature_budget)
+        _store(store, result, prepared, spec, report, final_log, oot_row, utility, model_psi, experiment_type, feature_budget, fingerprint)
     return result
 
 
 def _store(
     store: RunStore, result: ExperimentResult, prepared: Prepared, spec: ModelSpec, report: DataFrame,
     final_log: DataFrame, oot_row: DataFrame, utility: dict, model_psi: float | None, experiment_type: str, budget: int,
+    fingerprint: str | None = None,
 ) -> None:
     """Write every artifact of a finished run."""
     spark, run_id, cv = prepared.data.sparkSession, result.run_id, result.cross_validation
@@ -154,14 +188,23 @@ def _store(
     if cv.rankings is not None:
         rankings = cv.rankings.unionByName(result.final.selector.log(spark))
         store.write("llm_rankings_summary", rankings, run_id)
-    for trace in traces:
-        store.write("llm_hybrid_trace", trace, run_id, mode="append")
-    result.final.model.save(f"{store.root}/models/{run_id}")
+    if traces:
+        # Written at once, so that a second run of one id replaces the first.
+        store.write("llm_hybrid_trace", reduce(DataFrame.unionByName, traces), run_id)
+    result.final.scoring_path().save(spark, f"{store.root}/models/{run_id}")
     # The manifest is written last: a run with a manifest is a finished run.
-    store.write("run_manifest", row({
+    calls = ranking_call_stats(rankings, keys=()).first().asDict() if cv.rankings is not None else {}
+    signatures = calls.pop("llm_metadata_signatures", None)
+    manifest = row({
         "status": "completed", "model": spec.model, "selector": spec.selector_name,
         "experiment_type": experiment_type, "feature_budget": budget, "config_hash": digest,
-    }), run_id)
+        "timestamp": _now(), "preprocessing_hash": hashlib.sha256(canonical_json(dict(spec.preprocessing)).encode()).hexdigest(),
+        "random_seed": int(spec.settings.get("seed", DEFAULT_SEED)), "n_training_rows": int(audit.get("dev_rows", 0)),
+        "total_candidate_feature_count": len(prepared.features), "data_fingerprint": fingerprint or "",
+        "runtime_seconds": float(result.timings["total_runtime_seconds"]), "error": "", **{k: int(v or 0) for k, v in calls.items()},
+    })
+    listed = F.array(*[F.lit(s) for s in signatures or []]).cast("array<string>")
+    store.write("run_manifest", manifest.withColumn("llm_metadata_signatures", listed), run_id)
 
 
 def _ranks(spark, names: list[str]) -> DataFrame:

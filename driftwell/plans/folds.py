@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import time as clock
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +21,14 @@ from driftwell.operators.selection import RankedThenStatistical, Selector, Stabl
 from driftwell.operators.stability import jaccard_with_previous
 from driftwell.operators.timeline import TimeFold, fold_info, grouped_time_folds, last_fold_scores
 from driftwell.operators.wrappers import BorutaRfeSelector
+from driftwell.plans.scoring_path import ScoringPath
 from driftwell.session import written_table
 
 
+# Folds that run beside each other.
+FOLDS_AT_ONCE = 3
+
+
 @dataclass
 class ModelSpec:
     """What to fit: model kind and settings, preprocessing, and a maker of fresh selectors."""
@@ -57,6 +64,10 @@ class Fit:
     def score(self, df: DataFrame, key: str, label: str) -> DataFrame:
         return self.model.score(self.prepare(df, key, label), key, label)
 
+    def scoring_path(self) -> ScoringPath:
+        """What it takes to score new rows, for saving."""
+        return ScoringPath.of(self.preprocessor, self.selector, self.model, self.threshold)
+
     def release(self) -> None:
         """Give back the memory of the prepared training rows."""
         if self.held is not None:
@@ -180,18 +191,24 @@ def metrics_frame(spark, rows: Sequence[Mapping[str, Any]]) -> DataFrame:
 
 def run_folds(
     dev: DataFrame, key: str, label: str, time: str, features: Sequence[str], spec: ModelSpec,
-    n_splits: int = 5, gap: int = 1, folds: Sequence[TimeFold] | None = None,
+    n_splits: int = 5, gap: int = 1, folds: Sequence[TimeFold] | None = None, at_once: int = FOLDS_AT_ONCE,
 ) -> CrossValidation:
-    """Expanding, group-safe folds over DEV. Each fold is a filter on time; rows are never copied."""
+    """Expanding, group-safe folds over DEV. Each fold is a filter on time; rows are never copied.
+
+    ``at_once`` folds run beside each other, each as jobs of a thread and a pool of its own, so that the small jobs of
+    one fill what another leaves idle. Every one holds its prepared training rows in memory, with spill to disk.
+    """
     start = clock.time()
-    folds = grouped_time_folds(dev, time, n_splits, gap) if folds is None else folds
-    done = [
-        process_fold(
-            f.fold, dev.where(f.train(F.col(time))), dev.where(f.validation(F.col(time))), key, label, features, spec
-        )
-        for f in folds
-    ]
+    folds = list(grouped_time_folds(dev, time, n_splits, gap) if folds is None else folds)
     spark = dev.sparkSession
+
+    def one(f: TimeFold) -> FoldResult:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fold-{f.fold}")
+        return process_fold(f.fold, dev.where(f.train(F.col(time))), dev.where(f.validation(F.col(time))), key, label, features, spec)
+
+    with ThreadPoolExecutor(max(1, min(at_once, len(folds)))) as pool:
+        # The threads see the session's own settings; results keep the order of the folds.
+        done = list(pool.map(inheritable_thread_target(spark)(one), folds))
     stacked = lambda frames: reduce(lambda a, b: a.unionByName(b), frames)
     selection, scored = stacked([r.selection for r in done]), stacked([r.scores for r in done])
     logs = [r.ranking_log for r in done if r.ranking_log is not None]

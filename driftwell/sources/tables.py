@@ -147,6 +147,14 @@ def data_version(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Da
     ).orderBy("name")
 
 
+def data_fingerprint(versions: DataFrame) -> str:
+    """One hash over the files of ``data_version``, in the order of their names."""
+    line = F.concat_ws("|", "name", F.col("size_bytes").cast("string"), "modified_utc")
+    # One short line for each file of the folder.
+    body = F.array_join(F.array_sort(F.collect_list(line)), "\n")
+    return versions.agg(F.sha2(F.coalesce(body, F.lit("")), 256)).first()[0]
+
+
 # ---- Contract ----
 
 def check_contract(

@@ -2,11 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftwell.operators.reports import ranking_call_stats
-from driftwell.operators.selection import MrmrSelector, RankedThenStatistical, RankingSelector, Selector
+from driftwell.operators.selection import MrmrSelector, PcaSelector, RankedThenStatistical, RankingSelector, Selector
 from driftwell.operators.timeline import Windows
 from driftwell.plans.experiment import run_experiment
 from driftwell.plans.folds import ModelSpec, fit_training
 from driftwell.plans.prepare import Prepared, prepare
+from driftwell.plans.scoring_path import ScoringPath
 from driftwell.sources.runs import RunStore
 from driftwell.operators.models import ScoreModel
 
@@ -95,6 +96,9 @@ def test_hybrid_run_leaves_a_trace(spark, prepared, tmp_path):
     trace = store.read(spark, "llm_hybrid_trace")
     assert trace.where("scope = 'final_dev'").count() == 8 and trace.where("survived_hybrid").count() > 0
     assert len(result.final.selected) == 4
+    row = store.read(spark, "run_manifest", ["h"]).first()
+    assert (row.status, row.random_seed, row.llm_calls_actually_made, row.n_training_rows) == ("completed", 42, 3, prepared.audit["dev_rows"])
+    assert len(row.preprocessing_hash) == 64 and row.runtime_seconds > 0 and len(row.llm_metadata_signatures) > 0
     listed = spark.createDataFrame([("h", "hybrid")], "run_id string, experiment_type string")
     assert store.missing_artifacts(spark, listed).isEmpty()
     stats = ranking_call_stats(store.read(spark, "llm_rankings_summary")).first()
@@ -108,3 +112,52 @@ def test_hybrid_run_leaves_a_trace(spark, prepared, tmp_path):
 def test_leaking_feature_stops_the_run(prepared):
     with pytest.raises(ValueError):
         run_experiment(Prepared(prepared.data, [*prepared.features, "recent_decision"], prepared.key, prepared.target, prepared.time, WINDOWS), ModelSpec(), "x")
+
+
+def test_folds_overlap_and_agree(spark, prepared):
+    from driftwell.plans.folds import run_folds
+
+    spec = ModelSpec("lr", {"maxIter": 10}, {"min_frequency": 1})
+    args = (prepared.dev, prepared.key, prepared.target, prepared.time, prepared.features, spec, 2, 0)
+    together, alone = run_folds(*args, at_once=2), run_folds(*args, at_once=1)
+    spent = [r.metrics["fold_time_sec"] for r in together.fold_results]
+    assert sum(spent) > 1.2 * together.runtime_seconds
+    names = ["fold", "auc", "gini", "ks", "psi_model", "selected_features", "jaccard_similarity"]
+    for a, b in zip(together.folds.select(names).collect(), alone.folds.select(names).collect(), strict=True):
+        assert [None if v is None else round(v, 9) for v in a] == [None if v is None else round(v, 9) for v in b]
+    assert [r.selected for r in together.fold_results] == [r.selected for r in alone.fold_results]
+
+
+@pytest.mark.parametrize("maker", [None, lambda: MrmrSelector(3, trees=8), lambda: PcaSelector(3)])
+def test_loaded_runs_score_like_the_run(spark, prepared, tmp_path, maker):
+    spec = ModelSpec("lr", {"maxIter": 10}, {"min_frequency": 1}, maker, "x")
+    fit = fit_training(prepared.dev, prepared.key, prepared.target, prepared.features, spec)
+    fit.scoring_path().save(spark, str(tmp_path / "m"))
+    again = ScoringPath.load(spark, str(tmp_path / "m"))
+    want = {r[0]: r[2] for r in fit.score(prepared.data, prepared.key, prepared.target).collect()}
+    got = again.score(prepared.data.drop(prepared.target), prepared.key).collect()
+    assert {r[0]: r.score for r in got} == want
+    assert all(r.flag == (r.score >= fit.threshold) for r in got)
+
+
+def test_makers_of_columns_are_not_saved_silently(prepared):
+    class Odd(Selector):
+        def fit(self, df, label, features):
+            self.selected, self.scores = ["z"], {}
+            return self
+
+        def transform(self, df, *keep):
+            return df.select(*keep, F.lit(1.0).alias("z"))
+
+    fit = fit_training(prepared.dev, prepared.key, prepared.target, prepared.features, ModelSpec("lr", {"maxIter": 5}, {"min_frequency": 1}, Odd, "odd"))
+    with pytest.raises(ValueError):
+        fit.scoring_path()
+
+
+def test_failures_are_noted(spark, prepared, tmp_path):
+    store = RunStore(str(tmp_path / "runs"))
+    leaking = Prepared(prepared.data, [*prepared.features, "recent_decision"], prepared.key, prepared.target, prepared.time, WINDOWS)
+    with pytest.raises(ValueError):
+        run_experiment(leaking, ModelSpec(), "bad", store=store)
+    failed = store.read(spark, "run_manifest", ["bad"]).first()
+    assert failed.status == "failed" and failed.error.startswith("ValueError") and failed.failed_at

@@ -1,3 +1,4 @@
+import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -80,15 +81,53 @@ def test_components_against_numpy(spark, signal):
 
 
 def test_shadows_keep_values_and_lose_links(spark, signal):
-    vectors = wrappers.shuffled_vectors(signal, "y", FEATURES, 1)
-    out = wrappers.with_shadows(vectors, 1).collect()
+    vectors, rows = wrappers.numbered_vectors(signal, "y", FEATURES, 1)
+    out = wrappers.with_shadows(vectors, rows, range(6), 1).collect()
     matrix = np.array([r["features"].toArray() for r in out])
     assert matrix.shape == (600, 12)
-    assert np.allclose(np.sort(matrix[:, 0]), np.sort(matrix[:, 6]))
+    for j in range(6):
+        assert np.array_equal(np.sort(matrix[:, j]), np.sort(matrix[:, 6 + j]))
     assert abs(np.corrcoef(matrix[:, 0], matrix[:, 6])[0, 1]) < 0.2
     assert abs(np.corrcoef(matrix[:, 6], matrix[:, 8])[0, 1]) < 0.2
-    again = np.array([r["features"].toArray() for r in wrappers.with_shadows(vectors, 1).collect()])
-    assert np.array_equal(np.sort(matrix[:, 6]), np.sort(again[:, 6]))
+    assert abs(np.corrcoef(matrix[:, 6], [r["label"] for r in out])[0, 1]) < 0.2
+
+
+def test_permutations_are_one_to_one():
+    draw = np.random.default_rng(1)
+    for rows in (1, 2, 3, 10, 97, 600, 1 << 20):
+        a, b = wrappers.permutation(rows, draw)
+        assert math.gcd(a, rows) == 1 and a * rows < 1 << 63
+        if rows < 1_000:
+            assert sorted((a * r + b) % rows for r in range(rows)) == list(range(rows))
+
+
+def test_shadows_do_not_depend_on_partitions_or_batches(spark, signal):
+    """The same rows in the same parts and order, however the input was dealt: the forests are the same too."""
+    def made(df, batch):
+        kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            vectors, rows = wrappers.numbered_vectors(df, "y", FEATURES, 5)
+            out = wrappers.with_shadows(vectors, rows, [0, 2, 5], 9).withColumn("part", F.spark_partition_id())
+            return [(r.part, r.label, tuple(r.features.toArray())) for r in out.collect()]
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+
+    one, two = made(signal.repartition(1), 7), made(signal.repartition(9), 10_000)
+    assert one == two and len(one) == 600
+    first = wrappers.BorutaSelector(2, trees=6).fit(signal.repartition(2), "y", FEATURES)
+    second = wrappers.BorutaSelector(2, trees=6).fit(signal.repartition(5), "y", FEATURES)
+    assert first.scores == second.scores and first.ranking == second.ranking and first.tentative == second.tentative
+
+
+def test_planted_signal_is_confirmed_and_noise_rejected(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(500, 5))
+    y = (x[:, 0] + x[:, 1] + 0.2 * rng.normal(size=500) > 0).astype(int)
+    df = spark.createDataFrame([(*map(float, r), int(v)) for r, v in zip(x, y)], "s1 double, s2 double, n1 double, n2 double, n3 double, y int")
+    report = {r.feature: r for r in wrappers.BorutaSelector(9, trees=20).fit(df, "y", ["s1", "s2", "n1", "n2", "n3"]).report(df).collect()}
+    assert [report[c].support for c in ("s1", "s2")] == [1, 1]
+    assert [(report[c].support, report[c].weak_support) for c in ("n1", "n2", "n3")] == [(0, 0)] * 3
 
 
 def test_boruta_and_elimination(spark, signal):
