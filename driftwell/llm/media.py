@@ -29,6 +29,7 @@ CONTAINERS = frozenset([b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"
 
 
 class Track(NamedTuple):
+    number: int
     codec: str
     handler: str
     width: int
@@ -117,7 +118,7 @@ def raw_container(payload: bytes) -> bytes:
 
 
 def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple = ()):
-    """(path, content start, content end) of each box, parents first. A box that leaves its parent is an error."""
+    """(path, box start, content start, content end) of each box, parents first. A box that leaves its parent is an error."""
     end = len(data) if end is None else end
     while start < end:
         if end - start < 8:
@@ -133,7 +134,7 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple = ()):
         if size < head or start + size > end:
             raise ValueError("box leaves its parent")
         here = (*path, kind)
-        yield here, start + head, start + size
+        yield here, start, start + head, start + size
         if kind in CONTAINERS:
             yield from walk(data, start + head, start + size, here)
         start += size
@@ -148,15 +149,104 @@ def table(data: bytes, start: int, end: int, kind: str, columns: int = 1, skip:
     return found.astype(np.int64).reshape(n, columns)
 
 
-def read_track(data: bytes) -> Track:
-    """The first track's sample tables, decoded to one offset, size and keyframe flag per sample."""
-    found: dict[bytes, tuple[int, int]] = {}
-    for path, start, end in walk(data):
-        if path[:1] == (b"moov",) and path[-1] not in found:
-            found[path[-1]] = (start, end)
+class Run(NamedTuple):
+    """Samples that a movie fragment adds to a track."""
+
+    durations: np.ndarray
+    sizes: np.ndarray
+    keys: np.ndarray
+    offsets: np.ndarray
+
+
+def read_tracks(data: bytes) -> list[Track]:
+    """Every track with its sample tables decoded to one offset, size and keyframe flag per sample.
+
+    Boxes belong to the ``trak`` that holds them. Samples of movie fragments follow those of the movie's own tables.
+    """
+    traks: list[dict[bytes, tuple[int, int]]] = []
+    defaults: dict[int, tuple[int, int, int]] = {}
+    runs: dict[int, list[Run]] = {}
+    moof = after = 0
+    head: tuple = ()
+    for path, box_start, start, end in walk(data):
+        kind = path[-1]
+        if path == (b"moov", b"trak"):
+            traks.append({})
+        elif path[:2] == (b"moov", b"trak"):
+            traks[-1].setdefault(kind, (start, end))
+        elif path == (b"moov", b"mvex", b"trex"):
+            number, _, *given = struct.unpack_from(">5I", data, start + 4)
+            defaults[number] = tuple(given)
+        elif path == (b"moof",):
+            moof = after = box_start
+        elif path == (b"moof", b"traf"):
+            head = ()
+        elif path == (b"moof", b"traf", b"tfhd"):
+            head = fragment_head(data, start, defaults, moof, after)
+            after = head[1]
+        elif path == (b"moof", b"traf", b"trun"):
+            if not head:
+                raise ValueError("trun without tfhd")
+            run = fragment_run(data, start, end, head, after)
+            after = int(run.offsets[-1] + run.sizes[-1]) if len(run.sizes) else after
+            runs.setdefault(head[0], []).append(run)
+    if not traks:
+        raise ValueError("no trak box")
+    return [track_of(data, boxes, runs) for boxes in traks]
+
+
+def fragment_head(data: bytes, start: int, defaults: dict, moof: int, after: int) -> tuple:
+    """(track, base offset, default duration, size, flags) of a ``tfhd``: its own values, else those of ``trex``."""
+    flags, number = struct.unpack_from(">II", data, start)
+    duration, size, sample_flags = defaults.get(number, (0, 0, 0))
+    # Without a base of its own a fragment starts at its moof, or where the data of the one before it ended.
+    at, base = start + 8, moof if flags & 0x20000 else after
+    if flags & 0x1:
+        (base,) = struct.unpack_from(">Q", data, at)
+        at += 8
+    at += 4 if flags & 0x2 else 0
+    given = []
+    for bit, value in ((0x8, duration), (0x10, size), (0x20, sample_flags)):
+        if flags & bit:
+            (value,) = struct.unpack_from(">I", data, at)
+            at += 4
+        given.append(value)
+    return number, base, *given
+
+
+def fragment_run(data: bytes, start: int, end: int, head: tuple, after: int) -> Run:
+    """The samples of a ``trun``; without an offset they follow the run before it."""
+    flags, n = struct.unpack_from(">II", data, start)
+    _, base, duration, size, sample_flags = head
+    at, first = start + 8, after
+    if flags & 0x1:
+        first = base + struct.unpack_from(">i", data, at)[0]
+        at += 4
+    first_flags = None
+    if flags & 0x4:
+        (first_flags,) = struct.unpack_from(">I", data, at)
+        at += 4
+    present = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+    if at + 4 * n * len(present) > end or n > len(data):
+        raise ValueError("run leaves its box")
+    rows = np.frombuffer(data, ">u4", n * len(present), at).astype(np.int64).reshape(n, len(present))
+    column = lambda bit, value: rows[:, present.index(bit)] if bit in present else np.full(n, value, np.int64)
+    sizes, marks = column(0x200, size), column(0x400, sample_flags).copy()
+    if first_flags is not None and n:
+        marks[0] = first_flags
+    # Bit 16 of a sample's flags says that it is no sync sample.
+    return Run(column(0x100, duration), sizes, marks & 0x10000 == 0, first + np.cumsum(sizes) - sizes)
+
+
+def track_of(data: bytes, found: dict[bytes, tuple[int, int]], runs: dict[int, list[Run]]) -> Track:
+    """One track from the boxes of its ``trak`` and the runs of its fragments."""
     for needed in (b"mdhd", b"hdlr", b"stsd", b"stts", b"stsc", b"stsz"):
         if needed not in found:
             raise ValueError(f"no {needed.decode()} box")
+    number = 0
+    if b"tkhd" in found:
+        at, _ = found[b"tkhd"]
+        (number,) = struct.unpack_from(">I", data, at + (20 if data[at] else 12))
     at, _ = found[b"mdhd"]
     timescale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] else struct.unpack_from(">II", data, at + 12)
     handler = data[found[b"hdlr"][0] + 8 : found[b"hdlr"][0] + 12].decode("latin-1")
@@ -164,29 +254,49 @@ def read_track(data: bytes) -> Track:
     codec = data[at + 12 : at + 16].decode("latin-1")
     width, height = struct.unpack_from(">HH", data, at + 40) if handler == "vide" else (0, 0)
 
+    offsets, sizes = own_samples(data, found)
+    n = len(sizes)
+    keys = np.ones(n, bool)
+    if b"stss" in found:
+        keys[:] = False
+        keys[table(data, *found[b"stss"], ">u4")[:, 0] - 1] = True
+    steps = table(data, *found[b"stts"], ">u4", 2)
+    lasting = int((steps[:, 0] * steps[:, 1]).sum())
+    # Fragments name their track; a track without a number has none.
+    own = runs.get(number, ())
+    if own:
+        offsets, sizes, keys = (np.concatenate([x, *(getattr(r, c) for r in own)]) for x, c in ((offsets, "offsets"), (sizes, "sizes"), (keys, "keys")))
+        lasting += sum(int(r.durations.sum()) for r in own)
+    if len(offsets) and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
+        raise ValueError("sample leaves the file")
+    return Track(number, codec, handler, width, height, timescale, lasting or duration, offsets, sizes, keys)
+
+
+def own_samples(data: bytes, found: dict[bytes, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and sizes of the samples in a track's own tables."""
     at, end = found[b"stsz"]
     size, n = struct.unpack_from(">II", data, at + 4)
+    if size * n > len(data):
+        raise ValueError("sample leaves the file")
     sizes = np.full(n, size, np.int64) if size else table(data, at, end, ">u4", skip=8)[:, 0]
+    if not n:
+        return sizes, sizes
+    if b"co64" not in found and b"stco" not in found:
+        raise ValueError("no stco box")
     where = table(data, *found[b"co64"], ">u8")[:, 0] if b"co64" in found else table(data, *found[b"stco"], ">u4")[:, 0]
     runs = table(data, *found[b"stsc"], ">u4", 3)
-    if not n:
-        return Track(codec, handler, width, height, timescale, duration, where[:0], sizes, np.zeros(0, bool))
     length = np.diff(np.append(runs[:, 0] - 1, len(where)))
     in_chunk = np.repeat(runs[:, 1], length)
     if in_chunk.sum() != n or len(in_chunk) != len(where):
         raise ValueError("chunks do not hold the samples")
     before = np.cumsum(sizes) - sizes
     first = np.cumsum(in_chunk) - in_chunk
-    offsets = before + np.repeat(where - before[np.minimum(first, n - 1)], in_chunk)
-    if len(offsets) and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
-        raise ValueError("sample leaves the file")
-    keys = np.ones(n, bool)
-    if b"stss" in found:
-        keys[:] = False
-        keys[table(data, *found[b"stss"], ">u4")[:, 0] - 1] = True
-    steps = table(data, *found[b"stts"], ">u4", 2)
-    duration = int((steps[:, 0] * steps[:, 1]).sum()) or duration
-    return Track(codec, handler, width, height, timescale, duration, offsets, sizes, keys)
+    return before + np.repeat(where - before[np.minimum(first, n - 1)], in_chunk), sizes
+
+
+def main_track(tracks: list[Track]) -> Track:
+    """The first video track, else the first track."""
+    return next((t for t in tracks if t.handler == "vide"), tracks[0])
 
 
 def payload_of(data: bytes, track: Track) -> bytes:
@@ -225,6 +335,8 @@ def text_media(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
 FEATURES = """status string, codec string, width int, height int, timescale long, duration long, n_samples long,
     keyframe_offsets array<long>, keyframe_sizes array<long>, media_bytes long, media_sha256 string,
     payload_bytes long, payload_sha256 string, tail_crc32 long"""
+TRACKS = """array<struct<track: long, handler: string, codec: string, width: int, height: int, timescale: long, duration: long,
+    n_samples: long, payload_bytes: long, keyframe_offsets: array<long>, keyframe_sizes: array<long>>>"""
 
 
 def features_of(data: bytes | None) -> dict:
@@ -232,11 +344,20 @@ def features_of(data: bytes | None) -> dict:
         return {"status": "missing"}
     base = {"media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
     try:
-        track = read_track(data)
-    except (ValueError, struct.error, IndexError, KeyError, RecursionError) as bad:
+        tracks = read_tracks(data)
+    except (ValueError, struct.error, IndexError, RecursionError) as bad:
         return base | {"status": f"broken: {bad}"}
+    track = main_track(tracks)
     payload = payload_of(data, track)
     return base | {
+        "tracks": [
+            {
+                "track": t.number, "handler": t.handler, "codec": t.codec, "width": t.width, "height": t.height, "timescale": t.timescale,
+                "duration": t.duration, "n_samples": len(t.sizes), "payload_bytes": int(t.sizes.sum()),
+                "keyframe_offsets": t.offsets[t.keys].tolist(), "keyframe_sizes": t.sizes[t.keys].tolist(),
+            }
+            for t in tracks
+        ],
         "status": "ok", "codec": track.codec, "width": track.width, "height": track.height, "timescale": track.timescale,
         "duration": track.duration, "n_samples": len(track.sizes), "keyframe_offsets": track.offsets[track.keys],
         "keyframe_sizes": track.sizes[track.keys], "payload_bytes": len(payload),
@@ -247,18 +368,19 @@ def features_of(data: bytes | None) -> dict:
 def media_features(df: DataFrame, media: str, keys: list[str]) -> DataFrame:
     """``keys`` and what the container's index says: codec, size, duration, keyframe byte ranges, digests.
 
-    NULL gives status ``missing`` and bytes that are no container ``broken: ...`` with NULL features; neither fails.
+    ``tracks`` has one entry per track, samples of movie fragments included; the other columns are of the first video
+    track, or of the first track where there is no video. NULL gives status ``missing`` and bytes that are no container ``broken: ...`` with NULL features; neither fails.
     """
     names = [f"k{i}" for i in range(len(keys))]
     slim = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(media).alias("raw"))
     fields = ", ".join(f"{n} {slim.schema[n].dataType.simpleString()}" for n in names)
-    columns = [part.split()[0] for part in FEATURES.split(",")]
+    columns = [part.split()[0] for part in FEATURES.split(",")] + ["tracks"]
 
     def read(rows: pa.Table) -> dict:
         found = [features_of(r) for r in rows["raw"].to_pylist()]
         return {n: rows[n] for n in names} | {c: [f.get(c) for f in found] for c in columns}
 
-    made = arrow_map(slim, read, f"{fields}, {FEATURES}")
+    made = arrow_map(slim, read, f"{fields}, {FEATURES}, tracks {TRACKS}")
     return made.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], *columns)
 
 
