@@ -3,7 +3,8 @@
 The pages of one host are merged into one tree. An element node (its path of tags and classes) has one style per
 sequence of children that pages show under it. Its presentation importance is the entropy of its styles over the
 host's pages: layout that never changes carries nothing. A content leaf's importance is one minus the entropy of
-its content over the pages: text that most pages repeat carries nothing. A branch counts by both,
+its content over the pages: text that most pages repeat carries nothing, the less certain the fewer pages there are, as if
+one more page showed something else. A branch counts by both,
 (1 - g**l) * presentation + g**l * content for a parent with l styles, so that a sentence shared by many pages inside an
 article, whose layout differs from page to page, stays, while the same notice in the same place goes. Branches below
 the threshold are removed from each page.
@@ -29,8 +30,8 @@ from driftwell.llm.rows import arrow_map, as_text, stored, utf8
 
 THRESHOLD = 0.1
 GAMMA = 0.9
-# A host shows what it repeats from this many different pages on.
-LEAST_PAGES = 8
+# Pages, not seen and different, that a host's pages are counted with: few pages prove little.
+UNSEEN = 1
 BROADCAST_ROWS = 100_000
 
 # Fixed values of HTML.
@@ -232,10 +233,12 @@ def parsed_pages(df: DataFrame, names: list[str]) -> DataFrame:
     return arrow_map(df, run, fields + _TREE)
 
 
-def low_branches(trees: DataFrame, threshold: float, gamma: float, least_pages: int) -> DataFrame:
+def low_branches(trees: DataFrame, threshold: float, gamma: float, unseen: float) -> DataFrame:
     """(host, node, content) of branches whose importance lies below ``threshold``.
 
-    Pages that are equal byte for byte count once, and a page counts once per node, style or content.
+    Pages that are equal byte for byte count once, and a page counts once per node, style or content. The entropy of a
+    content on c of m pages is taken over m + ``unseen`` pages, so a single page never loses anything and a host of any
+    size is judged by one formula.
     """
     slim = trees.select("uid", "host", "digest", F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), b["content"].alias("content"))).alias("blocks"), "styles")
     first = trees.groupBy("host", "digest").agg(F.min("uid").alias("uid")).select("uid")
@@ -250,15 +253,15 @@ def low_branches(trees: DataFrame, threshold: float, gamma: float, least_pages:
     )
     contents = pages.select("host", F.explode(F.array_distinct("blocks")).alias("b")).groupBy("host", "b.node", "b.content").agg(F.count(F.lit(1)).alias("c"))
     held = pages.select("host", F.explode(F.array_distinct(F.col("blocks.node"))).alias("node")).groupBy("host", "node").agg(F.count(F.lit(1)).alias("m"))
-    scored = contents.where(F.col("c") > 1).join(held.where(F.col("m") >= least_pages), ["host", "node"]).join(presentation, ["host", "node"], "left")
+    scored = contents.where(F.col("c") > 1).join(held, ["host", "node"]).join(presentation, ["host", "node"], "left")
     weight = F.pow(F.lit(gamma), F.coalesce("l", F.lit(1)))
-    content = F.lit(1.0) - F.log("c") / F.log("m")
+    content = F.lit(1.0) - F.log("c") / F.log(F.col("m") + unseen)
     importance = (F.lit(1.0) - weight) * F.coalesce("presentation", F.lit(0.0)) + weight * content
     return scored.where(importance < threshold).select("host", "node", "content")
 
 
 def extract_pages(
-    df: DataFrame, page: str, url: str, keys: list[str], threshold: float = THRESHOLD, gamma: float = GAMMA, least_pages: int = LEAST_PAGES
+    df: DataFrame, page: str, url: str, keys: list[str], threshold: float = THRESHOLD, gamma: float = GAMMA, unseen: float = UNSEEN
 ) -> DataFrame:
     """``keys`` and ``text``: the main text of each whole page, its blocks joined by one space.
 
@@ -269,7 +272,7 @@ def extract_pages(
     slim = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(url).cast("string").alias("url"), utf8(F.col(page)).alias("raw"))
     # Storing the parsed pages fixes the number of a row.
     trees = stored(parsed_pages(slim, names).withColumn("uid", F.monotonically_increasing_id()), "trees")
-    low = stored(low_branches(trees, threshold, gamma, least_pages), "low-branches")
+    low = stored(low_branches(trees, threshold, gamma, unseen), "low-branches")
     few = low.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     placed = trees.select("uid", "host", F.posexplode(F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), b["content"].alias("content"), b["kept"].alias("kept")))).alias("at", "b"))
     hit = placed.where("b.kept").select("uid", "host", "at", "b.node", "b.content").join(F.broadcast(low) if few else low, ["host", "node", "content"])

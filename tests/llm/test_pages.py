@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 from driftwell.llm import pages
@@ -65,6 +67,16 @@ def test_site_style_tree_removes_what_a_host_repeats(spark):
     assert got[100].startswith("Shop now at Example Title 0")
 
 
+@pytest.mark.parametrize("pages_of_host", [1, 2, 4, 5, 7, 8, 12])
+def test_small_hosts_follow_the_formula(spark, pages_of_host):
+    """A notice on all pages goes as soon as one page more, without it, would not change the verdict."""
+    rows = [(i, "https://s.example/", f"<body><div class='n'>Shop now</div><div class='t'>" + "".join(f"<p>text {i} {j}</p>" for j in range(1 + i % 3)) + "</div></body>") for i in range(pages_of_host)]
+    gone = pages_of_host > 1 and pages.GAMMA * (1 - math.log(pages_of_host) / math.log(pages_of_host + pages.UNSEEN)) < pages.THRESHOLD
+    assert gone == (pages_of_host >= 5)
+    for i, text in texts(spark, rows).items():
+        assert text == ("" if gone else "Shop now ") + " ".join(f"text {i} {j}" for j in range(1 + i % 3))
+
+
 def test_copies_of_a_page_count_once(spark):
     rows = [(i, "https://h.example/", "<body><div><p>same page</p></div></body>") for i in range(30)]
     assert set(texts(spark, rows).values()) == {"same page"}
