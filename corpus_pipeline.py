@@ -38,8 +38,10 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it: not at all, once, or up to three times."""
     # The whole row as one column: a document may have columns named like the mix's.
-    sized = docs.select(F.struct(*docs.columns).alias("row"), "source", "doc_id", word_count(F.col("text")).alias("size"))
-    taken = mix(sized, "source", "size", "doc_id")
+    sized = docs.select(
+        F.struct(*docs.columns).alias("row"), "source", "doc_id", F.md5("text").alias("body"), word_count(F.col("text")).alias("size")
+    )
+    taken = mix(sized, "source", "size", ["doc_id", "body"])
     return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 

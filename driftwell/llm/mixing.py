@@ -1,6 +1,6 @@
 """Mixing sources to target weights with hash-threshold histograms, by DataFrame functions alone.
 
-Every row has a fixed hash in [0, 2**60). A source's budget is met by taking the rows whose hash lies under a
+Every row has a fixed hash in [0, 2**60), one of its own even where rows are equal. A source's budget is met by taking the rows whose hash lies under a
 threshold. The threshold is found from sums per (source, hash bucket): the bucket in which the running sum crosses
 the budget is refined by the next 12 bits, and only that bucket's rows are read again. Nothing is sorted by hash, a
 larger budget keeps every row of a smaller one, and reruns agree.
@@ -18,13 +18,20 @@ from driftwell.session import small_side
 
 HASH_BITS = 60
 LEVEL_BITS = 12
-SEED = "mix-1"
+SEED = "mix-2"
+# Equal rows are written out in pieces of this many, so that many equal rows are not one row's array.
+PIECE = 4096
 
 
-def row_hash(key: Column, seed: str = SEED) -> Column:
-    """The first 60 bits of the MD5 of seed and key: the same number in any engine."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))))
-    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+def hash_of(*parts: Column) -> Column:
+    """The first 60 bits of the MD5 of the parts, joined by colons: the same number in any engine."""
+    named = [F.coalesce(p.cast("string"), F.lit("null")) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *named)), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def copy_hash(first: Column, number: Column) -> Column:
+    """The hash of one of several equal rows, numbered from 0."""
+    return F.when(number == 0, first).otherwise(hash_of(first, number))
 
 
 def word_count(text: Column) -> Column:
@@ -90,19 +97,37 @@ def hash_cuts(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", (F.col("prefix") + F.when(nearer, 1).otherwise(0)).alias("cut"))
 
 
-def mix(df: DataFrame, source: str, size: str, key: str, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: str = SEED) -> DataFrame:
+def equal_rows(slim: DataFrame) -> DataFrame:
+    """(source, hash, size, copies) of rows that occur more than once; counted before they are shuffled."""
+    return slim.groupBy("source", "hash", "size").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
+
+
+def numbered_copies(repeated: DataFrame) -> DataFrame:
+    """One row per copy of ``repeated``, with the copy's own hash; a group of any size is dealt over the tasks."""
+    pieces = repeated.withColumn("piece", F.explode(F.expr(f"sequence(0L, (copies - 1) div {PIECE})")))
+    dealt = pieces.repartition("source", "hash", "size", "piece")
+    last = F.least(F.col("copies"), (F.col("piece") + 1) * PIECE) - 1
+    each = dealt.withColumn("number", F.explode(F.sequence(F.col("piece") * PIECE, last)))
+    return each.select("source", F.col("hash").alias("first"), "size", "copies", copy_hash(F.col("hash"), F.col("number")).alias("hash"))
+
+
+def mix(
+    df: DataFrame, source: str, size: str, keys: Sequence[str], weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: str = SEED
+) -> DataFrame:
     """``df`` with source_size, target, ``times`` (how often the mix takes the row) and taken (words).
 
     Every row is taken floor(target / source size) times, and once more if its hash lies under the source's cut,
-    so a row is taken at most ``most`` times. NULL sources are one source of their own; rows of size 0 are taken
-    zero words; an empty table gives no rows. Repeated keys share a hash and are taken together. Columns of
-    ``df`` with the new names are replaced.
+    so a row is taken at most ``most`` times. The hash is that of ``keys``. Rows equal in source, size and keys are
+    numbered and each has a hash of its own: how many of them are taken follows from their count, so reruns agree, and
+    a key of many rows is divided. NULL sources are one source of their own; rows of size 0 are taken zero words; an
+    empty table gives no rows. Columns of ``df`` with the new names are replaced.
     """
     df = df.drop("source_size", "target", "times", "taken")
     # A NULL source joins as a tagged name; other names keep their order behind the tag.
     tag = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
+    first = hash_of(F.lit(seed), *[F.col(k) for k in keys])
     # Stored, since every level of the search reads it: sizes are counted once.
-    slim = stored(df.select(F.col(size).alias("size"), tag.alias("source"), row_hash(F.col(key), seed).alias("hash")), "hashes")
+    slim = stored(df.select(F.col(size).alias("size"), tag.alias("source"), first.alias("hash")), "hashes")
     totals = slim.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     named = totals.select(F.expr("CASE WHEN source = 'n' THEN NULL ELSE substring(source, 2) END").alias("source"), "source_size")
     shares = source_targets(named, weights, most)
@@ -112,14 +137,49 @@ def mix(df: DataFrame, source: str, size: str, key: str, weights: Sequence[int]
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("source"), "source_size", "target", full.alias("full")
     ).withColumn("budget", F.col("target") - F.col("full") * F.col("source_size"))
     shares = stored(shares, "shares")
-    cuts = hash_cuts(slim, shares.where(F.col("budget") > 0).select("source", "budget"))
-    plan = stored(shares.join(cuts, "source", "left").select(F.col("source").alias("_tag"), "source_size", "target", "full", "cut"), "plan")
-    joined = df.withColumns({"_tag": tag, "_hash": row_hash(F.col(key), seed)}).join(small_side(plan), "_tag")
-    times = F.col("full") + F.when(F.col("_hash") < F.col("cut"), 1).otherwise(0)
-    return joined.withColumn("times", times).withColumn("taken", F.col(size) * F.col("times")).drop("_tag", "_hash", "full", "cut")
+    repeated = stored(equal_rows(slim), "equal-rows")
+    same = ["source", "hash", "size"]
+    twice = not repeated.isEmpty()
+    if twice:
+        copies = stored(numbered_copies(repeated), "copies")
+        units = slim.join(small_side(repeated.drop("copies")), same, "left_anti").select("size", "source", "hash")
+        units = stored(units.unionByName(copies.select("size", "source", "hash")), "units")
+    else:
+        units = slim
+    cuts = hash_cuts(units, shares.where(F.col("budget") > 0).select("source", "budget"))
+    plan = stored(shares.join(cuts, "source", "left").select(
+        F.col("source").alias("_tag"), "source_size", "target", F.col("full").alias("_full"), F.col("cut").alias("_cut")
+    ), "plan")
+    joined = df.withColumns({"_tag": tag, "_hash": first}).join(small_side(plan), "_tag")
+    once = F.when(F.col("_hash") < F.col("_cut"), 1).otherwise(0)
+    if twice:
+        joined, once = with_copies(joined, copies, plan, size), F.coalesce("_once", once)
+    joined = joined.withColumn("times", F.col("_full") + once).withColumn("taken", F.col(size) * F.col("times"))
+    return joined.drop("_tag", "_hash", "_once", "_full", "_cut")
+
+
+def with_copies(joined: DataFrame, copies: DataFrame, plan: DataFrame, size: str) -> DataFrame:
+    """``joined`` with ``_once``: 1 for as many of equal rows as have a copy under the cut, 0 for the others, NULL for single rows.
+
+    Only rows of groups that are taken in part need a number; they are numbered over all tasks.
+    """
+    under = F.count(F.when(F.col("hash") < F.col("_cut"), 1))
+    groups = copies.join(small_side(plan.select(F.col("_tag").alias("source"), "_cut")), "source").groupBy("source", "first", "size").agg(
+        F.first("copies").alias("_copies"), under.alias("_under")
+    )
+    same = ["_tag", "_hash", "_size"]
+    groups = stored(groups.toDF(*same, "_copies", "_under"), "taken-copies")
+    sized = joined.withColumn("_size", F.col(size)).join(small_side(groups), same, "left")
+    partly = F.coalesce((F.col("_under") > 0) & (F.col("_under") < F.col("_copies")), F.lit(False))
+    whole = sized.where(~partly).withColumn("_once", F.when(F.col("_under") > 0, 1).when(F.col("_under") == 0, 0))
+    placed = number_rows(sized.where(partly), same, "_at")
+    begins = placed.groupBy(*same).agg(F.min("_at").alias("_begin"))
+    some = placed.join(small_side(begins), same).withColumn("_once", F.when(F.col("_at") - F.col("_begin") < F.col("_under"), 1).otherwise(0))
+    spare = ["_size", "_copies", "_under"]
+    return whole.drop(*spare).unionByName(some.drop(*spare, "_at", "_begin"))
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every document; texts are read once, to count their words."""
-    slim = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "words")
-    return mix(slim, "source", "size", "doc_id", weights, most).select("doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target, taken for every document; texts are read once, to count and hash them."""
+    slim = docs.select("doc_id", "source", F.md5("text").alias("text"), word_count(F.col("text")).alias("size"))
+    return mix(stored(slim, "words"), "source", "size", ["doc_id", "text"], weights, most).select("doc_id", "size", "source_size", "target", "taken")

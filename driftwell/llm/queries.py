@@ -33,7 +33,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents_as_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-@query("op5_source_mixing")
+@query("op5_source_mixing", statements.SOURCE_MIXING)
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 

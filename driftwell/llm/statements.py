@@ -54,3 +54,31 @@ SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank
        sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN best b ON b.conv IS NOT DISTINCT FROM o.conv_id"""
+
+SOURCE_MIXING = """
+WITH read AS (SELECT doc_id, source, coalesce(md5(text), 'null') AS body,
+              CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY source, doc_id, body) - 1 AS n,
+             CAST('0x' || substr(md5('mix-2:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || body), 1, 15) AS BIGINT) AS own FROM read),
+hashed AS (SELECT * EXCLUDE (own), CASE WHEN n = 0 THEN own ELSE CAST('0x' || substr(md5(own || ':' || n), 1, 15) AS BIGINT) END AS hash FROM numbered),
+sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM read GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 3 * source_size AS cap FROM sizes),
+-- Sources reach their cap in this order as the price of a unit of weight rises.
+ranked AS (SELECT *, row_number() OVER (ORDER BY cap / CAST(weight AS DOUBLE), source NULLS LAST) AS place FROM weighed),
+steps AS (SELECT place, sum(source_size) OVER () - sum(cap) OVER upto + cap AS rest, sum(weight) OVER () - sum(weight) OVER upto + weight AS free
+          FROM ranked WINDOW upto AS (ORDER BY place)),
+prices AS (SELECT place, CAST(rest AS DOUBLE) / CAST(free AS DOUBLE) AS price FROM steps),
+price AS (SELECT arg_min(p.price, p.place) AS price FROM prices p WHERE NOT EXISTS
+          (SELECT 1 FROM ranked r WHERE r.place >= p.place AND r.weight * p.price > r.cap)),
+targets AS (SELECT source, source_size, CASE WHEN weight * price > cap THEN CAST(cap AS DOUBLE) ELSE weight * price END AS target FROM ranked, price),
+wanted AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size + 1e-9) AS BIGINT) ELSE 0 END AS whole FROM targets),
+budgets AS (SELECT *, target - whole * source_size AS budget FROM wanted),
+sums AS (SELECT source, hash, sum(size) AS words FROM hashed GROUP BY source, hash),
+running AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY hash) AS reached FROM sums),
+crossing AS (SELECT b.source, min(hash) AS hash, arg_min(words, hash) AS words, min(reached) AS reached FROM running r
+             JOIN budgets b ON r.source IS NOT DISTINCT FROM b.source WHERE budget > 0 AND reached >= budget GROUP BY b.source),
+cuts AS (SELECT b.*, c.hash + CASE WHEN c.reached - budget <= budget - (c.reached - c.words) THEN 1 ELSE 0 END AS cut
+         FROM budgets b LEFT JOIN crossing c ON c.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN hash < cut THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM hashed h JOIN cuts c ON h.source IS NOT DISTINCT FROM c.source
+"""

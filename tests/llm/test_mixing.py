@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from driftwell.llm import mixing
+from driftwell.llm import mixing, statements
 from tests.llm.data import docs, odd_docs, words
 
 
@@ -11,6 +11,16 @@ def size(text):
     return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
 
 
+def hashes_of(rows):
+    """(row, hash), a number telling equal rows apart."""
+    seen, number = {}, lambda text: int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+    for row in rows:
+        i, t, _ = row
+        n = seen[row] = seen.get(row, -1) + 1
+        first = number(f"mix-2:{'null' if i is None else i}:{'null' if t is None else hashlib.md5(t.encode()).hexdigest()}")
+        yield row, number(f"{first}:{n}") if n else first
+
+
 def brute(rows):
     """Targets by repeated resharing, and rows taken one by one in hash order."""
     sources = sorted({s for _, _, s in rows if s is not None}) + ([None] if any(s is None for *_, s in rows) else [])
@@ -32,11 +42,10 @@ def brute(rows):
         if total[s] and target[s] / total[s] + 1e-9 >= full + 1:
             full += 1
         budget, reached, cut = target[s] - full * total[s], 0, 0
+        own = [(size(t), h, i) for (i, t, x), h in hashes_of(rows) if x == s]
         hashes = {}
-        for i, t, x in rows:
-            if x == s:
-                h = int(hashlib.md5(f"mix-1:{'null' if i is None else i}".encode()).hexdigest()[:15], 16)
-                hashes[h] = hashes.get(h, 0) + size(t)
+        for n, h, _ in own:
+            hashes[h] = hashes.get(h, 0) + n
         for h in sorted(hashes):
             if budget <= 0:
                 break
@@ -44,10 +53,7 @@ def brute(rows):
                 cut = h + 1 if reached + hashes[h] - budget <= budget - reached else h
                 break
             reached += hashes[h]
-        for i, t, x in rows:
-            if x == s:
-                h = int(hashlib.md5(f"mix-1:{'null' if i is None else i}".encode()).hexdigest()[:15], 16)
-                out.append((i, size(t), total[s], round(target[s], 6), size(t) * (full + (h < cut))))
+        out += [(i, n, total[s], round(target[s], 6), n * (full + (h < cut))) for n, h, i in own]
     return sorted(out, key=str)
 
 
@@ -74,3 +80,33 @@ def test_hot_source(spark, seed):
         assert r.taken <= 3 * r["size"]
         per.setdefault((source[r.doc_id], r.target), []).append(r.taken)
     assert all(abs(sum(v) - t) <= 40 for (_, t), v in per.items())
+
+
+def test_hot_keys_are_divided(spark):
+    """A third of a source under one key, and a third that is one row over and over: the target is still met."""
+    pool = words(300, 4)
+    rows = [(7, " ".join(pool[i % 200 : i % 200 + 9]) + f" {i}", "en", "a") for i in range(3_000)]
+    rows += [(8, " ".join(pool[:10]), "en", "a")] * 9_000 + [(None, None, None, "a")] * 50
+    rows += [(100 + i, " ".join(pool[i % 250 : i % 250 + 10]), "en", "bc"[i % 2]) for i in range(9_000)]
+    df = docs(spark, rows)
+    found = got(df)
+    assert found == brute([(i, t, s) for i, t, _, s in rows]) == got(df.repartition(5))
+    kept = [r for r in mixing.mix_documents(df).collect() if r.doc_id in (7, 8)]
+    assert abs(sum(r.taken for r in kept) - kept[0].target) <= 20
+    assert len({r.taken for r in kept if r.doc_id == 8}) == 2
+
+
+def test_columns_of_the_plan_may_be_there_already(spark):
+    df = spark.createDataFrame([(1, "a", 5, 9, 8, 7), (1, "a", 5, 9, 8, 7), (2, "b", 5, 9, 8, 7)], "id int, s string, n long, full int, cut int, target int")
+    rows = mixing.mix(df, "s", "n", ["id"]).collect()
+    assert len(rows) == 3 and all((r["full"], r["cut"]) == (9, 8) and r.target > 0 for r in rows)
+
+
+def test_agrees_with_sql(spark, tmp_path):
+    import duckdb
+
+    df = odd_docs(spark)
+    df = df.unionByName(df.where("doc_id in (8, 9, 10)")).unionByName(df)
+    df.write.parquet(str(tmp_path / "d"))
+    want = duckdb.sql(f"WITH documents AS (SELECT * FROM read_parquet('{tmp_path}/d/*.parquet')), {statements.SOURCE_MIXING.strip()[5:]}").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in mixing.mix_documents(df).collect())
