@@ -1,9 +1,9 @@
 """Mixing sources to target weights with hash-threshold histograms, by DataFrame functions alone.
 
-Every row has a fixed hash in [0, 2**60), one of its own even where rows are equal. A source's budget is met by taking the rows whose hash lies under a
-threshold. The threshold is found from sums per (source, hash bucket): the bucket in which the running sum crosses
-the budget is refined by the next 12 bits, and only that bucket's rows are read again. Nothing is sorted by hash, a
-larger budget keeps every row of a smaller one, and reruns agree.
+Every row has a fixed hash in [0, 2**60), one of its own even where rows are equal. A source's budget is met by taking
+the rows whose hash lies under a threshold. The threshold is found from sums per (source, hash bucket): the bucket in
+which the running sum crosses the budget is refined by the next 12 bits, and only that bucket's rows are read again.
+Nothing is sorted by hash, a larger budget keeps every row of a smaller one, and reruns agree.
 """
 
 from __future__ import annotations
@@ -112,12 +112,12 @@ def numbered_copies(repeated: DataFrame) -> DataFrame:
 
 
 def mix(
-    df: DataFrame, source: str, size: str, keys: Sequence[str], weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: str = SEED
+    df: DataFrame, source: str, size: str, keys: str | Sequence[str], weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: str = SEED
 ) -> DataFrame:
     """``df`` with source_size, target, ``times`` (how often the mix takes the row) and taken (words).
 
     Every row is taken floor(target / source size) times, and once more if its hash lies under the source's cut,
-    so a row is taken at most ``most`` times. The hash is that of ``keys``. Rows equal in source, size and keys are
+    so a row is taken at most ``most`` times. The hash is that of ``keys``, one name or several. Rows equal in source, size and keys are
     numbered and each has a hash of its own: how many of them are taken follows from their count, so reruns agree, and
     a key of many rows is divided. NULL sources are one source of their own; rows of size 0 are taken zero words; an
     empty table gives no rows. Columns of ``df`` with the new names are replaced.
@@ -125,7 +125,7 @@ def mix(
     df = df.drop("source_size", "target", "times", "taken")
     # A NULL source joins as a tagged name; other names keep their order behind the tag.
     tag = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
-    first = hash_of(F.lit(seed), *[F.col(k) for k in keys])
+    first = hash_of(F.lit(seed), *[F.col(k) for k in ([keys] if isinstance(keys, str) else keys)])
     # Stored, since every level of the search reads it: sizes are counted once.
     slim = stored(df.select(F.col(size).alias("size"), tag.alias("source"), first.alias("hash")), "hashes")
     totals = slim.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
@@ -148,14 +148,14 @@ def mix(
         units = slim
     cuts = hash_cuts(units, shares.where(F.col("budget") > 0).select("source", "budget"))
     plan = stored(shares.join(cuts, "source", "left").select(
-        F.col("source").alias("_tag"), "source_size", "target", F.col("full").alias("_full"), F.col("cut").alias("_cut")
+        F.col("source").alias("_mix_tag"), "source_size", "target", F.col("full").alias("_mix_full"), F.col("cut").alias("_mix_cut")
     ), "plan")
-    joined = df.withColumns({"_tag": tag, "_hash": first}).join(small_side(plan), "_tag")
-    once = F.when(F.col("_hash") < F.col("_cut"), 1).otherwise(0)
+    joined = df.withColumns({"_mix_tag": tag, "_mix_hash": first}).join(small_side(plan), "_mix_tag")
+    once = F.when(F.col("_mix_hash") < F.col("_mix_cut"), 1).otherwise(0)
     if twice:
-        joined, once = with_copies(joined, copies, plan, size), F.coalesce("_once", once)
-    joined = joined.withColumn("times", F.col("_full") + once).withColumn("taken", F.col(size) * F.col("times"))
-    return joined.drop("_tag", "_hash", "_once", "_full", "_cut")
+        joined, once = with_copies(joined, copies, plan, size), F.coalesce("_mix_once", once)
+    joined = joined.withColumn("times", F.col("_mix_full") + once).withColumn("taken", F.col(size) * F.col("times"))
+    return joined.drop("_mix_tag", "_mix_hash", "_mix_once", "_mix_full", "_mix_cut")
 
 
 def with_copies(joined: DataFrame, copies: DataFrame, plan: DataFrame, size: str) -> DataFrame:
@@ -163,23 +163,26 @@ def with_copies(joined: DataFrame, copies: DataFrame, plan: DataFrame, size: str
 
     Only rows of groups that are taken in part need a number; they are numbered over all tasks.
     """
-    under = F.count(F.when(F.col("hash") < F.col("_cut"), 1))
-    groups = copies.join(small_side(plan.select(F.col("_tag").alias("source"), "_cut")), "source").groupBy("source", "first", "size").agg(
-        F.first("copies").alias("_copies"), under.alias("_under")
+    under = F.count(F.when(F.col("hash") < F.col("_mix_cut"), 1))
+    groups = copies.join(small_side(plan.select(F.col("_mix_tag").alias("source"), "_mix_cut")), "source").groupBy("source", "first", "size").agg(
+        F.first("copies").alias("_mix_copies"), under.alias("_mix_under")
     )
-    same = ["_tag", "_hash", "_size"]
-    groups = stored(groups.toDF(*same, "_copies", "_under"), "taken-copies")
-    sized = joined.withColumn("_size", F.col(size)).join(small_side(groups), same, "left")
-    partly = F.coalesce((F.col("_under") > 0) & (F.col("_under") < F.col("_copies")), F.lit(False))
-    whole = sized.where(~partly).withColumn("_once", F.when(F.col("_under") > 0, 1).when(F.col("_under") == 0, 0))
-    placed = number_rows(sized.where(partly), same, "_at")
-    begins = placed.groupBy(*same).agg(F.min("_at").alias("_begin"))
-    some = placed.join(small_side(begins), same).withColumn("_once", F.when(F.col("_at") - F.col("_begin") < F.col("_under"), 1).otherwise(0))
-    spare = ["_size", "_copies", "_under"]
-    return whole.drop(*spare).unionByName(some.drop(*spare, "_at", "_begin"))
+    same = ["_mix_tag", "_mix_hash", "_mix_size"]
+    groups = stored(groups.toDF(*same, "_mix_copies", "_mix_under"), "taken-copies")
+    sized = joined.withColumn("_mix_size", F.col(size)).join(small_side(groups), same, "left")
+    partly = F.coalesce((F.col("_mix_under") > 0) & (F.col("_mix_under") < F.col("_mix_copies")), F.lit(False))
+    whole = sized.where(~partly).withColumn("_mix_once", F.when(F.col("_mix_under") > 0, 1).when(F.col("_mix_under") == 0, 0))
+    placed = number_rows(sized.where(partly), same, "_mix_at")
+    begins = placed.groupBy(*same).agg(F.min("_mix_at").alias("_mix_begin"))
+    some = placed.join(small_side(begins), same).withColumn(
+        "_mix_once", F.when(F.col("_mix_at") - F.col("_mix_begin") < F.col("_mix_under"), 1).otherwise(0)
+    )
+    spare = ["_mix_size", "_mix_copies", "_mix_under"]
+    return whole.drop(*spare).unionByName(some.drop(*spare, "_mix_at", "_mix_begin"))
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document; texts are read once, to count and hash them."""
     slim = docs.select("doc_id", "source", F.md5("text").alias("text"), word_count(F.col("text")).alias("size"))
-    return mix(stored(slim, "words"), "source", "size", ["doc_id", "text"], weights, most).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mix(stored(slim, "words"), "source", "size", ["doc_id", "text"], weights, most)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")

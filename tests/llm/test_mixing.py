@@ -97,9 +97,10 @@ def test_hot_keys_are_divided(spark):
 
 
 def test_columns_of_the_plan_may_be_there_already(spark):
-    df = spark.createDataFrame([(1, "a", 5, 9, 8, 7), (1, "a", 5, 9, 8, 7), (2, "b", 5, 9, 8, 7)], "id int, s string, n long, full int, cut int, target int")
-    rows = mixing.mix(df, "s", "n", ["id"]).collect()
-    assert len(rows) == 3 and all((r["full"], r["cut"]) == (9, 8) and r.target > 0 for r in rows)
+    df = spark.createDataFrame([(1, "a", 5, 9, 8, 7), (1, "a", 5, 9, 8, 7), (1, "a", 5, 9, 8, 7), (2, "b", 5, 9, 8, 7)], "id int, s string, _size long, full int, _hash int, target int")
+    rows = mixing.mix(df, "s", "_size", ["id"]).collect()
+    assert len(rows) == 4 and all((r["full"], r["_hash"], r["_size"]) == (9, 8, 5) and r.target > 0 for r in rows)
+    assert sorted(mixing.mix(df, "s", "_size", "id").collect()) == sorted(rows)
 
 
 def test_agrees_with_sql(spark, tmp_path):
