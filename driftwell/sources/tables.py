@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import posixpath
+import re
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -23,16 +26,33 @@ REQUIRED_COLUMNS: dict[str, tuple[str, ...]] = {"application_train": ("SK_ID_CUR
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """(path, length, modificationTime) of the matching files; contents are not read."""
+    """(path, length, modificationTime, entry) of the matching files; contents are not read.
+
+    A matching folder, such as Spark writes for a table, counts with every file under it. ``entry`` is the path of the
+    file or folder that matched.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     try:
-        return (
-            spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-            .select("path", "length", "modificationTime")
-        )
+        found = files.load(f"{folder.rstrip('/')}/{pattern}")
     except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(folder) from error
-        raise
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # Nothing matches, or there is no such folder.
+        try:
+            found = files.load(folder).where(F.lit(False))
+        except AnalysisException as absent:
+            if absent.getCondition() == "PATH_NOT_FOUND":
+                raise FileNotFoundError(folder) from absent
+            raise
+    # Behind the folder, which Spark may write with a scheme and its working folder in front, stands the entry.
+    place = posixpath.normpath(re.sub(r"^[a-zA-Z][\w+.-]*:(//[^/]*)?", "", folder))
+    place = os.getcwd() if place == "." else place
+    lead = r"^(?:[a-zA-Z][\w+.-]*:(?://[^/]*)?)?/" if place.startswith("/") else "^.*?/"
+    inside = f"\\Q{place.strip('/')}\\E/" if place.strip("/") else ""
+    behind = f"({lead}{inside}[^/]+)"
+    entry = F.regexp_extract("path", behind, 1)
+    listed = found.select("path", "length", "modificationTime", F.when(entry != "", entry).otherwise(F.col("path")).alias("entry"))
+    return listed.where(~F.element_at(F.split("entry", "/"), -1).rlike("^[_.]"))
 
 
 def sentinel_columns(df: DataFrame) -> list[str]:
@@ -90,12 +110,12 @@ def load_tables(
     check_encoding: bool = True,
     sentinel: bool = True,
 ) -> TableSet:
-    """Every file of the folder as a table named by its stem, lazily bound.
+    """Every file of the folder, or folder of files, as a table named by its stem, lazily bound.
 
     Unreadable files are listed, not fatal. With ``schemas`` no pass is spent on inference; Parquet needs
     none and is pruned and filtered at the scan.
     """
-    files = sorted(r["path"] for r in list_files(spark, folder, f"*.{file_format}").select("path").collect())
+    files = sorted(r["path"] for r in list_files(spark, folder, f"*.{file_format}").select(F.col("entry").alias("path")).distinct().collect())
     if not files:
         raise ValueError(f"no {file_format} files in {folder}")
     made = TableSet({})
@@ -139,9 +159,13 @@ def load_descriptions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def data_version(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """(name, size_bytes, modified_utc) per file, sorted by name: a fingerprint that reads no contents."""
+    """(name, size_bytes, modified_utc) per file, sorted by name: a fingerprint that reads no contents.
+
+    Files of a table that is a folder are named with it.
+    """
+    parent = F.length("entry") - F.length(F.element_at(F.split("entry", "/"), -1))
     return list_files(spark, folder, pattern).select(
-        F.element_at(F.split("path", "/"), -1).alias("name"),
+        F.substring("path", parent + 1, F.length("path")).alias("name"),
         F.col("length").alias("size_bytes"),
         F.date_format(F.to_utc_timestamp("modificationTime", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("modified_utc"),
     ).orderBy("name")

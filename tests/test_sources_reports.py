@@ -25,6 +25,24 @@ def test_load_tables(spark, tmp_path):
         tables.load_tables(spark, str(tmp_path / "empty"))
 
 
+def test_load_tables_that_are_folders(spark, tmp_path, monkeypatch):
+    # As Spark writes tables: folders of files, plain or split by a column, beside single files and other folders.
+    top = tmp_path / "in" / "in"
+    spark.range(100).repartition(3).write.parquet(str(top / "many.parquet"))
+    spark.range(10).selectExpr("id", "id % 2 AS half").write.partitionBy("half").parquet(str(top / "split.parquet"))
+    spark.range(7).coalesce(1).write.parquet(str(top / "more" / "inner.parquet"))
+    next((top / "more" / "inner.parquet").glob("part-*.parquet")).replace(top / "single.parquet")
+    monkeypatch.chdir(top)
+    for folder in (str(top), f"{top}/", f"file://{top}", f"{top}/more/.."):
+        found = tables.load_tables(spark, folder, file_format="parquet")
+        assert {t: df.count() for t, df in found.items()} == {"many": 100, "split": 10, "single": 7} and not found.load_errors
+        assert set(found["split"].columns) == {"id", "half"}
+    spark.range(5).selectExpr("id AS a", "id AS b").repartition(2).write.option("header", True).csv(str(top / "c.csv"))
+    assert tables.load_tables(spark, str(top))["c"].count() == 5
+    names = [r["name"] for r in tables.data_version(spark, str(top)).collect()]
+    assert len(names) == 2 and all(n.startswith("c.csv/part-") for n in names)
+
+
 def test_descriptions(spark, tmp_path):
     path = tmp_path / "d.csv"
     path.write_text("Table,Row,Description\napp, AMT ,first\napp,AMT, second \n,nan,x\n,,y\nb,Z,\n")
