@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -16,10 +18,13 @@ from driftwell.functions.numbers import sql_name
 from driftwell.operators.models import assemble
 from driftwell.operators.ordering import dense_numbers
 from driftwell.operators.selection import Selector
+from driftwell.session import written_table
 
 # Partitions of training rows: at least so many, and so many rows in one.
 LEAST_PARTS = 8
 ROWS_IN_PART = 200_000
+# Trials that run beside each other.
+TRIALS_AT_ONCE = 4
 
 
 def numbered_vectors(df: DataFrame, label: str, features: Sequence[str], seed: int) -> tuple[DataFrame, int]:
@@ -30,7 +35,8 @@ def numbered_vectors(df: DataFrame, label: str, features: Sequence[str], seed: i
     values = F.expr(f"array({', '.join(f'CAST({sql_name(c)} AS DOUBLE)' for c in features)})")
     rows = df.select(F.col(label).cast("double").alias("label"), values.alias("x"))
     hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), "label", "x"))
-    numbered = dense_numbers(hashed, ["_h", "label", "x"], "row").drop("_h")
+    # Dealing by range looks at the rows twice: what they are made of is read once.
+    numbered = dense_numbers(written_table(hashed), ["_h", "label", "x"], "row").drop("_h")
     return numbered, numbered.count()
 
 
@@ -77,15 +83,32 @@ def _significant(p_values: dict[str, float], alpha: float, trials: int) -> set[s
     return {n for n in ordered[:passed] if p_values[n] <= alpha / trials}
 
 
+def next_decision(trial: int, most: int, hits: Mapping[str, int], names: set[str], alpha: float) -> int:
+    """The first trial after ``trial`` that can settle any of ``names``, whatever the trials up to it find; ``most`` if none can.
+
+    A name's smallest p-value there is the one it gets if all trials from now on agree with its longer side.
+    """
+    sides = {max(hits[c], trial - hits[c]) for c in names}
+    for later in range(trial + 1, most):
+        if min(binomial_tail(side + later - trial, later) for side in sides) <= alpha / later:
+            return later
+    return most
+
+
 @dataclass
 class BorutaSelector(Selector):
-    """Keeps features that beat the best shadow feature more often than chance."""
+    """Keeps features that beat the best shadow feature more often than chance.
+
+    Trials before the next possible decision use the same columns, so they run beside each other, ``at_once`` at a time, and give
+    what they give one after the other.
+    """
 
     max_iter: int = 10
     trees: int = 500
     depth: int = 6
     alpha: float = 0.05
     seed: int = 42
+    at_once: int = TRIALS_AT_ONCE
     selected: list[str] = field(default_factory=list)
     scores: dict[str, float] = field(default_factory=dict)
     ranking: dict[str, int] = field(default_factory=dict)
@@ -100,24 +123,19 @@ class BorutaSelector(Selector):
         history: dict[str, list[float]] = {c: [] for c in names}
         open_names, rejected = set(names), set()
         self.confirmed = set()
-        for trial in range(1, self.max_iter + 1):
-            if not open_names:
-                break
+        trial = 0
+        while trial < self.max_iter and open_names:
             # Rejected columns take no further part, neither themselves nor as shadows.
             active = [c for c in names if c not in rejected]
-            places = [names.index(c) for c in active]
-            training = with_shadows(vectors, rows, places, self.seed + trial).persist()
-            forest = RandomForestClassifier(
-                numTrees=self.trees, maxDepth=self.depth, featureSubsetStrategy="sqrt", seed=self.seed + trial
-            )
-            importance = forest.fit(training).featureImportances.toArray()
-            training.unpersist()
-            best_shadow = importance[len(active):].max()
-            best_shadows.append(float(best_shadow))
-            for c, value in zip(active, importance[: len(active)]):
-                history[c].append(float(value))
-                if value > best_shadow:
-                    hits[c] += 1
+            last = next_decision(trial, self.max_iter, hits, open_names, self.alpha)
+            for importance in self._importances(vectors, rows, [names.index(c) for c in active], range(trial + 1, last + 1)):
+                best_shadow = importance[len(active):].max()
+                best_shadows.append(float(best_shadow))
+                for c, value in zip(active, importance[: len(active)]):
+                    history[c].append(float(value))
+                    if value > best_shadow:
+                        hits[c] += 1
+            trial = last
             better = _significant({c: binomial_tail(hits[c], trial) for c in open_names}, self.alpha, trial)
             worse = _significant({c: binomial_tail(trial - hits[c], trial) for c in open_names}, self.alpha, trial)
             self.confirmed |= better
@@ -131,6 +149,20 @@ class BorutaSelector(Selector):
         self.selected = [c for c in names if c in self.confirmed]
         return self
 
+    def _importances(self, vectors: DataFrame, rows: int, places: Sequence[int], trials: Sequence[int]) -> list[np.ndarray]:
+        """Importances of the columns at ``places`` and of their shadows, for each trial in order."""
+        def one(trial: int) -> np.ndarray:
+            training = with_shadows(vectors, rows, places, self.seed + trial).persist()
+            forest = RandomForestClassifier(
+                numTrees=self.trees, maxDepth=self.depth, featureSubsetStrategy="sqrt", seed=self.seed + trial
+            )
+            importance = forest.fit(training).featureImportances.toArray()
+            training.unpersist()
+            return importance
+
+        with ThreadPoolExecutor(max(1, min(self.at_once, len(trials)))) as pool:
+            return list(pool.map(inheritable_thread_target(vectors.sparkSession)(one), trials))
+
     def _ranking(self, names: Sequence[str]) -> dict[str, int]:
         """1 for confirmed, 2 for weakly supported, the others from 3 by mean importance."""
         others = sorted(

@@ -1,4 +1,5 @@
 import math
+import time
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +131,35 @@ def test_planted_signal_is_confirmed_and_noise_rejected(spark):
     assert [(report[c].support, report[c].weak_support) for c in ("n1", "n2", "n3")] == [(0, 0)] * 3
 
 
+def test_trials_beside_each_other_give_what_they_give_in_a_row(spark, signal, monkeypatch):
+    # No trial before the 8th can settle anything at alpha 0.05; later ones depend on the hits.
+    assert wrappers.next_decision(0, 10, {"a": 0, "b": 0}, {"a", "b"}, 0.05) == 8
+    assert wrappers.next_decision(8, 10, {"a": 8, "b": 4}, {"b"}, 0.05) == 10 and wrappers.next_decision(8, 10, {"b": 8}, {"b"}, 0.05) == 9
+    for most in (1, 3, 12, 40):
+        for hits in range(most):
+            last = wrappers.next_decision(most - 1, most + 5, {"a": hits}, {"a"}, 0.05)
+            for t in range(most, last):
+                for more in range(t - most + 2):
+                    p = {"a": wrappers.binomial_tail(hits + more, t)}, {"a": wrappers.binomial_tail(t - hits - more, t)}
+                    assert not wrappers._significant(p[0], 0.05, t) and not wrappers._significant(p[1], 0.05, t)
+    running, most, plain = [0], [0], wrappers.with_shadows
+
+    def counted(*given):
+        running[0] += 1
+        most[0] = max(most[0], running[0])
+        try:
+            time.sleep(0.2)
+            return plain(*given)
+        finally:
+            running[0] -= 1
+
+    monkeypatch.setattr(wrappers, "with_shadows", counted)
+    together = wrappers.BorutaSelector(4, trees=6, at_once=4).fit(signal, "y", FEATURES)
+    assert most[0] > 1
+    alone = wrappers.BorutaSelector(4, trees=6, at_once=1).fit(signal, "y", FEATURES)
+    assert together.scores == alone.scores and together.ranking == alone.ranking
+
+
 def test_boruta_and_elimination(spark, signal):
     chosen = wrappers.BorutaRfeSelector(wrappers.BorutaSelector(8, trees=24), n_features=3).fit(signal, "y", FEATURES)
     assert {"a", "c"} <= set(chosen.boruta.confirmed | chosen.boruta.tentative)
