@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from driftwell.llm.bpe import read_model
 from driftwell.llm.presplit import PieceCoder, as_strings, byte_letters, special_ids
-from driftwell.llm.rows import arrow_map, kept, stored, utf8, work_path
+from driftwell.llm.rows import arrow_map, give_back, kept, stored, utf8, work_path
 from driftwell.session import small_side
 
 MAGIC = b"bitpack1"
@@ -86,7 +86,11 @@ def unpack(data: bytes | memoryview, n: int, bits: int) -> np.ndarray:
 
 def make_file(ids: np.ndarray, keys: Sequence[int | None], starts: np.ndarray, bits: int, part: int = 0, piece: int = 0) -> bytes:
     """One file: packed blocks, directory (block offsets; per document key, NULL flag and first id), trailer."""
-    blocks = [pack(ids[i : i + BLOCK], bits) for i in range(0, len(ids), BLOCK)]
+    return _sealed([pack(ids[i : i + BLOCK], bits) for i in range(0, len(ids), BLOCK)], len(ids), keys, starts, bits, part, piece)
+
+
+def _sealed(blocks: list[bytes], n: int, keys: Sequence[int | None], starts: np.ndarray, bits: int, part: int, piece: int) -> bytes:
+    """Packed blocks of ``n`` ids with their directory and trailer."""
     offsets = np.cumsum([0, *map(len, blocks)]).astype("<u8")
     directory = b"".join([
         offsets.tobytes(),
@@ -94,7 +98,7 @@ def make_file(ids: np.ndarray, keys: Sequence[int | None], starts: np.ndarray, b
         np.array([k is None for k in keys], "u1").tobytes(),
         np.asarray(starts).astype("<u8").tobytes(),
     ])
-    trailer = TRAILER.pack(bits, len(ids), len(blocks), len(keys), part, piece, len(directory), MAGIC)
+    trailer = TRAILER.pack(bits, n, len(blocks), len(keys), part, piece, len(directory), MAGIC)
     return b"".join([*blocks, directory, trailer])
 
 
@@ -175,7 +179,8 @@ def _library_coder(model: str) -> PieceCoder:
         return np.concatenate(flat), np.concatenate(counts)
 
     def whole(text: str) -> np.ndarray:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        # The fast call keeps no offsets, of which a long text has many.
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     return PieceCoder(pieces, whole, list(special_ids(model)))
 
@@ -197,34 +202,55 @@ def write_token_files(df: DataFrame, text: str, key: str, path: str, folder: str
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = library_coder(model.value)
         part, piece = TaskContext.get().partitionId(), 0
-        keys: list = []
-        ids: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        held = 0
+        made = FileMaker(bits, part, piece)
         for batch in batches:
             step = max(1, math.ceil(batch.num_rows / max(1, math.ceil(batch.nbytes / BATCH))))
             for start in range(0, batch.num_rows, step):
                 rows = batch.slice(start, step)
-                keys += rows["key"].to_pylist()
-                made, offsets = coder.encode_flat(as_strings(rows["raw"]))
-                ids.append(np.insert(made, offsets[1:], end_id))
-                counts.append(np.diff(offsets) + 1)
-                held += len(ids[-1])
-                if held >= file_ids:
-                    yield _file_batch(keys, ids, counts, bits, part, piece)
-                    keys, ids, counts, held, piece = [], [], [], 0, piece + 1
-        if keys:
-            yield _file_batch(keys, ids, counts, bits, part, piece)
+                ids, offsets = coder.encode_flat(as_strings(rows["raw"]))
+                made.add(rows["key"].to_pylist(), np.insert(ids, offsets[1:], end_id), np.diff(offsets) + 1)
+                # What a step freed would else stay with the worker, beside what the next one takes.
+                give_back()
+                if made.n >= file_ids:
+                    yield made.batch()
+                    piece += 1
+                    made = FileMaker(bits, part, piece)
+        if made.keys:
+            yield made.batch()
+        del made
+        give_back()
 
     files = dealt.select("key", "raw").mapInArrow(write, "file binary")
     # The text writer copies bytes as they are; one record per file and a line end behind it.
     files.select(F.col("file").cast("string")).write.option("maxRecordsPerFile", 1).text(folder)
 
 
-def _file_batch(keys: list, ids: list[np.ndarray], counts: list[np.ndarray], bits: int, part: int, piece: int) -> pa.RecordBatch:
-    sizes = np.concatenate(counts)
-    made = make_file(np.concatenate(ids), keys, np.cumsum(sizes) - sizes, bits, part, piece)
-    return pa.record_batch([pa.array([made], pa.binary())], names=["file"])
+class FileMaker:
+    """A file that grows: ids are packed as soon as they fill a block, so that a worker holds few of them unpacked."""
+
+    def __init__(self, bits: int, part: int, piece: int):
+        self.bits, self.part, self.piece, self.n = bits, part, piece, 0
+        self.keys: list = []
+        self.blocks: list[bytes] = []
+        self.counts: list[np.ndarray] = []
+        self.rest = np.zeros(0, np.uint32)
+
+    def add(self, keys: list, ids: np.ndarray, counts: np.ndarray) -> None:
+        """The ids of some documents in a row."""
+        self.keys += keys
+        self.counts.append(counts)
+        self.n += len(ids)
+        ids = np.concatenate([self.rest, ids])
+        full = len(ids) // BLOCK * BLOCK
+        self.blocks += [pack(ids[i : i + BLOCK], self.bits) for i in range(0, full, BLOCK)]
+        self.rest = ids[full:].copy()
+
+    def batch(self) -> pa.RecordBatch:
+        """The whole file as one record."""
+        sizes = np.concatenate(self.counts)
+        last = [pack(self.rest, self.bits)] if len(self.rest) else []
+        made = _sealed(self.blocks + last, self.n, self.keys, np.cumsum(sizes) - sizes, self.bits, self.part, self.piece)
+        return pa.record_batch([pa.array([made], pa.binary())], names=["file"])
 
 
 def _vocabulary(model: str) -> int:

@@ -176,3 +176,18 @@ def test_long_pieces_are_walked_alone(coder):
 def test_texts_that_are_no_utf8():
     raw = presplit.as_strings(pa.array([b"ok", b"bad \xff\xfe end", b""]))
     assert raw.to_pylist() == ["ok", "bad \ufffd\ufffd end", ""]
+
+
+def test_a_growing_file_holds_little_and_is_the_file_made_at_once():
+    rng = np.random.default_rng(8)
+    made, parts, counts = token_files.FileMaker(17, 3, 2), [], []
+    for n in (5, 0, 3 * token_files.BLOCK, 1, token_files.BLOCK - 6, 70_000):
+        sizes = np.diff(np.sort(np.concatenate([[0], rng.integers(0, n + 1, 4), [n]])))
+        ids = rng.integers(0, 1 << 17, n).astype(np.uint32)
+        made.add([None, *range(4)], ids, sizes)
+        parts.append(ids)
+        counts.append(sizes)
+        assert len(made.rest) < token_files.BLOCK and made.rest.base is None and made.n == sum(map(len, parts))
+    sizes = np.concatenate(counts)
+    whole = token_files.make_file(np.concatenate(parts), [None, *range(4)] * 6, np.cumsum(sizes) - sizes, 17, 3, 2)
+    assert made.batch()["file"][0].as_py() == whole
