@@ -9,6 +9,7 @@ pattern, and the pieces ("word,", "word") repeat. Any other text goes through th
 from __future__ import annotations
 
 import json
+import string
 from collections.abc import Callable, Sequence
 from functools import lru_cache
 
@@ -24,8 +25,8 @@ PATTERN = regex.compile(
 # Anything that any Unicode version may call white space, but for a line feed at the beginning (RE2 syntax).
 _BLANK = r"\x0B-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 INNER_BLANK = rf"(?s)^.+[\x09\x0A{_BLANK}]|^[\x09{_BLANK}]"
-# Marks that stand behind a letter as a piece of their own.
-TAILS = frozenset(",.;:!?")
+# Marks that stand behind a letter as one piece of their own, however many.
+MARKS = string.punctuation
 # Distinct pieces kept by a worker; older ones are forgotten, which costs time and changes nothing.
 PIECES_KEPT = 400_000
 
@@ -53,6 +54,11 @@ def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum()), dtype=np.int64) + np.repeat(shift, counts)
 
 
+def sure_letters(text: str) -> bool:
+    """Whether all characters are letters, and such as any Unicode version calls letters."""
+    return text.isalpha() and (text.isascii() or max(text) < "\u0500")
+
+
 def as_strings(raw: pa.Array) -> pa.Array:
     """Bytes as texts; what is no UTF-8 counts as U+FFFD."""
     try:
@@ -109,12 +115,13 @@ class PieceCoder:
     ):
         self.pieces, self.whole, self.specials, self.most = pieces, whole, list(specials), kept
         self.space, self.line = whole(" "), whole("\n")
-        self.tails = {t: whole(t) for t in sorted(TAILS)}
         self._forget()
 
     def _forget(self) -> None:
         # Keyed by the text behind a space, or from a line feed on.
         self.shelf, self.place = Shelf(), {"": 0, "\n": 1}
+        # Runs of marks behind a letter.
+        self.ends: dict[str, int] = {}
         self.shelf.add(np.concatenate([self.space, self.line]), np.array([len(self.space), len(self.line)]))
 
     def _add(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
@@ -130,14 +137,17 @@ class PieceCoder:
         if odd.any():
             self._add([k for k, o in zip(new, odd) if o], np.zeros(0, np.uint32), np.full(int(odd.sum()), -1))
             new = [k for k, o in zip(new, odd) if not o]
-        place, ended = self.place, []
+        place, ended, cores, runs = self.place, [], [], []
         behind_space: dict[str, None] = {}
         behind_line: dict[str, None] = {}
         for k in new:
-            core = k
-            if k[-1] in TAILS and len(k) > 1 and k[-2] < "\u0500" and k[-2].isalpha():
-                core = k[:-1]
+            core = k.rstrip(MARKS)
+            if len(core) == len(k) or not core or not sure_letters(core[-1]):
+                core = k
+            else:
                 ended.append(k)
+                cores.append(core)
+                runs.append(k[len(core) :])
             if core not in place:
                 (behind_line if core[0] == "\n" else behind_space)[core] = None
         if behind_space:
@@ -146,14 +156,17 @@ class PieceCoder:
             ids, counts = self.pieces([k[1:] for k in behind_line], False)
             begins = np.cumsum(counts) - counts
             self._add(list(behind_line), np.insert(ids, np.repeat(begins, len(self.line)), np.tile(self.line, len(begins))), counts + len(self.line))
-        for tail, its in self.tails.items():
-            keys = [k for k in ended if k[-1] == tail]
-            if keys:
-                at = np.fromiter((place[k[:-1]] for k in keys), np.int64, len(keys))
-                counts = self.shelf.counts[at]
-                ids = self.shelf.ids[spans(self.shelf.starts[at], counts)]
-                ends = np.cumsum(counts)
-                self._add(keys, np.insert(ids, np.repeat(ends, len(its)), np.tile(its, len(ends))), counts + len(its))
+        if ended:
+            for run in dict.fromkeys(runs):
+                if run not in self.ends:
+                    ids = self.whole(run)
+                    self.ends[run] = self.shelf.rows
+                    self.shelf.add(ids, np.array([len(ids)]))
+            at = np.empty(2 * len(ended), np.int64)
+            at[::2] = np.fromiter(map(place.__getitem__, cores), np.int64, len(cores))
+            at[1::2] = np.fromiter(map(self.ends.__getitem__, runs), np.int64, len(runs))
+            counts = self.shelf.counts[at]
+            self._add(ended, self.shelf.ids[spans(self.shelf.starts[at], counts)], counts.reshape(-1, 2).sum(axis=1))
 
     def _special(self, texts: pa.Array) -> np.ndarray:
         found = np.zeros(len(texts), bool)
@@ -169,7 +182,8 @@ class PieceCoder:
         cut = pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), "")
         listed = pc.split_pattern(cut, " ")
         coded = listed.flatten().dictionary_encode()
-        keys = coded.dictionary.to_pylist()
+        # Much faster than to_pylist, which makes an Arrow scalar of each.
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         place = self.place
         self._learn([k for k in keys if k not in place])
         at = np.fromiter(map(place.__getitem__, keys), np.int64, len(keys))[coded.indices.to_numpy()]

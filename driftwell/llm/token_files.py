@@ -15,6 +15,7 @@ import math
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import partial
 from typing import NamedTuple
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwell.llm.bpe import read_model
-from driftwell.llm.presplit import PieceCoder, as_strings, byte_letters, special_ids
+from driftwell.llm.presplit import PieceCoder, as_strings, byte_letters, spans, special_ids, sure_letters
 from driftwell.llm.rows import arrow_map, give_back, kept, stored, utf8, work_path
 from driftwell.session import small_side
 
@@ -161,7 +162,39 @@ def _library_coder(model: str) -> PieceCoder:
     opens = np.array([(spell(i) or "").startswith(byte_letters()[32]) for i in range(_vocabulary(model))])
     line = tokenizer.encode("\n", add_special_tokens=False).ids
 
+    # The letters of each byte, but for the line feed, which parts the words of a call.
+    letters = np.array([ord(c) for c in byte_letters()], "<u4")
+    letters[10] = 10
+    merged = tokenizer.model.tokenize
+
     def pieces(found: list[str], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters are what the splitting pattern leaves whole: they go to the library's model without it."""
+        word = np.fromiter(map(sure_letters, found), bool, len(found))
+        if not word.any():
+            return patterned(found, spaced)
+        ids, counts = words([p for p, w in zip(found, word.tolist()) if w], spaced)
+        if word.all():
+            return ids, counts
+        others, sizes = patterned([p for p, w in zip(found, word.tolist()) if not w], spaced)
+        # Both kinds back in their order.
+        order = np.argsort(np.concatenate([np.flatnonzero(word), np.flatnonzero(~word)]))
+        sizes = np.concatenate([counts, sizes])
+        starts = np.cumsum(sizes) - sizes
+        return np.concatenate([ids, others])[spans(starts[order], sizes[order])], sizes[order]
+
+    def words(found: list[str], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        lead = " " if spaced else ""
+        raw = np.frombuffer((lead + f"\n{lead}".join(found)).encode(), np.uint8)
+        flat, counts = array("I"), array("q")
+        # Tokens go at once: many of them held would keep the garbage collector busy.
+        for word in letters[raw].tobytes().decode("utf-32-le").split("\n"):
+            tokens = merged(word)
+            counts.append(len(tokens))
+            for token in tokens:
+                flat.append(token.id)
+        return np.array(flat, np.uint32), np.array(counts, np.int64)
+
+    def patterned(found: list[str], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
         """Many pieces in one call. A label that begins with a space begins a piece; others get a line feed between two."""
         flat, counts = [], []
         for i in range(0, len(found), JOINED):

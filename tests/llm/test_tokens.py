@@ -191,3 +191,43 @@ def test_a_growing_file_holds_little_and_is_the_file_made_at_once():
     sizes = np.concatenate(counts)
     whole = token_files.make_file(np.concatenate(parts), [None, *range(4)] * 6, np.cumsum(sizes) - sizes, 17, 3, 2)
     assert made.batch()["file"][0].as_py() == whole
+
+
+def test_words_go_to_the_model_without_the_pattern(monkeypatch):
+    seen, real = [], Tokenizer
+
+    class Watched:
+        def __init__(self, model):
+            self.inner = real.from_str(model)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, texts, **settings):
+            seen.extend(texts)
+            return self.inner.encode_batch_fast(texts, **settings)
+
+    monkeypatch.setattr("tokenizers.Tokenizer", type("Watching", (), {"from_str": Watched}))
+    coder = token_files._library_coder(bpe.read_model(PATH))
+    del seen[:]
+    found = ["plain", "don't", "äpfel", "x1", "Ωмега", "日本", "ét", "ª"]
+    for spaced in (True, False):
+        ids, counts = coder.pieces(found, spaced)
+        ends = np.cumsum(counts)
+        got = [ids[e - c : e].tolist() for c, e in zip(counts, ends)]
+        assert got == [want(" " + p if spaced else p) for p in found]
+    assert not any(p in t for p in ("plain", "äpfel", "Ωмега", "ª") for t in seen)
+
+
+def test_words_before_marks_are_encoded_once():
+    asked = []
+    inner = token_files.library_coder(bpe.read_model(PATH))
+
+    def pieces(found, spaced):
+        asked.extend(found)
+        return inner.pieces(found, spaced)
+
+    small = presplit.PieceCoder(pieces, inner.whole, inner.specials)
+    texts = ["word word, word&&& word*** word!'. it's' ,, '", "word?!\nword\nline$$$ don't!! a-' x'\"s <|endoftext word|>", "Ã± Ã±... 日本。 日本,"]
+    assert [array("I", x).tolist() for x in small.encode(texts)] == [want(t) for t in texts]
+    assert [p for p in asked if p.startswith(("word", "line", "don't"))] == ["word", "don't", "word", "line"]
