@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass
 
@@ -157,6 +158,16 @@ def mass_aggregate(
     return result.join(level_maps(df, key, texts, prefix), key) if categorical == "map" and texts else result
 
 
+def gathered(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by key, so that a task aggregates few groups; rows are much narrower than the statistics of a group.
+
+    Dealt by a hash of the key and not by the key itself: Spark may then divide what a hot key fills, and the
+    aggregation still merges before its own shuffle.
+    """
+    near = f"_near_{uuid.uuid4().hex[:8]}"
+    return df.withColumn(near, F.xxhash64(key)).hint("rebalance", near).drop(near)
+
+
 def _planned(df: DataFrame, key: str, prefix: str, plan: AggregationPlan) -> DataFrame:
     order = {c: i for i, c in enumerate(df.columns)}
     wanted = sorted(
@@ -167,7 +178,7 @@ def _planned(df: DataFrame, key: str, prefix: str, plan: AggregationPlan) -> Dat
     keyed = df.where(F.col(key).isNotNull())
     if not aggregates:
         return keyed.select(key).distinct()
-    return keyed.groupBy(key).agg(*aggregates)
+    return gathered(keyed, key).groupBy(key).agg(*aggregates)
 
 
 def _in_one_pass(df: DataFrame, key: str, prefix: str, levels: Sequence[tuple[str, tuple[str | None, ...]]]) -> DataFrame:
@@ -186,7 +197,8 @@ def _in_one_pass(df: DataFrame, key: str, prefix: str, levels: Sequence[tuple[st
         square = f"CAST({sql_name(c)} AS DOUBLE) * CAST({sql_name(c)} AS DOUBLE)"
         extra += [F.expr(f"count({sql_name(c)})").alias(f"_n{i}"), F.expr(f"sum({square})").alias(f"_q{i}")]
     # Rows without a key have values too; their group is left out below.
-    grouped = df.groupBy(key).agg(*aggregates, *extra)
+    used = df.select(key, *[quoted(c) for c in dict.fromkeys([*columns, *[c for c, _ in levels]])])
+    grouped = gathered(used, key).groupBy(key).agg(*aggregates, *extra)
     seen: dict = {}
     if columns:
         parts = {"n": "sum(_n{i})", "s": "sum(CAST({s} AS DOUBLE))", "q": "sum(_q{i})", "a": "min(CAST({a} AS DOUBLE))", "b": "max(CAST({b} AS DOUBLE))"}

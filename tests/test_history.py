@@ -208,3 +208,23 @@ def test_infinities_are_missing_in_mass_aggregation(spark):
     found = history.mass_aggregate(df, "k", "P")
     assert [c for c in found.columns if c != "k"] == ["P_v_MEAN", "P_v_SUM"]
     assert rows(found.select("k", "P_v_MEAN", "P_v_SUM"), "k") == [(1, 0.5, 1.0), (2, 1.0, 1.0)]
+
+
+def test_rows_meet_by_key_before_they_are_aggregated(spark):
+    """Every key is in every partition; a task that aggregated those would hold all groups."""
+    cells = [(i % 50 if i % 51 else None, float(i % 7), i) for i in range(2_000)]
+    df = spark.createDataFrame(cells, "SK_ID_CURR long, x double, n long").repartition(8)
+    dealt = history.gathered(df, "SK_ID_CURR")
+    assert dealt.columns == df.columns and sorted(map(str, dealt.collect())) == sorted(map(str, df.collect()))
+    places = dealt.withColumn("at", F.spark_partition_id()).groupBy("SK_ID_CURR").agg(F.count_distinct("at").alias("n"))
+    assert {r["n"] for r in places.collect()} == {1}
+    plan = history.AggregationPlan(("n",), ("x",))
+    made = history.mass_aggregate(df, "SK_ID_CURR", "P", plan=plan)
+    assert "RebalancePartitions" in made._jdf.queryExecution().optimizedPlan().toString()
+    whole = history.mass_aggregate(df, "SK_ID_CURR", "P")
+    for table in (made, whole):
+        got = {r["SK_ID_CURR"]: (r["P_x_MIN"], r["P_x_MAX"], r["P_x_SUM"], r["P_n_SUM"]) for r in table.collect()}
+        assert len(got) == 50
+        for key, values in got.items():
+            own = [r for r in cells if r[0] == key]
+            assert values == (min(r[1] for r in own), max(r[1] for r in own), sum(r[1] for r in own), sum(r[2] for r in own))
