@@ -6,8 +6,11 @@ import json
 import math
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,12 @@ BUREAU_KEY = "SK_ID_BUREAU"
 KEY_PREFIX = "SK_ID"
 FEW_VALUES = ("MEAN", "SUM")
 MANY_VALUES = ("MIN", "MAX", "MEAN", "SUM", "VAR")
+# Feature tables with more columns than this are packed for joining.
+PACKED_FROM = 8
+# Histories that are built beside each other.
+HISTORIES_AT_ONCE = 3
+# Groups that are looked at first for three different values of a column.
+FIRST_GROUPS = 500
 
 Tables = Mapping[str, DataFrame]
 
@@ -186,7 +195,8 @@ def _in_one_pass(df: DataFrame, key: str, prefix: str, levels: Sequence[tuple[st
 
     All statistics are written per key, and their sums over the keys tell whether a column has more than two values: for
     values between a and b, the sum of (x - a)(b - x) is 0 if and only if all are a or b. It follows from the count, the sum and the
-    sum of squares. Where rounding leaves it open, that column alone is looked at again.
+    sum of squares. Where rounding leaves it open, that column alone is looked at again. Columns that show three values in
+    the first groups need no sums.
     """
     columns = [c for c in numeric_columns(df, {key}) if not c.startswith(KEY_PREFIX)]
     aggregates = [a for c in columns for a in _statistics(c, prefix, MANY_VALUES)] + _level_statistics(levels, prefix)
@@ -200,22 +210,35 @@ def _in_one_pass(df: DataFrame, key: str, prefix: str, levels: Sequence[tuple[st
     used = df.select(key, *[quoted(c) for c in dict.fromkeys([*columns, *[c for c, _ in levels]])])
     grouped = gathered(used, key).groupBy(key).agg(*aggregates, *extra)
     seen: dict = {}
+    many: set[str] = set()
     if columns:
+        grouped = written_table(grouped)
+        many = _proven(grouped, prefix, columns)
+    left = [(i, c) for i, c in enumerate(columns) if c not in many]
+    if left:
         parts = {"n": "sum(_n{i})", "s": "sum(CAST({s} AS DOUBLE))", "q": "sum(_q{i})", "a": "min(CAST({a} AS DOUBLE))", "b": "max(CAST({b} AS DOUBLE))"}
         named = [
             F.expr(sql.format(i=i, s=sql_name(f"{prefix}_{c}_SUM"), a=sql_name(f"{prefix}_{c}_MIN"), b=sql_name(f"{prefix}_{c}_MAX"))).alias(f"{part}{i}")
-            for i, c in enumerate(columns) for part, sql in parts.items()
+            for i, c in left for part, sql in parts.items()
         ]
-        grouped = written_table(grouped)
         seen = grouped.agg(*named).first().asDict()
-    many = {c for i, c in enumerate(columns) if _settled(df, c, {p: seen[f"{p}{i}"] for p in "nsqab"}) is True}
-    unsure = {c: (seen[f"a{i}"], seen[f"b{i}"]) for i, c in enumerate(columns) if _settled(df, c, {p: seen[f"{p}{i}"] for p in "nsqab"}) is None}
+    settled = {c: _settled(df, c, {p: seen[f"{p}{i}"] for p in "nsqab"}) for i, c in left}
+    many |= {c for c, found in settled.items() if found is True}
+    unsure = {c: (seen[f"a{i}"], seen[f"b{i}"]) for i, c in left if settled[c] is None}
     many |= _beyond(df, unsure)
     wanted = [f"{prefix}_{c}_{s}" for c in columns for s in (MANY_VALUES if c in many else FEW_VALUES)]
     named_levels = [f"{prefix}_{c}_{'nan' if v is None else v}_{s}" for c, values in levels for v in values for s in FEW_VALUES]
     return grouped.where(F.col(key).isNotNull()).select(key, *[quoted(c) for c in [*wanted, *named_levels]])
 
 
+def _proven(grouped: DataFrame, prefix: str, columns: Sequence[str]) -> set[str]:
+    """Columns of which the first groups already show three values. The others are open: all groups have to be asked."""
+    ends = [quoted(f"{prefix}_{c}_{s}") for c in columns for s in ("MIN", "MAX")]
+    rows = grouped.select(*ends).limit(FIRST_GROUPS).collect()
+    seen = [{v for row in rows for v in row[2 * i : 2 * i + 2]} - {None} for i in range(len(columns))]
+    return {c for c, values in zip(columns, seen) if len(values) > 2}
+
+
 def _settled(df: DataFrame, column: str, seen: Mapping[str, float | int | None]) -> bool | None:
     """Whether a column has more than two values, None where rounding leaves it open."""
     n, total, squares, low, high = (seen[p] for p in "nsqab")
@@ -304,13 +327,25 @@ def merge_left(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 def merge_features(base: DataFrame, tables: Sequence[DataFrame], on: str) -> DataFrame:
     """Left-join feature tables that are unique per key.
 
-    The tables come out of a ``groupBy`` on the same key, so their partitioning is reused and only the
-    base is shuffled, once, for the whole chain.
+    Tables that come out of a ``groupBy`` on the same key keep their partitioning; written ones are shuffled once.
     """
-    merged = base
-    for table in tables:
+    names = [on, *[c for c in base.columns if c != on], *[c for t in tables for c in t.columns if c != on]]
+    if len({n.lower() for n in names}) < len(names):
+        merged = base
+        for table in tables:
+            merged = merge_left(merged, table, on)
+        return merged
+    # A wide table goes through the joins and their sorts as one value, which is copied whole and not field by field.
+    merged, places = base, {c: quoted(c) for c in base.columns}
+    for i, table in enumerate(tables):
+        own = [c for c in table.columns if c != on]
+        places |= {c: quoted(c) for c in own}
+        if len(own) > PACKED_FROM:
+            packed = f"_packed{i}_{uuid.uuid4().hex[:8]}"
+            table = table.select(on, F.struct(*[quoted(c) for c in own]).alias(packed))
+            places |= {c: F.col(packed).getField(c).alias(c) for c in own}
         merged = merge_left(merged, table, on)
-    return merged
+    return merged.select(*[places[c] for c in names])
 
 
 def prepare_dataset(
@@ -438,16 +473,23 @@ def profile_histories(tables: Tables, categorical: str = "ignore") -> dict[str,
 def all_history_features(
     tables: Tables, plans: Mapping[str, AggregationPlan] | None = None, **options
 ) -> list[DataFrame]:
-    """Feature table of every history that is present."""
-    plans, made = plans or {}, []
+    """Feature table of every history that is present.
+
+    Histories do not depend on each other: a few are built beside each other, so that the last tasks of one leave no core idle.
+    """
+    plans, work = plans or {}, []
     if "bureau" in tables:
-        made.append(bureau_features(
+        work.append(lambda: bureau_features(
             tables["bureau"], tables.get("bureau_balance"), plans.get("BB"), plans.get("BURO"), **options
         ))
     for name, (prefix, _, build) in ONE_LEVEL.items():
         if name in tables:
-            made.append(build(tables[name], plan=plans.get(prefix), **options))
-    return made
+            work.append(partial(build, tables[name], plan=plans.get(prefix), **options))
+    if not work:
+        return []
+    run = inheritable_thread_target(next(iter(tables.values())).sparkSession)(lambda step: step())
+    with ThreadPoolExecutor(HISTORIES_AT_ONCE) as pool:
+        return list(pool.map(run, work))
 
 
 def latest_per_key(df: DataFrame, key: str, order: str, tie: str) -> DataFrame:

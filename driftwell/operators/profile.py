@@ -186,7 +186,12 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
 def complete_correlation(df: DataFrame, columns: Sequence[str], method: str = "pearson"):
     """Correlation matrix of columns without missing values as a driver array (features x features)."""
     vectors = VectorAssembler(inputCols=list(columns), outputCol="_features").transform(df).select("_features")
-    return Correlation.corr(vectors, "_features", method).first()[0].toArray()
+    return vector_correlation(vectors, "_features", method)
+
+
+def vector_correlation(df: DataFrame, column: str, method: str = "pearson"):
+    """Correlation matrix of a vector column as a driver array."""
+    return Correlation.corr(df, column, method).first()[0].toArray()
 
 
 def presence_classes(numbers: DataFrame, row: str, columns: Sequence[str]) -> list[int]:

@@ -20,7 +20,7 @@ from driftwell.functions.labels import group_priority, semantic_group
 from driftwell.functions.numbers import double_sql, sql_name
 from driftwell.operators.evidence import InformationValue
 from driftwell.operators.models import assemble
-from driftwell.operators.profile import MissingRateFilter, cards_signature, complete_correlation, feature_cards, feature_metadata
+from driftwell.operators.profile import MissingRateFilter, cards_signature, feature_cards, feature_metadata, vector_correlation
 
 # Fixed values of the importance forest and of the redundancy floor.
 FOREST_TREES = 128
@@ -37,6 +37,8 @@ class Selector:
     """
 
     stage = "after"
+    # Whether ``fit`` reads its rows once, so that nothing is won by keeping them prepared for it.
+    reads_once = False
     selected: list[str]
     scores: dict[str, float]
 
@@ -58,17 +60,28 @@ def forest_importance(
     Both children of a split hold at least half the split share of the rows, which is what a least node
     size for splitting amounts to.
     """
-    training = assemble(df, features, F.col(label).cast("double").alias("label")).persist()
-    total = np.zeros(len(features))
+    training = forest_rows(df, label, features).persist()
     try:
-        for i in range(repeats):
-            forest = RandomForestClassifier(
-                numTrees=trees, maxDepth=depth, featureSubsetStrategy=FOREST_FEATURE_SHARE,
-                minWeightFractionPerNode=FOREST_SPLIT_SHARE / 2, seed=seed + i,
-            )
-            total += forest.fit(training).featureImportances.toArray()
+        return grown_importance(training, features, repeats, seed, trees, depth)
     finally:
         training.unpersist()
+
+
+def forest_rows(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
+    return assemble(df, features, F.col(label).cast("double").alias("label"))
+
+
+def grown_importance(
+    training: DataFrame, features: Sequence[str], repeats: int, seed: int, trees: int, depth: int = 10
+) -> dict[str, float]:
+    """``forest_importance`` of assembled rows."""
+    total = np.zeros(len(features))
+    for i in range(repeats):
+        forest = RandomForestClassifier(
+            numTrees=trees, maxDepth=depth, featureSubsetStrategy=FOREST_FEATURE_SHARE,
+            minWeightFractionPerNode=FOREST_SPLIT_SHARE / 2, seed=seed + i,
+        )
+        total += forest.fit(training).featureImportances.toArray()
     return {c: float(v) for c, v in zip(features, total / repeats)}
 
 
@@ -103,6 +116,7 @@ def greedy_mrmr(scores: dict[str, float], features: Sequence[str], correlation:
 class MrmrSelector(Selector):
     """Top-k by forest importance (``rf``) or by importance against redundancy (``mrmr``)."""
 
+    reads_once = True
     k: int = 20
     method: str = "mrmr"
     repeats: int = 1
@@ -117,22 +131,19 @@ class MrmrSelector(Selector):
         if self.k >= len(features):
             self.selected = list(features)
             return self
-        self.scores = forest_importance(df, label, features, self.repeats, self.seed, self.trees)
-        if self.method == "rf":
-            self.selected = by_score(self.scores)[: self.k]
-        else:
-            matrix = correlation_array(df, features)
-            self.selected = greedy_mrmr(self.scores, features, matrix, self.k)
+        # The forest and the correlations read the same rows.
+        training = forest_rows(df, label, features).persist()
+        try:
+            self.scores = grown_importance(training, features, self.repeats, self.seed, self.trees)
+            if self.method == "rf":
+                self.selected = by_score(self.scores)[: self.k]
+            else:
+                self.selected = greedy_mrmr(self.scores, features, vector_correlation(training, "features"), self.k)
+        finally:
+            training.unpersist()
         return self
 
 
-def correlation_array(df: DataFrame, features: Sequence[str]) -> np.ndarray:
-    """Pearson matrix of prepared columns over all rows."""
-    names = [f"x{i}" for i in range(len(features))]
-    renamed = df.select(*[F.expr(f"CAST({sql_name(c)} AS DOUBLE) AS {n}") for c, n in zip(features, names)])
-    return complete_correlation(renamed, names)
-
-
 # ---- Components ----
 
 def components_for_share(ratios: Sequence[float], share: float) -> int:

@@ -11,8 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.functions.numbers import finite, latest, months_to_days
-from driftwell.operators.history import APPLICANT
+from driftwell.functions.numbers import finite, latest, months_to_days, quoted
+from driftwell.operators.history import APPLICANT, ONE_LEVEL
 from driftwell.operators.ordering import at_or_before, bucket_edges, running_totals, values_at
 
 # Proxy column, source tables with their day expressions, split column candidates.
@@ -59,6 +59,24 @@ def event_days(tables: Mapping[str, DataFrame], key: str = APPLICANT) -> list[Da
     return parts
 
 
+def newest_only(tables: Mapping[str, DataFrame], features: Sequence[DataFrame], key: str = APPLICANT) -> dict[str, DataFrame]:
+    """Histories cut to what ``time_proxy`` reads: one row per key with the newest value of each time column.
+
+    The newest of several columns over all rows is the newest of their maxima, which the feature tables have. A history
+    whose maxima are not all there stays as it is.
+    """
+    prefixes = {"bureau": "BURO"} | {name: prefix for name, (prefix, _, _) in ONE_LEVEL.items()}
+    cut = dict(tables)
+    for name, columns in (DAY_COLUMNS | {n: (c,) for n, c in MONTH_COLUMNS.items()}).items():
+        if name not in tables or key not in tables[name].columns:
+            continue
+        maxima = {c: f"{prefixes[name]}_{c}_MAX" for c in columns if c in tables[name].columns}
+        for made in features:
+            if maxima and key in made.columns and set(maxima.values()) <= set(made.columns):
+                cut[name] = made.select(key, *[quoted(m).alias(c) for c, m in maxima.items()])
+    return cut
+
+
 def time_proxy(tables: Mapping[str, DataFrame], key: str = APPLICANT) -> DataFrame | None:
     """Newest event per key over all histories.
 

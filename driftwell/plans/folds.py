@@ -104,7 +104,11 @@ def fit_training(
             ranked = list(selector.candidates)
     preprocessor = Preprocessor(**spec.preprocessing)
     timed("preprocessing", lambda: preprocessor.fit(train, raw))
-    prepared = preprocessor.transform(train, key, label).persist()
+    prepared = preprocessor.transform(train, key, label)
+    # What a selector reads once is not worth keeping: the few columns it selects are kept instead.
+    narrowed = stage == "after" and selector.reads_once
+    if not narrowed:
+        prepared.persist()
     columns = preprocessor.output_columns()
     if stage == "after":
         timed("feature_selection", lambda: selector.fit(prepared, label, columns))
@@ -115,11 +119,12 @@ def fit_training(
         ready = selector.transform(prepared, key, label)
     else:
         ready = prepared
+    held = ready.persist() if narrowed else prepared
     model = timed("training", lambda: fit_model(spec.model, ready, model_columns, label, spec.settings))
     scores = written_table(model.score(ready, key, label))
     threshold = decision_threshold(scores, label, "score")
     selected = list(selector.selected) if selector else model_columns
-    return Fit(preprocessor, selector, model, selected, ranked, threshold, ready, scores, timings, prepared)
+    return Fit(preprocessor, selector, model, selected, ranked, threshold, ready, scores, timings, held)
 
 
 @dataclass

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from driftwell.operators.history import APPLICANT, all_history_features, merge_features, merge_left
 from driftwell.operators.timeline import (
     EXCLUDED_FEATURES, ID_COLUMNS, TIME_CANDIDATES, Windows, check_windows, cut_windows, model_columns,
-    resolve_time_column, time_proxy,
+    newest_only, resolve_time_column, time_proxy,
 )
 from driftwell.session import written_table
 
@@ -54,7 +54,8 @@ def prepare(
 
     The window filter sits on top of the joins; since it rejects missing times, Catalyst turns the join
     that brings the time column into an inner join and filters it before the other joins. The audit looks
-    at the base and that one table only. The result is written once, partitioned by split and sorted by
+    at the base and that one table only. The proxy is taken from the histories' newest values per key, where the feature
+    tables have them, so that no history is read again. The result is written once, partitioned by split and sorted by
     time inside the files, so that folds read few row groups and runs share it. ``plans`` from
     ``profile_histories`` may be passed on to spare the profile passes.
     """
@@ -62,7 +63,7 @@ def prepare(
         raise ValueError(f"{base} is missing")
     histories = {name: table for name, table in tables.items() if name != base}
     made = all_history_features(histories, **aggregation)
-    proxy = time_proxy(histories, key)
+    proxy = time_proxy(newest_only(histories, made, key), key)
     if proxy is not None:
         made.append(proxy)
     columns = [*tables[base].columns, *[c for table in made for c in table.columns if c != key]]

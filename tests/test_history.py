@@ -228,3 +228,50 @@ def test_rows_meet_by_key_before_they_are_aggregated(spark):
         for key, values in got.items():
             own = [r for r in cells if r[0] == key]
             assert values == (min(r[1] for r in own), max(r[1] for r in own), sum(r[1] for r in own), sum(r[2] for r in own))
+
+
+def test_proxy_from_the_newest_values_reads_one_row_per_key(spark):
+    pos = spark.createDataFrame([(1, -3), (1, -1), (2, -9), (3, None), (None, 0)], "SK_ID_CURR long, MONTHS_BALANCE long")
+    paid = spark.createDataFrame(
+        [(1, -50.0, -60.0), (1, -70.0, -20.0), (4, None, -5.0), (4, -8.0, float("nan")), (5, None, None)],
+        "SK_ID_CURR long, DAYS_INSTALMENT double, DAYS_ENTRY_PAYMENT double",
+    ).withColumns({"AMT_INSTALMENT": F.lit(1.0), "AMT_PAYMENT": F.lit(2.0)})
+    # Two days only: the feature table has no maximum, so the history itself is read.
+    previous = spark.createDataFrame([(6, -4), (6, -2), (7, -4)], "SK_ID_CURR long, DAYS_DECISION long")
+    tables = {"POS_CASH_balance": pos, "installments_payments": paid, "previous_application": previous}
+    made = [
+        history.mass_aggregate(pos, "SK_ID_CURR", "POS"), history.mass_aggregate(previous, "SK_ID_CURR", "PREV"),
+        history.mass_aggregate(paid, "SK_ID_CURR", "INSTAL"),
+    ]
+    cut = timeline.newest_only(tables, made)
+    assert cut["previous_application"] is previous
+    assert cut["installments_payments"].count() == 3 and cut["POS_CASH_balance"].count() == 3
+    found = rows(timeline.time_proxy(cut), "SK_ID_CURR")
+    assert found == rows(timeline.time_proxy(tables), "SK_ID_CURR") == [(1, -20.0), (2, -270.0), (4, -5.0), (6, -2.0), (7, -4.0)]
+
+
+def test_wide_tables_are_joined_as_one_value(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "c")], "k long, name string")
+    wide = spark.createDataFrame([(1, 7), (3, 8)], "k long, x long").select("k", *[(F.col("x") + i).alias(f"w.{i}") for i in range(12)])
+    slim = spark.createDataFrame([(2, 1.5)], "k long, y double")
+    made = history.merge_features(base, [wide, slim], "k")
+    plain = base.join(wide, "k", "left").join(slim, "k", "left")
+    assert made.schema == plain.schema and rows(made, "name") == rows(plain, "name")
+    assert "_packed0" in made._jdf.queryExecution().optimizedPlan().toString()
+    # Names that come twice stay as they are in plain joins.
+    twice = history.merge_features(base, [wide, wide.select("k", "`w.0`")], "k")
+    assert twice.columns == base.join(wide, "k", "left").join(wide.select("k", "`w.0`"), "k", "left").columns
+
+
+def test_three_values_in_the_first_groups_settle_a_column(spark, monkeypatch):
+    df = spark.range(60).select(
+        (F.col("id") % 20).alias("k"), F.col("id").alias("many"), (F.col("id") % 2).alias("two"),
+        F.when(F.col("id") == 59, 5).otherwise(F.col("id") % 2).alias("late"), F.lit(3).alias("one"),
+    )
+    whole = history.mass_aggregate(df, "k", "T")
+    proven = history._proven(whole.select("k", *[F.lit(v).alias(f"T_{c}_{s}") for c, v in (("many", 1), ("two", 1)) for s in ("MIN", "MAX")]), "T", ["many", "two"])
+    assert proven == set()
+    assert {"T_many_VAR", "T_late_VAR"} <= set(whole.columns) and not {"T_two_VAR", "T_one_VAR"} & set(whole.columns)
+    monkeypatch.setattr(history, "FIRST_GROUPS", 1)
+    again = history.mass_aggregate(df, "k", "T")
+    assert again.columns == whole.columns and rows(again, "k") == rows(whole, "k")

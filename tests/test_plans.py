@@ -161,3 +161,28 @@ def test_failures_are_noted(spark, prepared, tmp_path):
         run_experiment(leaking, ModelSpec(), "bad", store=store)
     failed = store.read(spark, "run_manifest", ["bad"]).first()
     assert failed.status == "failed" and failed.error.startswith("ValueError") and failed.failed_at
+
+
+def test_only_selected_columns_are_kept(prepared):
+    spec = ModelSpec("lr", {"maxIter": 5}, {"min_frequency": 1}, lambda: MrmrSelector(3, trees=4), "mrmr")
+    fit = fit_training(prepared.dev, prepared.key, prepared.target, prepared.features, spec)
+    assert fit.held.columns == [prepared.key, prepared.target, *fit.selected] and fit.held.storageLevel.useMemory
+    fit.release()
+    assert fit.held is None and not fit.train_ready.storageLevel.useMemory
+
+
+def test_histories_are_read_once(spark, tables):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    previous = tables["previous_application"]
+    counted = previous.mapInArrow(passed, previous.schema)
+    made = prepare(tables | {"previous_application": counted}, windows=WINDOWS)
+    read = seen.value
+    made.data.select("application_time_proxy").count()
+    assert read == seen.value
+    assert read == previous.count()
